@@ -137,3 +137,44 @@ def kept_where(df: DataFrame, start, column: str) -> DataFrame:
             yield b.filter(pa.array([good(x) for x in b.column(column).to_pylist()], pa.bool_()))
 
     return df.mapInArrow(run, df.schema)
+
+
+# --- hashes of all words of a text at once ---
+
+_rng = np.random.Generator(np.random.PCG64(20240229))
+#: A random 64-bit value for each byte, and a fixed odd multiplier with its inverse mod 2^64.
+BYTE_VALUES = _rng.integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+STEP = 0xD1342543DE82EF95
+_powers = {"up": np.ones(1, np.uint64), "down": np.ones(1, np.uint64)}
+BLANK = np.zeros(256, bool)
+BLANK[[9, 10, 11, 12, 13, 32]] = True
+
+
+def _powers_for(n: int) -> tuple[np.ndarray, np.ndarray]:
+    if len(_powers["up"]) < n:
+        size = 1 << (n - 1).bit_length()
+        for k, x in (("up", STEP), ("down", pow(STEP, -1, 1 << 64))):
+            a = np.full(size, x, np.uint64)
+            a[0] = 1
+            _powers[k] = np.multiply.accumulate(a)
+    return _powers["up"], _powers["down"]
+
+
+def word_hashes(raw: bytes) -> np.ndarray:
+    """A 64-bit hash of each word (run of bytes without ASCII white space), in order, for the whole text at once.
+
+    Prefix sums of byte values times powers of STEP give the polynomial of any stretch; dividing by the power at a word's
+    start makes it independent of place.
+    """
+    if not raw:
+        return np.empty(0, np.uint64)
+    data = np.frombuffer(raw, np.uint8)
+    blank = BLANK[data]
+    edge = np.flatnonzero(np.diff(np.concatenate(([True], blank, [True])).astype(np.int8)))
+    starts, ends = edge[0::2], edge[1::2]
+    if not len(starts):
+        return np.empty(0, np.uint64)
+    up, down = _powers_for(len(data))
+    sums = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum(BYTE_VALUES[data] * up[: len(data)], out=sums[1:])
+    return mixed((sums[ends] - sums[starts]) * down[starts])

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliospark.llm import decontam, mixing, records, simhash, toxicity
+from foliospark.llm import decontam, mixing, records, simhash, substring, toxicity
 from foliospark.llm.common import table, work_dir
 
 
@@ -55,6 +55,23 @@ FROM dw LEFT JOIN hits USING (doc_id) LEFT JOIN its USING (doc_id)
 """
 
 
+def op7_relative_lz(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = substring.duplicate_spans(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+OP7_SQL = r"""
+WITH dw AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+win AS (SELECT doc_id, i, md5(array_to_string(w[i : i + 19], ' ')) AS p FROM (SELECT doc_id, w, unnest(range(1, len(w) - 18)) AS i FROM dw)),
+dup AS (SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY p ORDER BY doc_id, i) AS r FROM win) WHERE r > 1),
+gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 20)) AS k FROM dup),
+removed AS (SELECT doc_id, count(*) AS n_removed FROM gone GROUP BY doc_id),
+kept AS (SELECT a.doc_id, string_agg(x, ' ' ORDER BY k) AS s FROM (SELECT doc_id, unnest(w) AS x, unnest(range(1, len(w) + 1)) AS k FROM dw) a ANTI JOIN gone g ON a.doc_id = g.doc_id AND a.k = g.k GROUP BY a.doc_id)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(s, '')) AS kept_sha256
+FROM dw LEFT JOIN removed USING (doc_id) LEFT JOIN kept USING (doc_id)
+"""
+
+
 def op10_poisson_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.replicate(table(spark, sf_dir, "documents"))
 
@@ -72,6 +89,6 @@ SELECT doc_id, text, lang, source, n_chars, copy, n_copies, CAST('0x' || substr(
 """
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_token_records, op3_toxicity, op4_simhash, op6_decontamination, op10_poisson_mixing)
+    f.__name__: f for f in (op2_token_records, op3_toxicity, op4_simhash, op6_decontamination, op7_relative_lz, op10_poisson_mixing)
 }
-ORACLE_SQL: dict[str, str] = {"op6_decontamination": OP6_SQL, "op10_poisson_mixing": OP10_SQL}
+ORACLE_SQL: dict[str, str] = {"op6_decontamination": OP6_SQL, "op7_relative_lz": OP7_SQL, "op10_poisson_mixing": OP10_SQL}
