@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliospark.llm import decontam, mixing, records, simhash, substring, toxicity
+from foliospark.llm import decontam, mixing, quality_rules, records, simhash, substring, toxicity
 from foliospark.llm.common import table, work_dir
 
 
@@ -17,6 +17,11 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def op1_divergence_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = quality_rules.judge(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.round("class_distance", 9).alias("class_distance"), F.round("word_distance", 9).alias("word_distance"))
+
+
 def op2_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = work_dir(spark, "records")
     records.write_records(table(spark, sf_dir, "documents"), out, tokenizer_path())
@@ -89,6 +94,6 @@ SELECT doc_id, text, lang, source, n_chars, copy, n_copies, CAST('0x' || substr(
 """
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_token_records, op3_toxicity, op4_simhash, op6_decontamination, op7_relative_lz, op10_poisson_mixing)
+    f.__name__: f for f in (op1_divergence_rules, op2_token_records, op3_toxicity, op4_simhash, op6_decontamination, op7_relative_lz, op10_poisson_mixing)
 }
 ORACLE_SQL: dict[str, str] = {"op6_decontamination": OP6_SQL, "op7_relative_lz": OP7_SQL, "op10_poisson_mixing": OP10_SQL}
