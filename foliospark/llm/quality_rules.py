@@ -3,7 +3,8 @@
 For each language of the corpus a first pass counts character classes and words over all documents that are long enough. A document's
 histograms of classes and of the language's most common words (all other words being one class) are then compared with those by
 Jensen-Shannon distance, the root of the divergence in bits. A short text strays from any reference by chance: a histogram of k
-classes over n draws has an expected divergence of about (k - 1) / (8 n ln 2), so the limit is a tolerance plus the root of that.
+classes over n draws has an expected divergence of about (k - 1) / (8 n ln 2), which the limit adds to
+the divergence that is tolerated.
 Texts under a minimum length are not judged by divergence at all.
 """
 
@@ -31,8 +32,9 @@ class Rules:
     judged_words: int = 50
     judged_chars: int = 200
     common_words: int = 40
-    class_tolerance: float = 0.25
-    word_tolerance: float = 0.08
+    #: Distances tolerated in texts of any length.
+    class_tolerance: float = 0.28
+    word_tolerance: float = 0.2
 
 
 RULES = Rules()
@@ -90,7 +92,7 @@ def distance(a: np.ndarray, b: np.ndarray) -> float:
 
 
 def limit(tolerance: float, classes: int, n: float) -> float:
-    return tolerance + math.sqrt((classes - 1) / (8 * n * math.log(2)))
+    return math.sqrt(tolerance**2 + (classes - 1) / (8 * n * math.log(2)))
 
 
 def references(docs: DataFrame, rules: Rules = RULES, text_col: str = "text", lang_col: str = "lang") -> dict[str, tuple[list[float], dict[str, int]]]:

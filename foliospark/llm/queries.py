@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliospark.llm import decontam, mixing, quality_rules, records, simhash, substring, toxicity
+from foliospark.llm import decontam, mixing, quality_rules, records, simhash, substring, toxicity, warc
 from foliospark.llm.common import table, work_dir
 
 
@@ -39,6 +39,24 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op5_capture_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Archives and index are written, every page's URL is found through the index, and the records are read by their ranges."""
+    out = work_dir(spark, "warc")
+    captures = warc.write_archives(table(spark, sf_dir, "pages"), out)
+    warc.write_index(captures, out)
+    found = warc.full_payload(warc.read_captures(warc.lookup(captures.select("key"), out), out))
+    return found.select(F.col("name").cast("long").alias("page_id"), "payload_bytes", F.col("digest").alias("payload_digest"), "record_type", F.col("refers").cast("long").alias("refers_to"))
+
+
+OP5_SQL = """
+WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS n, sha256(coalesce(html, '')) AS d FROM pages),
+f AS (SELECT d, min(page_id) AS first FROM p WHERE n >= 100 GROUP BY d)
+SELECT page_id, n AS payload_bytes, p.d AS payload_digest, CASE WHEN n >= 100 AND page_id <> first THEN 'revisit' ELSE 'response' END AS record_type,
+ CASE WHEN n >= 100 AND page_id <> first THEN first END AS refers_to
+FROM p LEFT JOIN f ON p.d = f.d
+"""
+
+
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontam.find_spans(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), F.expr(decontam.CONTAMINATED).alias("contaminated"))
@@ -94,6 +112,6 @@ SELECT doc_id, text, lang, source, n_chars, copy, n_copies, CAST('0x' || substr(
 """
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_divergence_rules, op2_token_records, op3_toxicity, op4_simhash, op6_decontamination, op7_relative_lz, op10_poisson_mixing)
+    f.__name__: f for f in (op1_divergence_rules, op2_token_records, op3_toxicity, op4_simhash, op5_capture_index, op6_decontamination, op7_relative_lz, op10_poisson_mixing)
 }
-ORACLE_SQL: dict[str, str] = {"op6_decontamination": OP6_SQL, "op7_relative_lz": OP7_SQL, "op10_poisson_mixing": OP10_SQL}
+ORACLE_SQL: dict[str, str] = {"op5_capture_index": OP5_SQL, "op6_decontamination": OP6_SQL, "op7_relative_lz": OP7_SQL, "op10_poisson_mixing": OP10_SQL}
