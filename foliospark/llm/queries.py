@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliospark.llm import decontam, mixing, quality_rules, records, simhash, substring, toxicity, warc
+from foliospark.llm import decontam, grades, licenses, mixing, quality_rules, records, simhash, substring, toxicity, warc
 from foliospark.llm.common import table, work_dir
 
 
@@ -95,6 +95,15 @@ FROM dw LEFT JOIN removed USING (doc_id) LEFT JOIN kept USING (doc_id)
 """
 
 
+def op8_ordinal_grades(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return grades.grade(docs, grades.fit(docs, grades.graded(table(spark, sf_dir, "labels"))))
+
+
+def op9_license_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.license_scan(table(spark, sf_dir, "documents"))
+
+
 def op10_poisson_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.replicate(table(spark, sf_dir, "documents"))
 
@@ -112,6 +121,6 @@ SELECT doc_id, text, lang, source, n_chars, copy, n_copies, CAST('0x' || substr(
 """
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_divergence_rules, op2_token_records, op3_toxicity, op4_simhash, op5_capture_index, op6_decontamination, op7_relative_lz, op10_poisson_mixing)
+    f.__name__: f for f in (op1_divergence_rules, op2_token_records, op3_toxicity, op4_simhash, op5_capture_index, op6_decontamination, op7_relative_lz, op8_ordinal_grades, op9_license_classifier, op10_poisson_mixing)
 }
 ORACLE_SQL: dict[str, str] = {"op5_capture_index": OP5_SQL, "op6_decontamination": OP6_SQL, "op7_relative_lz": OP7_SQL, "op10_poisson_mixing": OP10_SQL}
