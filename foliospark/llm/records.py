@@ -73,14 +73,27 @@ def _shifts(levels: int = 40) -> list[np.ndarray]:
 SHIFTS = _shifts()
 
 
+def _short(part: bytes) -> int:
+    if len(part) >= 4:
+        return 0
+    c = 0xFFFFFFFF
+    for b in part:
+        c = int(TABLE[(c ^ b) & 255]) ^ (c >> 8)
+    return c ^ 0xFFFFFFFF
+
+
 def crc32c(parts: list[bytes]) -> np.ndarray:
-    """CRC-32C of each byte string of at least 4 bytes. Zeros in front don't change a register that starts at zero, so every
-    string is filled up in front to whole chunks; chunks run side by side, then pairs of neighbours are joined."""
+    """CRC-32C of each byte string. Zeros in front don't change a register that starts at zero, so every string is filled up
+    in front to whole chunks; chunks run side by side, then pairs of neighbours are joined. The register's start at all ones is the
+    same as turning over the first 4 bytes; shorter strings go byte by byte."""
     if not parts:
         return np.empty(0, np.uint32)
     lengths = np.fromiter(map(len, parts), np.int64, len(parts))
     if lengths.min() < 4:
-        raise ValueError("a string of fewer than 4 bytes")
+        out = np.fromiter(map(_short, parts), np.uint32, len(parts))
+        long = np.flatnonzero(lengths >= 4)
+        out[long] = crc32c([parts[i] for i in long.tolist()])
+        return out
     counts = -(-lengths // CHUNK)
     ends = np.cumsum(counts) * CHUNK
     buf = np.zeros(int(ends[-1]), np.uint8)
