@@ -9,7 +9,8 @@ a duplicate that is put together from several places is found as well. Factors o
 To keep the index small, each phrase is filed under its anchor, the least hash of the runs of ANCHOR words in it. Equal phrases
 have equal anchors, and neighbouring phrases mostly share theirs. Only anchors that are found twice or more can hold a
 duplicate; others, most of the text, are dropped after a count. Phrases are told apart by 64-bit hashes of all their words.
-Anchors with more than HOT occurrences are not grouped in a task: their phrases are pre-aggregated by hash.
+Under anchors with more than HOT occurrences, each phrase is filed under its own hash, so that no anchor's group grows without
+bound; tasks resolve what they can before the shuffle, so that of a phrase that a third of all documents share, each passes on one.
 """
 
 from __future__ import annotations
@@ -22,6 +23,8 @@ from pyspark.sql import types as T
 from foliospark.llm.common import keyed_texts, mapped, small_batches, window_hashes, word_hashes, written
 
 SIZE, ANCHOR, HOT = 20, 5, 10_000
+#: Stretches that a task remembers, to resolve their like before the shuffle.
+COMBINED = 100_000
 
 
 def phrases(text: str | None, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -62,52 +65,86 @@ def _anchors(docs: DataFrame, size: int) -> DataFrame:
     return docs.select("key", "text").mapInArrow(run, schema)
 
 
+def _order(key) -> tuple:
+    """Spark's order of keys: nulls first."""
+    return tuple((v is not None, v) for v in key.values()) if isinstance(key, dict) else (key is not None, key)
+
+
+RUN = "deal bigint, anchor bigint, start bigint, hashes binary, n bigint, ref_start bigint"
+FACTOR = "start bigint, n bigint, ref_start bigint"
+
+
 def _runs(docs: DataFrame, size: int) -> DataFrame:
-    """(key, anchor, start, hashes, hot): for documents with the list `repeated` of their anchors found twice or more, each stretch
-    of phrases under one such anchor. hashes has 8 bytes for each phrase. `hots` lists the hot ones among the anchors."""
+    """For documents with the list `repeated` of their anchors found twice or more, and among these `hots`: each stretch of phrases under
+    one such anchor, as (key, deal, anchor, start, hashes): 8 bytes for each phrase. Under a hot anchor each phrase is filed under itself.
+
+    This is also the combiner before the shuffle: a stretch whose like was met in this task, earlier in the corpus, is a factor
+    at once (n, ref_start, ref_key, no hashes). So of a huge group of copies each task passes on one.
+    """
     import pyarrow as pa
     from pyspark.sql.pandas.types import to_arrow_schema
 
-    schema = T.StructType([docs.schema["key"], *T._parse_datatype_string("anchor bigint, start bigint, hashes binary, hot boolean").fields])
-    names = to_arrow_schema(schema).names
+    key = docs.schema["key"]
+    schema = T.StructType([key, *T._parse_datatype_string(RUN).fields, T.StructField("ref_key", key.dataType)])
+    kinds = to_arrow_schema(schema)
 
     def run(batches):
+        met: dict[bytes, tuple] = {}
         for b in batches:
-            at, anchors, starts, hashes, hot = [], [], [], [], []
-            for i, (text, repeated, hots) in enumerate(zip(*[b.column(c).to_pylist() for c in ("text", "repeated", "hots")])):
+            out: list[list] = [[] for _ in kinds]
+            at = out[0]
+            for i, (key, text, repeated, hots) in enumerate(zip(*[b.column(c).to_pylist() for c in ("key", "text", "repeated", "hots")])):
                 whole, least, _ = phrases(text, size)
                 wanted = np.isin(least, np.array(repeated, np.int64).view(np.uint64))
-                hots = {x & 0xFFFFFFFFFFFFFFFF for x in hots}
                 if not wanted.any():
                     continue
+                if len(met) > COMBINED:
+                    met.clear()
+                order, raw, signed = _order(key), whole.tobytes(), least.view(np.int64)
                 cut = np.concatenate(([0], np.flatnonzero(np.diff(least)) + 1, [len(least)]))
-                raw = whole.tobytes()
-                for x, y in zip(cut[:-1].tolist(), cut[1:].tolist()):
-                    if wanted[x]:
-                        at.append(i), anchors.append(least[x]), starts.append(x), hashes.append(raw[8 * x : 8 * y]), hot.append(int(least[x]) in hots)
+                stretches = [(x, y, int(signed[x])) for x, y in zip(cut[:-1].tolist(), cut[1:].tolist()) if wanted[x]]
+                if hots:
+                    single, own = set(hots), whole.view(np.int64).tolist()
+                    stretches = [z for x, y, a in stretches for z in ([(k, k + 1, own[k]) for k in range(x, y)] if a in single else [(x, y, a)])]
+                for x, y, a in stretches:
+                    hashes = raw[8 * x : 8 * y]
+                    mine, first = (order, x), met.get(hashes)
+                    at.append(i)
+                    out[2].append(a), out[3].append(x), out[5].append(y - x)
+                    if first is not None and (first[0], first[1]) < mine:
+                        out[1].append((a + 0x9E3779B1 * (x + i)) % (1 << 62)), out[4].append(None), out[6].append(first[1]), out[7].append(first[2])
+                    else:
+                        met[hashes] = (order, x, key)
+                        out[1].append(a), out[4].append(hashes), out[6].append(None), out[7].append(None)
             if at:
-                yield pa.RecordBatch.from_arrays([b.column("key").take(pa.array(at)), pa.array(np.array(anchors, np.uint64).view(np.int64)), pa.array(starts, pa.int64()), pa.array(hashes, pa.binary()), pa.array(hot, pa.bool_())], names=names)
+                yield pa.RecordBatch.from_arrays([b.column("key").take(pa.array(at))] + [pa.array(c, f.type) for c, f in zip(out[1:], list(kinds)[1:])], names=kinds.names)
 
     return docs.select("key", "text", "repeated", "hots").mapInArrow(run, schema)
 
 
-FACTORS = "start bigint, n bigint, ref_start bigint"
-
-
 def _parsed(runs: DataFrame) -> DataFrame:
-    """(key, start, n, ref_key, ref_start): factors of n phrases each. Expects all stretches of an anchor in one task, by key and start."""
+    """(key, start, n, ref_start, ref_key): factors of n phrases each. Expects the stretches with hashes of an anchor in one task, by key and
+    start. Each is parsed from the left: a factor goes on as long as the next phrase is known from where the reference goes on."""
     import pyarrow as pa
     from pyspark.sql.pandas.types import to_arrow_schema
 
     key = runs.schema["key"]
-    schema = T.StructType([key, *T._parse_datatype_string(FACTORS).fields, T.StructField("ref_key", key.dataType)])
+    schema = T.StructType([key, *T._parse_datatype_string(FACTOR).fields, T.StructField("ref_key", key.dataType)])
     kinds = to_arrow_schema(schema)
 
     def run(batches):
         anchor, seen = None, {}
         for b in batches:
-            out: list[list] = [[], [], [], [], []]
-            for key, a, start, raw in zip(*[b.column(c).to_pylist() for c in ("key", "anchor", "start", "hashes")]):
+            out: list[list] = [[] for _ in kinds]
+
+            def put(*row) -> None:
+                for c, x in zip(out, row):
+                    c.append(x)
+
+            for key, a, start, raw, n, ref_start, ref_key in zip(*[b.column(c).to_pylist() for c in ("key", "anchor", "start", "hashes", "n", "ref_start", "ref_key")]):
+                if raw is None:
+                    put(key, start, n, ref_start, ref_key)
+                    continue
                 if a != anchor:
                     anchor, seen = a, {}
                 begun = length = ref = None
@@ -119,45 +156,25 @@ def _parsed(runs: DataFrame) -> DataFrame:
                         length += 1
                         continue
                     if ref is not None:
-                        for c, x in zip(out, (key, begun, length, ref[1], ref[0])):
-                            c.append(x)
+                        put(key, begun, length, ref[1], ref[0])
                     begun, length, ref = k, 1, first
                 if ref is not None:
-                    for c, x in zip(out, (key, begun, length, ref[1], ref[0])):
-                        c.append(x)
+                    put(key, begun, length, ref[1], ref[0])
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(out, kinds)], names=kinds.names)
 
     return runs.mapInArrow(run, schema)
 
 
-def _single(runs: DataFrame) -> DataFrame:
-    """Like _parsed, for anchors of any number of occurrences: phrase by phrase, the first place of each pre-aggregated."""
-    def start():
-        return lambda b: {"hs": [np.frombuffer(x, np.int64).tolist() for x in b["hashes"]]}
-
-    opened = mapped(runs, start, ["hashes"], ["key", "start"], "hs array<bigint>")
-    each = opened.select("key", "start", F.posexplode("hs").alias("k", "h")).select("key", (F.col("start") + F.col("k")).alias("start"), "h")
-    first = each.groupBy("h").agg(F.min(F.struct("key", "start")).alias("first"), F.max(F.struct("key", "start")).alias("last")).where("first <> last").select(F.col("h").alias("of"), "first")
-    met = each.join(first, F.col("h") == F.col("of")).where(~F.struct("key", "start").eqNullSafe(F.col("first")))
-    return met.select("key", "start", F.lit(1).cast("long").alias("n"), F.col("first.start").alias("ref_start"), F.col("first.key").alias("ref_key"))
-
-
 def factors(texts: DataFrame, size: int = SIZE, hot: int = HOT) -> DataFrame:
     """(key, start, n, ref_start, ref_key) for texts of (key, text), keys distinct: n phrases from start, of size words each, stand
     earlier, from ref_start of ref_key: under a smaller key, or before start under the same. Every such phrase is in one factor."""
     small_batches(texts.sparkSession)
     own = written(_anchors(texts, size), "anchors")
-    counts = written(own.groupBy("anchor").agg(F.sum("n").alias("total")).where("total > 1").select(F.col("anchor").alias("of"), (F.col("total") > hot).alias("hot")), "repeated")
+    counts = own.groupBy("anchor").agg(F.sum("n").alias("total")).where("total > 1").select(F.col("anchor").alias("of"), (F.col("total") > hot).alias("hot"))
     lists = own.join(counts, F.col("anchor") == F.col("of")).select(F.col("key").alias("of_key"), F.struct("anchor", "hot").alias("x"))
     lists = lists.groupBy("of_key").agg(F.collect_list("x").alias("xs"))
     listed = texts.join(lists, F.col("key").eqNullSafe(F.col("of_key"))).select("key", "text", F.expr("xs.anchor").alias("repeated"), F.expr("transform(filter(xs, x -> x.hot), x -> x.anchor)").alias("hots"))
-    # stretches of a cold anchor go to one task; those of a hot one are spread, and split into phrases there
-    runs = _runs(listed, size).withColumn("deal", F.when(F.col("hot"), F.xxhash64("anchor", "key", "start")).otherwise(F.col("anchor"))).repartition("deal")
-    cold = runs.where("not hot").drop("deal", "hot").sortWithinPartitions("anchor", "key", "start")
-    out = _parsed(cold).select("key", "start", "n", "ref_start", "ref_key")
-    if counts.where("hot").isEmpty():
-        return out
-    return out.unionByName(_single(runs.where("hot").select("key", "start", "hashes")))
+    return _parsed(_runs(listed, size).repartition("deal").sortWithinPartitions("anchor", "key", "start"))
 
 
 def duplicate_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SIZE, hot: int = HOT) -> DataFrame:
