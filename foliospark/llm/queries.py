@@ -22,6 +22,34 @@ def op1_divergence_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.round("class_distance", 9).alias("class_distance"), F.round("word_distance", 9).alias("word_distance"))
 
 
+def _distance_sql(own: str, ref: str) -> str:
+    """Jensen-Shannon distance of two lists of counts."""
+    p, q = f"(CAST({own}[i] AS DOUBLE) / list_sum({own}))", f"(CAST({ref}[i] AS DOUBLE) / list_sum({ref}))"
+    part = lambda x: f"CASE WHEN {x} > 0 THEN {x} * log2({x} / (({p} + {q}) / 2)) ELSE 0 END"
+    return f"sqrt(greatest(0, list_sum(list_transform(range(1, len({ref}) + 1), lambda i: ({part(p)} + {part(q)}) / 2))))"
+
+
+OP1_SQL = rf"""
+WITH d AS (SELECT doc_id, lang, coalesce(text, '') AS t FROM documents),
+w AS (SELECT doc_id, lang, t, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS ws, regexp_extract_all(translate(t, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS lw,
+ [len(regexp_extract_all(t, '[a-z]')), len(regexp_extract_all(t, '[A-Z]')), len(regexp_extract_all(t, '[0-9]')), len(regexp_extract_all(t, '[\x20\x09-\x0D]')), len(regexp_extract_all(t, '[.,;:!?]')), len(regexp_extract_all(t, '[''"()\[\]{{}}-]')), len(regexp_extract_all(t, '[^\x00-\x7F]'))] AS c7 FROM d),
+c AS (SELECT *, CAST(len(ws) AS BIGINT) AS n_words, [c7[1], c7[2], c7[3], c7[4], c7[5], c7[6], length(t) - list_sum(c7), c7[7]] AS cc FROM w),
+dup AS (SELECT doc_id, count(*) - count(DISTINCT l) AS n FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS l FROM d) WHERE regexp_matches(l, '[^\x20\x09-\x0D]') GROUP BY doc_id),
+win AS (SELECT doc_id, i, array_to_string(ws[i : i + 7], ' ') AS p FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 6)) AS i FROM c)),
+rep AS (SELECT doc_id, count(DISTINCT k) AS n FROM (SELECT doc_id, unnest(range(i, i + 8)) AS k FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, p) AS m FROM win) WHERE m > 1) GROUP BY doc_id),
+rc AS (SELECT lang, [{', '.join(f'sum(cc[{k}])' for k in range(1, 9))}] AS rc FROM c WHERE n_words >= 50 AND lang IS NOT NULL GROUP BY lang),
+wc AS (SELECT lang, x, count(*) AS n FROM (SELECT lang, unnest(lw) AS x FROM c WHERE n_words >= 50 AND lang IS NOT NULL) GROUP BY lang, x),
+top AS (SELECT lang, list(x ORDER BY n DESC, x) AS xs, list(n ORDER BY n DESC, x) AS ns FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY n DESC, x) AS r FROM wc) WHERE r <= 40 GROUP BY lang),
+total AS (SELECT lang, sum(n) AS n FROM wc GROUP BY lang),
+ref AS (SELECT lang, xs, list_append(ns, CAST(total.n - list_sum(ns) AS BIGINT)) AS rw, rc FROM top JOIN rc USING (lang) JOIN total USING (lang)),
+own AS (SELECT doc_id, n_words, CAST(coalesce(list_sum(list_transform(ws, lambda x: length(x))), 0) AS BIGINT) AS word_chars, CAST(len(regexp_extract_all(t, '[#*$%&|<>]')) AS BIGINT) AS n_symbols, cc, rc, rw, length(t) AS n_chars,
+ list_transform(xs, lambda x: len(list_filter(lw, lambda y: y = x))) AS found FROM c LEFT JOIN ref USING (lang)),
+m AS (SELECT own.*, list_append(found, CAST(n_words - coalesce(list_sum(found), 0) AS BIGINT)) AS ow, coalesce(dup.n, 0) AS n_dup_lines, coalesce(rep.n, 0) AS n_repeat_words, n_words >= 50 AND word_chars >= 200 AND rc IS NOT NULL AS judged FROM own LEFT JOIN dup USING (doc_id) LEFT JOIN rep USING (doc_id)),
+j AS (SELECT *, CASE WHEN judged THEN {_distance_sql('cc', 'rc')} END AS jc, CASE WHEN judged THEN {_distance_sql('ow', 'rw')} END AS jw, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM m)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND (NOT judged OR (jc <= sqrt(0.28 * 0.28 + 7 / (8 * n_chars * ln(2))) AND jw <= sqrt(0.2 * 0.2 + (len(rw) - 1) / (8 * n_words * ln(2))))) AS kept, round(jc, 9) AS class_distance, round(jw, 9) AS word_distance FROM j
+"""
+
+
 def op2_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = work_dir(spark, "records")
     records.write_records(table(spark, sf_dir, "documents"), out, tokenizer_path())
@@ -123,4 +151,4 @@ SELECT doc_id, text, lang, source, n_chars, copy, n_copies, CAST('0x' || substr(
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_divergence_rules, op2_token_records, op3_toxicity, op4_simhash, op5_capture_index, op6_decontamination, op7_relative_lz, op8_ordinal_grades, op9_license_classifier, op10_poisson_mixing)
 }
-ORACLE_SQL: dict[str, str] = {"op5_capture_index": OP5_SQL, "op6_decontamination": OP6_SQL, "op7_relative_lz": OP7_SQL, "op10_poisson_mixing": OP10_SQL}
+ORACLE_SQL: dict[str, str] = {"op1_divergence_rules": OP1_SQL, "op5_capture_index": OP5_SQL, "op6_decontamination": OP6_SQL, "op7_relative_lz": OP7_SQL, "op10_poisson_mixing": OP10_SQL}
