@@ -58,3 +58,17 @@ def camel_case(c: Column) -> Column:
     """First word lower-cased, first letters of further words raised; characters that are no ASCII letter, digit or space go."""
     words = F.filter(F.split(F.regexp_replace(c, "[^a-zA-Z0-9 ]", ""), " "), lambda w: w != "")
     return F.array_join(F.transform(words, lambda w, i: F.when(i == 0, F.lower(w)).otherwise(F.concat(F.upper(F.substring(w, 1, 1)), F.substring(w, 2, 1 << 20)))), "")
+
+
+def right_wins(a: Column, b: Column) -> Column:
+    """Two maps as one; where both have a key, the value of the second stands."""
+    keys = F.map_keys(b)
+    return F.map_concat(F.map_filter(a, lambda k, v: ~F.array_contains(keys, k)), b)
+
+
+def name_score(c: Column) -> Column:
+    """How much a file name looks like Lithuanian or plain text: 3 for each Lithuanian letter, 1 for other word characters and ` .()-`,
+    -5 for control and replacement characters, -1 for all else."""
+    count = lambda p: F.regexp_count(c, F.lit(p))
+    letters, plain, bad = count("[ąčęėįšųūžĄČĘĖĮŠŲŪŽ]"), count("[A-Za-z0-9_ .()-]"), count(r"[\x00-\x1F\x7F\uFFFD]")
+    return 3 * letters + plain - 5 * bad - (F.length(c) - letters - plain - bad)

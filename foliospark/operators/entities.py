@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from foliospark.functions import patterns
+from foliospark.session import written
 
 
 def hits(pages: DataFrame, kinds: list[str] | None = None) -> DataFrame:
@@ -58,14 +59,17 @@ def hosts(found: DataFrame) -> DataFrame:
     return own.where(plain).select("doc_id", "domain").unionByName(other).distinct()
 
 
-def everything(pages: DataFrame) -> DataFrame:
-    """(doc_id, kind, key, pages) of all kinds, mailto: addresses merged into e-mails; domains as a kind without pages."""
-    found = hits(pages)
-    domains = hosts(found).select("doc_id", F.lit("domain").alias("kind"), F.col("domain").alias("key"), F.array().cast("array<int>").alias("pages"))
-    return grouped(with_mail_links(found)).unionByName(domains)
+def annotation_hits(links: DataFrame) -> DataFrame:
+    """Link annotations (doc_id, page, uri) as hits, behind those of the page's text. Blank addresses are left out."""
+    uri = F.trim("uri")
+    return links.where(uri != "").select("doc_id", F.lit("link").alias("kind"), uri.alias("key"), F.col("page").cast("int").alias("page"), F.lit(1 << 30).alias("pos"))
 
 
-def merged_links(text_links: DataFrame, annotation_links: DataFrame) -> DataFrame:
-    """(doc_id, uri, pages): links of the text and of annotations (doc_id, page, uri), pages united."""
-    both = text_links.select("doc_id", "page", "uri").unionByName(annotation_links.select("doc_id", "page", F.trim("uri").alias("uri"))).where("uri is not null and uri <> ''")
-    return both.groupBy("doc_id", "uri").agg(F.array_sort(F.collect_set("page")).alias("pages"))
+def everything(pages: DataFrame, annotation_links: DataFrame | None = None) -> DataFrame:
+    """(doc_id, kind, key, pages) of all kinds, mailto: addresses merged into e-mails; domains, of the text alone, as a kind without pages.
+    Link annotations (doc_id, page, uri) join the links of the text."""
+    found = written(hits(pages), "hits")  # three results come from it; the text is searched once
+    domains = hosts(found).select("doc_id", F.lit("domain").alias("kind"), F.col("domain").alias("key"), F.array().cast("array<int>").alias("pages"))
+    if annotation_links is not None:
+        found = found.unionByName(annotation_hits(annotation_links))
+    return grouped(with_mail_links(found)).unionByName(domains)

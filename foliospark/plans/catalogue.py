@@ -375,6 +375,32 @@ def normalised_text(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.sha2(text.collapse(F.col("text")), 256).alias("collapsed"), F.sha2(text.unix_lines(F.replace("text", F.lit("\n"), F.lit("\r\n"))), 256).alias("unix"))
 
 
+@query("object_merge", "SELECT c_custkey, 'name' AS key, c_name AS value FROM customer UNION ALL SELECT c_custkey, 'segment', lower(c_mktsegment) FROM customer UNION ALL SELECT c_custkey, 'nation', CAST(c_nationkey AS VARCHAR) FROM customer")
+def object_merge(spark, sf_dir):
+    a = F.create_map(F.lit("name"), F.col("c_name"), F.lit("segment"), F.col("c_mktsegment"))
+    b = F.create_map(F.lit("segment"), F.lower("c_mktsegment"), F.lit("nation"), F.col("c_nationkey").cast("string"))
+    return table(spark, sf_dir, "customer").select("c_custkey", F.explode(text.right_wins(a, b)))
+
+
+@query(
+    "name_forms",
+    """SELECT p_partkey, array_to_string(list_transform(list_filter(string_split(regexp_replace(p_type || '-x ' || p_brand, '[^a-zA-Z0-9 ]', '', 'g'), ' '), lambda w: w <> ''), lambda w, i: CASE WHEN i = 1 THEN lower(w) ELSE upper(substr(w, 1, 1)) || substr(w, 2) END), '') AS camel,
+ p_brand AS local, lower(regexp_extract(p_name, '[^/]\\.([^./]*)$', 1)) || 'txt' AS extension, 'f' || p_partkey || '.TXT' AS base FROM part""",
+)
+def name_forms(spark, sf_dir):
+    key = F.col("p_partkey").cast("string")
+    path = F.concat(F.lit("a/b/f"), key, F.lit(".TXT"))
+    return table(spark, sf_dir, "part").select("p_partkey", text.camel_case(F.concat("p_type", F.lit("-x "), "p_brand")).alias("camel"), text.local_name(F.concat(F.lit("v:t:"), "p_brand")).alias("local"), text.extension(path).alias("extension"), text.base_name(F.concat(path, F.lit("/"))).alias("base"))
+
+
+NAMES_SQL = "SELECT doc_id, which, text, CAST(len(regexp_extract_all(text, '[ąčęėįšųūžĄČĘĖĮŠŲŪŽ]')) AS BIGINT) AS lt, CAST(len(regexp_extract_all(text, '[A-Za-z0-9_ .()-]')) AS BIGINT) AS plain, CAST(len(regexp_extract_all(text, '[\\x00-\\x1F\\x7F\\x{FFFD}]')) AS BIGINT) AS bad FROM (" + BOTH_SQL + ")"
+
+
+@query("name_scores", f"SELECT doc_id, which, CAST(3 * lt + plain - 5 * bad - (length(text) - lt - plain - bad) AS BIGINT) AS score FROM ({NAMES_SQL})")
+def name_scores(spark, sf_dir):
+    return both_texts(spark, sf_dir).select("doc_id", "which", text.name_score(F.col("text")).cast("long").alias("score"))
+
+
 # --- files written from the tables, then read ---
 
 

@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from foliospark.functions import pdf
+from foliospark.functions.text import clean
 from foliospark.operators import compare, entities, pages
+from foliospark.session import written
 from foliospark.sources import files
 
 VERSION = 8
@@ -15,16 +18,20 @@ def extract(requests: DataFrame) -> DataFrame:
     """One row for each request (doc_id, extension, content and, if wanted, alt_pages array<string>):
     (doc_id, success, error, version, pages, entities map<kind, array<struct<key, pages>>>, page_count, character_count, word_count, metadata JSON, files).
 
-    Alternatives replace pages of PDF files where they are the better text. A request that fails has an error and no result.
+    Alternatives replace pages of PDF files where they are the better text. Link annotations of PDF files join the links of their text;
+    their info dictionary is the metadata, with dates in ISO form. A request that fails has an error and no result.
     """
-    own = files.decoded(files.dispatched(requests))
+    own = written(files.decoded(files.dispatched(requests)), "decoded")  # each file is decoded once
     found = pages.page_rows(own.where("error is null"), F.col("pages"))
     if "alt_pages" in requests.columns:
         other = pages.page_rows(requests.where(files.wanted_extension(F.col("extension")).isin("pdf", "prn")), F.col("alt_pages"))
-        found = compare.with_alternatives(found, other)
-    lists = entities.everything(found).groupBy("doc_id", "kind").agg(F.array_sort(F.collect_list(F.struct("key", "pages"))).alias("l"))
+        found = written(compare.with_alternatives(found, other), "pages")
+    links = own.where("error is null").select("doc_id", F.inline(F.from_json(F.get_json_object("metadata", "$.annotation_links"), "array<struct<page:int,uri:string>>")))
+    lists = entities.everything(found, links).groupBy("doc_id", "kind").agg(F.array_sort(F.collect_list(F.struct("key", "pages"))).alias("l"))
     maps = lists.groupBy("doc_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("kind", "l")))).alias("entities"))
     texts = found.groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("page", "text"))), lambda x: x["text"]).alias("final_pages"))
     out = own.join(texts, "doc_id", "left").join(maps, "doc_id", "left").join(pages.counts(found), "doc_id", "left")
+    info = F.from_json(F.get_json_object("metadata", "$.info"), "map<string,string>")
+    dated = F.to_json(F.transform_values(pdf.dated(info), lambda k, v: clean(v)))
     zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
-    return out.select("doc_id", F.col("error").isNull().alias("success"), "error", F.lit(VERSION).alias("version"), F.coalesce("final_pages", "pages").alias("pages"), "entities", zero("page_count"), zero("character_count"), zero("word_count"), "metadata", "files")
+    return out.select("doc_id", F.col("error").isNull().alias("success"), "error", F.lit(VERSION).alias("version"), F.coalesce("final_pages", "pages").alias("pages"), "entities", zero("page_count"), zero("character_count"), zero("word_count"), F.coalesce(dated, "metadata").alias("metadata"), "files")

@@ -1,8 +1,11 @@
-"""A session with the settings that the queries were tried with."""
+"""A session with the settings that the queries were tried with, and the folder that driver and executors share."""
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
 
 
 def session(cpus: int | str = "*", memory: str = "8g") -> SparkSession:
@@ -18,3 +21,25 @@ def session(cpus: int | str = "*", memory: str = "8g") -> SparkSession:
     )
     spark.sparkContext.setLogLevel("ERROR")
     return spark
+
+
+def shared_root(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not (root := getattr(spark.sparkContext, "_folio_root", None)):
+            root = spark.sparkContext._folio_root = "file://" + tempfile.mkdtemp(prefix="spark-")
+            spark.sparkContext.setCheckpointDir(root)
+    return root if ":/" in root else f"file://{root}"
+
+
+def work_dir(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder."""
+    return f"{shared_root(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """df, written in the shared folder and read again: it survives lost executors, cuts the lineage, and what made it runs once."""
+    path = work_dir(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
