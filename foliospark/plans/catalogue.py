@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from foliospark.functions import patterns, pdf, quality, text
 from foliospark.operators import archive, compare, entities, pages, redaction, signatures
 from foliospark.plans import fixtures
+from foliospark.session import spread
 from foliospark.sources import files
 from foliospark.sources.formats import EXTENSIONS
 
@@ -22,7 +23,8 @@ ORACLE_SQL: dict[str, str] = {}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    own = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(own) if name in ("documents", "pages") else own
 
 
 def query(name: str, sql: str | None = None):
