@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliospark.session import shared_root, work_dir, written  # noqa: F401
+from foliospark.session import shared_root, spread, work_dir, written  # noqa: F401
 
 #: Rows of an Arrow batch: long texts make large batches, and a worker holds a few at once.
 BATCH_ROWS = 1000
@@ -25,7 +25,8 @@ def keyed_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    own = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(own) if name in ("documents", "pages") else own
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
