@@ -18,6 +18,7 @@ from __future__ import annotations
 import struct
 import uuid
 import zlib
+from array import array
 
 import numpy as np
 from pyspark import TaskContext
@@ -29,8 +30,8 @@ from foliospark.llm.common import keyed_texts, mapped
 POLY, MASK = 0x82F63B78, 0xA282EAD8
 CHUNK = 64
 END_ID = 2
-#: Chunks of text whose ids a worker keeps, in each of two generations.
-KEPT = 150_000
+#: Chunks of text whose ids a worker keeps, in each of two generations; about 250 bytes each.
+KEPT = 600_000
 
 
 # --- CRC-32C over many byte strings at once ---
@@ -141,53 +142,104 @@ def unframed(records: list[bytes], where: str = "") -> list[bytes]:
 # --- tokens ---
 
 
-class Encoder:
-    """Ids of whole texts by a tokenizer file, with the ids of white-space chunks kept for reuse.
+class Encoder(dict):
+    """Ids of whole texts by a tokenizer file; as a dict, the ids (as bytes) of the white-space chunks met so far.
 
     No token of this kind of tokenizer (its split drops white space) spans ASCII white space, and its normalizers act on
-    single characters or composed ones, so a text's ids are those of its chunks in turn. New chunks are encoded together,
-    and the library's offsets say which ids are whose. Texts are encoded whole where `chunked` is False."""
+    single characters or composed ones, so a text's ids are those of its chunks in turn. A chunk that is letters of
+    Latin-1 with stops behind goes to the library's model as lower-cased letters and stops, if a trial shows that the whole library
+    makes the same of such words; any other is encoded by the whole library. Texts are encoded whole where `chunked` is False."""
 
     def __init__(self, path: str, chunked: bool = True):
         from tokenizers import Tokenizer
 
+        super().__init__({"": b""})
         self.tokenizer = Tokenizer.from_file(path)
         self.wide = self.tokenizer.get_vocab_size() > 1 << 16
         self.kind = np.dtype("<u4" if self.wide else "<u2")
-        self.chunked, self.young, self.old = chunked, {}, {}
-
-    def _learn(self, chunks: list[str]) -> None:
-        flat = " ".join(chunks)
-        e = self.tokenizer.encode(flat, add_special_tokens=False)
-        ids = np.array(e.ids, self.kind)
-        at = np.array([a for a, _ in e.offsets], np.int64)
-        starts = np.concatenate(([0], np.cumsum(np.fromiter(map(len, chunks), np.int64, len(chunks)) + 1)))
-        cut = np.searchsorted(at, starts)
-        raw, w = ids.tobytes(), self.kind.itemsize
-        for c, a, b in zip(chunks, (cut[:-1] * w).tolist(), (cut[1:] * w).tolist()):
-            self.young[c] = raw[a:b]
+        self.code = "I" if self.wide else "H"
+        self.chunked, self.old, self.tails, self.same = chunked, {}, {}, False
+        self.pieces = self._pieces() if chunked else None
+        self.same = self.pieces is not None and all(ord(p) == c for c, p in self.pieces.items() if c < 128)
+
+    def _packed(self, ids: list[int]) -> bytes:
+        return array(self.code, ids).tobytes()
+
+    def _whole(self, text: str) -> bytes:
+        return self._packed(self.tokenizer.encode(text, add_special_tokens=False).ids)
+
+    def _letters(self, word: str, pieces: dict[int, str]) -> bytes:
+        tokens = self.tokenizer.model.tokenize(word if self.same and word.isascii() else word.translate(pieces))
+        return array(self.code, [t.id for t in tokens]).tobytes()
+
+    def _pieces(self) -> dict[int, str] | None:
+        """How the library writes each lower-case letter of Latin-1 for its model; None if words can't be put together so."""
+        letters = [c for c in map(chr, range(256)) if c.isalpha() and c.lower() == c]
+        try:
+            pieces = {ord(c): self.tokenizer.pre_tokenizer.pre_tokenize_str(c)[0][0] for c in letters}
+        except (AttributeError, IndexError):
+            return None
+        rng = np.random.Generator(np.random.PCG64(1))
+        for _ in range(400):
+            word = "".join(rng.choice(letters, rng.integers(1, 14)))
+            tail = "".join(rng.choice(list(STOPS), rng.integers(0, 3)))
+            cased = "".join(c.upper() if len(c.upper()) == 1 and c.upper() < LATIN and rng.random() < 0.3 else c for c in word)
+            if self._whole(cased + tail) != self._letters(word, pieces) + (self._whole(tail) if tail else b""):
+                return None
+        return pieces
+
+    def __missing__(self, chunk: str) -> bytes:
+        ids = self.old.get(chunk)
+        if ids is None:
+            core = chunk.rstrip(STOPS)
+            if self.pieces is None or not core.isalpha() or not (core.isascii() or max(core) < LATIN):
+                ids = self._whole(chunk)
+            elif len(core) < len(chunk) or not core.islower():
+                tail = chunk[len(core) :]
+                if tail and tail not in self.tails:
+                    if len(self.tails) > KEPT:
+                        self.tails.clear()
+                    self.tails[tail] = self._whole(tail)
+                low = core.lower()
+                ids = (self._letters(low, self.pieces) if low == chunk else self[low]) + self.tails.get(tail, b"")
+            else:
+                ids = self._letters(core, self.pieces)
+        self[chunk] = ids
+        return ids
+
+    def _spaced(self, text: str) -> str:
+        """The text with a space for each ASCII white space; in lower case where the library does no more than that: texts of Latin-1."""
+        if self.pieces is not None:
+            try:
+                raw = text.encode("latin-1")
+                if b"<|" not in raw:  # special tokens are told apart by case
+                    return raw.translate(LOWER).decode("latin-1")
+            except UnicodeEncodeError:
+                pass
+        for c in "\t\n\v\f\r":
+            text = text.replace(c, " ")
+        return text
 
     def __call__(self, texts: list[str | None], end: int) -> list[bytes]:
-        tail = np.array([end], self.kind).tobytes()
+        tail = self._packed([end])
         if not self.chunked:
-            return [np.array(e.ids, self.kind).tobytes() + tail for e in self.tokenizer.encode_batch([t or "" for t in texts], add_special_tokens=False)]
-        if len(self.young) > KEPT:
-            self.old, self.young = self.young, {}
-        split = [(t or "").translate(SPACES).split(" ") for t in texts]
-        new = set().union(*split) - self.young.keys() if split else set()
-        new.discard("")
-        self.young[""] = b""
-        for c in [c for c in new if c in self.old]:
-            self.young[c] = self.old[c]
-            new.discard(c)
-        if new:
-            self._learn(list(new))
-        get = self.young.__getitem__
-        return [b"".join(map(get, chunks)) + tail for chunks in split]
-
-
-#: ASCII white space, at which texts are cut.
-SPACES = dict.fromkeys((9, 10, 11, 12, 13), " ")
+            return [self._packed(e.ids) + tail for e in self.tokenizer.encode_batch([t or "" for t in texts], add_special_tokens=False)]
+        out, get = [], self.__getitem__
+        for t in texts:
+            out.append(b"".join(map(get, self._spaced(t or "").split(" "))) + tail)
+            if len(self) > KEPT:
+                self.old = dict(self)
+                self.clear()
+                self[""] = b""
+        return out
+
+
+#: Characters that may follow a word in a chunk: each run of them is one piece for the tokenizer.
+STOPS = ".,!?;:*%$#&|"
+#: The first character beyond Latin-1.
+LATIN = "\u0100"
+#: Latin-1 in lower case, with spaces for ASCII white space.
+LOWER = bytes(32 if 9 <= c <= 13 else ord(chr(c).lower()) for c in range(256))
 _encoders: dict[tuple[str, bool], Encoder] = {}
 
 
