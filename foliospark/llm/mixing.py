@@ -15,10 +15,13 @@ from pyspark.sql import functions as F
 STEP = 32
 #: Terms of the distribution function that are listed for one draw: beyond these its tail is below 2^-53 for any rate up to STEP.
 TERMS = 128
+#: Sources whose table of rates is broadcast, at most: 10 MB.
+FEW = 10_000
 
 
 def rates(docs: DataFrame, source_col: str, weights: dict[str | None, float] | None, total: float | None, power: float) -> DataFrame:
-    """(src, n, rate, draws, cdf) for each source. Without weights, a source's weight is its number of documents to `power`."""
+    """(src, n, rate, draws, cdf) for each source. Without weights, a source's weight is its number of documents to `power`.
+    The table is marked for broadcast if it was counted to have at most FEW rows, a kilobyte each."""
     spark = docs.sparkSession
     counts = docs.groupBy(F.col(f"`{source_col}`").cast("string").alias("src")).agg(F.count("*").alias("n"))
     if weights is None:
@@ -26,13 +29,14 @@ def rates(docs: DataFrame, source_col: str, weights: dict[str | None, float] | N
     else:
         given = spark.createDataFrame([(k, float(v)) for k, v in weights.items()], "src string, w double")
         counts = counts.join(given.withColumnRenamed("src", "__s"), F.col("src").eqNullSafe(F.col("__s")), "left").select("src", "n", F.coalesce("w", F.lit(0.0)).alias("w"))
-    sums = counts.agg(F.sum("w").alias("w"), F.sum("n").alias("n")).first()  # two numbers
+    sums = counts.agg(F.sum("w").alias("w"), F.sum("n").alias("n"), F.count("*").alias("sources")).first()  # three numbers
     w_sum, goal = sums["w"] or 1.0, float(total if total is not None else sums["n"] or 0)
     rate = F.when(F.col("w") > 0, F.lit(goal) * F.col("w") / F.lit(w_sum) / F.col("n")).otherwise(F.lit(0.0))
     out = counts.select("src", "n", rate.alias("rate")).withColumn("draws", F.greatest(F.lit(1), F.ceil(F.col("rate") / STEP)).cast("int"))
     step = out.withColumn("step", F.col("rate") / F.col("draws"))
     cdf = F.expr(f"transform(aggregate(sequence(1, {TERMS}), array(named_struct('p', exp(-step), 'c', exp(-step))), (acc, k) -> concat(acc, array(named_struct('p', element_at(acc, -1).p * step / k, 'c', element_at(acc, -1).c + element_at(acc, -1).p * step / k)))), x -> x.c)")
-    return step.withColumn("cdf", cdf).drop("step")
+    made = step.withColumn("cdf", cdf).drop("step")
+    return F.broadcast(made) if sums["sources"] <= FEW else made
 
 
 def replicate(docs: DataFrame, weights: dict[str | None, float] | None = None, total: float | None = None, power: float = 0.5, seed: int = 17, id_col: str = "doc_id", source_col: str = "source") -> DataFrame:
@@ -43,8 +47,8 @@ def replicate(docs: DataFrame, weights: dict[str | None, float] | None = None, t
     rows draw by their id like any other: rows of one id get the same count. Texts are not looked at. An empty table stays
     empty. Columns of docs that are named like the three new ones give way to them.
 
-    The table of rates is broadcast by Spark only if its size, one row for each source, is below the session's threshold; beyond it
-    the join on source is an ordinary one, whose hot keys adaptive execution splits.
+    The table of rates, one row for each source, is broadcast if it has at most FEW rows, so that texts move once; beyond it the join on source is an
+    ordinary one, whose hot keys adaptive execution splits.
     """
     made = rates(docs, source_col, weights, total, power)
     docs = docs.drop(*[c for c in docs.columns if c.lower() in ("copy", "n_copies", "shuffle_key")])
