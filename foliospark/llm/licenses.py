@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import HashingTF, NGram, Normalizer
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foliospark.llm.common import written
@@ -58,9 +58,20 @@ def shingles(column: str) -> str:
     return f"if(size({column}) = 0, array(), transform(sequence(1, greatest(1, size({column}) - {SHINGLE - 1})), i -> concat_ws(' ', slice({column}, i, {SHINGLE}))))"
 
 
+def sentences(spark: SparkSession, rows: list[tuple[int, str]]) -> DataFrame:
+    """(label, words) of sentences given as literals: one inline table."""
+    values = ", ".join(f"({label}, {_text(t)})" for label, t in rows)
+    return spark.sql(f"SELECT * FROM VALUES {values} AS t(label, text)").select("label", F.expr(words("text")).alias("words"))
+
+
 def templates(spark: SparkSession) -> DataFrame:
-    rows = " UNION ALL ".join(f"SELECT {FAMILIES.index(f)} AS label, {_text(t)} AS text" for f, ts in TEMPLATES.items() for t in ts)
-    return spark.sql(rows).select("label", F.expr(words("text")).alias("words"))
+    return sentences(spark, [(FAMILIES.index(f), t) for f, ts in TEMPLATES.items() for t in ts])
+
+
+def template_shingles(spark: SparkSession) -> Column:
+    """array<struct<label, shingles>>, a literal."""
+    rows = templates(spark).select("label", F.expr(shingles("words")).alias("s")).collect()  # one row for each template
+    return F.array(*[F.struct(F.lit(r["label"]).alias("label"), F.array(*[F.lit(x) for x in r["s"]]).alias("shingles")) for r in rows])
 
 
 def _text(s: str) -> str:
@@ -78,10 +89,12 @@ def training_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """(label, words): variants of templates, and unknown paragraphs of a bounded sample that hold no template."""
     spark = docs.sparkSession
     known = templates(spark)
-    own = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_DOCS)
+    rows = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
+    ids = rows.select(F.col("doc_id").alias("of")).distinct().orderBy(F.xxhash64("of"), "of").limit(SAMPLE_DOCS)  # texts stay where they are
+    own = rows.join(F.broadcast(ids), F.col("doc_id").eqNullSafe(F.col("of")), "left_semi")
     sample = paragraphs(own).where("size(words) > 0").withColumn("shingles", F.expr(shingles("words")))
-    listed = F.array(*[F.expr(shingles(words(_text(t)))) for ts in TEMPLATES.values() for t in ts])
-    clean = sample.withColumn("listed", listed).where(f"not exists(listed, t -> size(array_intersect(t, shingles)) >= {CONFIRM} * size(t))")
+    listed = template_shingles(spark)
+    clean = sample.withColumn("listed", listed).where(f"not exists(listed, t -> size(array_intersect(t.shingles, shingles)) >= {CONFIRM} * size(t.shingles))")
     unknown = written(clean.orderBy(F.xxhash64("doc_id", "paragraph", "part"), "doc_id", "paragraph", "part").limit(SAMPLE_ROWS).select(F.lit(0).alias("label"), "words", F.xxhash64("doc_id", "paragraph", "part").alias("h")), "unknown")
     few = unknown.orderBy("h").limit(8).select(F.slice("words", 1, 6).alias("other"))
     variants = known.withColumn("k", F.explode(F.sequence(F.lit(0), F.least(F.size("words"), F.lit(12))))).withColumn("words", F.expr("if(k = 0, words, concat(slice(words, 1, k - 1), slice(words, k + 1, size(words))))"))
@@ -89,7 +102,7 @@ def training_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     lists = F.array(*[F.array(*[F.lit(w) for w in r["other"]]) for r in few.collect()] or [F.array(F.lit("the"))])  # 8 lists of 6 words
     beside = known.select("label", "words", F.explode(lists).alias("other"))
     beside = beside.select("label", F.explode(F.array(F.concat("other", "words"), F.concat("words", "other"))).alias("words"))
-    others = spark.sql(" UNION ALL ".join(f"SELECT 0 AS label, {_text(t)} AS text" for t in OTHERS)).select("label", F.expr(words("text")).alias("words"), F.explode(F.expr("sequence(1, 6)")).alias("k"))
+    others = sentences(spark, [(0, t) for t in OTHERS]).withColumn("k", F.explode(F.expr("sequence(1, 6)")))
     return variants.select("label", "words").unionByName(whole.drop("k")).unionByName(beside).unionByName(others.drop("k")).unionByName(unknown.select("label", "words"))
 
 
@@ -99,6 +112,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"):
     counts = rows.groupBy("label").count()
     total = rows.count()
     weighted = rows.join(F.broadcast(counts), "label").withColumn("weight", F.sqrt(F.lit(float(total)) / F.col("count")))
+    weighted = weighted.coalesce(4)  # a few thousand short rows, read once for each iteration
     learner = LogisticRegression(family="multinomial", weightCol="weight", regParam=2e-4, maxIter=60, standardization=False)
     model = learner.fit(weighted.where("not back"))
     tried = model.transform(weighted.where("back")).select("label", "weight", vector_to_array("rawPrediction").alias("raw"), F.explode(F.array(*[F.lit(x) for x in (0.4, 0.6, 0.8, 1.0, 1.25, 1.6, 2.0, 2.5, 3.2)])).alias("t"))
@@ -110,7 +124,7 @@ def classified(docs: DataFrame, model, temperature: float, id_col: str = "doc_id
     """(doc_id, paragraph, part, family, probability, confirmed): one row for each stretch of words."""
     rows = model.transform(vectors(paragraphs(docs, id_col, text_col))).select("doc_id", "paragraph", "part", "words", F.col("prediction").cast("int").alias("label"), vector_to_array("rawPrediction").alias("raw"))
     rows = rows.withColumn("probability", F.expr(f"1D / aggregate(raw, 0D, (acc, x) -> acc + exp((x - array_max(raw)) / {temperature}D))"))
-    listed = F.array(*[F.struct(F.lit(FAMILIES.index(f)).alias("label"), F.expr(shingles(words(_text(t)))).alias("shingles")) for f, ts in TEMPLATES.items() for t in ts])
+    listed = template_shingles(docs.sparkSession)
     holds = F.exists(listed, lambda t: (t["label"] == F.col("label")) & (F.size(F.array_intersect(t["shingles"], F.expr(shingles("words")))) >= F.lit(CONFIRM) * F.size(t["shingles"])))
     confirmed = F.when((F.col("label") > 0) & (F.col("probability") >= AT_LEAST), holds).otherwise(F.lit(False))
     return rows.select("doc_id", "paragraph", "part", F.element_at(F.array(*[F.lit(f) for f in FAMILIES]), F.col("label") + 1).alias("family"), "probability", confirmed.alias("confirmed"))
