@@ -57,26 +57,6 @@ def window_hashes(words: np.ndarray, size: int) -> np.ndarray:
             length *= 2
 
 
-class WordHashes:
-    """64-bit hashes of words (as UTF-8 bytes), kept for words seen before; the store is emptied when full."""
-
-    def __init__(self, most: int = 300_000):
-        self.most, self.seen = most, {}
-
-    def __call__(self, words: list[bytes]) -> np.ndarray:
-        import xxhash
-
-        seen = self.seen
-        if len(seen) > self.most:
-            seen.clear()
-        try:
-            return np.fromiter(map(seen.__getitem__, words), np.uint64, len(words))
-        except KeyError:
-            for w in set(words) - seen.keys():
-                seen[w] = xxhash.xxh64_intdigest(w, 7)
-            return np.fromiter(map(seen.__getitem__, words), np.uint64, len(words))
-
-
 def mapped(df: DataFrame, start, read: list[str], keep: list[str], added: str) -> DataFrame:
     """The columns `keep`, passed through as they are, with the columns of the DDL string `added`.
 

@@ -31,7 +31,7 @@ POLY, MASK = 0x82F63B78, 0xA282EAD8
 CHUNK = 64
 END_ID = 2
 #: Chunks of text whose ids a worker keeps, in each of two generations; about 250 bytes each.
-KEPT = 600_000
+KEPT = 200_000
 
 
 # --- CRC-32C over many byte strings at once ---
