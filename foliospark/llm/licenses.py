@@ -1,7 +1,8 @@
 """Licence families of paragraphs, with DataFrame and SQL functions and the DataFrame-based machine learning library only.
 
-A paragraph is a line, or a stretch of at most SPAN words of a longer one; stretches overlap by half. Its words and pairs of words are
-hashed into a sparse vector of norm 1 for a multinomial logistic regression, whose classes are the families and "unknown". It is
+A paragraph is a line, or a stretch of at most SPAN words of a longer one; stretches overlap by half. Wrapped notices are found by further stretches
+of WRAP words, one at every STEP words, over the words of the whole text; as only a stretch that holds CONFIRM of a template can count, only those
+that do are classified. Its words and pairs of words are hashed into a sparse vector of norm 1 for a multinomial logistic regression, whose classes are the families and "unknown". It is
 trained on variants of the templates below (one word left out, other text before or after) and on a bounded sample of the corpus's own
 paragraphs as unknown. A temperature, fitted on rows kept back, calibrates its probabilities. A prediction counts if its calibrated probability
 is AT_LEAST or more and the paragraph holds at least CONFIRM of the word 5-grams of a template of that family (of a shorter template, all of it).
@@ -36,6 +37,8 @@ TEMPLATES = {
 OTHERS = ["The driver must carry a valid license at all times.", "The committee discussed license fees and public rights.", "A general version of the work was released under pressure.", "Version 2 of the file is free of charge.", "The license plate was reserved for the director."]
 FAMILIES = ["unknown", *TEMPLATES]
 SPAN, DIM, SHINGLE, CONFIRM, AT_LEAST = 64, 1 << 14, 5, 0.8, 0.5
+#: Words of a stretch across lines, and from one to the next: a template of at most WRAP - STEP + 1 words lies wholly within one of them.
+WRAP, STEP = 32, 8
 #: Documents whose paragraphs are the sample of unknown ones, and paragraphs of it, at most: those with the least hashes.
 SAMPLE_DOCS, SAMPLE_ROWS = 1000, 3000
 WORDS = "filter(split(lower({}), '[^\\\\p{{L}}\\\\p{{N}}]+'), w -> w <> '')"
@@ -53,6 +56,21 @@ def paragraphs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return cut.select("doc_id", "paragraph", F.posexplode(parts).alias("part", "words"))
 
 
+def across_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, paragraph null, part, words): the stretches across line ends that hold CONFIRM of a template."""
+    listed = template_shingles(docs.sparkSession)
+    texts = docs.where(F.contains(F.col(f"`{text_col}`"), F.lit("\n"))).select(F.col(f"`{id_col}`").alias("doc_id"), F.explode(F.array(F.expr(words(f"`{text_col}`")))).alias("all_words"))  # a generator: filters would split the text anew for each word
+    near = texts.where(F.arrays_overlap(F.expr(shingles("all_words")), F.array_distinct(F.flatten(F.transform(listed, lambda t: t["shingles"])))))
+    parts = F.expr(f"transform(sequence(0, greatest(0, size(all_words) - {WRAP - STEP + 1}) div {STEP}), k -> slice(all_words, k * {STEP} + 1, {WRAP}))")
+    rows = near.select("doc_id", F.lit(None).cast("int").alias("paragraph"), F.posexplode(parts).alias("part", "words"))
+    return rows.where(F.exists(listed, lambda t: holds(t)))
+
+
+def holds(template: Column) -> Column:
+    """Whether the array `words` holds CONFIRM of a template's shingles."""
+    return F.size(F.array_intersect(template["shingles"], F.expr(shingles("words")))) >= F.lit(CONFIRM) * F.size(template["shingles"])
+
+
 def shingles(column: str) -> str:
     """SQL for the word 5-grams of an array of words; of a shorter one, all of it."""
     return f"if(size({column}) = 0, array(), transform(sequence(1, greatest(1, size({column}) - {SHINGLE - 1})), i -> concat_ws(' ', slice({column}, i, {SHINGLE}))))"
@@ -86,7 +104,7 @@ def vectors(rows: DataFrame) -> DataFrame:
 
 
 def training_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(label, words): variants of templates, and unknown paragraphs of a bounded sample that hold no template."""
+    """(label, words): variants of templates, and unknown paragraphs of a bounded sample that share no 5-gram with a template (a line of a wrapped notice does)."""
     spark = docs.sparkSession
     known = templates(spark)
     rows = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
@@ -94,7 +112,7 @@ def training_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     own = rows.join(F.broadcast(ids), F.col("doc_id").eqNullSafe(F.col("of")), "left_semi")
     sample = paragraphs(own).where("size(words) > 0").withColumn("shingles", F.expr(shingles("words")))
     listed = template_shingles(spark)
-    clean = sample.withColumn("listed", listed).where(f"not exists(listed, t -> size(array_intersect(t.shingles, shingles)) >= {CONFIRM} * size(t.shingles))")
+    clean = sample.withColumn("listed", listed).where("not exists(listed, t -> arrays_overlap(t.shingles, shingles))")
     unknown = written(clean.orderBy(F.xxhash64("doc_id", "paragraph", "part"), "doc_id", "paragraph", "part").limit(SAMPLE_ROWS).select(F.lit(0).alias("label"), "words", F.xxhash64("doc_id", "paragraph", "part").alias("h")), "unknown")
     few = unknown.orderBy("h").limit(8).select(F.slice("words", 1, 6).alias("other"))
     variants = known.withColumn("k", F.explode(F.sequence(F.lit(0), F.least(F.size("words"), F.lit(12))))).withColumn("words", F.expr("if(k = 0, words, concat(slice(words, 1, k - 1), slice(words, k + 1, size(words))))"))
@@ -121,23 +139,27 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"):
 
 
 def classified(docs: DataFrame, model, temperature: float, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, paragraph, part, family, probability, confirmed): one row for each stretch of words."""
-    rows = model.transform(vectors(paragraphs(docs, id_col, text_col))).select("doc_id", "paragraph", "part", "words", F.col("prediction").cast("int").alias("label"), vector_to_array("rawPrediction").alias("raw"))
+    """(doc_id, paragraph, part, family, probability, confirmed): one row for each stretch of words; those across lines have no paragraph."""
+    stretches = paragraphs(docs, id_col, text_col).unionByName(across_lines(docs, id_col, text_col))
+    rows = model.transform(vectors(stretches)).select("doc_id", "paragraph", "part", "words", F.col("prediction").cast("int").alias("label"), vector_to_array("rawPrediction").alias("raw"))
     rows = rows.withColumn("probability", F.expr(f"1D / aggregate(raw, 0D, (acc, x) -> acc + exp((x - array_max(raw)) / {temperature}D))"))
     listed = template_shingles(docs.sparkSession)
-    holds = F.exists(listed, lambda t: (t["label"] == F.col("label")) & (F.size(F.array_intersect(t["shingles"], F.expr(shingles("words")))) >= F.lit(CONFIRM) * F.size(t["shingles"])))
-    confirmed = F.when((F.col("label") > 0) & (F.col("probability") >= AT_LEAST), holds).otherwise(F.lit(False))
+    own = F.exists(listed, lambda t: (t["label"] == F.col("label")) & holds(t))
+    confirmed = F.when((F.col("label") > 0) & (F.col("probability") >= AT_LEAST), own).otherwise(F.lit(False))
     return rows.select("doc_id", "paragraph", "part", F.element_at(F.array(*[F.lit(f) for f in FAMILIES]), F.col("label") + 1).alias("family"), "probability", confirmed.alias("confirmed"))
 
 
 def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, family, families, n_paragraphs, n_confirmed, probability) for each distinct id: the confirmed family of the highest probability,
-    "unknown" where there is none; all confirmed families; the numbers of paragraphs (stretches counted singly) and of confirmed ones.
+    "unknown" where there is none; all confirmed families; the numbers of paragraphs (stretches counted singly) and of confirmed ones. A family that is only confirmed across lines adds one to the latter.
 
     Null and empty texts are unknown, with no confirmed stretch. Rows that share an id count as one document. An empty table gives an empty result.
     """
     model, temperature = fit(docs, id_col, text_col)
     rows = classified(docs, model, temperature, id_col, text_col)
     hit = F.when(F.col("confirmed"), F.struct("probability", "family"))
-    out = rows.groupBy("doc_id").agg(F.max(hit).alias("best"), F.array_sort(F.collect_set(F.when(F.col("confirmed"), F.col("family")))).alias("found"), F.count("paragraph").alias("n_paragraphs"), F.count_if("confirmed").alias("n_confirmed"))
-    return out.select("doc_id", F.coalesce("best.family", F.lit("unknown")).alias("family"), F.array_join("found", ",").alias("families"), "n_paragraphs", "n_confirmed", F.coalesce("best.probability", F.lit(0.0)).alias("probability"))
+    found = lambda where: F.array_sort(F.collect_set(F.when(F.col("confirmed") & where, F.col("family"))))
+    line = F.col("paragraph").isNotNull()
+    out = rows.groupBy("doc_id").agg(F.max(hit).alias("best"), found(F.lit(True)).alias("found"), found(line).alias("in_lines"), F.count("paragraph").alias("n_paragraphs"), F.count_if(F.col("confirmed") & line).alias("n"))
+    n_confirmed = F.col("n") + F.size("found") - F.size("in_lines")
+    return out.select("doc_id", F.coalesce("best.family", F.lit("unknown")).alias("family"), F.array_join("found", ",").alias("families"), "n_paragraphs", n_confirmed.alias("n_confirmed"), F.coalesce("best.probability", F.lit(0.0)).alias("probability"))

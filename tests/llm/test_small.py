@@ -404,6 +404,27 @@ def test_licences(spark):
     assert licenses.license_scan(df.limit(0)).count() == 0
 
 
+#: Openings of licence texts, wrapped as they are published.
+WRAPPED = {
+    "mit": "Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files (the \"Software\"), to deal\nin the Software without restriction, including without limitation the rights\nto use, copy, modify, merge, publish, distribute, sublicense, and/or sell\ncopies of the Software",
+    "bsd": "Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions are\nmet:\n\n1. Redistributions of source code must retain the above copyright notice",
+    "mpl-2.0": "/* This Source Code Form is subject to the terms of the Mozilla Public\n * License, v. 2.0. If a copy of the MPL was not distributed with this\n * file, You can obtain one at http://mozilla.org/MPL/2.0/. */",
+    "gpl-3.0": "    This program is free software: you can redistribute it and/or modify\n    it under the terms of the GNU General Public License as published by\n    the Free Software Foundation, either version 3 of the License, or\n    (at your option) any later version.",
+    "gpl-2.0": "This program is free software; you can redistribute it and/or\r\nmodify it under the terms of the GNU General Public License\r\nas published by the Free Software Foundation; either version 2\r\nof the License, or (at your option) any later version.",
+}
+
+
+def test_wrapped_licences(spark):
+    rng = random.Random(10)
+    plain = lambda: "\n".join(" ".join(rng.choice("ther and shing onea the of to ernd that wher inble".split()) for _ in range(11)) for _ in range(6))
+    rows = [(f"p{k}", plain()) for k in range(60)] + [(f, f"{plain()}\n{t}\n{plain()}") for f, t in WRAPPED.items()] + [("alone " + f, t) for f, t in WRAPPED.items()]
+    rows += [("half", WRAPPED["mit"].split("\n")[0] + "\n" + plain()), ("one line", plain() + "\nReleased under the MIT License.\n" + plain())]
+    got = {r["doc_id"]: r for r in licenses.license_scan(spark.createDataFrame(rows, "doc_id string, text string")).collect()}
+    for f in WRAPPED:
+        assert [(got[k]["family"], got[k]["families"], got[k]["n_confirmed"]) for k in (f, "alone " + f)] == [(f, f, 1)] * 2
+    assert all(got[k]["family"] == "unknown" for k in ("half", *(f"p{k}" for k in range(60)))) and got["one line"]["n_confirmed"] == 1 and got["one line"]["n_paragraphs"] == 13
+
+
 # --- op10 ---
 
 
