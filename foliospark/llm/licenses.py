@@ -10,6 +10,9 @@ is AT_LEAST or more and the paragraph holds at least CONFIRM of the word 5-grams
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import HashingTF, NGram, Normalizer
 from pyspark.ml.functions import vector_to_array
@@ -58,17 +61,23 @@ def paragraphs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 def across_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, paragraph null, part, words): the stretches across line ends that hold CONFIRM of a template."""
-    listed = template_shingles(docs.sparkSession)
-    texts = docs.where(F.contains(F.col(f"`{text_col}`"), F.lit("\n"))).select(F.col(f"`{id_col}`").alias("doc_id"), F.explode(F.array(F.expr(words(f"`{text_col}`")))).alias("all_words"))  # a generator: filters would split the text anew for each word
-    near = texts.where(F.arrays_overlap(F.expr(shingles("all_words")), F.array_distinct(F.flatten(F.transform(listed, lambda t: t["shingles"])))))
-    parts = F.expr(f"transform(sequence(0, greatest(0, size(all_words) - {WRAP - STEP + 1}) div {STEP}), k -> slice(all_words, k * {STEP} + 1, {WRAP}))")
-    rows = near.select("doc_id", F.lit(None).cast("int").alias("paragraph"), F.posexplode(parts).alias("part", "words"))
-    return rows.where(F.exists(listed, lambda t: holds(t)))
+    rows = templates(docs.sparkSession).select(F.expr(shingles("words")).alias("s")).collect()  # one row for each template
+    every = sorted({x for r in rows for x in r["s"]})
+    longest = sorted({max(x.split(), key=len) for x in every})  # a text that holds a 5-gram holds its longest word
+    once = lambda c: F.explode(F.array(c))  # noqa: E731; a generator, as the value would be computed anew wherever a filter uses it
+    texts = docs.where(F.contains(F.col(f"`{text_col}`"), F.lit("\n"))).select(F.col(f"`{id_col}`").alias("doc_id"), once(F.lower(F.col(f"`{text_col}`"))).alias("low"))
+    some = texts.where("low <> ''").where(reduce(or_, [F.contains("low", F.lit(w)) for w in longest])).select("doc_id", once(F.expr(words("low"))).alias("all_words"))
+    fives = f"if(size(all_words) < {SHINGLE}, array(concat_ws(' ', all_words)), transform(sequence(0, size(all_words) - {SHINGLE}), i -> concat_ws(' ', {', '.join(f'all_words[i + {j}]' for j in range(SHINGLE))})))"  # slice() copies the whole text each time
+    near = some.select("doc_id", "all_words", once(F.expr(fives)).alias("own")).where(F.arrays_overlap("own", F.array(*[F.lit(x) for x in every])))
+    parts = F.expr(f"transform(sequence(0, greatest(0, size(all_words) - {WRAP - STEP + 1}) div {STEP}), k -> transform(sequence(k * {STEP}, least(size(all_words), k * {STEP} + {WRAP}) - 1), i -> all_words[i]))")
+    cut = near.select("doc_id", F.lit(None).cast("int").alias("paragraph"), F.posexplode(parts).alias("part", "words"))
+    own = cut.select("*", once(F.expr(shingles("words"))).alias("own"))
+    return own.where(F.exists(template_shingles(docs.sparkSession), lambda t: holds(t, F.col("own")))).drop("own")
 
 
-def holds(template: Column) -> Column:
-    """Whether the array `words` holds CONFIRM of a template's shingles."""
-    return F.size(F.array_intersect(template["shingles"], F.expr(shingles("words")))) >= F.lit(CONFIRM) * F.size(template["shingles"])
+def holds(template: Column, own: Column) -> Column:
+    """Whether an array of shingles holds CONFIRM of a template's."""
+    return F.size(F.array_intersect(template["shingles"], own)) >= F.lit(CONFIRM) * F.size(template["shingles"])
 
 
 def shingles(column: str) -> str:
@@ -144,7 +153,7 @@ def classified(docs: DataFrame, model, temperature: float, id_col: str = "doc_id
     rows = model.transform(vectors(stretches)).select("doc_id", "paragraph", "part", "words", F.col("prediction").cast("int").alias("label"), vector_to_array("rawPrediction").alias("raw"))
     rows = rows.withColumn("probability", F.expr(f"1D / aggregate(raw, 0D, (acc, x) -> acc + exp((x - array_max(raw)) / {temperature}D))"))
     listed = template_shingles(docs.sparkSession)
-    own = F.exists(listed, lambda t: (t["label"] == F.col("label")) & holds(t))
+    own = F.exists(listed, lambda t: (t["label"] == F.col("label")) & holds(t, F.expr(shingles("words"))))
     confirmed = F.when((F.col("label") > 0) & (F.col("probability") >= AT_LEAST), own).otherwise(F.lit(False))
     return rows.select("doc_id", "paragraph", "part", F.element_at(F.array(*[F.lit(f) for f in FAMILIES]), F.col("label") + 1).alias("family"), "probability", confirmed.alias("confirmed"))
 
