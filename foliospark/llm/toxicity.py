@@ -49,7 +49,12 @@ WORD = re.compile(r"[^\W\d_]+")
 SPACED = re.compile(r"(?<![^\W_])(?:[^\W_]|[@$!|€£¢])(?:[ .\-_*~·]{1,2}(?:[^\W_]|[@$!|€£¢])){2,}(?![^\W_])")
 TOKEN = re.compile(r"[\w@$!|+(€£¢*.~·'-]+")
 MIXED = re.compile(r"[^\W\d_][^\w\s]*[\d@$!|+(€£¢*.~·_'-]|[\d@$!|+(€£¢*][^\w\s]*[^\W\d_]")
-RUN = re.compile(r"([^\W\d_])\1\1|([^\W\d_])\2.*([^\W\d_])\3")
+RUN = re.compile(r"([^\W\d_])\1")
+#: Characters cut off the edges of a token: those that are only separators, and with them look-alikes.
+EDGE, BARE = "._~·'-", "|+(*.~·_'-!"
+MANY = re.compile(r"(.)\1{3,}", re.S)
+CHAINS = [re.compile(x) for x in (r"\.+", r"-+", r"_+", r"[.\-_~·]+")]
+GAP = re.compile(r"[ .\-_*~·]{2,}")
 #: Restored tokens that a worker remembers.
 KEPT = 50_000
 
@@ -76,8 +81,9 @@ class CharModel:
             x = self.known[g] = math.log(p)
         return x
 
-    def restore(self, seen: str) -> str:
-        """The likeliest word behind the characters seen: the best path through the lattice, states being the last two letters."""
+    def restore(self, seen: str, cut: bool = False) -> str:
+        """The likeliest word behind the characters seen: the best path through the lattice, states being the last two letters. With `cut`,
+        a space may also end a word and begin the next; the words are then separated by a space."""
         states = {"^^": (0.0, "")}
         before = ""
         for ch in seen:
@@ -96,6 +102,10 @@ class CharModel:
                     x = cost + p + (self.log(state + c) if c else 0.0)
                     if to not in best or x > best[to][0]:
                         best[to] = (x, path + c)
+                if cut and ch == " " and state != "^^":
+                    x = cost + DROPPED + self.log(state + "^")
+                    if "^^" not in best or x > best["^^"][0]:
+                        best["^^"] = (x, path + " ")
             states, before = best, ch
         return max((cost + self.log(s + "^"), path) for s, (cost, path) in states.items())[1]
 
@@ -103,17 +113,43 @@ class CharModel:
 class Scorer:
     def __init__(self, trigrams: dict[str, int], lexicon: dict[str, float]):
         self.model, self.lexicon, self.restored = CharModel(trigrams), lexicon, {}
+        self.longest = max(map(len, lexicon), default=0)
 
     def disguised(self, low: str) -> Iterator[str]:
-        """Tokens that may hide a word."""
+        """Tokens that may hide a word; of letters dealt out, also the parts between wide gaps, and all without a first or last letter that
+        may be a word of its own."""
         for m in SPACED.finditer(low):
-            yield m.group()
+            run = m.group()
+            for part in {run, *GAP.split(run)}:
+                units = [c for c in part if c not in SEPARATORS or c == "*"]
+                for i in range(2):
+                    for j in range(2):
+                        if len(units) - i - j > 2:
+                            yield " ".join(units[i : len(units) - j])
         for t in set(TOKEN.findall(low)):
-            t = t.strip("|+(*.~·_'-!")
-            if len(t) > 2 and (MIXED.search(t) or RUN.search(t)) and len(t) <= 64:
-                yield t
-                if t.count(".") or t.count("-"):
-                    yield from (x for x in re.split(r"[.\-]+", t) if len(x) > 2 and (MIXED.search(x) or RUN.search(x)))
+            yield from self.forms(MANY.sub(r"\1\1\1", t))
+
+    @staticmethod
+    def forms(token: str) -> set[str]:
+        """A token and the links of a chain, with look-alikes at either edge kept and cut off."""
+        if not (MIXED.search(token) or RUN.search(token)):
+            return set()
+        out = set()
+        for t in {token, *(x for c in CHAINS if c.search(token) for x in c.split(token))}:
+            core = t.strip(EDGE)
+            for f in {core, core.lstrip(BARE), core.rstrip(BARE), core.strip(BARE)}:
+                if len(f) > 2 and (MIXED.search(f) or RUN.search(f)):
+                    out.add(f)
+        return out
+
+    def words_of(self, t: str) -> list[str]:
+        """Words of the lexicon behind a token; a run of letters dealt out is also cut into words."""
+        least = sum(1 for a, b in zip("\0" + t, t) if a != b and b not in SEPARATORS and (b in LETTERS or b in LOOKS_LIKE))
+        spaced = " " in t
+        found = [self.restore(t)] if least <= self.longest else []  # a longer one restores to no word of the lexicon
+        if spaced:
+            found += self.model.restore(t, True).split(" ")
+        return [w for w in found if w in self.lexicon]
 
     def restore(self, t: str) -> str:
         if (x := self.restored.get(t)) is None:
@@ -128,8 +164,9 @@ class Scorer:
         lexicon = self.lexicon
         hits = {w: lexicon[w] for w in lexicon.keys() & set(WORD.findall(low))}
         for t in self.disguised(low):
-            if (w := self.restore(t)) in lexicon and w not in hits:
-                hits[w] = RESTORED * lexicon[w]
+            for w in self.words_of(t):
+                if w not in hits:
+                    hits[w] = RESTORED * lexicon[w]
         return hits
 
     def score(self, text: str | None) -> float:

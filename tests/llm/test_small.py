@@ -189,6 +189,20 @@ def test_restores_disguised_words():
         assert not s.found(t) and s.score(t) < 0.1, t
 
 
+def test_every_disguise_is_tried():
+    n = {"idiot": 50, "moron": 50, "stupid": 50, "clown": 50, "such": 200, "the": 200, "water": 200, "green": 200, "all": 200}
+    grams = Counter()
+    for w, k in n.items():
+        for i in range(len(w) + 1):
+            grams[f"^^{w}^"[i : i + 3]] += k
+    s = toxicity.Scorer(grams, {w: 0.9 for w in ("idiot", "moron", "stupid", "clown")})
+    for t, w in [("idioot", "idiot"), ("stuupid", "stupid"), ("!diot", "idiot"), ("idio+", "idiot"), ("(lown", "clown"), ("such a s t u p i d", "stupid"), ("such a  s t u p i d", "stupid"), ("idi" + "o" * 90 + "t", "idiot"), ("green." * 20 + "1d10t", "idiot"), ("water-" * 20 + "m0ron", "moron")]:
+        assert w in s.found(t), t
+    assert set(s.found("i d i o t m o r o n")) == set(s.found("i d i o t  m o r o n")) == {"idiot", "moron"}
+    for t in ("all green water", "green!", "the-water." * 30, "1 2 3 4 5 6", "x1" * 5000, "g r e e n  w a t e r"):
+        assert not s.found(t), t
+
+
 def test_toxicity_learns_from_its_part_only(spark):
     rng = random.Random(2)
     plain = ["alpha", "beta", "gamma", "delta", "omega"]
