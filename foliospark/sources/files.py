@@ -19,12 +19,14 @@ def wanted_extension(c: Column) -> Column:
     return F.lower(F.coalesce(F.nullif(c, F.lit("")), F.lit("pdf")))
 
 
-def read_files(spark: SparkSession, path: str, glob: str | None = None, most_bytes: int = 50 << 20) -> DataFrame:
-    """(doc_id, uri, extension, content) of the files below a path, up to a size. Glob, size and time are pushed to the file listing."""
+def read_files(spark: SparkSession, path: str, glob: str | None = None, most_bytes: int | None = None) -> DataFrame:
+    """(doc_id, uri, extension, content) of all files below a path, or of those up to a size if one is named. Glob, size and time are pushed to the file listing."""
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
     if glob:
         reader = reader.option("pathGlobFilter", glob)
-    files = reader.load(path).where(F.col("length") <= most_bytes)
+    files = reader.load(path)
+    if most_bytes is not None:
+        files = files.where(F.col("length") <= most_bytes)
     return files.select(F.col("path").alias("doc_id"), F.col("path").alias("uri"), extension(F.col("path")).alias("extension"), "content")
 
 

@@ -166,6 +166,15 @@ def test_read_files(spark, tmp_path):
     assert [(r["extension"], bytes(r["content"])) for r in files.read_files(spark, str(tmp_path)).collect()] == [("txt", b"x")]
 
 
+def test_read_files_has_large_ones(spark, tmp_path):
+    with open(tmp_path / "large.txt", "wb") as f:
+        f.truncate((50 << 20) + 1)
+    (tmp_path / "small.txt").write_text("x")
+    sizes = lambda df: sorted(r[0] for r in df.select(F.length("content")).collect())
+    assert sizes(files.read_files(spark, str(tmp_path))) == [1, (50 << 20) + 1]
+    assert sizes(files.read_files(spark, str(tmp_path), most_bytes=1000)) == [1]
+
+
 def test_office_defaults():
     out = io.BytesIO()
     with zipfile.ZipFile(out, "w") as z:
