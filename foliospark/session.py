@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
+import re
+import shutil
 import tempfile
 import uuid
 
@@ -24,13 +27,22 @@ def session(cpus: int | str = "*", memory: str = "8g") -> SparkSession:
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder that driver and executors share: spark.checkpoint.dir, else the one given to setCheckpointDir().
+
+    Where neither is set, and only if all tasks run in the driver's own process, a temporary folder that is deleted at exit. On a cluster
+    that would be a folder of one machine, so there it is an error.
+    """
+    context = spark.sparkContext
+    root = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not root:
-        if not (root := getattr(spark.sparkContext, "_folio_root", None)):
-            root = spark.sparkContext._folio_root = "file://" + tempfile.mkdtemp(prefix="spark-")
-            spark.sparkContext.setCheckpointDir(root)
-    return root if ":/" in root else f"file://{root}"
+        if not re.fullmatch(r"local(\[[^\]]*\])?", context.master):
+            raise ValueError("spark.checkpoint.dir is unset: name a folder that driver and executors share")
+        root = tempfile.mkdtemp(prefix="spark-")
+        atexit.register(shutil.rmtree, root, ignore_errors=True)
+        context.setCheckpointDir(f"file://{root}")
+    if ":/" not in root:
+        return f"file://{root}"
+    return re.sub(r"^file:/+", "file:///", root)
 
 
 def work_dir(spark: SparkSession, name: str) -> str:
@@ -45,8 +57,17 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(path: str) -> None:
+    """Delete a folder of our own that nothing reads any more."""
+    from pyarrow import fs
+
+    files, root = fs.FileSystem.from_uri(path)
+    if files.get_file_info(root).type != fs.FileType.NotFound:
+        files.delete_dir(root)
+
+
 def spread(df: DataFrame) -> DataFrame:
-    """df over at least as many partitions as the cluster has cores: for work on rows that costs far more than to deal them out.
-    Tables of many splits, as large ones are, stay as they are."""
+    """A table over at least as many partitions as the cluster has cores: for work on rows that costs far more than to deal them out.
+    Tables of as many files or more, as large ones are, stay as they are."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    return df.repartition(cores) if len(df.inputFiles()) < cores else df
