@@ -6,17 +6,19 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliospark.session import shared_root, spread, work_dir, written  # noqa: F401
+from foliospark.session import discard, shared_root, spread, work_dir, written  # noqa: F401
 
-#: Rows of an Arrow batch: long texts make large batches, and a worker holds a few at once.
+#: Rows that a worker turns into Python objects at once. Arrow batches themselves are bounded in bytes by Spark.
 BATCH_ROWS = 1000
 #: What a 64-bit polynomial over words is multiplied by; odd, so that no step loses bits.
 BASE = 0x9E3779B97F4A7C15
 
 
-def small_batches(spark: SparkSession) -> None:
-    """Bound the rows that one Arrow batch brings to a Python worker."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+def sliced(batches, rows: int = BATCH_ROWS):
+    """Arrow batches in slices of at most `rows` rows."""
+    for b in batches:
+        for k in range(0, b.num_rows, rows):
+            yield b.slice(k, rows)
 
 
 def keyed_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -67,14 +69,13 @@ def mapped(df: DataFrame, start, read: list[str], keep: list[str], added: str) -
     from pyspark.sql import types as T
     from pyspark.sql.pandas.types import to_arrow_schema
 
-    small_batches(df.sparkSession)
     new = T._parse_datatype_string(added)
     schema = T.StructType([df.schema[c] for c in keep] + new.fields)
     kinds = to_arrow_schema(new)
 
     def run(batches):
         work = start()
-        for b in batches:
+        for b in sliced(batches):
             got = work({c: b.column(c).to_pylist() for c in read})
             yield pa.RecordBatch.from_arrays([b.column(c) for c in keep] + [pa.array(got[f.name], f.type) for f in kinds], names=[*keep, *kinds.names])
         if hasattr(work, "close"):
@@ -87,11 +88,9 @@ def kept_where(df: DataFrame, start, column: str) -> DataFrame:
     """The rows of df, with all columns as they are, for which the function that start() gives answers true to `column`."""
     import pyarrow as pa
 
-    small_batches(df.sparkSession)
-
     def run(batches):
         good = start()
-        for b in batches:
+        for b in sliced(batches):
             yield b.filter(pa.array([good(x) for x in b.column(column).to_pylist()], pa.bool_()))
 
     return df.mapInArrow(run, df.schema)

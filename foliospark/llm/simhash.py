@@ -16,10 +16,10 @@ fingerprints therefore makes n x (masked-out bits + 1) rows, never n^2.
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from foliospark.llm.common import keyed_texts, mapped, shared_root, written
+from foliospark.llm.common import discard, keyed_texts, mapped, work_dir, written
 
 SHINGLE, BITS, RADIUS, SEED = 3, 64, 2, 42
 #: For each byte value the bits that it sets, lowest first.
@@ -50,12 +50,13 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, fp long) for every row; a null text has no words."""
+    """(doc_id, text_hash long, fp long) for every row; a null text has no words."""
 
     def start():
         return lambda b: {"fp": np.array([fingerprint(t) for t in b["text"]], dtype=np.uint64).view(np.int64)}
 
-    return mapped(keyed_texts(docs, id_col, text_col), start, ["text"], ["doc_id"], "fp bigint")
+    texts = keyed_texts(docs, id_col, text_col).withColumn("text_hash", F.xxhash64("text"))
+    return mapped(texts, start, ["text"], ["doc_id", "text_hash"], "fp bigint")
 
 
 def masks(bits: int = BITS, radius: int = RADIUS) -> list[int]:
@@ -84,12 +85,17 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, root): for every node of an edge, the least node of its component.
 
     Alternating stars: each node hands its larger neighbours, then its smaller ones, to the least that it knows,
-    so that depth falls quickly. Each round is written to the shared folder. Hubs are grouped by partial
-    aggregation and joined back, where adaptive execution can split them; no group is ever collected.
+    so that depth falls quickly. Each round is written to the shared folder, and the one before it deleted. Hubs are grouped
+    by partial aggregation and joined back, where adaptive execution can split them; no group is ever collected.
     """
     spark = edges.sparkSession
-    shared_root(spark)
-    now = written(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct(), "edges")
+
+    def kept(df: DataFrame) -> tuple[str, DataFrame]:
+        path = work_dir(spark, "edges")
+        df.write.parquet(path)
+        return path, spark.read.schema(df.schema).parquet(path)
+
+    path, now = kept(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct())
     before = None
     while True:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -98,7 +104,8 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u")
         small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(small.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
-        now = written(small, "edges")
+        old, (path, now) = path, kept(small)
+        discard(old)
         state = now.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
         if state == before:
             return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
@@ -112,22 +119,34 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     An empty table gives an empty result. Null ids take part, and lose to any other as component_id.
     """
     prints = written(fingerprints(docs, id_col, text_col), "fingerprints")
-    first = written(prints.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct")
+    return prints.join(named(prints, F.col("doc_id")), "fp").select("doc_id", "fp", F.col("name").alias("component_id"))
+
+
+def named(prints: DataFrame, value: Column) -> DataFrame:
+    """(fp, name): for each distinct fingerprint the least `value` among all rows of its component."""
+    first = written(prints.groupBy("fp").agg(F.min(value).alias("first")), "distinct")
     groups = components(links(first.select("fp")))
-    named = groups.join(first, groups["node"] == first["fp"]).select("node", "root", "first")
-    least = named.groupBy("root").agg(F.min("first").alias("component"))
-    multi = named.join(least, "root").select(F.col("node").alias("fp"), "component")
-    names = written(first.join(multi, "fp", "left").select("fp", F.coalesce("component", "first").alias("component_id")), "names")
-    return prints.join(names, "fp").select("doc_id", "fp", "component_id")
+    members = groups.join(first, groups["node"] == first["fp"]).select("node", "root", "first")
+    least = members.groupBy("root").agg(F.min("first").alias("component"))
+    multi = members.join(least, "root").select(F.col("node").alias("fp"), "component")
+    return written(first.join(multi, "fp", "left").select("fp", F.coalesce("component", "first").alias("name")), "names")
 
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One document of each component: that with the least id, columns unchanged. Of repeated rows with that id, one stays."""
-    found = written(near_duplicates(docs, id_col, text_col), "components")
-    lost = found.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__id")).distinct()
-    again = found.groupBy(F.col("doc_id").alias("__id")).count().where("count > 1").select("__id")
-    same = lambda other: docs[f"`{id_col}`"].eqNullSafe(other["__id"])
+    """One document of each component, columns unchanged: that with the least id, null being the largest, and of one id that with the
+    least hash of its text. A row only goes for one of its own component: rows that share an id, or have none, but are not near
+    each other, all stay. Of rows with equal id and text that with the least JSON form of all its columns stays.
+    """
+    mine = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")
+    prints = written(fingerprints(docs, id_col, text_col), "fingerprints").withColumn("mine", mine)
+    key = [F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash")]
+    lost = prints.join(named(prints, F.col("mine")), "fp").where(~F.col("mine").eqNullSafe(F.col("name"))).select(*key).distinct()
+    again = prints.groupBy(*key).count().where("count > 1").select("__id", "__hash")
+    own_id, own_hash = docs[f"`{id_col}`"], F.xxhash64(docs[f"`{text_col}`"])
+    same = lambda other: own_id.eqNullSafe(other["__id"]) & (own_hash == other["__hash"])
     kept = docs.join(lost, same(lost), "left_anti")
     if again.isEmpty():
         return kept
-    return kept.join(again, same(again), "left_anti").unionByName(kept.join(again, same(again), "left_semi").dropDuplicates([id_col]))
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    one = kept.join(again, same(again), "left_semi").groupBy(own_id, own_hash).agg(F.min_by(row, F.to_json(row)).alias("__row"))
+    return kept.join(again, same(again), "left_anti").unionByName(one.select("__row.*"))
