@@ -26,14 +26,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from foliospark.llm.common import mapped, small_batches, written
+from foliospark.llm.common import mapped, written
 
 MIN_REVISIT, LINES = 100, 1000
 DATE = "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n"
-#: No key is greater than this.
-LAST = "\U0010ffff"
+#: Name of a record whose page has no id.
+NAMELESS = "<urn:page-without-id>"
+#: Bytes of records that one task reads, about.
+READ_BYTES = 32 << 20
 
 
 def capture_key(url: str | None) -> str:
@@ -49,9 +51,9 @@ def capture_key(url: str | None) -> str:
     return ",".join(reversed(host.split("."))) + ")" + (m[2] if m[2].startswith("/") else "/" + m[2])
 
 
-def record(kind: str, name: str, url: str | None, digest: str, payload: bytes, refers: str | None, date: str = DATE) -> bytes:
+def record(kind: str, name: str | None, url: str | None, digest: str, payload: bytes, refers: str | None, date: str = DATE) -> bytes:
     body = HTTP + f"Content-Length: {len(payload)}\r\n\r\n".encode() + (b"" if kind == "revisit" else payload)
-    head = [("WARC-Type", kind), ("WARC-Record-ID", f"<urn:page:{name}>"), ("WARC-Date", date), ("WARC-Target-URI", re.sub(r"[\r\n]+", " ", url or "")), ("WARC-Payload-Digest", f"sha256:{digest}"), ("Content-Type", "application/http;msgtype=response"), ("Content-Length", str(len(body)))]
+    head = [("WARC-Type", kind), ("WARC-Record-ID", NAMELESS if name is None else f"<urn:page:{name}>"), ("WARC-Date", date), ("WARC-Target-URI", re.sub(r"[\r\n]+", " ", url or "")), ("WARC-Payload-Digest", f"sha256:{digest}"), ("Content-Type", "application/http;msgtype=response"), ("Content-Length", str(len(body)))]
     if kind == "revisit":
         head[4:4] = [("WARC-Profile", PROFILE), ("WARC-Refers-To", f"<urn:page:{refers}>")]
     return b"WARC/1.1\r\n" + "".join(f"{k}: {v}\r\n" for k, v in head).encode("utf-8", "surrogatepass") + b"\r\n" + body + b"\r\n\r\n"
@@ -72,7 +74,7 @@ def parsed(raw: bytes) -> dict:
     digest = fields["WARC-Payload-Digest"].removeprefix("sha256:")
     if fields["WARC-Type"] == "response" and (len(payload) != length or hashlib.sha256(payload).hexdigest() != digest):
         raise ValueError("payload damaged")
-    name = lambda k: fields[k].removeprefix("<urn:page:").removesuffix(">") if k in fields else None
+    name = lambda k: fields[k].removeprefix("<urn:page:").removesuffix(">") if fields.get(k, NAMELESS) != NAMELESS else None
     return {"type": fields["WARC-Type"], "name": name("WARC-Record-ID"), "refers": name("WARC-Refers-To"), "url": fields["WARC-Target-URI"], "digest": digest, "length": length, "payload": payload if fields["WARC-Type"] == "response" else None}
 
 
@@ -131,20 +133,19 @@ class ArchiveWriter:
 def write_archives(pages: DataFrame, out: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", date: str = DATE) -> DataFrame:
     """Write archives below the URI `out`; returns the captures (name, key, file, offset, length) in `out`/captures.
 
-    Null html is an empty payload, null url an empty one. Null ids are named "null". Rows that repeat the id and payload of a
+    Null html is an empty payload, null url an empty one. A page without id has a record without name; with the payload of a page that has
+    an id it is a revisit of that one, and a response if no page with that payload has an id. Rows that repeat the id and payload of a
     response are responses too. Other columns are not looked at. Without pages there are no archives and no captures.
     """
     spark = pages.sparkSession
-    small_batches(spark)
     own = pages.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{url_col}`").cast("string").alias("url"), F.col(f"`{html_col}`").cast("string").alias("html"))
     own = own.withColumn("digest", F.sha2(F.coalesce("html", F.lit("")), 256))
     # ids by payload: digests only, aggregated before they are dealt out; texts of groups never meet
     prints = written(own.where(F.octet_length("html") >= MIN_REVISIT).select("id", "digest"), "digests")
     first = prints.groupBy("digest").agg(F.min("id").alias("first"), F.count("*").alias("n")).where("n > 1").select(F.col("digest").alias("of"), "first")
-    revisits = prints.join(first, F.col("digest") == F.col("of")).where("id is null or id <> first").select(F.col("id").alias("of_id"), F.col("digest").alias("of_digest"), F.col("first")).distinct()
+    revisits = prints.join(first, F.col("digest") == F.col("of")).where("first is not null and (id is null or id <> first)").select(F.col("id").alias("of_id"), F.col("digest").alias("of_digest"), F.col("first")).distinct()
     dealt = own.join(revisits, F.col("id").eqNullSafe(F.col("of_id")) & (F.col("digest") == F.col("of_digest")), "left")
-    name = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("null"))
-    rows = dealt.select(name("id").alias("name"), "url", "html", "digest", F.when(F.col("of_digest").isNotNull(), name("first")).alias("refers"))
+    rows = dealt.select(F.col("id").cast("string").alias("name"), "url", "html", "digest", F.when(F.col("of_digest").isNotNull(), F.col("first").cast("string")).alias("refers"))
     mapped(rows, lambda: ArchiveWriter(out, date), ["name", "url", "html", "digest", "refers"], ["name"], "key string, file string, offset bigint, length bigint").write.parquet(f"{out}/captures")
     return spark.read.parquet(f"{out}/captures")
 
@@ -185,7 +186,6 @@ def write_index(captures: DataFrame, out: str, lines: int = LINES) -> DataFrame:
                 f.write("\n".join(json.dumps(x, ensure_ascii=True) for x in directory).encode())
             yield pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip((first, last, f"{name}.cdx.gz", f"{name}.dir", total), kinds)], names=kinds.names)
 
-    small_batches(captures.sparkSession)
     by = ("key", "file", "offset")
     captures.select("key", "file", "offset", "length").repartitionByRange(*by).sortWithinPartitions(*by).mapInArrow(run, schema).write.parquet(f"{out}/index")
     return captures.sparkSession.read.parquet(f"{out}/index")
@@ -223,8 +223,7 @@ def lookup(keys: DataFrame, out: str) -> DataFrame:
                 refs.append(mine)
             return {"refs": refs}
 
-        run_ = run
-        return run_
+        return run
 
     found = mapped(keys.select("key").distinct().where("key is not null").repartitionByRange("key").sortWithinPartitions("key"), find, ["key"], ["key"], "refs array<struct<blocks:string,at:bigint,size:bigint>>")
     wanted = found.select("key", F.explode("refs").alias("r")).select("key", "r.*").repartition("blocks", "at").sortWithinPartitions("blocks", "at", "key")
@@ -249,7 +248,12 @@ def lookup(keys: DataFrame, out: str) -> DataFrame:
 
 
 def read_captures(captures: DataFrame, out: str) -> DataFrame:
-    """(key, name, record_type, refers, url, digest, length, payload) of the captures given, read by ranges in the order of files."""
+    """(key, name, record_type, refers, url, digest, length, payload) of the captures given, read by ranges in the order of files.
+    The tasks are as many as the records' bytes need: rows of the index alone are small, so that adaptive execution would leave all to a few."""
+    wanted = written(captures.select("key", "file", "offset", "length"), "wanted")
+    size = wanted.agg(F.coalesce(F.sum("length"), F.lit(0)).alias("bytes"), F.count("*").alias("n")).first()
+    tasks = max(1, min(size["n"], max(wanted.sparkSession.sparkContext.defaultParallelism, -(-size["bytes"] // READ_BYTES))))
+
     def start():
         source = Files(out)
 
@@ -259,7 +263,7 @@ def read_captures(captures: DataFrame, out: str) -> DataFrame:
 
         return run
 
-    dealt = captures.select("key", "file", "offset", F.col("length")).repartitionByRange("file", "offset").sortWithinPartitions("file", "offset")
+    dealt = wanted.repartitionByRange(tasks, "file", "offset").sortWithinPartitions("file", "offset")
     return mapped(dealt, start, ["file", "offset", "length"], ["key"], "name string, record_type string, refers string, url string, digest string, payload_bytes bigint, payload binary")
 
 
