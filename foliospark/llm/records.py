@@ -15,6 +15,8 @@ attempt that counted, name it. What a lost executor left behind is a file that n
 
 from __future__ import annotations
 
+import json
+import re
 import struct
 import uuid
 import zlib
@@ -30,8 +32,8 @@ from foliospark.llm.common import keyed_texts, mapped
 POLY, MASK = 0x82F63B78, 0xA282EAD8
 CHUNK = 64
 END_ID = 2
-#: Chunks of text whose ids a worker keeps, in each of two generations; about 250 bytes each.
-KEPT = 200_000
+#: Chunks of text, and parts of chunks, whose ids a worker keeps, about: they are dropped before a batch that finds more. About 200 bytes each.
+KEPT = 250_000
 
 
 # --- CRC-32C over many byte strings at once ---
@@ -142,104 +144,100 @@ def unframed(records: list[bytes], where: str = "") -> list[bytes]:
 # --- tokens ---
 
 
-class Encoder(dict):
-    """Ids of whole texts by a tokenizer file; as a dict, the ids (as bytes) of the white-space chunks met so far.
+#: How a tokenizer file must split texts for Encoder to put them together from parts (fixed value): letters, single digits, or other
+#: characters, and white space dropped.
+SPLIT = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
+#: Characters that may follow a word in a chunk: none begins an alternative of SPLIT or a special token, so a run of them is a part of its own.
+STOPS = ".,!?;:*%$#&"
+#: The first character beyond Latin-1.
+LATIN = "\u0100"
+#: Latin-1 in lower case, with spaces for ASCII white space.
+LOWER = bytes(32 if 9 <= c <= 13 else ord(chr(c).lower()) for c in range(256))
+
+
+def divisible(tokenizer: dict) -> bool:
+    """Whether a tokenizer file's ids of a text are those of its parts in turn, by what the file says.
+
+    The normalizers must be NFC, lower case (of single characters) and white space to one space: none joins or changes characters across ASCII
+    white space, and a letter of Latin-1 has the ids of its lower case. Texts must be split by SPLIT: no match spans white space, and none looks
+    behind. Special tokens must be plain strings without white space, and nothing may be added to the ids.
+    """
+    plain = [{"type": "NFC"}, {"type": "Lowercase"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}]
+    split = [{"type": "Split", "pattern": {"Regex": SPLIT}, "behavior": "Removed", "invert": True}, {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]
+    added = tokenizer.get("added_tokens") or []
+    return (
+        all(n in plain for n in (tokenizer.get("normalizer") or {}).get("normalizers", [None]))
+        and {"type": "Lowercase"} in tokenizer["normalizer"]["normalizers"]
+        and (tokenizer.get("pre_tokenizer") or {}).get("pretokenizers") == split
+        and tokenizer.get("post_processor") is None
+        and all(t["content"].startswith("<|") and not re.search(r"\s", t["content"]) and not (t["single_word"] or t["lstrip"] or t["rstrip"] or t["normalized"]) for t in added)
+    )
+
 
-    No token of this kind of tokenizer (its split drops white space) spans ASCII white space, and its normalizers act on
-    single characters or composed ones, so a text's ids are those of its chunks in turn. A chunk that is letters of
-    Latin-1 with stops behind goes to the library's model as lower-cased letters and stops, if a trial shows that the whole library
-    makes the same of such words; any other is encoded by the whole library. Texts are encoded whole where `chunked` is False."""
+class Encoder:
+    """Ids of whole texts by a tokenizer file; every id comes from the library.
+
+    If the file is `divisible`, a text is cut at ASCII white space into chunks, and a chunk that is letters of Latin-1 with stops behind into the
+    lower-cased word and the stops. What a worker has not met lately is encoded by the library, many parts in one call, and kept. Other files, and
+    all where `chunked` is False, are given whole texts."""
 
     def __init__(self, path: str, chunked: bool = True):
         from tokenizers import Tokenizer
 
-        super().__init__({"": b""})
         self.tokenizer = Tokenizer.from_file(path)
         self.wide = self.tokenizer.get_vocab_size() > 1 << 16
         self.kind = np.dtype("<u4" if self.wide else "<u2")
         self.code = "I" if self.wide else "H"
-        self.chunked, self.old, self.tails, self.same = chunked, {}, {}, False
-        self.pieces = self._pieces() if chunked else None
-        self.same = self.pieces is not None and all(ord(p) == c for c, p in self.pieces.items() if c < 128)
+        self.chunked = chunked and divisible(json.loads(self.tokenizer.to_str()))
+        self.chunks: dict[str, bytes] = {"": b""}
+        self.parts: dict[str, bytes] = {"": b""}
 
     def _packed(self, ids: list[int]) -> bytes:
         return array(self.code, ids).tobytes()
 
-    def _whole(self, text: str) -> bytes:
-        return self._packed(self.tokenizer.encode(text, add_special_tokens=False).ids)
-
-    def _letters(self, word: str, pieces: dict[int, str]) -> bytes:
-        tokens = self.tokenizer.model.tokenize(word if self.same and word.isascii() else word.translate(pieces))
-        return array(self.code, [t.id for t in tokens]).tobytes()
+    def _library(self, texts: list[str]) -> list[bytes]:
+        return [self._packed(e.ids) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _pieces(self) -> dict[int, str] | None:
-        """How the library writes each lower-case letter of Latin-1 for its model; None if words can't be put together so."""
-        letters = [c for c in map(chr, range(256)) if c.isalpha() and c.lower() == c]
+    @staticmethod
+    def _spaced(text: str) -> str:
+        """The text with a space for each ASCII white space; in lower case where that is known to change no id: Latin-1 without special tokens."""
         try:
-            pieces = {ord(c): self.tokenizer.pre_tokenizer.pre_tokenize_str(c)[0][0] for c in letters}
-        except (AttributeError, IndexError):
-            return None
-        rng = np.random.Generator(np.random.PCG64(1))
-        for _ in range(400):
-            word = "".join(rng.choice(letters, rng.integers(1, 14)))
-            tail = "".join(rng.choice(list(STOPS), rng.integers(0, 3)))
-            cased = "".join(c.upper() if len(c.upper()) == 1 and c.upper() < LATIN and rng.random() < 0.3 else c for c in word)
-            if self._whole(cased + tail) != self._letters(word, pieces) + (self._whole(tail) if tail else b""):
-                return None
-        return pieces
-
-    def __missing__(self, chunk: str) -> bytes:
-        ids = self.old.get(chunk)
-        if ids is None:
-            core = chunk.rstrip(STOPS)
-            if self.pieces is None or not core.isalpha() or not (core.isascii() or max(core) < LATIN):
-                ids = self._whole(chunk)
-            elif len(core) < len(chunk) or not core.islower():
-                tail = chunk[len(core) :]
-                if tail and tail not in self.tails:
-                    if len(self.tails) > KEPT:
-                        self.tails.clear()
-                    self.tails[tail] = self._whole(tail)
-                low = core.lower()
-                ids = (self._letters(low, self.pieces) if low == chunk else self[low]) + self.tails.get(tail, b"")
-            else:
-                ids = self._letters(core, self.pieces)
-        self[chunk] = ids
-        return ids
-
-    def _spaced(self, text: str) -> str:
-        """The text with a space for each ASCII white space; in lower case where the library does no more than that: texts of Latin-1."""
-        if self.pieces is not None:
-            try:
-                raw = text.encode("latin-1")
-                if b"<|" not in raw:  # special tokens are told apart by case
-                    return raw.translate(LOWER).decode("latin-1")
-            except UnicodeEncodeError:
-                pass
-        for c in "\t\n\v\f\r":
-            text = text.replace(c, " ")
-        return text
+            raw = text.encode("latin-1")
+            if b"<|" not in raw:
+                return raw.translate(LOWER).decode("latin-1")
+        except UnicodeEncodeError:
+            pass
+        return text.translate(BLANKS)
+
+    @staticmethod
+    def _divided(chunk: str) -> tuple[str, str]:
+        core = chunk.rstrip(STOPS)
+        if core.isalpha() and (core.isascii() or max(core) < LATIN):
+            return core.lower(), chunk[len(core) :]
+        return chunk, ""
+
+    def _learn(self, new: list[str]) -> None:
+        pairs = [self._divided(c) for c in new]
+        parts = self.parts
+        lack = [p for p in dict.fromkeys(p for pair in pairs for p in pair) if p not in parts]
+        parts.update(zip(lack, self._library(lack)))
+        self.chunks.update((c, parts[a] + parts[b] if b else parts[a]) for c, (a, b) in zip(new, pairs))
 
     def __call__(self, texts: list[str | None], end: int) -> list[bytes]:
         tail = self._packed([end])
         if not self.chunked:
-            return [self._packed(e.ids) + tail for e in self.tokenizer.encode_batch([t or "" for t in texts], add_special_tokens=False)]
-        out, get = [], self.__getitem__
-        for t in texts:
-            out.append(b"".join(map(get, self._spaced(t or "").split(" "))) + tail)
-            if len(self) > KEPT:
-                self.old = dict(self)
-                self.clear()
-                self[""] = b""
-        return out
-
-
-#: Characters that may follow a word in a chunk: each run of them is one piece for the tokenizer.
-STOPS = ".,!?;:*%$#&|"
-#: The first character beyond Latin-1.
-LATIN = "\u0100"
-#: Latin-1 in lower case, with spaces for ASCII white space.
-LOWER = bytes(32 if 9 <= c <= 13 else ord(chr(c).lower()) for c in range(256))
+            return [x + tail for x in self._library([t or "" for t in texts])]
+        cut = [self._spaced(t or "").split(" ") for t in texts]
+        for kept in (self.chunks, self.parts):
+            if len(kept) > KEPT:
+                kept.clear()
+                kept[""] = b""
+        get, lack = self.chunks.__getitem__, self.chunks.keys()
+        self._learn(list(set().union(*cut).difference(lack)))
+        return [b"".join(map(get, chunks)) + tail for chunks in cut]
+
+
+BLANKS = str.maketrans("\t\n\v\f\r", "     ")
 _encoders: dict[tuple[str, bool], Encoder] = {}
 
 
