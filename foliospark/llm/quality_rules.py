@@ -1,6 +1,7 @@
 """Quality rules: base counts, and divergence of character classes and common words from the language's own.
 
-For each language of the corpus a first pass counts character classes and words over all documents that are long enough. A document's
+For each language of the corpus, rows without one being a language of their own, a first pass counts character classes and words over all
+documents that are long enough. A document's
 histograms of classes and of the language's most common words (all other words being one class) are then compared with those by
 Jensen-Shannon distance, the root of the divergence in bits. A short text strays from any reference by chance: a histogram of k
 classes over n draws has an expected divergence of about (k - 1) / (8 n ln 2), which the limit adds to
@@ -13,12 +14,13 @@ from __future__ import annotations
 import math
 from collections import Counter
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from foliospark.llm.common import BLANK, mapped, small_batches, window_hashes, word_hashes, written
+from foliospark.llm.common import BLANK, mapped, sliced, window_hashes, word_hashes, written
 
 
 @dataclass(frozen=True)
@@ -35,6 +37,8 @@ class Rules:
     #: Distances tolerated in texts of any length.
     class_tolerance: float = 0.28
     word_tolerance: float = 0.2
+    #: Languages whose references are sent to tasks at once, about 100 bytes for each common word; more are judged in several passes.
+    languages: int = 1000
 
 
 RULES = Rules()
@@ -95,23 +99,22 @@ def limit(tolerance: float, classes: int, n: float) -> float:
     return math.sqrt(tolerance**2 + (classes - 1) / (8 * n * math.log(2)))
 
 
-def references(docs: DataFrame, rules: Rules = RULES, text_col: str = "text", lang_col: str = "lang") -> dict[str, tuple[list[float], dict[str, int]]]:
-    """For each language: class counts, and its common words with their counts; under the key "" of these the count of all words.
+Reference = dict[str | None, tuple[list[float], dict[str, int]]]
 
-    Counted over all documents with enough words. One pass; words are counted per batch before the shuffle. What reaches the driver is
-    common_words + 1 rows and a class histogram for each language. A null language has no reference.
-    """
+
+def word_counts(docs: DataFrame, rules: Rules = RULES, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """(lang, word, n, c0, c1, ...) over all documents with enough words, written to the shared folder; the classes stand at the null word.
+    One pass; words are counted per batch before the shuffle."""
     import pyarrow as pa
-    from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql import types as T
+    from pyspark.sql.pandas.types import to_arrow_schema
 
-    small_batches(docs.sparkSession)
     schema = T._parse_datatype_string("lang string, word string, n bigint, classes array<double>")
     kinds = to_arrow_schema(schema)
 
     def run(batches):
-        words: dict[str, Counter] = {}
-        classes: dict[str, np.ndarray] = {}
+        words: dict[str | None, Counter] = {}
+        classes: dict[str | None, np.ndarray] = {}
 
         def out() -> pa.RecordBatch:
             rows = [(lang, w.decode("utf-8", "surrogatepass"), n, None) for lang, c in words.items() for w, n in c.items()]
@@ -119,11 +122,11 @@ def references(docs: DataFrame, rules: Rules = RULES, text_col: str = "text", la
             words.clear(), classes.clear()
             return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), kinds)] if rows else [pa.array([], f.type) for f in kinds], names=kinds.names)
 
-        for b in batches:
+        for b in sliced(batches):
             for lang, text in zip(b.column("lang").to_pylist(), b.column("text").to_pylist()):
                 raw = (text or "").encode("utf-8", "surrogatepass")
                 tokens = raw.lower().split()
-                if lang is None or len(tokens) < rules.judged_words:
+                if len(tokens) < rules.judged_words:
                     continue
                 words.setdefault(lang, Counter()).update(tokens)
                 classes[lang] = classes.get(lang, 0) + class_counts(byte_counts(raw))
@@ -134,12 +137,17 @@ def references(docs: DataFrame, rules: Rules = RULES, text_col: str = "text", la
     source = docs.select(F.col(f"`{lang_col}`").cast("string").alias("lang"), F.col(f"`{text_col}`").alias("text"))
     counted = source.mapInArrow(run, schema)
     # sums of classes meet the words in one table, under the null word
-    found = written(counted.groupBy("lang", "word").agg(F.sum("n").alias("n"), *[F.sum(F.col("classes")[k]).alias(f"c{k}") for k in range(CLASSES)]), "word-counts")
+    return written(counted.groupBy("lang", "word").agg(F.sum("n").alias("n"), *[F.sum(F.col("classes")[k]).alias(f"c{k}") for k in range(CLASSES)]), "word-counts")
+
+
+def references(counts: DataFrame, rules: Rules = RULES) -> Reference:
+    """For each language of word_counts: class counts, and its common words with their counts; under the key "" of these the count of all words.
+    What reaches the driver is common_words + 2 rows for each language."""
     # the most common of each slice of a language's words, then the most common of those: no language's words meet in one task
-    words = found.where("word is not null").select("lang", "word", "n", F.pmod(F.xxhash64("word"), F.lit(64)).alias("slice"))
+    words = counts.where("word is not null").select("lang", "word", "n", F.pmod(F.xxhash64("word"), F.lit(64)).alias("slice"))
     top = lambda df, *by: df.withColumn("r", F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("n"), "word"))).where(F.col("r") <= rules.common_words).drop("r")
-    out: dict[str, tuple[list[float], dict[str, int]]] = {}
-    for r in found.where("word is null").collect():
+    out: Reference = {}
+    for r in counts.where("word is null").collect():
         out[r["lang"]] = ([r[f"c{k}"] for k in range(CLASSES)], {})
     for r in top(top(words, "lang", "slice"), "lang").collect():
         out[r["lang"]][1][r["word"]] = r["n"]
@@ -149,7 +157,7 @@ def references(docs: DataFrame, rules: Rules = RULES, text_col: str = "text", la
 
 
 class Judge:
-    def __init__(self, known: dict[str, tuple[list[float], dict[str, int]]], rules: Rules = RULES):
+    def __init__(self, known: Reference, rules: Rules = RULES):
         self.rules, self.known = rules, {}
         for lang, (classes, words) in known.items():
             common = [w for w in words if w]
@@ -165,21 +173,17 @@ class Judge:
         repeated = repeated_words(raw, r.window)
         out = {"n_words": len(words), "word_chars": chars, "n_symbols": int(by_byte[SYMBOLS].sum()), "n_dup_lines": duplicate_lines(raw), "n_repeat_words": repeated, "class_distance": None, "word_distance": None}
         out["base_failed"] = len(words) < r.min_words or 100 * repeated > r.max_repeat * len(words)
-        judged = len(words) >= r.judged_words and chars >= r.judged_chars and self.known
         good = True
-        if judged:
+        if len(words) >= r.judged_words and chars >= r.judged_chars:
+            ref_classes, index, ref_words = self.known[lang]  # a text of so many words is part of it
             counts, found = class_counts(by_byte), Counter(raw.lower().split())
-            best = None
-            for ref_classes, index, ref_words in [self.known[lang]] if lang in self.known else self.known.values():
-                own = np.zeros(len(ref_words))
-                for w, i in index.items():
-                    own[i] = found.get(w, 0)
-                own[-1] = len(words) - own.sum()
-                a, b = distance(counts, ref_classes), distance(own, ref_words)
-                over = max(a - limit(r.class_tolerance, CLASSES, counts.sum()), b - limit(r.word_tolerance, len(ref_words), len(words)))
-                if best is None or over < best[0]:
-                    best = (over, a, b)
-            good, out["class_distance"], out["word_distance"] = best[0] <= 0, best[1], best[2]
+            own = np.zeros(len(ref_words))
+            for w, i in index.items():
+                own[i] = found.get(w, 0)
+            own[-1] = len(words) - own.sum()
+            a, b = distance(counts, ref_classes), distance(own, ref_words)
+            good = a <= limit(r.class_tolerance, CLASSES, counts.sum()) and b <= limit(r.word_tolerance, len(ref_words), len(words))
+            out["class_distance"], out["word_distance"] = a, b
         out["kept"] = good and not out["base_failed"]
         return out
 
@@ -190,19 +194,31 @@ ADDED = "n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint
 def judge(docs: DataFrame, rules: Rules = RULES, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """doc_id, base counts, distances (null where not judged), base_failed and kept for every row.
 
-    Null texts have no words and fail the base rules, as empty ones do. A language that is null or has no reference is judged by the
-    nearest reference. Without any reference only the base rules hold. Repeated rows each get a row.
+    Null texts have no words and fail the base rules, as empty ones do. Rows with a null language are compared with each other. Repeated rows
+    each get a row. An empty table gives an empty result.
     """
-    known = docs.sparkSession.sparkContext.broadcast(references(docs, rules, text_col, lang_col))  # one small entry for each language
+    counts = word_counts(docs, rules, text_col, lang_col)
+    source = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"), F.col(f"`{lang_col}`").cast("string").alias("lang"))
+    known = counts.where("word is null").select("lang")
+    passes = max(1, -(-known.count() // rules.languages))
+    place = lambda: F.pmod(F.xxhash64("lang"), F.lit(passes))
+    while passes > 1 and known.groupBy(place().alias("p")).count().agg(F.max("count")).first()[0] > rules.languages:
+        passes += 1
 
-    def start():
-        own = Judge(known.value, rules)
+    def judged(part: DataFrame, sent) -> DataFrame:
+        def start():
+            own = Judge(sent.value, rules)
 
-        def run(b: dict) -> dict:
-            rows = [own.measure(t, lang) for t, lang in zip(b["text"], b["lang"])]
-            return {k: [r[k] for r in rows] for k in rows[0]} if rows else {x.split()[0]: [] for x in ADDED.split(", ")}
+            def run(b: dict) -> dict:
+                rows = [own.measure(t, lang) for t, lang in zip(b["text"], b["lang"])]
+                return {k: [r[k] for r in rows] for k in rows[0]} if rows else {x.split()[0]: [] for x in ADDED.split(", ")}
 
-        return run
+            return run
 
-    source = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"), F.col(f"`{lang_col}`").cast("string").alias("lang"))
-    return mapped(source, start, ["text", "lang"], ["doc_id"], ADDED)
+        return mapped(part, start, ["text", "lang"], ["doc_id"], ADDED)
+
+    if passes == 1:
+        return judged(source, docs.sparkSession.sparkContext.broadcast(references(counts, rules)))
+    # each row is judged in the pass that has its language
+    parts = [judged(source.where(place() == k), docs.sparkSession.sparkContext.broadcast(references(counts.where(place() == k), rules))) for k in range(passes)]
+    return reduce(DataFrame.unionByName, parts)
