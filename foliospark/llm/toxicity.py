@@ -1,13 +1,13 @@
 """Toxicity with noisy-channel deobfuscation.
 
-Fitting makes one pass over the corpus. It counts every word of every text for a character language model, and, in labelled
-training rows, the documents of either label that hold the word. Words that speak for label 1 form a lexicon with a
+Fitting makes one pass over the corpus, which counts every word of every text for a character language model, and one over the distinct texts
+of labelled training rows, which counts the texts of either label that hold a word. Words that speak for label 1 form a lexicon with a
 probability each.
 
-Scoring looks for disguised words: tokens with digits or symbols among letters, letters dealt out with spaces or dots, and repeated letters.
-Each is a lattice: an observed character may stand for itself, for a letter that it resembles, or for nothing (separators, repeats), at a
-cost. A Viterbi search under the character trigram model gives the likeliest original. Plain and restored words are looked up; the
-score is the noisy-or of the probabilities found.
+Scoring looks for disguised words: tokens with digits or symbols among letters, letters of two scripts in one word, letters dealt out with
+spaces or dots, and repeated letters. Each is a lattice: an observed character may stand for itself, for a letter that it resembles, or for
+nothing (separators, repeats), at a cost. A Viterbi search under the character trigram model gives the likeliest original. The restored text,
+that is the words found as they stand and the restored ones in place of disguises, is scored by the noisy-or of its words' probabilities.
 """
 
 from __future__ import annotations
@@ -17,19 +17,19 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foliospark.llm.common import kept_where, keyed_texts, mapped, small_batches, written
+from foliospark.llm.common import kept_where, keyed_texts, mapped, sliced, written
 
 #: Labelled rows that the lexicon is fitted on, at most: those with the least hash of doc_id. Bounds the broadcast of labels.
 FIT_ROWS = 20_000
-#: A word in p documents of label 1 and n of label 0 has probability (p + PRIOR * STRENGTH) / (p + n + STRENGTH). It enters the lexicon
-#: at LEAST, and if at least PURE of its documents have label 1: words that are in half of them by chance, as in groups of copies, stay out.
-PRIOR, STRENGTH, LEAST, PURE, TOXIC = 0.1, 6.0, 0.5, 0.9, 0.7
-#: Each document of label 1 is shared out among its lexicon words in proportion to the cube of their document counts; a word that gets less than
-#: this part of its documents is explained by the others, as all words of a copied toxic document are, and leaves the lexicon.
+#: A word in p distinct texts of label 1 and n of label 0 has probability (p + PRIOR * STRENGTH) / (p + n + STRENGTH), so that few texts
+#: prove little whatever their labels. It enters the lexicon at LEAST. A text is toxic at TOXIC.
+PRIOR, STRENGTH, LEAST, TOXIC = 0.1, 6.0, 0.4, 0.7
+#: Each text of label 1 is shared out among its lexicon words in proportion to the cube of their counts; a word that gets less than
+#: this part of its texts is explained by the others, as the common words of near copies are, and leaves the lexicon. LEAST and SHARE were chosen
+#: by folds of training rows.
 SHARE = 0.04
 #: Score of a text in which nothing is found.
 CLEAN = 0.02
@@ -39,10 +39,15 @@ RESTORED = 0.97
 LOOKS_LIKE = {
     "0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "gb", "7": "t", "8": "b", "9": "g",
     "@": "a", "$": "s", "!": "il", "|": "il", "+": "t", "(": "c", "€": "e", "£": "l", "¢": "c", "*": "aeiou",
+    "а": "a", "е": "e", "о": "o", "р": "p", "с": "c", "у": "y", "х": "x", "і": "i", "ѕ": "s", "ј": "j", "ο": "o", "α": "a", "ι": "i",
 }
+#: The look-alikes that are letters themselves, and words with one of them beside a letter of ASCII.
+OTHER_SCRIPT = re.compile("[" + "".join(c for c in LOOKS_LIKE if c.isalpha()) + "]")
+TWO_SCRIPTS = re.compile(rf"(?=[^\W\d_]*[a-z])(?=[^\W\d_]*{OTHER_SCRIPT.pattern})[^\W\d_]+")
 SEPARATORS = " .-_*~'·"
 #: Log probabilities of the channel.
 SAME, SUBSTITUTED, DROPPED, REPEATED = math.log(0.9), math.log(0.3), math.log(0.5), math.log(0.4)
+#: Letters whose trigrams are counted. Other letters stand for themselves, each as likely as the floor of the model.
 LETTERS = "abcdefghijklmnopqrstuvwxyzßàáâãäåæçèéêëìíîïðñòóôõöøùúûüýþÿœ"
 WORD = re.compile(r"[^\W\d_]+")
 #: Letters dealt out one by one, or a token of letters with other characters inside or repeats.
@@ -81,20 +86,24 @@ class CharModel:
             x = self.known[g] = math.log(p)
         return x
 
+    @staticmethod
+    def arcs(ch: str, before: str) -> list[tuple[str, float]]:
+        """What a character may stand for (a letter or nothing) after the character before, with log probabilities."""
+        out = [(ch, SAME)] if ch.isalpha() else []
+        out += [(c, SUBSTITUTED - math.log(len(LOOKS_LIKE[ch]))) for c in LOOKS_LIKE.get(ch, "")]
+        if ch == before:
+            out.append(("", REPEATED))
+        elif ch in SEPARATORS or not out:
+            out.append(("", DROPPED))
+        return out
+
     def restore(self, seen: str, cut: bool = False) -> str:
         """The likeliest word behind the characters seen: the best path through the lattice, states being the last two letters. With `cut`,
         a space may also end a word and begin the next; the words are then separated by a space."""
         states = {"^^": (0.0, "")}
         before = ""
         for ch in seen:
-            arcs = []
-            if ch in LETTERS:
-                arcs.append((ch, SAME))
-            arcs += [(c, SUBSTITUTED - math.log(len(LOOKS_LIKE[ch]))) for c in LOOKS_LIKE.get(ch, "")]
-            if ch == before:
-                arcs.append(("", REPEATED))
-            elif ch in SEPARATORS or not arcs:
-                arcs.append(("", DROPPED))
+            arcs = self.arcs(ch, before)
             best: dict[str, tuple[float, str]] = {}
             for state, (cost, path) in states.items():
                 for c, p in arcs:
@@ -128,6 +137,8 @@ class Scorer:
                             yield " ".join(units[i : len(units) - j])
         for t in set(TOKEN.findall(low)):
             yield from self.forms(MANY.sub(r"\1\1\1", t))
+        if OTHER_SCRIPT.search(low):
+            yield from set(TWO_SCRIPTS.findall(low))
 
     @staticmethod
     def forms(token: str) -> set[str]:
@@ -144,7 +155,7 @@ class Scorer:
 
     def words_of(self, t: str) -> list[str]:
         """Words of the lexicon behind a token; a run of letters dealt out is also cut into words."""
-        least = sum(1 for a, b in zip("\0" + t, t) if a != b and b not in SEPARATORS and (b in LETTERS or b in LOOKS_LIKE))
+        least = sum(1 for a, b in zip("\0" + t, t) if a != b and b not in SEPARATORS and (b.isalpha() or b in LOOKS_LIKE))
         spaced = " " in t
         found = [self.restore(t)] if least <= self.longest else []  # a longer one restores to no word of the lexicon
         if spaced:
@@ -185,44 +196,52 @@ def training_rows(labels: DataFrame, id_col: str = "doc_id", label_col: str = "t
     return rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_rows)
 
 
+def columns(word: list[str], **numbers: list):
+    """An Arrow batch of words and numbers."""
+    import pyarrow as pa
+
+    return pa.RecordBatch.from_arrays([pa.array(word, pa.string()), *[pa.array(x, pa.float64() if k == "credit" else pa.int64()) for k, x in numbers.items()]], names=["word", *numbers])
+
+
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", fit_rows: int = FIT_ROWS) -> Scorer:
     """Character model of the whole corpus, and lexicon from at most fit_rows labelled rows outside the held-out third.
 
-    What reaches the driver is bounded: trigrams over LETTERS (60^3 at most), and words with enough documents of label 1 among fit_rows.
-    Without labels or texts the lexicon is empty.
+    What reaches the driver is bounded: trigrams over LETTERS (60^3 at most), and words with enough texts of label 1 among fit_rows.
+    Equal texts count once, with the larger label. Without labels or texts the lexicon is empty.
     """
-    small_batches(docs.sparkSession)
     texts = keyed_texts(docs, id_col, text_col)
-    train = training_rows(labels, fit_rows=fit_rows).withColumnRenamed("doc_id", "__id")
-    joined = texts.join(F.broadcast(train), texts["doc_id"] == train["__id"], "left").select("text", "label")  # fit_rows rows of 16 bytes at most
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def count(batches):
         n: Counter = Counter()
-        by: tuple[Counter, Counter] = (Counter(), Counter())
-
-        def out() -> pd.DataFrame:
-            words = list(n)
-            return pd.DataFrame({"word": words, "n": [n[w] for w in words], "neg": [by[0][w] for w in words], "pos": [by[1][w] for w in words]})
-
-        for b in batches:
-            for text, label in zip(b["text"], b["label"]):
-                words = WORD.findall((text or "").lower())
-                n.update(words)
-                if label == 0 or label == 1:
-                    by[int(label)].update(set(words))
-            if len(n) > 200_000:
-                yield out()
-                n.clear(), by[0].clear(), by[1].clear()
-        yield out()
-
-    words = written(joined.mapInPandas(count, "word string, n bigint, neg bigint, pos bigint").groupBy("word").agg(F.sum("n").alias("n"), F.sum("neg").alias("neg"), F.sum("pos").alias("pos")), "words")
+        for b in sliced(batches):
+            for text in b.column("text").to_pylist():
+                n.update(WORD.findall((text or "").lower()))
+                if len(n) > 200_000:
+                    yield columns(word=list(n), n=list(n.values()))
+                    n.clear()
+        yield columns(word=list(n), n=list(n.values()))
+
+    words = written(texts.select("text").mapInArrow(count, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n")), "words")
     grams = words.where(F.col("word").rlike(f"^[{LETTERS}]+$")).withColumn("w", F.concat(F.lit("^^"), "word", F.lit("^")))
     grams = grams.select(F.explode(F.expr("transform(sequence(1, length(w) - 2), i -> substring(w, i, 3))")).alias("g"), "n").groupBy("g").agg(F.sum("n").alias("n"))
+
+    train = training_rows(labels, fit_rows=fit_rows).withColumnRenamed("doc_id", "__id")
+    joined = texts.join(F.broadcast(train), texts["doc_id"] == train["__id"]).select("text", "label")  # fit_rows rows of 16 bytes at most
+    sample = written(joined.groupBy("text").agg(F.max("label").alias("label")), "labelled")
+
+    def by_label(batches):
+        by: tuple[Counter, Counter] = (Counter(), Counter())
+        for b in sliced(batches):
+            for text, label in zip(b.column("text").to_pylist(), b.column("label").to_pylist()):
+                by[label > 0].update(set(WORD.findall((text or "").lower())))
+        every = list(by[0].keys() | by[1].keys())
+        yield columns(word=every, neg=[by[0][w] for w in every], pos=[by[1][w] for w in every])
+
     p = f"(pos + {PRIOR * STRENGTH}) / (pos + neg + {STRENGTH})"
-    found = words.where(f"pos >= {PURE} * (pos + neg) and {p} >= {LEAST}").select("word", "pos", F.expr(p).cast("double").alias("p")).collect()
+    counted = sample.mapInArrow(by_label, "word string, neg bigint, pos bigint").groupBy("word").agg(F.sum("neg").alias("neg"), F.sum("pos").alias("pos"))
+    found = counted.where(f"pos > 0 and {p} >= {LEAST}").select("word", "pos", F.expr(p).cast("double").alias("p")).collect()
     pos = {r["word"]: r["pos"] for r in found}
-    toxic = texts.join(F.broadcast(train.where("label = 1")), texts["doc_id"] == train["__id"]).select("text")
-    due = credits(toxic, pos)
+    due = credits(sample.where("label = 1").select("text"), pos)
     return Scorer({r["g"]: r["n"] for r in grams.collect()}, {r["word"]: r["p"] for r in found if due.get(r["word"], 0.0) >= SHARE * r["pos"]})
 
 
@@ -230,17 +249,17 @@ def credits(toxic: DataFrame, pos: dict[str, int]) -> dict[str, float]:
     """For each word of pos, the sum of its shares of the documents that hold it."""
     sent = toxic.sparkSession.sparkContext.broadcast(pos)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches):
         known, due = sent.value, Counter()
-        for b in batches:
-            for text in b["text"]:
+        for b in sliced(batches):
+            for text in b.column("text").to_pylist():
                 own = known.keys() & set(WORD.findall((text or "").lower()))
                 whole = sum(known[w] ** 3 for w in own)
                 for w in own:
                     due[w] += known[w] ** 3 / whole
-        yield pd.DataFrame({"word": list(due), "credit": list(due.values())})
+        yield columns(word=list(due), credit=list(due.values()))
 
-    rows = toxic.mapInPandas(run, "word string, credit double").groupBy("word").agg(F.sum("credit").alias("credit"))
+    rows = toxic.mapInArrow(run, "word string, credit double").groupBy("word").agg(F.sum("credit").alias("credit"))
     return {r["word"]: r["credit"] for r in rows.collect()} if pos else {}
 
 
