@@ -30,15 +30,15 @@ def _distance_sql(own: str, ref: str) -> str:
 
 
 OP1_SQL = rf"""
-WITH d AS (SELECT doc_id, lang, coalesce(text, '') AS t FROM documents),
+WITH d AS (SELECT doc_id, coalesce('of ' || lang, 'none') AS lang, coalesce(text, '') AS t FROM documents),
 w AS (SELECT doc_id, lang, t, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS ws, regexp_extract_all(translate(t, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS lw,
  [len(regexp_extract_all(t, '[a-z]')), len(regexp_extract_all(t, '[A-Z]')), len(regexp_extract_all(t, '[0-9]')), len(regexp_extract_all(t, '[\x20\x09-\x0D]')), len(regexp_extract_all(t, '[.,;:!?]')), len(regexp_extract_all(t, '[''"()\[\]{{}}-]')), len(regexp_extract_all(t, '[^\x00-\x7F]'))] AS c7 FROM d),
 c AS (SELECT *, CAST(len(ws) AS BIGINT) AS n_words, [c7[1], c7[2], c7[3], c7[4], c7[5], c7[6], length(t) - list_sum(c7), c7[7]] AS cc FROM w),
 dup AS (SELECT doc_id, count(*) - count(DISTINCT l) AS n FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS l FROM d) WHERE regexp_matches(l, '[^\x20\x09-\x0D]') GROUP BY doc_id),
 win AS (SELECT doc_id, i, array_to_string(ws[i : i + 7], ' ') AS p FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 6)) AS i FROM c)),
 rep AS (SELECT doc_id, count(DISTINCT k) AS n FROM (SELECT doc_id, unnest(range(i, i + 8)) AS k FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, p) AS m FROM win) WHERE m > 1) GROUP BY doc_id),
-rc AS (SELECT lang, [{', '.join(f'sum(cc[{k}])' for k in range(1, 9))}] AS rc FROM c WHERE n_words >= 50 AND lang IS NOT NULL GROUP BY lang),
-wc AS (SELECT lang, x, count(*) AS n FROM (SELECT lang, unnest(lw) AS x FROM c WHERE n_words >= 50 AND lang IS NOT NULL) GROUP BY lang, x),
+rc AS (SELECT lang, [{', '.join(f'sum(cc[{k}])' for k in range(1, 9))}] AS rc FROM c WHERE n_words >= 50 GROUP BY lang),
+wc AS (SELECT lang, x, count(*) AS n FROM (SELECT lang, unnest(lw) AS x FROM c WHERE n_words >= 50) GROUP BY lang, x),
 top AS (SELECT lang, list(x ORDER BY n DESC, x) AS xs, list(n ORDER BY n DESC, x) AS ns FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY n DESC, x) AS r FROM wc) WHERE r <= 40 GROUP BY lang),
 total AS (SELECT lang, sum(n) AS n FROM wc GROUP BY lang),
 ref AS (SELECT lang, xs, list_append(ns, CAST(total.n - list_sum(ns) AS BIGINT)) AS rw, rc FROM top JOIN rc USING (lang) JOIN total USING (lang)),
@@ -79,8 +79,8 @@ def op5_capture_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 OP5_SQL = """
 WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS n, sha256(coalesce(html, '')) AS d FROM pages),
 f AS (SELECT d, min(page_id) AS first FROM p WHERE n >= 100 GROUP BY d)
-SELECT page_id, n AS payload_bytes, p.d AS payload_digest, CASE WHEN n >= 100 AND page_id <> first THEN 'revisit' ELSE 'response' END AS record_type,
- CASE WHEN n >= 100 AND page_id <> first THEN first END AS refers_to
+SELECT page_id, n AS payload_bytes, p.d AS payload_digest, CASE WHEN n >= 100 AND first IS NOT NULL AND page_id IS DISTINCT FROM first THEN 'revisit' ELSE 'response' END AS record_type,
+ CASE WHEN n >= 100 AND first IS NOT NULL AND page_id IS DISTINCT FROM first THEN first END AS refers_to
 FROM p LEFT JOIN f ON p.d = f.d
 """
 
