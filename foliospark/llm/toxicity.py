@@ -16,6 +16,7 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -87,6 +88,7 @@ class CharModel:
         return x
 
     @staticmethod
+    @lru_cache(100_000)
     def arcs(ch: str, before: str) -> list[tuple[str, float]]:
         """What a character may stand for (a letter or nothing) after the character before, with log probabilities."""
         out = [(ch, SAME)] if ch.isalpha() else []
@@ -122,7 +124,14 @@ class CharModel:
 class Scorer:
     def __init__(self, trigrams: dict[str, int], lexicon: dict[str, float]):
         self.model, self.lexicon, self.restored = CharModel(trigrams), lexicon, {}
-        self.longest = max(map(len, lexicon), default=0)
+        self.tree: dict = {}
+        for w in lexicon:
+            node = self.tree
+            for c in w:
+                node = node.setdefault(c, {})
+            node[""] = {}
+        #: How a token of letters alone begins if a word of the lexicon may be behind it.
+        self.begins = {w[:2] for w in lexicon} | {w[0] * 2 for w in lexicon}
 
     def disguised(self, low: str) -> Iterator[str]:
         """Tokens that may hide a word; of letters dealt out, also the parts between wide gaps, and all without a first or last letter that
@@ -136,7 +145,11 @@ class Scorer:
                         if len(units) - i - j > 2:
                             yield " ".join(units[i : len(units) - j])
         for t in set(TOKEN.findall(low)):
-            yield from self.forms(MANY.sub(r"\1\1\1", t))
+            core = t.strip(EDGE)
+            if not core.isalpha():
+                yield from self.forms(MANY.sub(r"\1\1\1", t))
+            elif core[:2] in self.begins and RUN.search(core):
+                yield MANY.sub(r"\1\1\1", core)
         if OTHER_SCRIPT.search(low):
             yield from set(TWO_SCRIPTS.findall(low))
 
@@ -155,13 +168,29 @@ class Scorer:
 
     def words_of(self, t: str) -> list[str]:
         """Words of the lexicon behind a token; a run of letters dealt out is also cut into words."""
-        least = sum(1 for a, b in zip("\0" + t, t) if a != b and b not in SEPARATORS and (b.isalpha() or b in LOOKS_LIKE))
         spaced = " " in t
-        found = [self.restore(t)] if least <= self.longest else []  # a longer one restores to no word of the lexicon
+        if not self.reachable(t, spaced):
+            return []
+        found = [self.restore(t)]
         if spaced:
             found += self.model.restore(t, True).split(" ")
         return [w for w in found if w in self.lexicon]
 
+    def reachable(self, t: str, cut: bool) -> bool:
+        """Whether any path through the token's lattice spells a word of the lexicon; where none does, the best one cannot."""
+        nodes, before = [self.tree], ""
+        for ch in t:
+            if cut and ch == " ":
+                if any("" in n for n in nodes):
+                    return True
+                nodes.append(self.tree)
+            elif not nodes and not cut:
+                return False
+            arcs = self.model.arcs(ch, before)
+            now = {id(n[c] if c else n): n[c] if c else n for n in nodes for c, _ in arcs if not c or c in n}
+            nodes, before = list(now.values()), ch
+        return any("" in n for n in nodes)
+
     def restore(self, t: str) -> str:
         if (x := self.restored.get(t)) is None:
             if len(self.restored) > KEPT:
