@@ -1,4 +1,8 @@
-"""Entities that are found by pattern in page text. Each builder takes a text column and gives an array of keys, in order, repeats included."""
+"""Entities that are found by pattern in page text. Each builder takes a text column and gives an array of keys, in order, repeats included.
+
+Most pages hold no entity of a kind. A cheap test that every page with one passes comes first, so that the pattern with its look-arounds is
+only tried on the others.
+"""
 
 from __future__ import annotations
 
@@ -7,6 +11,7 @@ from pyspark.sql import functions as F
 
 from foliospark.functions.text import EDGE, WS
 
+#: Patterns of the entities (fixed values, but for the boundaries).
 COMPANY = f"{EDGE}[0-9]{{9}}{EDGE}"
 IBAN = f"{EDGE}[A-Z]{{2}}[0-9]{{2}}[A-Z0-9]{{11,30}}{EDGE}"
 EMAIL = f"{EDGE}[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\\.[A-Za-z]{{2,}}{EDGE}"
@@ -18,24 +23,24 @@ PHONE = (
 )
 
 
-def found(text: Column, pattern: str) -> Column:
-    return F.coalesce(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.array().cast("array<string>"))
+def found(text: Column, pattern: str, may: Column) -> Column:
+    return F.when(may, F.regexp_extract_all(text, F.lit(pattern), F.lit(0))).otherwise(F.array().cast("array<string>"))
 
 
 def company_codes(text: Column) -> Column:
-    return found(text, COMPANY)
+    return found(text, COMPANY, text.rlike("[0-9]{9}"))
 
 
 def ibans(text: Column) -> Column:
-    return found(text, IBAN)
+    return found(text, IBAN, text.rlike("[0-9]{2}[A-Z0-9]{11}"))
 
 
 def emails(text: Column) -> Column:
-    return found(text, EMAIL)
+    return found(text, EMAIL, text.contains("@"))
 
 
 def links(text: Column) -> Column:
-    return found(text, LINK)
+    return found(text, LINK, text.contains("://") | text.contains("mailto:") | text.contains("tel:"))
 
 
 def phone(raw: Column) -> Column:
@@ -51,7 +56,7 @@ def phone(raw: Column) -> Column:
 
 
 def phones(text: Column) -> Column:
-    return F.filter(F.transform(found(text, PHONE), phone), lambda x: x.isNotNull())
+    return F.filter(F.transform(found(text, PHONE, text.rlike(f"(?:[0-9]{GAP}){{8}}")), phone), lambda x: x.isNotNull())
 
 
 KINDS = {"company_code": company_codes, "iban": ibans, "phone": phones, "link": links, "email": emails}

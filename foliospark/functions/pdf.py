@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+#: The date pattern of the PDF format (fixed value).
 DATE = r"^D:(\d{4})(\d{2})?(\d{2})?(\d{2})?(\d{2})?(\d{2})?([Z+-])?(\d{2})?'?(\d{2})?'?"
 #: Names of the annotation flags, lowest bit first (fixed values).
 FLAGS = ["Invisible", "Hidden", "Print", "NoZoom", "NoRotate", "NoView", "ReadOnly", "Locked", "ToggleNoView", "LockedContents"]
 #: Annotation types by number, from 1 (fixed values).
 TYPES = ["TEXT", "LINK", "FREETEXT", "LINE", "SQUARE", "CIRCLE", "POLYGON", "POLYLINE", "HIGHLIGHT", "UNDERLINE", "SQUIGGLY", "STRIKEOUT", "STAMP", "CARET", "INK", "POPUP", "FILEATTACHMENT", "SOUND", "MOVIE", "WIDGET", "SCREEN", "PRINTERMARK", "TRAPNET", "WATERMARK", "THREED", "REDACT"]
+#: Border styles by number, from 0 (fixed values).
 STYLES = ["solid", "dashed", "solid", "inset", "none"]
 
 
@@ -72,4 +74,5 @@ def annotation(raw: dict[str, Column]) -> dict[str, Column]:
         "flags": flags(get("annotationFlags", "long")),
         "title": F.coalesce(get("titleText"), F.lit("")),
         "annotationType": type_name(get("annotationType", "int")),
+        "borderStyle": border(get("borderWidth", "int"), get("borderStyle", "int")),
     }

@@ -1,7 +1,7 @@
 """Twelve weighted criteria of text quality, for Lithuanian and English text from documents.
 
 Words are the runs left when all that is no letter or digit becomes a space; an empty text has one word, the empty one. Every measure is
-a count of pattern matches, so that a score is plain arithmetic inside generated code; one pass gives all of them.
+made of counts of pattern matches, so that a score is plain arithmetic inside generated code.
 """
 
 from __future__ import annotations
@@ -9,12 +9,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from foliospark.functions.text import WS, trim, utf16_length
+from foliospark.functions.text import ASTRAL, WS, utf16_length
 
 #: Letters that the criteria count as Lithuanian (fixed values; they leave out one letter with its capital).
 LITHUANIAN = "ąčęėįšūžĄČĘĖĮŠŪŽ"
 CAPITALS = "A-ZĄČĘĖĮŠŲŪŽ"
 JUNK = r"[@#$%^&*_=+\[\]{}|~<>]"
+#: Weights of the criteria (fixed values).
 WEIGHTS = {
     "word_length": 1.0,
     "diacritics": 2.0,
@@ -35,10 +36,15 @@ def n(text: Column, pattern: str) -> Column:
     return F.regexp_count(text, F.lit(pattern)).cast("double")
 
 
-def words_of(text: Column, kept: str = "") -> Column:
-    """The words, joined by single spaces. Letters beyond the Basic Multilingual Plane count as two, as their UTF-16 units do."""
-    twice = F.regexp_replace(text, r"[\x{10000}-\x{10FFFF}&&[\p{L}\p{N}]]", "xx")
-    return F.trim(F.regexp_replace(twice, rf"[^\p{{L}}\p{{N}}{kept}]+", " "))
+def flat(text: Column) -> Column:
+    """Text in which letters and digits beyond the Basic Multilingual Plane are two characters of it, as their UTF-16 units are two."""
+    two = F.regexp_replace(F.regexp_replace(text, r"[\x{10000}-\x{10FFFF}&&\p{L}]", "øø"), r"[\x{10000}-\x{10FFFF}&&\p{N}]", "٠٠")
+    return F.when(text.rlike(ASTRAL), two).otherwise(text)
+
+
+def words_of(flat_text: Column, kept: str = "") -> Column:
+    """The words, joined by single spaces."""
+    return F.trim(F.regexp_replace(flat_text, rf"[^\p{{L}}\p{{N}}{kept}]+", " "))
 
 
 def falling(r: Column, good: float, bad: float, span: float | None = None) -> Column:
@@ -46,41 +52,72 @@ def falling(r: Column, good: float, bad: float, span: float | None = None) -> Co
     return F.when(r <= good, 1.0).when(r >= bad, 0.0).otherwise((F.lit(bad) - r) / F.lit(bad - good if span is None else span))
 
 
-def measures(text: Column, words: Column, dashed: Column) -> dict[str, Column]:
-    """The ratio, mean or percentage that each criterion judges, from a text, its words, and its words with dashes kept."""
-    count = F.length(words) - F.length(F.replace(words, F.lit(" "), F.lit(""))) + 1.0
-    size = utf16_length(text).cast("double")
-    letters = utf16_length(F.regexp_replace(text, r"\P{L}+", "")).cast("double")
-    lithuanian = n(text, f"[{LITHUANIAN}]")
-    long3, dashed3 = n(words, "[^ ]{3,}"), n(dashed, "[^ ]{3,}")
-    inner = n(words, f"(?<![^ ])[^ ](?=[^ ]*[{CAPITALS}][^ ])[^ ]+")
-    digits = n(dashed, "(?<![^ ])(?![^ ]*[–—-])(?!(?:[^ ]*[0-9]){3})[^ ](?=[^ ]*[0-9][^ ])[^ ]+")
+#: A letter or digit other than 0 to 9, and a word with one or two digits, one of them neither first nor last, and no dash.
+OTHER = "[^ 0-9–—-]"
+INNER_DIGIT = f" (?:{OTHER}++[0-9](?:{OTHER}++|{OTHER}*+[0-9]{OTHER}*+)|[0-9]{OTHER}*+[0-9]{OTHER}++)(?![^ ])"
+
+
+def counts(text: Column, words: Column, dashed: Column) -> dict[str, Column]:
+    """What the measures are made of, each found once. Words are joined by spaces, with one in front as well, so that a search for
+    words begins at a space; other searches begin at the character that is rarest."""
+    letters_digits = F.length(F.replace(words, F.lit(" "), F.lit(""))).cast("double")
+    return {
+        "size": utf16_length(text).cast("double"),
+        "count": F.greatest(F.lit(1.0), F.length(words) - letters_digits),
+        "chars": letters_digits,
+        "numbers": n(words, r"\p{N}"),
+        "foreign": n(words, "[^ a-zA-Z0-9]"),
+        "lithuanian": n(text, f"[{LITHUANIAN}]"),
+        "junk": n(text, JUNK),
+        "marks": n(text, "[.!?]"),
+        "upper": n(words, r"\p{Lu}(?<= .)"),
+        "over1": n(words, " [^ ]{2}"),
+        "over2": n(words, " [^ ]{3}"),
+        "over3": n(words, " [^ ]{4}"),
+        "over20": n(words, " [^ ]{21}"),
+        "inner": n(words, f"[{CAPITALS}](?<=[^ ].)(?=[^ ])[^ ]*"),
+        "dashed2": n(dashed, " [^ ]{3}"),
+        "digits": n(dashed, INNER_DIGIT),
+        "filled": F.when(text.rlike(f"[^{WS}]"), 1.0).otherwise(0.0),
+    }
+
+
+def measures(c: dict[str, Column]) -> dict[str, Column]:
+    """The ratio, mean or percentage that each criterion judges, from the counts."""
+    ratio = lambda x, y: F.when(y > 0, x / F.nullif(y, F.lit(0.0)))
     return {
-        "word_length": F.length(F.replace(words, F.lit(" "), F.lit(""))).cast("double") / count,
-        "diacritics": F.when(letters > 0, lithuanian / F.nullif(letters, F.lit(0.0))),
-        "junk_symbols": F.when(size > 0, n(text, JUNK) / F.nullif(size, F.lit(0.0))),
-        "capitalised": n(words, r"(?<![^ ])\p{Lu}") / count,
-        "sentence_marks": n(text, "[.!?]") / count,
-        "long_words": n(words, "[^ ]{21,}") / count,
-        "short_words": (count - n(words, "[^ ]{4,}")) / count,
-        "plain_letters": F.when(size > 0, (F.length(F.regexp_replace(text, "[^a-zA-Z0-9]+", "")) + lithuanian) / F.nullif(size, F.lit(0.0))),
-        "single_letters": (F.when(words == "", 0.0).otherwise(count) - n(words, "[^ ]{2,}")) / count,
-        "inner_capitals": F.when(long3 > 0, inner / F.nullif(long3, F.lit(0.0)) * 100.0),
-        "inner_digits": F.when(dashed3 > 0, digits / F.nullif(dashed3, F.lit(0.0)) * 100.0),
-        "not_empty": F.length(trim(text)).cast("double"),
+        "word_length": c["chars"] / c["count"],
+        "diacritics": ratio(c["lithuanian"], c["chars"] - c["numbers"]),
+        "junk_symbols": ratio(c["junk"], c["size"]),
+        "capitalised": c["upper"] / c["count"],
+        "sentence_marks": c["marks"] / c["count"],
+        "long_words": c["over20"] / c["count"],
+        "short_words": (c["count"] - c["over3"]) / c["count"],
+        "plain_letters": ratio(c["chars"] - c["foreign"] + c["lithuanian"], c["size"]),
+        "single_letters": (F.when(c["chars"] == 0, 0.0).otherwise(c["count"]) - c["over1"]) / c["count"],
+        "inner_capitals": ratio(c["inner"], c["over2"]) * 100.0,
+        "inner_digits": ratio(c["digits"], c["dashed2"]) * 100.0,
+        "not_empty": c["filled"],
     }
 
 
 def with_measures(df: DataFrame, text_col: str, prefix: str) -> DataFrame:
     """df with a column prefix_<criterion> for each measure of a text column.
 
-    The words, and then the measures, are columns of their own: each is used more than once further up, so that Catalyst keeps the steps
-    apart, evaluates each pattern once, and prunes the measures that nobody asks for.
+    The words, then the counts, then the measures are columns of their own: what is used more than once further up is kept apart by Catalyst, so
+    that each pattern is evaluated once, and what nobody asks for is pruned.
     """
+    own = df.columns
+    at = lambda k: F.col(f"{prefix}__{k}")
     text = F.col(text_col)
-    cut = df.withColumns({f"{prefix}__words": words_of(text), f"{prefix}__dashed": words_of(text, "–—-")})
-    made = measures(text, F.col(f"{prefix}__words"), F.col(f"{prefix}__dashed"))
-    return cut.withColumns({f"{prefix}_{k}": v for k, v in made.items()}).drop(f"{prefix}__words", f"{prefix}__dashed")
+    padded = lambda c: F.concat(F.lit(" "), c)
+    df = df.withColumn(f"{prefix}__flat", flat(text))
+    df = df.withColumn(f"{prefix}__words", padded(words_of(at("flat"))))
+    df = df.withColumn(f"{prefix}__dashed", F.when(at("flat").rlike("[–—-]"), padded(words_of(at("flat"), "–—-"))).otherwise(at("words")))
+    found = counts(text, at("words"), at("dashed"))
+    df = df.withColumns({f"{prefix}__{k}": v for k, v in found.items()})
+    made = measures({k: at(k) for k in found})
+    return df.select(*[F.col(f"`{c}`") for c in own], *[v.alias(f"{prefix}_{k}") for k, v in made.items()])
 
 
 def scores(prefix: str, text: Column) -> dict[str, Column]:
@@ -114,9 +151,14 @@ def with_total(df: DataFrame, text_col: str, out: str) -> DataFrame:
     return with_measures(df, text_col, f"{out}__m").withColumn(out, whole).drop(*[f"{out}__m_{k}" for k in WEIGHTS])
 
 
+def first_is_better(a: Column, a_total: Column, b: Column, b_total: Column) -> Column:
+    """Whether the first of two texts stands: it has the higher total or they are equal, or the second is null or empty and the first is not."""
+    no = lambda c: c.isNull() | (c == "")
+    return F.when(no(b), True).when(no(a), False).otherwise(F.round(a_total, 9) >= F.round(b_total, 9))
+
+
 def with_better(df: DataFrame, a: str, b: str, out: str) -> DataFrame:
     """df with the text of the higher total of two columns, the first if they are equal; where one is null or empty, the other."""
-    no = lambda c: F.col(c).isNull() | (F.col(c) == "")
     both = with_total(with_total(df, a, f"{out}__a"), b, f"{out}__b")
-    first = F.round(f"{out}__a", 9) >= F.round(f"{out}__b", 9)
-    return both.withColumn(out, F.when(no(b), F.col(a)).when(no(a), F.col(b)).when(first, F.col(a)).otherwise(F.col(b))).drop(f"{out}__a", f"{out}__b")
+    first = first_is_better(F.col(a), F.col(f"{out}__a"), F.col(b), F.col(f"{out}__b"))
+    return both.withColumn(out, F.when(first, F.col(a)).otherwise(F.col(b))).drop(f"{out}__a", f"{out}__b")

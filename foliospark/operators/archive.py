@@ -24,8 +24,3 @@ def flattened(rows: DataFrame) -> DataFrame:
     from pyspark.sql import Window
 
     return rows.withColumn("rank", F.row_number().over(Window.partitionBy("doc_id").orderBy(F.split("path", "/"))))
-
-
-def children_json(rows: DataFrame) -> DataFrame:
-    """(doc_id, parent_path, children): the names under each folder as a JSON list; nesting is by parent_path, as rows cannot recurse."""
-    return rows.groupBy("doc_id", "parent_path").agg(F.to_json(F.array_sort(F.collect_list(F.struct("name", "is_directory")))).alias("children"))

@@ -6,19 +6,28 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from foliospark.functions import quality
+from foliospark.functions.text import collapse
 
 
-def with_alternatives(pages: DataFrame, alternatives: DataFrame) -> DataFrame:
-    """pages (doc_id, page, text), each replaced by the alternative of its number if that is the better text. Further alternatives are ignored."""
-    other = alternatives.select("doc_id", "page", F.col("text").alias("other"))
-    joined = pages.select("doc_id", "page", "text").join(other, ["doc_id", "page"], "left")
-    return quality.with_better(joined, "text", "other", "best").select("doc_id", "page", F.when(F.coalesce("other", F.lit("")) == "", F.col("text")).otherwise(F.col("best")).alias("text"))
+def scored(pages: DataFrame) -> DataFrame:
+    """pages with their `total`, unless they have it."""
+    return pages if "total" in pages.columns else quality.with_total(pages, "text", "total")
+
+
+def with_alternatives(pages: DataFrame, alternatives: DataFrame, collapsed: bool = False) -> DataFrame:
+    """pages (doc_id, page, text), each replaced by the alternative of its number if that is the better text; its runs of white space become one
+    space if `collapsed`. Further alternatives are ignored. Texts are scored before the join, or not at all where a column `total` is there."""
+    other = scored(alternatives.where("text <> ''")).select("doc_id", "page", F.col("text").alias("other"), F.col("total").alias("other_total"))
+    joined = scored(pages).select("doc_id", "page", "text", "total").join(other, ["doc_id", "page"], "left")
+    first = quality.first_is_better(F.col("text"), F.col("total"), F.col("other"), F.col("other_total"))
+    return joined.select("doc_id", "page", F.when(first, F.col("text")).otherwise(collapse(F.col("other")) if collapsed else F.col("other")).alias("text"))
 
 
 def merged(a: DataFrame, b: DataFrame) -> DataFrame:
     """The better text of each page number of either side. Where both are empty the page is left out, and later ones move up."""
     one = lambda df, x, y: df.select("doc_id", "page", F.col("text").alias(x), F.lit(None).cast("string").alias(y))
     both = one(a, "a", "b").unionByName(one(b, "b", "a")).groupBy("doc_id", "page").agg(F.max("a").alias("a"), F.max("b").alias("b"))
-    chosen = quality.with_better(both, "a", "b", "text").select("doc_id", "page", "text").where("text is not null and text <> ''")
+    some = both.where("coalesce(a, '') <> '' or coalesce(b, '') <> ''")  # a filter on the choice itself would evaluate all of it twice
+    chosen = quality.with_better(some, "a", "b", "text").select("doc_id", "page", "text")
     lists = chosen.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("page", "text"))).alias("l"))
     return lists.select("doc_id", F.posexplode("l").alias("p", "x")).select("doc_id", (F.col("p") + 1).alias("page"), F.col("x.text").alias("text"))

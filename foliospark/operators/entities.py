@@ -22,12 +22,6 @@ def hits(pages: DataFrame, kinds: list[str] | None = None) -> DataFrame:
     return pages.select("doc_id", "page", F.explode(found).alias("h")).select("doc_id", "h.kind", "h.key", "page", "h.pos")
 
 
-def with_mail_links(found: DataFrame) -> DataFrame:
-    """hits, with the address of each mailto: link as an e-mail of its page beside the link itself."""
-    mail = found.where((F.col("kind") == "link") & F.lower("key").startswith("mailto:"))
-    return found.unionByName(mail.withColumns({"kind": F.lit("email"), "key": F.substring("key", 8, 1 << 20)}))
-
-
 def grouped(found: DataFrame) -> DataFrame:
     """(doc_id, kind, key, pages): distinct pages in ascending order. One shuffle, with partial aggregation before it."""
     return found.groupBy("doc_id", "kind", "key").agg(F.array_sort(F.collect_set("page")).alias("pages"))
@@ -48,28 +42,45 @@ def _host_rules(hosts: pd.Series) -> pd.Series:
     return hosts.map(patterns.whatwg_host)
 
 
-def hosts(found: DataFrame) -> DataFrame:
-    """(doc_id, domain) of links and e-mail addresses, distinct. Hosts of plain letters stay with built-in functions; the few that need
-    IDNA or number rules go through Arrow after they are made distinct."""
+def with_domain(found: DataFrame) -> DataFrame:
+    """hits with `domain`: the host of links, and what follows the @ of e-mail addresses with one. Hosts of plain letters stay with built-in
+    functions; the few that need IDNA or number rules go through Arrow, the others as nulls."""
     host = F.when(F.col("kind") == "link", patterns.ascii_host(F.col("key")))
-    mail = F.when((F.col("kind") == "email") & (F.size(F.split("key", "@")) == 2), F.regexp_replace(F.substring_index("key", "@", -1), "^www\\.", ""))
-    own = found.where(F.col("kind").isin("link", "email")).select("doc_id", "kind", F.coalesce(host, mail).alias("domain")).where("domain is not null and domain <> ''").distinct()
-    plain = (F.col("kind") == "email") | F.col("domain").rlike("^[a-z0-9._-]*[a-z_-][.]?$")
-    other = own.where(~plain).select("doc_id", _host_rules("domain").alias("domain")).where("domain is not null")
-    return own.where(plain).select("doc_id", "domain").unionByName(other).distinct()
+    mail = F.when((F.col("kind") == "email") & (F.size(F.split("key", "@")) == 2), F.nullif(F.regexp_replace(F.substring_index("key", "@", -1), "^www\\.", ""), F.lit("")))
+    odd = F.when(~F.col("__host").rlike("^[a-z0-9._-]*[a-z_-][.]?$"), F.col("__host"))
+    ruled = found.withColumn("__host", host).withColumn("__odd", odd).withColumn("__ruled", _host_rules("__odd"))
+    return ruled.withColumn("domain", F.coalesce(F.when(F.col("__odd").isNull(), F.col("__host")).otherwise(F.col("__ruled")), mail)).drop("__host", "__odd", "__ruled")
 
 
-def annotation_hits(links: DataFrame) -> DataFrame:
-    """Link annotations (doc_id, page, uri) as hits, behind those of the page's text. Blank addresses are left out."""
-    uri = F.trim("uri")
-    return links.where(uri != "").select("doc_id", F.lit("link").alias("kind"), uri.alias("key"), F.col("page").cast("int").alias("page"), F.lit(1 << 30).alias("pos"))
+def hosts(found: DataFrame) -> DataFrame:
+    """(doc_id, domain) of links and e-mail addresses, distinct."""
+    return with_domain(found).where("domain is not null").select("doc_id", "domain").distinct()
 
 
-def everything(pages: DataFrame, annotation_links: DataFrame | None = None) -> DataFrame:
-    """(doc_id, kind, key, pages) of all kinds, mailto: addresses merged into e-mails; domains, of the text alone, as a kind without pages.
-    Link annotations (doc_id, page, uri) join the links of the text."""
-    found = written(hits(pages), "hits")  # three results come from it; the text is searched once
-    domains = hosts(found).select("doc_id", F.lit("domain").alias("kind"), F.col("domain").alias("key"), F.array().cast("array<int>").alias("pages"))
+def annotation_hits(links: DataFrame) -> DataFrame:
+    """Link annotations (doc_id, page, uri) as hits. Blank addresses are left out."""
+    uri = F.trim("uri")
+    return links.where(uri != "").select("doc_id", F.lit("link").alias("kind"), uri.alias("key"), F.col("page").cast("int").alias("page"), F.lit(0).alias("pos"))
+
+
+def everything(pages: DataFrame, annotation_links: DataFrame | None = None, fields: DataFrame | None = None) -> DataFrame:
+    """(doc_id, kind, key, pages, first) of all kinds; the addresses of mailto: links are e-mails as well, and domains, of the text alone, a kind without
+    pages. Link annotations (doc_id, page, uri) join the links of the text; `fields` (doc_id, page, text) are searched like pages and come before
+    them. Entities of one kind are in the order of first appearance by `first`, addresses of links before others, domains in that of their names.
+
+    Each text is searched once; its hits, few as they are, are written to the shared folder, and one grouping makes all kinds.
+    """
+    texts = hits(pages).withColumn("source", F.lit(1))
+    if fields is not None:
+        texts = texts.unionByName(hits(fields).withColumn("source", F.lit(0)))
+    found = written(with_domain(texts), "hits")  # three kinds of rows come from it; the text is searched once
+    links = found.where("kind = 'link'").drop("domain")
+    domains = found.where("domain is not null").select("doc_id", F.lit("domain").alias("kind"), F.col("domain").alias("key"), F.lit(None).cast("int").alias("page"), "pos", "source")
+    own = found.drop("domain")
     if annotation_links is not None:
-        found = found.unionByName(annotation_hits(annotation_links))
-    return grouped(with_mail_links(found)).unionByName(domains)
+        more = annotation_hits(annotation_links).withColumn("source", F.lit(2))
+        links, own = links.unionByName(more), own.unionByName(more)
+    mails = links.where(F.lower("key").startswith("mailto:")).withColumns({"kind": F.lit("email"), "key": F.substring("key", 8, 1 << 20)})
+    rank = lambda df, n: df.withColumn("rank", F.lit(n))
+    each = rank(own, 1).unionByName(rank(mails, 0)).unionByName(rank(domains, 0))
+    return each.groupBy("doc_id", "kind", "key").agg(F.array_sort(F.collect_set("page")).alias("pages"), F.min(F.struct("rank", "source", "page", "pos")).alias("first"))

@@ -21,3 +21,11 @@ def page_rows(docs: DataFrame, pages: Column, id_col: str = "doc_id") -> DataFra
 def counts(pages: DataFrame) -> DataFrame:
     """(doc_id, page_count, character_count, word_count): UTF-16 units, and runs of characters that are no white space."""
     return pages.groupBy("doc_id").agg(F.count("*").alias("page_count"), F.coalesce(F.sum(utf16_length(F.col("text"))), F.lit(0)).alias("character_count"), F.coalesce(F.sum(word_count(F.col("text"))), F.lit(0)).alias("word_count"))
+
+
+def aligned(pages: DataFrame, rows: DataFrame, out: str) -> DataFrame:
+    """(doc_id, out): for each document an array with the `value` of rows (doc_id, page, value) for each of its pages, null where a page has none."""
+    value = rows.select(F.col("doc_id").alias("__id"), F.col("page").alias("__page"), "value")
+    own = pages.select("doc_id", "page").distinct()
+    joined = own.join(value, (own["doc_id"] == value["__id"]) & (own["page"] == value["__page"]), "left")
+    return joined.groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("page", "value"))), lambda x: x["value"]).alias(out))

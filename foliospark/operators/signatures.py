@@ -10,6 +10,7 @@ from foliospark.functions.text import camel_case, trim
 
 def report_fields(reports: DataFrame, id_col: str = "doc_id", text_col: str = "report") -> DataFrame:
     """(doc_id, signature, key, value, ord): the fields of each signature. A line "Signature #n:" opens one; "- key: value" belongs to it."""
+    # the patterns of the lines are those of the tool's output (fixed values)
     lines = reports.select(F.col(f"`{id_col}`").alias("doc_id"), F.posexplode(F.split(f"`{text_col}`", "\n")).alias("ord", "raw")).withColumn("line", trim(F.col("raw")))
     number = F.expr(r"try_cast(nullif(regexp_extract(line, '^Signature #([0-9]+):$', 1), '') as int)")
     own = lines.withColumn("signature", F.last(number, ignorenulls=True).over(Window.partitionBy("doc_id").orderBy("ord"))).where("signature is not null")

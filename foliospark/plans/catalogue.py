@@ -256,7 +256,8 @@ SELECT a.doc_id, sha256(CASE WHEN b.text IS NULL OR b.text = '' THEN a.text WHEN
 )
 def quality_best_of(spark, sf_dir):
     own = table(spark, sf_dir, "documents").select("doc_id", F.lit(1).alias("page"), "text")
-    chosen = compare.with_alternatives(own, own.withColumn("doc_id", F.col("doc_id") - 1))
+    scored = compare.scored(own).repartition("doc_id")  # one exchange that both sides reuse: each text is scored once
+    chosen = compare.with_alternatives(scored, scored.withColumn("doc_id", F.col("doc_id") - 1))
     return chosen.select("doc_id", F.sha2("text", 256).alias("text_sha256"))
 
 
@@ -281,8 +282,8 @@ def quality_vs_labels(spark, sf_dir):
 
 # --- PDF values and geometry ---
 
-ITEMS_SQL = "SELECT l_orderkey % 997 AS doc_id, CAST(l_orderkey % 7 AS BIGINT) AS page, l_orderkey * 10 + l_linenumber AS ord, 'w' || l_partkey AS str, l_quantity * 10 AS x, CAST(l_suppkey % 300 AS DOUBLE) AS y, 20.0 AS width, 10.0 AS height FROM lineitem"
-AREAS_SQL = "SELECT l_orderkey % 997 AS doc_id, CAST(l_orderkey % 7 AS BIGINT) AS page, l_orderkey * 10 + l_linenumber AS annot_id, l_quantity * 10 AS x0, CAST(l_partkey % 300 AS DOUBLE) AS y0, l_quantity * 10 + 30 AS x1, CAST(l_partkey % 300 + 15 AS DOUBLE) AS y1, CASE l_linenumber % 3 WHEN 0 THEN '#000000' WHEN 1 THEN '#FF0000' ELSE '#00ff00' END AS color, CASE WHEN l_discount = 0 THEN 0.0 ELSE 1.0 END AS opacity, 'SQUARE' AS annotation_type FROM lineitem WHERE l_returnflag = 'R' AND l_quantity > 40"
+ITEMS_SQL = "SELECT l_orderkey AS doc_id, CAST(l_linenumber % 2 AS BIGINT) AS page, l_orderkey * 10 + l_linenumber AS ord, 'w' || l_partkey AS str, l_quantity * 10 AS x, CAST(l_suppkey % 300 AS DOUBLE) AS y, 20.0 AS width, 10.0 AS height FROM lineitem"
+AREAS_SQL = "SELECT l_orderkey AS doc_id, CAST(l_linenumber % 2 AS BIGINT) AS page, l_orderkey * 10 + l_linenumber AS annot_id, l_quantity * 10 AS x0, CAST(l_partkey % 300 AS DOUBLE) AS y0, l_quantity * 10 + 30 AS x1, CAST(l_partkey % 300 + 100 AS DOUBLE) AS y1, CASE l_linenumber % 3 WHEN 0 THEN '#000000' WHEN 1 THEN '#FF0000' ELSE '#00ff00' END AS color, CASE WHEN l_discount = 0 THEN 0.0 ELSE 1.0 END AS opacity, 'SQUARE' AS annotation_type FROM lineitem"
 
 
 @query(
@@ -294,11 +295,11 @@ WHERE lower(color) IN ('#000000', '#ff0000') AND opacity <> 0 GROUP BY i.doc_id,
 )
 def redaction_overlap(spark, sf_dir):
     line = table(spark, sf_dir, "lineitem")
-    key = [(F.col("l_orderkey") % 997).alias("doc_id"), (F.col("l_orderkey") % 7).alias("page")]
+    key = [F.col("l_orderkey").alias("doc_id"), (F.col("l_linenumber") % 2).cast("long").alias("page")]
     place = F.col("l_orderkey") * 10 + F.col("l_linenumber")
     y = lambda c: (F.col(c) % 300).cast("double")
     items = line.select(*key, place.alias("ord"), F.concat(F.lit("w"), F.col("l_partkey").cast("string")).alias("str"), (F.col("l_quantity") * 10).alias("x"), y("l_suppkey").alias("y"), F.lit(20.0).alias("width"), F.lit(10.0).alias("height"))
-    areas = line.where("l_returnflag = 'R' and l_quantity > 40").select(*key, place.alias("annot_id"), (F.col("l_quantity") * 10).alias("x0"), y("l_partkey").alias("y0"), (F.col("l_quantity") * 10 + 30).alias("x1"), (y("l_partkey") + 15).alias("y1"), F.when(F.col("l_linenumber") % 3 == 0, "#000000").when(F.col("l_linenumber") % 3 == 1, "#FF0000").otherwise("#00ff00").alias("color"), F.when(F.col("l_discount") == 0, 0.0).otherwise(1.0).alias("opacity"), F.lit("SQUARE").alias("annotation_type"))
+    areas = line.select(*key, place.alias("annot_id"), (F.col("l_quantity") * 10).alias("x0"), y("l_partkey").alias("y0"), (F.col("l_quantity") * 10 + 30).alias("x1"), (y("l_partkey") + 100).alias("y1"), F.when(F.col("l_linenumber") % 3 == 0, "#000000").when(F.col("l_linenumber") % 3 == 1, "#FF0000").otherwise("#00ff00").alias("color"), F.when(F.col("l_discount") == 0, 0.0).otherwise(1.0).alias("opacity"), F.lit("SQUARE").alias("annotation_type"))
     found = redaction.sloppy_redactions(items, areas)
     return found.select("doc_id", "page", F.col("rect")[0].alias("x0"), F.col("rect")[1].alias("y0"), "text", F.col("text_rect")[0].alias("first_x"), F.lower("color").alias("color"), "n_items")
 
@@ -453,12 +454,62 @@ def pdfsig_report(spark, sf_dir):
     return found.select("doc_id", "signature", F.col("fields")["signerCertificateCommonName"].alias("signer"), "total_document_signed", F.col("signed_ranges")[1][0].alias("first_byte"), F.col("signing_time").cast("timestamp_ntz").alias("signing_time"))
 
 
-@query("full_extract")
+@query("quality_scores", "SELECT doc_id, which, " + ", ".join(f"round(CAST({v} AS DOUBLE), 6) AS {k}" for k, v in SCORES_SQL.items()) + f", round(CAST({TOTAL_SQL} AS DOUBLE), 6) AS total FROM ({measure_sql(BOTH_SQL)})")
+def quality_scores(spark, sf_dir):
+    """Every criterion and the total side by side."""
+    measured = quality.with_measures(both_texts(spark, sf_dir), "text", "m")
+    by = quality.scores("m", F.col("text"))
+    scored = measured.select("doc_id", "which", *[v.alias(k) for k, v in by.items()])
+    whole = sum((F.col(k) * w for k, w in quality.WEIGHTS.items()), F.lit(0.0))
+    return scored.select("doc_id", "which", *[F.round(k, 6).alias(k) for k in by], F.round(whole, 6).alias("total"))
+
+
+@query(
+    "info_dates",
+    "SELECT o_orderkey, 'Title' AS key, 'D:' || o_orderpriority AS value FROM orders UNION ALL SELECT o_orderkey, 'CreationDate', strftime(o_orderdate, '%Y-%m-%dT%H:%M:%SZ') FROM orders UNION ALL SELECT o_orderkey, 'update', CASE WHEN o_orderkey % 2 = 0 THEN strftime(o_orderdate, '%Y-%m-01T00:00:00Z') ELSE 'on ' || o_orderkey END FROM orders",
+)
+def info_dates(spark, sf_dir):
+    """Info dictionaries: dates by the name of their key, whatever is no date as it is."""
+    at = lambda f: F.date_format("o_orderdate", f)
+    last = F.when(F.col("o_orderkey") % 2 == 0, at("'D:'yyyyMM")).otherwise(F.concat(F.lit("on "), F.col("o_orderkey").cast("string")))
+    info = F.create_map(F.lit("Title"), F.concat(F.lit("D:"), "o_orderpriority"), F.lit("CreationDate"), at("'D:'yyyyMMddHHmmss"), F.lit("update"), last)
+    return table(spark, sf_dir, "orders").select("o_orderkey", F.explode(pdf.dated(info)))
+
+
+@query(
+    "annotation_links",
+    f"""WITH h AS (SELECT doc_id, page, uri FROM ({matches_sql(URL_PAGES, LINK_SQL, 'uri')}) UNION ALL SELECT page_id, 3, url FROM pages UNION ALL SELECT page_id, 1, 'mailto:a' || page_id % 7 || '@x.org' FROM pages)
+SELECT doc_id, kind, key, string_agg(CAST(page AS VARCHAR), ',' ORDER BY page) AS pages FROM (SELECT DISTINCT doc_id, page, 'link' AS kind, uri AS key FROM h UNION SELECT doc_id, page, 'email', substr(uri, 8) FROM h WHERE lower(uri) LIKE 'mailto:%' UNION SELECT doc_id, page, 'email', e FROM ({matches_sql(URL_PAGES, EMAIL_SQL, 'e')})) GROUP BY doc_id, kind, key""",
+)
+def annotation_links(spark, sf_dir):
+    """Link annotations merged with the links of the text, and addresses of mailto: links of either with its e-mails."""
+    own = table(spark, sf_dir, "pages")
+    given = own.select(F.col("page_id").alias("doc_id"), F.lit(3).alias("page"), F.concat(F.lit(" "), "url").alias("uri")).unionByName(own.select(F.col("page_id").alias("doc_id"), F.lit(1).alias("page"), F.concat(F.lit("mailto:a"), (F.col("page_id") % 7).cast("string"), F.lit("@x.org")).alias("uri")))
+    found = entities.everything(url_pages(spark, sf_dir), given).where(F.col("kind").isin("link", "email"))
+    return found.select("doc_id", "kind", "key", joined_pages())
+
+
+#: Chosen pages: the better of each page and of the first alternative, the whole text backwards.
+CHOSEN_SQL = f"""p AS (SELECT doc_id, page, trim(regexp_replace(text, '[\\s]+', ' ', 'g'), ' ') AS text FROM ({SPLIT})), sp AS (SELECT doc_id, which AS page, text, round(CAST({TOTAL_SQL} AS DOUBLE), 9) AS t FROM ({measure_sql('SELECT doc_id, page AS which, text FROM p')})),
+sa AS (SELECT doc_id, text, round(CAST({TOTAL_SQL} AS DOUBLE), 9) AS t FROM ({measure_sql("SELECT doc_id, 1 AS which, reverse(text) AS text FROM documents WHERE text <> ''")})),
+src AS (SELECT sp.doc_id, page, CASE WHEN sa.text IS NULL OR (sp.text <> '' AND sp.t >= sa.t) THEN sp.text ELSE trim(regexp_replace(sa.text, '[\\s]+', ' ', 'g'), ' ') END AS text FROM sp LEFT JOIN sa ON sp.doc_id = sa.doc_id AND page = 1)"""
+
+
+@query(
+    "full_extract",
+    f"""WITH {CHOSEN_SQL}, hits AS ({ALL_HITS}), more AS (SELECT * FROM hits UNION ALL SELECT doc_id, page, 'email', substr(key, 8) FROM hits WHERE kind = 'link' AND lower(key) LIKE 'mailto:%'),
+dom AS (SELECT DISTINCT doc_id, CASE WHEN kind = 'link' THEN {HOST_SQL.format('key')} ELSE regexp_replace(regexp_extract(key, '@(.*)$', 1), '^www\\.', '') END AS key FROM hits WHERE kind IN ('link', 'email')),
+e AS (SELECT doc_id, kind || ' ' || key || ' ' || string_agg(CAST(page AS VARCHAR), ',' ORDER BY page) AS x FROM (SELECT DISTINCT doc_id, kind, key, page FROM more) GROUP BY doc_id, kind, key UNION ALL SELECT doc_id, 'domain ' || key || ' ' FROM dom WHERE key IS NOT NULL),
+l AS (SELECT doc_id, string_agg(x, '; ' ORDER BY x) AS entities FROM e GROUP BY doc_id), c AS (SELECT doc_id, {COUNTS_SQL}, sha256(string_agg(text, chr(10) ORDER BY page)) AS pages_sha256 FROM src GROUP BY doc_id)
+SELECT doc_id, true AS success, 8 AS version, page_count, character_count, word_count, pages_sha256, coalesce(entities, '') AS entities FROM c LEFT JOIN l USING (doc_id)""",
+)
 def full_extract(spark, sf_dir):
-    """Every document as a PDF file, extracted with an alternative text for its pages, end to end."""
+    """Every document as a PDF file, extracted with an alternative text for its first page, end to end."""
     from foliospark.plans.extract import extract
 
-    made = fixtures.built(table(spark, sf_dir, "documents"), "pdf")
-    other = table(spark, sf_dir, "documents").select("doc_id", F.array(F.reverse("text")).alias("alt_pages"))
-    out = extract(made.join(other, "doc_id"))
-    return out.select("doc_id", "success", "version", "page_count", "character_count", "word_count", F.to_json("entities").alias("entities"))
+    own = table(spark, sf_dir, "documents")
+    made = fixtures.built(own, "pdf")
+    out = extract(made.join(own.select("doc_id", F.array(F.reverse("text")).alias("alt_pages")), "doc_id"))
+    each = F.flatten(F.transform(F.map_entries("entities"), lambda m: F.transform(m["value"], lambda e: F.concat_ws(" ", m["key"], e["key"], F.array_join(F.transform(e["pages"], lambda p: p.cast("string")), ",")))))
+    said = F.coalesce(F.array_join(F.array_sort(each), "; "), F.lit(""))
+    return out.select("doc_id", "success", "version", "page_count", "character_count", "word_count", F.sha2(F.array_join("pages", "\n"), 256).alias("pages_sha256"), said.alias("entities"))

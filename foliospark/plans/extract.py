@@ -1,37 +1,100 @@
-"""The whole extraction: files to pages, entities, counts and metadata."""
+"""The whole extraction: files to pages, entities, counts, metadata, and what is given beside them."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from foliospark.functions import pdf
 from foliospark.functions.text import clean
-from foliospark.operators import compare, entities, pages
+from foliospark.operators import compare, entities, pages, redaction, signatures
 from foliospark.session import written
 from foliospark.sources import files
 
 VERSION = 8
+PERSONS = "array<struct<name:string,email:string>>"
+MAIL = f"subject string, `from` {PERSONS}, `to` {PERSONS}, cc {PERSONS}, date string, html string, attachments array<struct<filename:string,mimeType:string>>"
+
+
+def mail_fields(decoded: DataFrame) -> DataFrame:
+    """(doc_id, page 1, text) of mails: all fields but the body, which is their page."""
+    m = decoded.where("reader = 'mail' and error is null").select("doc_id", F.from_json("metadata", MAIL).alias("m"))
+    people = [F.transform(F.col(f"m.{k}"), lambda p: F.concat_ws(" ", p["name"], p["email"])) for k in ("from", "to", "cc")]
+    names = F.transform("m.attachments", lambda a: a["filename"])
+    text = F.concat_ws("\n", *people, "m.subject", "m.date", "m.html", names)
+    return m.select("doc_id", F.lit(1).alias("page"), text.alias("text"))
+
+
+def annotation_rows(requests: DataFrame) -> DataFrame:
+    """(doc_id, page, annot_id, fields...) of the column `annotations`, with the fields of pdf.annotation."""
+    raw = requests.select("doc_id", F.posexplode("annotations").alias("annot_id", "a")).select("doc_id", "annot_id", "a.*")
+    given = {c: F.col(f"`{c}`") for c in raw.columns}
+    return raw.select("doc_id", F.col("page").cast("int").alias("page"), "annot_id", *[v.alias(k) for k, v in pdf.annotation(given).items()])
+
+
+def page_annotations(rows: DataFrame) -> DataFrame:
+    """(doc_id, page, value): the annotations of each page as an array, in the order given."""
+    names = [c for c in rows.columns if c not in ("doc_id", "page", "annot_id")]
+    return rows.groupBy("doc_id", "page").agg(F.transform(F.array_sort(F.collect_list(F.struct("annot_id", F.to_json(F.struct(*names), {"ignoreNullFields": "false"}).alias("j")))), lambda x: x["j"]).alias("value"))
+
+
+def page_redactions(requests: DataFrame, rows: DataFrame) -> DataFrame:
+    """(doc_id, page, value): for each page with findings their number and the findings, by operators.redaction."""
+    items = requests.select("doc_id", F.posexplode("items").alias("ord", "i")).select("doc_id", F.col("i.page").cast("int").alias("page"), "ord", "i.str", "i.x", "i.y", "i.width", "i.height")
+    at = lambda k: F.get("rect", F.lit(k))
+    areas = rows.select("doc_id", "page", "annot_id", at(0).alias("x0"), at(1).alias("y0"), at(2).alias("x1"), at(3).alias("y1"), "color", "opacity", F.col("annotationType").alias("annotation_type"))
+    found = redaction.sloppy_redactions(items, areas)
+    one = F.struct("rect", "text", "text_rect", "annotation_type", "color", "opacity")
+    return found.groupBy("doc_id", "page").agg(F.struct(F.count("*").alias("count"), F.array_sort(F.collect_list(one)).alias("findings")).alias("value"))
 
 
 def extract(requests: DataFrame) -> DataFrame:
-    """One row for each request (doc_id, extension, content and, if wanted, alt_pages array<string>):
+    """One row for each request (doc_id, extension, content):
     (doc_id, success, error, version, pages, entities map<kind, array<struct<key, pages>>>, page_count, character_count, word_count, metadata JSON, files).
 
-    Alternatives replace pages of PDF files where they are the better text. Link annotations of PDF files join the links of their text;
-    their info dictionary is the metadata, with dates in ISO form. A request that fails has an error and no result.
+    Alternatives in a column alt_pages array<string> replace pages of PDF files where they are the better text; their white space is collapsed. Link
+    annotations of PDF files join the links of their text; their info dictionary is the metadata, with dates in ISO form. Mails are searched in all
+    their fields, and counted by their body. Entities stand in the order of first appearance. A request that fails has an error and no result.
+
+    What no reader here gives may be given as columns of the requests, and adds columns to the result:
+    annotations array<struct<page, rect, ...>> (raw fields of pdf.annotation): page_annotations, for each page a list of JSON or null;
+    items array<struct<page, str, x, y, width, height>>, with annotations: sloppy_redactions, for each page its findings or null;
+    signature_report string: signatures, a list.
     """
     own = written(files.decoded(files.dispatched(requests)), "decoded")  # each file is decoded once
-    found = pages.page_rows(own.where("error is null"), F.col("pages"))
+    good = own.where("error is null")
+    found = pages.page_rows(good, F.col("pages"))
     if "alt_pages" in requests.columns:
         other = pages.page_rows(requests.where(files.wanted_extension(F.col("extension")).isin("pdf", "prn")), F.col("alt_pages"))
-        found = written(compare.with_alternatives(found, other), "pages")
-    links = own.where("error is null").select("doc_id", F.inline(F.from_json(F.get_json_object("metadata", "$.annotation_links"), "array<struct<page:int,uri:string>>")))
-    lists = entities.everything(found, links).groupBy("doc_id", "kind").agg(F.array_sort(F.collect_list(F.struct("key", "pages"))).alias("l"))
-    maps = lists.groupBy("doc_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("kind", "l")))).alias("entities"))
+        found = written(compare.with_alternatives(found, other, collapsed=True), "pages")
+    links = good.select("doc_id", F.inline(F.from_json(F.get_json_object("metadata", "$.annotation_links"), "array<struct<page:int,uri:string>>")))
+    each = entities.everything(found, links, mail_fields(own)).groupBy("doc_id", "kind").agg(F.array_sort(F.collect_list(F.struct("first", "key", "pages"))).alias("l"))
+    in_order = F.when(F.col("kind") == "domain", F.array_sort(F.transform("l", lambda x: F.struct(x["key"].alias("key"), x["pages"].alias("pages"))))).otherwise(F.transform("l", lambda x: F.struct(x["key"].alias("key"), x["pages"].alias("pages"))))
+    maps = each.select("doc_id", "kind", in_order.alias("l")).groupBy("doc_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("kind", "l")))).alias("entities"))
     texts = found.groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("page", "text"))), lambda x: x["text"]).alias("final_pages"))
     out = own.join(texts, "doc_id", "left").join(maps, "doc_id", "left").join(pages.counts(found), "doc_id", "left")
-    info = F.from_json(F.get_json_object("metadata", "$.info"), "map<string,string>")
+    more = []
+    if "annotations" in requests.columns:
+        rows = annotation_rows(requests)
+        out = out.join(pages.aligned(found, page_annotations(rows), "page_annotations"), "doc_id", "left")
+        more.append("page_annotations")
+        if "items" in requests.columns:
+            out = out.join(pages.aligned(found, page_redactions(requests, rows), "sloppy_redactions"), "doc_id", "left")
+            more.append("sloppy_redactions")
+    if "signature_report" in requests.columns:
+        said = signatures.signatures(requests, "doc_id", "signature_report")
+        listed = said.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("signature", F.to_json("fields").alias("fields"), "signed_ranges", "signing_time", "total_document_signed"))).alias("signatures"))
+        out = out.join(listed, "doc_id", "left")
+        more.append("signatures")
+    info = F.from_json(F.get_json_object("metadata", "$.info"), T.MapType(T.StringType(), T.StringType()))
     dated = F.to_json(F.transform_values(pdf.dated(info), lambda k, v: clean(v)))
     zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
-    return out.select("doc_id", F.col("error").isNull().alias("success"), "error", F.lit(VERSION).alias("version"), F.coalesce("final_pages", "pages").alias("pages"), "entities", zero("page_count"), zero("character_count"), zero("word_count"), F.coalesce(dated, "metadata").alias("metadata"), "files")
+    return out.select("doc_id", F.col("error").isNull().alias("success"), "error", F.lit(VERSION).alias("version"), F.coalesce("final_pages", "pages").alias("pages"), "entities", zero("page_count"), zero("character_count"), zero("word_count"), F.coalesce(dated, "metadata").alias("metadata"), "files", *more)
+
+
+def write_results(results: DataFrame, out: str) -> None:
+    """Results below `out`/results, and (doc_id, error) of requests that failed below `out`/rejects; extracted once."""
+    own = written(results, "results")
+    own.where("success").write.mode("overwrite").parquet(f"{out}/results")
+    own.where("not success").select("doc_id", "error").write.mode("overwrite").parquet(f"{out}/rejects")

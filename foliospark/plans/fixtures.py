@@ -72,8 +72,6 @@ def built(docs: DataFrame, kind: str) -> DataFrame:
     """(doc_id, extension, content): a file of the kind for each document."""
     import pyarrow as pa
 
-    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "256")
-
     def run(batches):
         make = MAKERS[kind]
         for b in batches:

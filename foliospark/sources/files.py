@@ -10,8 +10,8 @@ from foliospark.functions.text import extension
 from foliospark.sources.formats import EXTENSIONS, read
 
 FILE = "struct<name:string,path:string,size:bigint,compressed_size:bigint,extension:string,last_modified:string,is_directory:boolean,method:int,md5:string,error:string>"
-#: Files of one Arrow batch.
-BATCH = 64
+#: Files that a worker turns into Python objects at once; Arrow batches themselves are bounded in bytes by Spark.
+BATCH = 16
 
 
 def wanted_extension(c: Column) -> Column:
@@ -39,17 +39,16 @@ def dispatched(requests: DataFrame) -> DataFrame:
 
 
 def decoded(requests: DataFrame) -> DataFrame:
-    """(doc_id, pages, metadata JSON, files, error) of dispatched rows with `content`; each file is read once."""
+    """(doc_id, reader, pages, metadata JSON, files, error) of dispatched rows with `content`; each file is read once."""
     import pyarrow as pa
     from pyspark.sql.pandas.types import to_arrow_schema
 
-    requests.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH))
-    schema = T.StructType([requests.schema["doc_id"], *T._parse_datatype_string(f"pages array<string>, metadata string, files array<{FILE}>, error string").fields])
+    schema = T.StructType([requests.schema["doc_id"], requests.schema["reader"], *T._parse_datatype_string(f"pages array<string>, metadata string, files array<{FILE}>, error string").fields])
     kinds = to_arrow_schema(schema)
 
     def run(batches):
-        for b in batches:
+        for b in (whole.slice(k, BATCH) for whole in batches for k in range(0, whole.num_rows, BATCH)):
             rows = [([], "{}", [], e) if e else ([], "{}", [], "no content") if c is None else read(r, c) for r, c, e in zip(*[b.column(k).to_pylist() for k in ("reader", "content", "error")])]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id")] + [pa.array([r[i] for r in rows], kinds.field(i + 1).type) for i in range(4)], names=kinds.names)
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("reader")] + [pa.array([r[i] for r in rows], kinds.field(i + 2).type) for i in range(4)], names=kinds.names)
 
     return requests.select("doc_id", "reader", "content", "error").mapInArrow(run, schema)

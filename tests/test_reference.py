@@ -151,6 +151,93 @@ def test_extract_end_to_end(spark):
     assert not got[2]["success"] and got[2]["page_count"] == 0
 
 
+def test_chosen_alternatives_are_collapsed(spark):
+    from foliospark.plans import fixtures
+
+    docs = spark.createDataFrame([(1, "%%% ### $$$", "lt", "s", 9)], "doc_id long, text string, lang string, source string, n_chars long")
+    rows = fixtures.built(docs, "pdf").withColumn("alt_pages", F.array(F.lit("Gera  diena\n\nvisiems   zmonems  "), F.lit("beyond")))
+    got = extract(rows).first()
+    assert got["pages"] == ["Gera diena visiems zmonems"] and got["character_count"] == 26 and got["page_count"] == 1
+
+
+def test_mail_fields_are_searched_but_not_counted(spark):
+    raw = b"From: Me <me@a.lt>\r\nTo: You <you@b.lt>\r\nSubject: see http://c.lt/x or +370 612 34567\r\nContent-Type: text/plain\r\n\r\nhello you@b.lt\r\n"
+    got = extract(spark.createDataFrame([(1, "eml", raw)], "doc_id int, extension string, content binary")).first()
+    keys = {k: [e["key"] for e in v] for k, v in got["entities"].items()}
+    assert keys["email"] == ["me@a.lt", "you@b.lt"] and keys["phone"] == ["+37061234567"] and keys["link"] == ["http://c.lt/x"] and keys["domain"] == ["a.lt", "b.lt", "c.lt"]
+    assert got["word_count"] == 2 and got["page_count"] == 1
+
+
+def test_extracted_entities_keep_first_seen_order(spark):
+    rows = [(1, "txt", b"z@x.lt http://z.lt/ a@x.lt mailto:m@x.lt z@x.lt", None)]
+    got = extract(spark.createDataFrame(rows, "doc_id int, extension string, content binary, alt_pages array<string>")).first()["entities"]
+    assert [e["key"] for e in got["email"]] == ["m@x.lt", "z@x.lt", "a@x.lt"] and [e["key"] for e in got["link"]] == ["http://z.lt", "mailto:m@x.lt"] and [e["key"] for e in got["domain"]] == ["x.lt", "z.lt"]
+
+
+def test_extract_joins_annotations_items_and_reports(spark):
+    from foliospark.plans import fixtures
+
+    docs = spark.createDataFrame([(1, "first page\nsecond page", "lt", "s", 9), (2, "alone", "lt", "s", 5)], "doc_id long, text string, lang string, source string, n_chars long")
+    area = "struct<page:int,subtype:string,rect:array<double>,color:array<double>,opacity:double,annotationType:int,creationDate:string,annotationFlags:bigint,borderWidth:int>"
+    more = spark.createDataFrame(
+        [(1, [(2, "Square", [0.0, 0.0, 50.0, 20.0], [0.0], 1.0, 5, "D:2024", 4, 3), (2, "Ink", [0.0, 0.0, 9.0, 9.0], None, None, 15, None, 0, None)], [(2, "secret", 1.0, 1.0, 30.0, 10.0), (1, "open", 1.0, 1.0, 30.0, 10.0)], "Signature #1:\n  - Signing Time: Jan 02 2024 03:04:05\n"), (2, None, None, None)],
+        f"doc_id long, annotations array<{area}>, items array<struct<page:int,str:string,x:double,y:double,width:double,height:double>>, signature_report string",
+    )
+    got = {r["doc_id"]: r for r in extract(fixtures.built(docs, "pdf").join(more, "doc_id")).collect()}
+    first, second = got[1]["page_annotations"]
+    one = json.loads(second[0])
+    assert first is None and one["color"] == "#000000" and one["created"] == "2024-01-01T00:00:00Z" and one["flags"]["Print"] and one["annotationType"] == "SQUARE" and one["borderStyle"] == {"borderWidth": "3px", "borderStyle": "solid"} and one["title"] == ""
+    assert json.loads(second[1])["color"] is None and json.loads(second[1])["flags"] is None
+    assert got[1]["sloppy_redactions"][0] is None and got[1]["sloppy_redactions"][1]["count"] == 1 and got[1]["sloppy_redactions"][1]["findings"][0]["text"] == "secret"
+    assert [s["signature"] for s in got[1]["signatures"]] == [1] and got[2]["signatures"] is None and got[2]["page_annotations"] == [None] and got[2]["sloppy_redactions"] == [None]
+
+
+def test_rejects_are_written_apart(spark, tmp_path):
+    from foliospark.plans.extract import write_results
+
+    write_results(extract(spark.createDataFrame([(1, "txt", b"x"), (2, "nope", b"")], "doc_id int, extension string, content binary")), str(tmp_path))
+    assert spark.read.parquet(f"{tmp_path}/results").count() == 1 and [tuple(r) for r in spark.read.parquet(f"{tmp_path}/rejects").collect()] == [(2, "unsupported extension: nope")]
+
+
+def test_shared_folder(spark, tmp_path):
+    from types import SimpleNamespace
+
+    from foliospark.session import discard, shared_root, work_dir
+
+    def fake(conf, given, master):
+        return SimpleNamespace(conf=SimpleNamespace(get=lambda k, d=None: conf), sparkContext=SimpleNamespace(getCheckpointDir=lambda: given, master=master))
+
+    assert shared_root(fake("/a", "file:/b/x", "yarn")) == "file:///a" and shared_root(fake(None, "file:/b/x", "yarn")) == "file:///b/x" and shared_root(fake("hdfs://n/c", None, "yarn")) == "hdfs://n/c"
+    for master in ("yarn", "local-cluster[2,1,1024]", "spark://h:7077"):
+        with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+            shared_root(fake(None, None, master))
+    path = work_dir(spark, "t")
+    spark.range(3).write.parquet(path)
+    discard(path)
+    discard(path)
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        spark.read.parquet(path)
+
+
+def test_measures_of_odd_texts(spark):
+    """Letters and digits beyond the Basic Multilingual Plane, dashes, capitals and digits in all places of words."""
+    texts = ["𝐀𝐁 𝟏𝟐x", "a1b a12b a1 1a 1a1 a1b2 12a a123b a-1b x–1y", "aB Ab ABC aBc AbC aBcD ąČę", "", " \n", "x" * 21 + " " + "y" * 20, "ab 1 c"]
+    df = quality.with_measures(spark.createDataFrame(list(enumerate(texts)), "k int, t string"), "t", "m")
+    got = {r["k"]: r for r in df.collect()}
+    for k, t in enumerate(texts):
+        units = lambda w: sum(2 if ord(c) > 0xFFFF else 1 for c in w)
+        words = [w for w in "".join(c if c.isalnum() else " " for c in t).split(" ") if w]
+        dashed = [w for w in "".join(c if c.isalnum() or c in "-–—" else " " for c in t).split(" ") if w]
+        n = max(1, len(words))
+        caps = [w for w in words if units(w) > 2 and any(c in "ABCDEFGHIJKLMNOPQRSTUVWXYZĄČĘĖĮŠŲŪŽ" for c in w[1:-1])]
+        digits = [w for w in dashed if units(w) > 2 and not set(w) & set("-–—") and sum(c in "0123456789" for c in w) < 3 and any(c in "0123456789" for c in w[1:-1])]
+        long = lambda ws: sum(units(w) > 2 for w in ws)
+        want = {"word_length": sum(map(units, words)) / n, "long_words": sum(units(w) > 20 for w in words) / n, "short_words": (n - sum(units(w) > 3 for w in words)) / n, "single_letters": sum(units(w) == 1 for w in words) / n}
+        want |= {"inner_capitals": len(caps) / long(words) * 100 if long(words) else None, "inner_digits": len(digits) / long(dashed) * 100 if long(dashed) else None}
+        for c, v in want.items():
+            assert got[k][f"m_{c}"] == (None if v is None else pytest.approx(v)), (t, c)
+
+
 def test_stream_extracts_new_files_once(spark, tmp_path):
     from foliospark.streaming.incremental import arriving, extract_stream
 
