@@ -14,6 +14,8 @@ from foliospark.functions.text import ASTRAL, WS, utf16_length
 #: Letters that the criteria count as Lithuanian (fixed values; they leave out one letter with its capital).
 LITHUANIAN = "ąčęėįšūžĄČĘĖĮŠŪŽ"
 CAPITALS = "A-ZĄČĘĖĮŠŲŪŽ"
+#: The range around both: a class that is cut with it rules most letters out at once, where a list of single letters is gone through for each.
+EXTENDED = r"\x{100}-\x{17F}"
 JUNK = r"[@#$%^&*_=+\[\]{}|~<>]"
 #: Weights of the criteria (fixed values).
 WEIGHTS = {
@@ -52,22 +54,25 @@ def falling(r: Column, good: float, bad: float, span: float | None = None) -> Co
     return F.when(r <= good, 1.0).when(r >= bad, 0.0).otherwise((F.lit(bad) - r) / F.lit(bad - good if span is None else span))
 
 
-#: A letter or digit other than 0 to 9, and a word with one or two digits, one of them neither first nor last, and no dash.
+#: A word with a digit, found without looking further; a letter or digit other than 0 to 9; and a word with one or two digits, one of them
+#: neither first nor last, and no dash.
+WITH_DIGIT = "( [^ 0-9]*+[0-9][^ ]*+)"
 OTHER = "[^ 0-9–—-]"
 INNER_DIGIT = f" (?:{OTHER}++[0-9](?:{OTHER}++|{OTHER}*+[0-9]{OTHER}*+)|[0-9]{OTHER}*+[0-9]{OTHER}++)(?![^ ])"
 
 
 def counts(text: Column, words: Column, dashed: Column) -> dict[str, Column]:
     """What the measures are made of, each found once. Words are joined by spaces, with one in front as well, so that a search for
-    words begins at a space; other searches begin at the character that is rarest."""
+    words begins at a space; other searches begin at the character that is rarest. Letters beyond ASCII are told by their bytes in UTF-8: two,
+    or three from 800 hex on (words have no longer ones)."""
     letters_digits = F.length(F.replace(words, F.lit(" "), F.lit(""))).cast("double")
     return {
         "size": utf16_length(text).cast("double"),
         "count": F.greatest(F.lit(1.0), F.length(words) - letters_digits),
         "chars": letters_digits,
         "numbers": n(words, r"\p{N}"),
-        "foreign": n(words, "[^ a-zA-Z0-9]"),
-        "lithuanian": n(text, f"[{LITHUANIAN}]"),
+        "foreign": (F.octet_length(words) - F.length(words)).cast("double") - n(words, r"[\x{800}-\x{FFFF}]"),
+        "lithuanian": n(text, f"[{EXTENDED}&&[{LITHUANIAN}]]"),
         "junk": n(text, JUNK),
         "marks": n(text, "[.!?]"),
         "upper": n(words, r"\p{Lu}(?<= .)"),
@@ -75,9 +80,9 @@ def counts(text: Column, words: Column, dashed: Column) -> dict[str, Column]:
         "over2": n(words, " [^ ]{3}"),
         "over3": n(words, " [^ ]{4}"),
         "over20": n(words, " [^ ]{21}"),
-        "inner": n(words, f"[{CAPITALS}](?<=[^ ].)(?=[^ ])[^ ]*"),
+        "inner": n(words, f"[A-Z{EXTENDED}&&[{CAPITALS}]](?<=[^ ].)(?=[^ ])[^ ]*"),
         "dashed2": n(dashed, " [^ ]{3}"),
-        "digits": n(dashed, INNER_DIGIT),
+        "digits": n(F.array_join(F.regexp_extract_all(dashed, F.lit(WITH_DIGIT)), ""), INNER_DIGIT),
         "filled": F.when(text.rlike(f"[^{WS}]"), 1.0).otherwise(0.0),
     }
 
