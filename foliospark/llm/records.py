@@ -21,6 +21,7 @@ import struct
 import uuid
 import zlib
 from array import array
+from itertools import accumulate
 
 import numpy as np
 from pyspark import TaskContext
@@ -34,6 +35,8 @@ CHUNK = 64
 END_ID = 2
 #: Chunks of text, and parts of chunks, whose ids a worker keeps, about: they are dropped before a batch that finds more. About 200 bytes each.
 KEPT = 250_000
+#: Parts that the library is given as one text: what a call costs beyond its text is then shared by many.
+JOINED = 256
 
 
 # --- CRC-32C over many byte strings at once ---
@@ -178,8 +181,8 @@ class Encoder:
     """Ids of whole texts by a tokenizer file; every id comes from the library.
 
     If the file is `divisible`, a text is cut at ASCII white space into chunks, and a chunk that is letters of Latin-1 with stops behind into the
-    lower-cased word and the stops. What a worker has not met lately is encoded by the library, many parts in one call, and kept. Other files, and
-    all where `chunked` is False, are given whole texts."""
+    lower-cased word and the stops. What a worker has not met lately is encoded by the library, many parts in one text with spaces between them, and
+    kept; the library's offsets tell the parts' ids apart. Other files, and all where `chunked` is False, are given whole texts."""
 
     def __init__(self, path: str, chunked: bool = True):
         from tokenizers import Tokenizer
@@ -198,6 +201,17 @@ class Encoder:
     def _library(self, texts: list[str]) -> list[bytes]:
         return [self._packed(e.ids) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _of_parts(self, parts: list[str]) -> list[bytes]:
+        """The ids of each part, none of which holds ASCII white space."""
+        groups = [parts[k : k + JOINED] for k in range(0, len(parts), JOINED)]
+        out, width = [], self.kind.itemsize
+        for group, found in zip(groups, self.tokenizer.encode_batch([" ".join(g) for g in groups], add_special_tokens=False)):
+            begins = [0, *accumulate(len(p) + 1 for p in group)]
+            cut = np.searchsorted([a for a, _ in found.offsets], begins).tolist()
+            ids = self._packed(found.ids)
+            out += [ids[width * a : width * b] for a, b in zip(cut, cut[1:])]
+        return out
+
     @staticmethod
     def _spaced(text: str) -> str:
         """The text with a space for each ASCII white space; in lower case where that is known to change no id: Latin-1 without special tokens."""
@@ -220,7 +234,7 @@ class Encoder:
         pairs = [self._divided(c) for c in new]
         parts = self.parts
         lack = [p for p in dict.fromkeys(p for pair in pairs for p in pair) if p not in parts]
-        parts.update(zip(lack, self._library(lack)))
+        parts.update(zip(lack, self._of_parts(lack)))
         self.chunks.update((c, parts[a] + parts[b] if b else parts[a]) for c, (a, b) in zip(new, pairs))
 
     def __call__(self, texts: list[str | None], end: int) -> list[bytes]:
