@@ -1,4 +1,4 @@
-"""The queries op1 to op10 over the given tables, and their SQL where SQL can express them."""
+"""The queries op1 to op13 over the given tables, and their SQL where SQL can express them."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliospark.llm import decontam, grades, licenses, mixing, quality_rules, records, simhash, substring, toxicity, warc
+from foliospark.llm import decontam, grades, hard_negatives, licenses, mixing, packing, quality_rules, records, simhash, substring, toxicity, warc
 from foliospark.llm.common import table, work_dir
 
 
@@ -148,7 +148,27 @@ copies AS (SELECT *, unnest(range(1, n_copies + 1)) AS copy FROM counted)
 SELECT doc_id, text, lang, source, n_chars, copy, n_copies, CAST('0x' || substr(md5('17/order:' || coalesce(CAST(doc_id AS VARCHAR), '') || ':' || CAST(copy AS VARCHAR)), 1, 15) AS BIGINT) AS shuffle_key FROM copies
 """
 
+def op11_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = packing.pack(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
+    return found.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hard_negatives.mine(table(spark, sf_dir, "embeddings"))
+
+
+OP13_SQL = """
+WITH e AS (SELECT vec_id, CAST(CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS INTEGER) AS label, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v, row_number() OVER () AS k
+ FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.k AS anchor, a.vec_id AS anchor_id, r.vec_id AS id, r.k <> a.k AS other, r.label = a.label AS same, CAST(list_sum(list_transform(list_zip(a.v, r.v), lambda z: z[1] * z[2])) AS BIGINT) AS score
+ FROM e a, e r WHERE a.vec_id % 100 = 0),
+p AS (SELECT *, row_number() OVER (PARTITION BY anchor ORDER BY score DESC, id) AS slot FROM s WHERE other AND same QUALIFY slot <= 5),
+n AS (SELECT p.anchor_id, p.id AS positive_id, row_number() OVER (PARTITION BY p.anchor, slot ORDER BY s.score DESC, s.id) AS rank, s.id AS negative_id, p.score AS positive_score, s.score AS negative_score
+ FROM p JOIN s ON p.anchor = s.anchor AND NOT s.same AND 30 * p.score <= 100 * s.score AND 100 * s.score <= 90 * p.score)
+SELECT anchor_id, positive_id, CAST(rank AS INTEGER) AS rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 10
+"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_divergence_rules, op2_token_records, op3_toxicity, op4_simhash, op5_capture_index, op6_decontamination, op7_relative_lz, op8_ordinal_grades, op9_license_classifier, op10_poisson_mixing)
+    f.__name__: f for f in (op1_divergence_rules, op2_token_records, op3_toxicity, op4_simhash, op5_capture_index, op6_decontamination, op7_relative_lz, op8_ordinal_grades, op9_license_classifier, op10_poisson_mixing, op11_packing, op13_hard_negatives)
 }
-ORACLE_SQL: dict[str, str] = {"op1_divergence_rules": OP1_SQL, "op5_capture_index": OP5_SQL, "op6_decontamination": OP6_SQL, "op7_relative_lz": OP7_SQL, "op10_poisson_mixing": OP10_SQL}
+ORACLE_SQL: dict[str, str] = {"op1_divergence_rules": OP1_SQL, "op5_capture_index": OP5_SQL, "op6_decontamination": OP6_SQL, "op7_relative_lz": OP7_SQL, "op10_poisson_mixing": OP10_SQL, "op13_hard_negatives": OP13_SQL}
