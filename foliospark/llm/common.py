@@ -131,6 +131,11 @@ def word_hashes(raw: bytes) -> np.ndarray:
     starts, ends = edge[0::2], edge[1::2]
     if not len(starts):
         return np.empty(0, np.uint64)
+    return span_hashes(data, starts, ends)
+
+
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """The hash of each stretch of bytes, the same at any place."""
     up, down = _powers_for(len(data))
     sums = np.zeros(len(data) + 1, np.uint64)
     np.cumsum(BYTE_VALUES[data] * up[: len(data)], out=sums[1:])

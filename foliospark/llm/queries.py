@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliospark.llm import decontam, grades, hard_negatives, licenses, mixing, packing, quality_rules, records, simhash, substring, toxicity, warc
+from foliospark.llm import collocations, decontam, grades, hard_negatives, licenses, mixing, packing, quality_rules, records, simhash, substring, toxicity, warc
 from foliospark.llm.common import table, work_dir
 
 
@@ -153,6 +153,28 @@ def op11_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
+OP12_SQL = r"""
+WITH d AS (SELECT coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+p AS (SELECT lang, unnest(regexp_split_to_array(t, '[.,;:!?\x0A-\x0D]')) AS t FROM d),
+w AS (SELECT lang, regexp_extract_all(t, '[^\x20\x09]+') AS w FROM p),
+n AS (SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM w GROUP BY lang),
+pos AS (SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM w),
+g AS (SELECT lang, w, i, unnest(range(1, least(5, len(w) - i + 1) + 1)) AS k FROM pos),
+f AS (SELECT lang, k, phrase, count(*) AS f FROM (SELECT lang, k, array_to_string(w[i : i + k - 1], ' ') AS phrase FROM g) GROUP BY lang, k, phrase HAVING count(*) >= 100),
+part AS (SELECT DISTINCT lang, f, array_to_string(ws[i : i + j - 1], ' ') AS phrase FROM (SELECT lang, f, k, ws, j, unnest(range(1, k - j + 2)) AS i FROM (SELECT lang, f, k, string_split(phrase, ' ') AS ws, unnest(range(2, k)) AS j FROM f WHERE k > 2))),
+c AS (SELECT f.lang, f.phrase, f.k, f.f AS a FROM f ANTI JOIN part ON f.lang = part.lang AND f.phrase = part.phrase AND f.f <= part.f WHERE f.k > 1),
+cut AS (SELECT lang, phrase, a, j, array_to_string(string_split(phrase, ' ')[1 : j], ' ') AS x, array_to_string(string_split(phrase, ' ')[j + 1 : k], ' ') AS y FROM (SELECT *, unnest(range(1, k)) AS j FROM c)),
+s AS (SELECT cut.lang, cut.phrase, a, j, l.f AS l, r.f AS r, n, CAST(1000 * CAST(a AS HUGEINT) * n // (CAST(l.f AS HUGEINT) * r.f) AS BIGINT) AS score FROM cut JOIN f l ON l.lang = cut.lang AND l.phrase = x JOIN f r ON r.lang = cut.lang AND r.phrase = y JOIN n ON n.lang = cut.lang),
+best AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) = 1),
+ranked AS (SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score FROM best)
+SELECT * FROM ranked WHERE rank <= 2000
+"""
+
+
 def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hard_negatives.mine(table(spark, sf_dir, "embeddings"))
 
@@ -169,6 +191,6 @@ SELECT anchor_id, positive_id, CAST(rank AS INTEGER) AS rank, negative_id, posit
 """
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_divergence_rules, op2_token_records, op3_toxicity, op4_simhash, op5_capture_index, op6_decontamination, op7_relative_lz, op8_ordinal_grades, op9_license_classifier, op10_poisson_mixing, op11_packing, op13_hard_negatives)
+    f.__name__: f for f in (op1_divergence_rules, op2_token_records, op3_toxicity, op4_simhash, op5_capture_index, op6_decontamination, op7_relative_lz, op8_ordinal_grades, op9_license_classifier, op10_poisson_mixing, op11_packing, op12_collocations, op13_hard_negatives)
 }
-ORACLE_SQL: dict[str, str] = {"op1_divergence_rules": OP1_SQL, "op5_capture_index": OP5_SQL, "op6_decontamination": OP6_SQL, "op7_relative_lz": OP7_SQL, "op10_poisson_mixing": OP10_SQL, "op13_hard_negatives": OP13_SQL}
+ORACLE_SQL: dict[str, str] = {"op1_divergence_rules": OP1_SQL, "op5_capture_index": OP5_SQL, "op6_decontamination": OP6_SQL, "op7_relative_lz": OP7_SQL, "op10_poisson_mixing": OP10_SQL, "op12_collocations": OP12_SQL, "op13_hard_negatives": OP13_SQL}
