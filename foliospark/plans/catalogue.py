@@ -495,12 +495,21 @@ sa AS (SELECT doc_id, text, round(CAST({TOTAL_SQL} AS DOUBLE), 9) AS t FROM ({me
 src AS (SELECT sp.doc_id, page, CASE WHEN sa.text IS NULL OR (sp.text <> '' AND sp.t >= sa.t) THEN sp.text ELSE trim(regexp_replace(sa.text, '[\\s]+', ' ', 'g'), ' ') END AS text FROM sp LEFT JOIN sa ON sp.doc_id = sa.doc_id AND page = 1)"""
 
 
-@query(
-    "full_extract",
-    f"""WITH {CHOSEN_SQL}, hits AS ({ALL_HITS}), more AS (SELECT * FROM hits UNION ALL SELECT doc_id, page, 'email', substr(key, 8) FROM hits WHERE kind = 'link' AND lower(key) LIKE 'mailto:%'),
+#: Pages `src` (doc_id, page, text) of each request to its entities as one string, counts and digest.
+RESULT_SQL = f"""hits AS ({ALL_HITS}), more AS (SELECT * FROM hits UNION ALL SELECT doc_id, page, 'email', substr(key, 8) FROM hits WHERE kind = 'link' AND lower(key) LIKE 'mailto:%'),
 dom AS (SELECT DISTINCT doc_id, CASE WHEN kind = 'link' THEN {HOST_SQL.format('key')} ELSE regexp_replace(regexp_extract(key, '@(.*)$', 1), '^www\\.', '') END AS key FROM hits WHERE kind IN ('link', 'email')),
 e AS (SELECT doc_id, kind || ' ' || key || ' ' || string_agg(CAST(page AS VARCHAR), ',' ORDER BY page) AS x FROM (SELECT DISTINCT doc_id, kind, key, page FROM more) GROUP BY doc_id, kind, key UNION ALL SELECT doc_id, 'domain ' || key || ' ' FROM dom WHERE key IS NOT NULL),
-l AS (SELECT doc_id, string_agg(x, '; ' ORDER BY x) AS entities FROM e GROUP BY doc_id), c AS (SELECT doc_id, {COUNTS_SQL}, sha256(string_agg(text, chr(10) ORDER BY page)) AS pages_sha256 FROM src GROUP BY doc_id)
+l AS (SELECT doc_id, string_agg(x, '; ' ORDER BY x) AS entities FROM e GROUP BY doc_id), c AS (SELECT doc_id, {COUNTS_SQL}, sha256(string_agg(text, chr(10) ORDER BY page)) AS pages_sha256 FROM src GROUP BY doc_id)"""
+
+
+def entity_string() -> Column:
+    each = F.flatten(F.transform(F.map_entries("entities"), lambda m: F.transform(m["value"], lambda e: F.concat_ws(" ", m["key"], e["key"], F.array_join(F.transform(e["pages"], lambda p: p.cast("string")), ",")))))
+    return F.coalesce(F.array_join(F.array_sort(each), "; "), F.lit("")).alias("entities")
+
+
+@query(
+    "full_extract",
+    f"""WITH {CHOSEN_SQL}, {RESULT_SQL}
 SELECT doc_id, true AS success, 8 AS version, page_count, character_count, word_count, pages_sha256, coalesce(entities, '') AS entities FROM c LEFT JOIN l USING (doc_id)""",
 )
 def full_extract(spark, sf_dir):
@@ -510,6 +519,24 @@ def full_extract(spark, sf_dir):
     own = table(spark, sf_dir, "documents")
     made = fixtures.built(own, "pdf")
     out = extract(made.join(own.select("doc_id", F.array(F.reverse("text")).alias("alt_pages")), "doc_id"))
-    each = F.flatten(F.transform(F.map_entries("entities"), lambda m: F.transform(m["value"], lambda e: F.concat_ws(" ", m["key"], e["key"], F.array_join(F.transform(e["pages"], lambda p: p.cast("string")), ",")))))
-    said = F.coalesce(F.array_join(F.array_sort(each), "; "), F.lit(""))
-    return out.select("doc_id", "success", "version", "page_count", "character_count", "word_count", F.sha2(F.array_join("pages", "\n"), 256).alias("pages_sha256"), said.alias("entities"))
+    return out.select("doc_id", "success", "version", "page_count", "character_count", "word_count", F.sha2(F.array_join("pages", "\n"), 256).alias("pages_sha256"), entity_string())
+
+
+@query(
+    "extract_requests",
+    f"""WITH sp AS (SELECT doc_id, text, round(CAST({TOTAL_SQL} AS DOUBLE), 9) AS t FROM ({measure_sql('SELECT doc_id, 1 AS which, text FROM documents')})),
+sa AS (SELECT doc_id, text, round(CAST({TOTAL_SQL} AS DOUBLE), 9) AS t FROM ({measure_sql("SELECT doc_id, 1 AS which, reverse(text) AS text FROM documents WHERE text <> ''")})),
+src AS (SELECT sp.doc_id, 1 AS page, CASE WHEN sa.text IS NULL OR (sp.text <> '' AND sp.t >= sa.t) THEN sp.text ELSE trim(regexp_replace(sa.text, '[\\s]+', ' ', 'g'), ' ') END AS text FROM sp LEFT JOIN sa ON sp.doc_id = sa.doc_id WHERE sp.doc_id % 11 <> 0 AND sp.doc_id % 13 <> 0),
+{RESULT_SQL}
+SELECT CASE WHEN doc_id % 5 <> 0 THEN doc_id % 50 END AS doc_id, CASE WHEN doc_id % 11 = 0 THEN 'missing uri' WHEN doc_id % 13 = 0 THEN 'unsupported extension: nope' END AS error, coalesce(page_count, 0) AS page_count, coalesce(character_count, 0) AS character_count,
+ coalesce(word_count, 0) AS word_count, coalesce(pages_sha256, sha256('')) AS pages_sha256, coalesce(entities, '') AS entities FROM documents LEFT JOIN c USING (doc_id) LEFT JOIN l USING (doc_id)""",
+)
+def extract_requests(spark, sf_dir):
+    """Every document as a text file, a fifth of the requests without id and the others with few ids, alternatives for texts, some without uri or with an unknown extension."""
+    from foliospark.plans.extract import extract
+
+    n = F.col("doc_id")
+    uri = F.when(n % 11 == 0, " ").otherwise(F.concat(F.lit("d"), n.cast("string")))
+    asked = table(spark, sf_dir, "documents").select(F.when(n % 5 != 0, n % 50).alias("doc_id"), uri.alias("uri"), F.when(n % 13 == 0, "NOPE").otherwise("TXT").alias("extension"), F.encode("text", "UTF-8").alias("content"), F.array(F.reverse("text")).alias("alt_pages"))
+    out = extract(asked, alternatives_for=None)
+    return out.select("doc_id", "error", "page_count", "character_count", "word_count", F.sha2(F.array_join("pages", "\n"), 256).alias("pages_sha256"), entity_string())

@@ -49,25 +49,44 @@ def page_redactions(requests: DataFrame, rows: DataFrame) -> DataFrame:
     return found.groupBy("doc_id", "page").agg(F.struct(F.count("*").alias("count"), F.array_sort(F.collect_list(one)).alias("findings")).alias("value"))
 
 
-def extract(requests: DataFrame) -> DataFrame:
-    """One row for each request (doc_id, extension, content):
-    (doc_id, success, error, version, pages, entities map<kind, array<struct<key, pages>>>, page_count, character_count, word_count, metadata JSON, files).
+#: Columns of requests that say more than the file does.
+MORE = ("alt_pages", "annotations", "items", "signature_report")
 
-    Alternatives in a column alt_pages array<string> replace pages of PDF files where they are the better text; their white space is collapsed. Link
-    annotations of PDF files join the links of their text; their info dictionary is the metadata, with dates in ISO form. Mails are searched in all
-    their fields, and counted by their body. Entities stand in the order of first appearance. A request that fails has an error and no result.
+
+def identified(requests: DataFrame) -> DataFrame:
+    """(doc_id, given_id, request_key, extension, content, and what else of `uri` and MORE is there): every request is a row with a doc_id of its own, whatever the
+    caller's id is. request_key is a digest of all that the request says: the same in every run, and equal only for requests that have equal results."""
+    there = [c for c in ("uri", *MORE) if c in requests.columns]
+    said = F.to_json(F.struct(F.col("doc_id"), F.col("extension"), *[F.col(c) for c in there]), {"ignoreNullFields": "false"})
+    key = F.sha2(F.concat(said, F.lit("|"), F.coalesce(F.sha2("content", 256), F.lit(""))), 256)
+    return requests.select(F.monotonically_increasing_id().alias("doc_id"), F.col("doc_id").alias("given_id"), key.alias("request_key"), "extension", "content", *there)
+
+
+def extract(requests: DataFrame, alternatives_for: tuple[str, ...] | None = ("pdf",)) -> DataFrame:
+    """One row for each request (doc_id, extension, content), in the caller's ids:
+    (doc_id, success, error, version, pages, entities map<kind, array<struct<key, pages>>>, page_count, character_count, word_count, metadata JSON, files, request_key).
+
+    Requests without id, or with equal ids, are requests of their own: files are decoded and written with a number for each row, and all joins are by that
+    number. Equal requests have equal rows. request_key tells requests apart where ids do not.
+
+    Alternatives in a column alt_pages array<string> replace pages where they are the better text, in files of the readers `alternatives_for` (None: all);
+    their white space is collapsed. Link annotations of PDF files join the links of their text; their info dictionary is the metadata, with dates in ISO
+    form. Mails are searched in all their fields, and counted by their body. Entities stand in the order of first appearance. A request that fails, one with a
+    blank `uri` where there is that column among them, has an error and no result.
 
     What no reader here gives may be given as columns of the requests, and adds columns to the result:
     annotations array<struct<page, rect, ...>> (raw fields of pdf.annotation): page_annotations, for each page a list of JSON or null;
     items array<struct<page, str, x, y, width, height>>, with annotations: sloppy_redactions, for each page its findings or null;
     signature_report string: signatures, a list.
     """
-    own = written(files.decoded(files.dispatched(requests)), "decoded")  # each file is decoded once
+    asked = identified(requests)
+    there = [c for c in MORE if c in requests.columns]
+    own = written(files.decoded(files.dispatched(asked), ("given_id", "request_key", *there)), "decoded")  # each file is decoded once; row numbers are settled
     good = own.where("error is null")
     found = pages.page_rows(good, F.col("pages"))
-    if "alt_pages" in requests.columns:
-        other = pages.page_rows(requests.where(files.wanted_extension(F.col("extension")).isin("pdf", "prn")), F.col("alt_pages"))
-        found = written(compare.with_alternatives(found, other, collapsed=True), "pages")
+    if "alt_pages" in there:
+        other = good if alternatives_for is None else good.where(F.col("reader").isin(*alternatives_for))
+        found = written(compare.with_alternatives(found, pages.page_rows(other, F.col("alt_pages")), collapsed=True), "pages")
     links = good.select("doc_id", F.inline(F.from_json(F.get_json_object("metadata", "$.annotation_links"), "array<struct<page:int,uri:string>>")))
     each = entities.everything(found, links, mail_fields(own)).groupBy("doc_id", "kind").agg(F.array_sort(F.collect_list(F.struct("first", "key", "pages"))).alias("l"))
     in_order = F.when(F.col("kind") == "domain", F.array_sort(F.transform("l", lambda x: F.struct(x["key"].alias("key"), x["pages"].alias("pages"))))).otherwise(F.transform("l", lambda x: F.struct(x["key"].alias("key"), x["pages"].alias("pages"))))
@@ -75,22 +94,22 @@ def extract(requests: DataFrame) -> DataFrame:
     texts = found.groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("page", "text"))), lambda x: x["text"]).alias("final_pages"))
     out = own.join(texts, "doc_id", "left").join(maps, "doc_id", "left").join(pages.counts(found), "doc_id", "left")
     more = []
-    if "annotations" in requests.columns:
-        rows = annotation_rows(requests)
+    if "annotations" in there:
+        rows = annotation_rows(good)
         out = out.join(pages.aligned(found, page_annotations(rows), "page_annotations"), "doc_id", "left")
         more.append("page_annotations")
-        if "items" in requests.columns:
-            out = out.join(pages.aligned(found, page_redactions(requests, rows), "sloppy_redactions"), "doc_id", "left")
+        if "items" in there:
+            out = out.join(pages.aligned(found, page_redactions(good, rows), "sloppy_redactions"), "doc_id", "left")
             more.append("sloppy_redactions")
-    if "signature_report" in requests.columns:
-        said = signatures.signatures(requests, "doc_id", "signature_report")
+    if "signature_report" in there:
+        said = signatures.signatures(good, "doc_id", "signature_report")
         listed = said.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("signature", F.to_json("fields").alias("fields"), "signed_ranges", "signing_time", "total_document_signed"))).alias("signatures"))
         out = out.join(listed, "doc_id", "left")
         more.append("signatures")
     info = F.from_json(F.get_json_object("metadata", "$.info"), T.MapType(T.StringType(), T.StringType()))
     dated = F.to_json(F.transform_values(pdf.dated(info), lambda k, v: clean(v)))
     zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
-    return out.select("doc_id", F.col("error").isNull().alias("success"), "error", F.lit(VERSION).alias("version"), F.coalesce("final_pages", "pages").alias("pages"), "entities", zero("page_count"), zero("character_count"), zero("word_count"), F.coalesce(dated, "metadata").alias("metadata"), "files", *more)
+    return out.select(F.col("given_id").alias("doc_id"), F.col("error").isNull().alias("success"), "error", F.lit(VERSION).alias("version"), F.coalesce("final_pages", "pages").alias("pages"), "entities", zero("page_count"), zero("character_count"), zero("word_count"), F.coalesce(dated, "metadata").alias("metadata"), "files", *more, "request_key")
 
 
 def write_results(results: DataFrame, out: str) -> None:

@@ -31,24 +31,28 @@ def read_files(spark: SparkSession, path: str, glob: str | None = None, most_byt
 
 
 def dispatched(requests: DataFrame) -> DataFrame:
-    """requests with `reader` and `error`: an extension that is not in the table of 36 is an error of that row, not of the job."""
+    """requests with `reader` and `error`: a column `uri` that is null or blank, then an extension that is not in the table of 36, is an error of that row,
+    not of the job."""
     table = requests.sparkSession.createDataFrame(sorted(EXTENSIONS.items()), "known string, reader string")
     own = requests.withColumn("extension", wanted_extension(F.col("extension")))
     joined = own.join(F.broadcast(table), F.col("extension") == F.col("known"), "left").drop("known")  # 36 rows
-    return joined.withColumn("error", F.when(F.col("reader").isNull(), F.concat(F.lit("unsupported extension: "), "extension")))
+    error = F.when(F.col("reader").isNull(), F.concat(F.lit("unsupported extension: "), "extension"))
+    if "uri" in requests.columns:
+        error = F.when(F.coalesce(F.trim("uri"), F.lit("")) == "", F.lit("missing uri")).otherwise(error)
+    return joined.withColumn("error", error)
 
 
-def decoded(requests: DataFrame) -> DataFrame:
-    """(doc_id, reader, pages, metadata JSON, files, error) of dispatched rows with `content`; each file is read once."""
+def decoded(requests: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, reader, pages, metadata JSON, files, error) of dispatched rows with `content`, and the columns `keep` as they are; each file is read once."""
     import pyarrow as pa
     from pyspark.sql.pandas.types import to_arrow_schema
 
-    schema = T.StructType([requests.schema["doc_id"], requests.schema["reader"], *T._parse_datatype_string(f"pages array<string>, metadata string, files array<{FILE}>, error string").fields])
+    schema = T.StructType([requests.schema["doc_id"], requests.schema["reader"], *T._parse_datatype_string(f"pages array<string>, metadata string, files array<{FILE}>, error string").fields, *[requests.schema[c] for c in keep]])
     kinds = to_arrow_schema(schema)
 
     def run(batches):
         for b in (whole.slice(k, BATCH) for whole in batches for k in range(0, whole.num_rows, BATCH)):
             rows = [([], "{}", [], e) if e else ([], "{}", [], "no content") if c is None else read(r, c) for r, c, e in zip(*[b.column(k).to_pylist() for k in ("reader", "content", "error")])]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("reader")] + [pa.array([r[i] for r in rows], kinds.field(i + 2).type) for i in range(4)], names=kinds.names)
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("reader")] + [pa.array([r[i] for r in rows], kinds.field(i + 2).type) for i in range(4)] + [b.column(c) for c in keep], names=kinds.names)
 
-    return requests.select("doc_id", "reader", "content", "error").mapInArrow(run, schema)
+    return requests.select("doc_id", "reader", "content", "error", *keep).mapInArrow(run, schema)

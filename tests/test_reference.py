@@ -192,6 +192,43 @@ def test_extract_joins_annotations_items_and_reports(spark):
     assert [s["signature"] for s in got[1]["signatures"]] == [1] and got[2]["signatures"] is None and got[2]["page_annotations"] == [None] and got[2]["sloppy_redactions"] == [None]
 
 
+def test_requests_without_ids_or_with_equal_ones(spark):
+    area = "struct<page:int,subtype:string,rect:array<double>,color:array<double>,opacity:double,annotationType:int>"
+    box = lambda c: [(1, "Square", [0.0, 0.0, 50.0, 20.0], [c], 1.0, 5)]
+    item = lambda t: [(1, t, 1.0, 1.0, 30.0, 10.0)]
+    rows = [
+        (None, "a", "txt", b"a@x.lt one", ["zzz"], box(0.0), item("first"), "Signature #1:\n  - Signing Time: Jan 02 2024 03:04:05\n"),
+        (None, "b", "txt", b"b@y.lt one two", None, box(0.0), item("second"), None),
+        (7, "c", "txt", b"same http://z.lt/", None, None, None, None),
+        (7, "c", "txt", b"same http://z.lt/", None, None, None, None),
+        (7, "c", "txt", b"other c@z.lt", None, None, None, None),
+        (7, None, "txt", b"x", None, None, None, None),
+        (None, "", "nope", None, None, None, None, None),
+        (None, "e", "nope", None, None, None, None, None),
+        (None, "f", None, None, None, None, None, None),
+    ]
+    df = spark.createDataFrame(rows, f"doc_id int, uri string, extension string, content binary, alt_pages array<string>, annotations array<{area}>, items array<struct<page:int,str:string,x:double,y:double,width:double,height:double>>, signature_report string")
+    got = extract(df.repartition(4)).collect()
+    keys = lambda r: sorted(e["key"] for v in (r["entities"] or {}).values() for e in v)
+    by = {(r["doc_id"], r["pages"][0] if r["pages"] else None): r for r in got}
+    assert len(got) == len(rows) and sorted((r["doc_id"], r["success"], r["error"]) for r in got if r["doc_id"]) == [(7, False, "missing uri"), (7, True, None), (7, True, None), (7, True, None)]
+    assert sorted(r["error"] for r in got if r["doc_id"] is None and not r["success"]) == ["missing uri", "no content", "unsupported extension: nope"]
+    first, second = by[None, "a@x.lt one"], by[None, "b@y.lt one two"]
+    assert (keys(first), first["word_count"], keys(second), second["word_count"]) == (["a@x.lt", "x.lt"], 2, ["b@y.lt", "y.lt"], 3)
+    assert [r["sloppy_redactions"][0]["findings"][0]["text"] for r in (first, second)] == ["first", "second"] and len(first["signatures"]) == 1 and second["signatures"] is None
+    assert keys(by[7, "other c@z.lt"]) == ["c@z.lt", "z.lt"] and keys(by[7, "same http://z.lt/"]) == ["http://z.lt", "z.lt"] and by[7, "same http://z.lt/"]["page_count"] == 1
+    same = [r["request_key"] for r in got if r["pages"] == ["same http://z.lt/"]]
+    assert len(same) == 2 and len(set(same)) == 1 and len({r["request_key"] for r in got}) == len(rows) - 1
+    again = extract(df.repartition(2)).select("request_key").collect()
+    assert sorted(r["request_key"] for r in got) == sorted(r["request_key"] for r in again)
+
+
+def test_alternatives_for_other_readers(spark):
+    rows = [(1, "txt", b"%%% ### $$$", ["Gera  diena visiems zmonems"])]
+    df = spark.createDataFrame(rows, "doc_id int, extension string, content binary, alt_pages array<string>")
+    assert [extract(df, a).first()["pages"] for a in (("pdf",), ("plain",), None)] == [["%%% ### $$$"], ["Gera diena visiems zmonems"], ["Gera diena visiems zmonems"]]
+
+
 def test_rejects_are_written_apart(spark, tmp_path):
     from foliospark.plans.extract import write_results
 
