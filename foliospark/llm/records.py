@@ -15,13 +15,10 @@ attempt that counted, name it. What a lost executor left behind is a file that n
 
 from __future__ import annotations
 
-import json
 import re
 import struct
 import uuid
 import zlib
-from array import array
-from itertools import accumulate
 
 import numpy as np
 from pyspark import TaskContext
@@ -29,14 +26,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foliospark.llm.common import keyed_texts, mapped
+from foliospark.llm.tokens import Store, encoder
 
 POLY, MASK = 0x82F63B78, 0xA282EAD8
 CHUNK = 64
 END_ID = 2
-#: Chunks of text, and parts of chunks, whose ids a worker keeps, about: they are dropped before a batch that finds more. About 200 bytes each.
-KEPT = 250_000
-#: Parts that the library is given as one text: what a call costs beyond its text is then shared by many.
-JOINED = 256
 
 
 # --- CRC-32C over many byte strings at once ---
@@ -150,10 +144,6 @@ def unframed(records: list[bytes], where: str = "") -> list[bytes]:
 #: How a tokenizer file must split texts for Encoder to put them together from parts (fixed value): letters, single digits, or other
 #: characters, and white space dropped.
 SPLIT = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
-#: Characters that may follow a word in a chunk: none begins an alternative of SPLIT or a special token, so a run of them is a part of its own.
-STOPS = ".,!?;:*%$#&"
-#: The first character beyond Latin-1.
-LATIN = "\u0100"
 #: Latin-1 in lower case, with spaces for ASCII white space.
 LOWER = bytes(32 if 9 <= c <= 13 else ord(chr(c).lower()) for c in range(256))
 
@@ -177,89 +167,37 @@ def divisible(tokenizer: dict) -> bool:
     )
 
 
-class Encoder:
-    """Ids of whole texts by a tokenizer file; every id comes from the library.
+class Encoder(Store):
+    """Cuts texts at ASCII white space, for tokenizer files that say that nothing reaches across it."""
 
-    If the file is `divisible`, a text is cut at ASCII white space into chunks, and a chunk that is letters of Latin-1 with stops behind into the
-    lower-cased word and the stops. What a worker has not met lately is encoded by the library, many parts in one text with spaces between them, and
-    kept; the library's offsets tell the parts' ids apart. Other files, and all where `chunked` is False, are given whole texts."""
+    folded = True
 
-    def __init__(self, path: str, chunked: bool = True):
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        self.wide = self.tokenizer.get_vocab_size() > 1 << 16
-        self.kind = np.dtype("<u4" if self.wide else "<u2")
-        self.code = "I" if self.wide else "H"
-        self.chunked = chunked and divisible(json.loads(self.tokenizer.to_str()))
-        self.chunks: dict[str, bytes] = {"": b""}
-        self.parts: dict[str, bytes] = {"": b""}
-
-    def _packed(self, ids: list[int]) -> bytes:
-        return array(self.code, ids).tobytes()
-
-    def _library(self, texts: list[str]) -> list[bytes]:
-        return [self._packed(e.ids) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _of_parts(self, parts: list[str]) -> list[bytes]:
-        """The ids of each part, none of which holds ASCII white space."""
-        groups = [parts[k : k + JOINED] for k in range(0, len(parts), JOINED)]
-        out, width = [], self.kind.itemsize
-        for group, found in zip(groups, self.tokenizer.encode_batch([" ".join(g) for g in groups], add_special_tokens=False)):
-            begins = [0, *accumulate(len(p) + 1 for p in group)]
-            cut = np.searchsorted([a for a, _ in found.offsets], begins).tolist()
-            ids = self._packed(found.ids)
-            out += [ids[width * a : width * b] for a, b in zip(cut, cut[1:])]
-        return out
+    divisible = staticmethod(divisible)
 
     @staticmethod
-    def _spaced(text: str) -> str:
-        """The text with a space for each ASCII white space; in lower case where that is known to change no id: Latin-1 without special tokens."""
+    def cut(text: str) -> list[str]:
+        """Chunks between spaces; in lower case where that is known to change no id: Latin-1 without special tokens."""
         try:
             raw = text.encode("latin-1")
             if b"<|" not in raw:
-                return raw.translate(LOWER).decode("latin-1")
+                return raw.translate(LOWER).decode("latin-1").split(" ")
         except UnicodeEncodeError:
             pass
-        return text.translate(BLANKS)
+        return text.translate(BLANKS).split(" ")
 
     @staticmethod
-    def _divided(chunk: str) -> tuple[str, str]:
-        core = chunk.rstrip(STOPS)
-        if core.isalpha() and (core.isascii() or max(core) < LATIN):
-            return core.lower(), chunk[len(core) :]
-        return chunk, ""
-
-    def _learn(self, new: list[str]) -> None:
-        pairs = [self._divided(c) for c in new]
-        parts = self.parts
-        lack = [p for p in dict.fromkeys(p for pair in pairs for p in pair) if p not in parts]
-        parts.update(zip(lack, self._of_parts(lack)))
-        self.chunks.update((c, parts[a] + parts[b] if b else parts[a]) for c, (a, b) in zip(new, pairs))
+    def beside(chunk: str) -> str:
+        return chunk + " "
+
+    def fixed(self) -> dict[str, bytes]:
+        return {"": b""}
 
     def __call__(self, texts: list[str | None], end: int) -> list[bytes]:
-        tail = self._packed([end])
-        if not self.chunked:
-            return [x + tail for x in self._library([t or "" for t in texts])]
-        cut = [self._spaced(t or "").split(" ") for t in texts]
-        for kept in (self.chunks, self.parts):
-            if len(kept) > KEPT:
-                kept.clear()
-                kept[""] = b""
-        get, lack = self.chunks.__getitem__, self.chunks.keys()
-        self._learn(list(set().union(*cut).difference(lack)))
-        return [b"".join(map(get, chunks)) + tail for chunks in cut]
+        tail = self.packed([end])
+        return [x + tail for x in self.parts([t or "" for t in texts])]
 
 
 BLANKS = str.maketrans("\t\n\v\f\r", "     ")
-_encoders: dict[tuple[str, bool], Encoder] = {}
-
-
-def encoder(path: str, chunked: bool) -> Encoder:
-    """One for each worker process: its store serves all tasks that run there."""
-    if (path, chunked) not in _encoders:
-        _encoders[path, chunked] = Encoder(path, chunked)
-    return _encoders[path, chunked]
 
 
 # --- Spark jobs ---
@@ -275,7 +213,7 @@ class ShardWriter:
     """Writes one task's shard; called with a batch, it gives that batch's index columns. The file is opened with the first batch."""
 
     def __init__(self, out: str, tokenizer: str, end_id: int, chunked: bool):
-        self.out, self.encode, self.end_id = out, encoder(tokenizer, chunked), end_id
+        self.out, self.encode, self.end_id = out, encoder(Encoder, tokenizer, chunked), end_id
         self.shard = TaskContext.get().partitionId()
         self.name, self.sink = f"shard-{self.shard:06d}-{uuid.uuid4().hex}.rec", None
         self.seq = self.offset = self.start = 0
