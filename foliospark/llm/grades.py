@@ -11,10 +11,10 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from foliospark.llm.common import keyed_texts, mapped, word_hashes
+from foliospark.llm.common import keyed_texts, mapped, word_hashes, written
 from foliospark.llm.quality_rules import CLASSES, byte_counts, class_counts, duplicate_lines, repeated_words
 
 DIM = 1 << 16
@@ -23,6 +23,8 @@ SHAPES = CLASSES + 6
 GRADES = 3
 #: Labelled rows that the model is fitted on, at most: those with the least hash of doc_id.
 FIT_ROWS = 6000
+#: Entries of their vectors, at most: 64 MB on the driver.
+FIT_ENTRIES = 8_000_000
 #: A text is selected if the probability of at least this grade is SELECT_AT or more.
 SELECT_GRADE, SELECT_AT = 1, 0.5
 
@@ -105,12 +107,13 @@ def graded(labels: DataFrame, id_col: str = "doc_id") -> DataFrame:
     return labels.select(F.col(f"`{id_col}`").alias("doc_id"), grade.alias("grade")).where("doc_id is not null and grade is not null").groupBy("doc_id").agg(F.min("grade").alias("grade"))
 
 
-def fit(docs: DataFrame, ratings: DataFrame, id_col: str = "doc_id", text_col: str = "text", fit_rows: int = FIT_ROWS) -> Model:
-    """The model of at most fit_rows rated rows (doc_id, grade) whose crc32 of the id mod 3 is not 1; that third is held out.
-    Vectors are made on the executors; those of the sample, a few hundred entries each, are solved on the driver. Without ratings all weights are zero."""
+def sample(docs: DataFrame, ratings: DataFrame, id_col: str = "doc_id", text_col: str = "text", fit_rows: int = FIT_ROWS, fit_entries: int = FIT_ENTRIES) -> DataFrame:
+    """(doc_id, grade, index, value): vectors of at most fit_rows rated ids whose crc32 mod 3 is not 1, those with the least hash, one text for each id (of several,
+    that with the least hash). They end where they would have more than fit_entries entries together."""
     rows = ratings.where(F.expr("crc32(cast(doc_id as string)) % 3 <> 1")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_rows).select(F.col("doc_id").alias("__id"), "grade")
     texts = keyed_texts(docs, id_col, text_col)
-    sample = texts.join(F.broadcast(rows), texts["doc_id"] == rows["__id"])  # fit_rows rows of 16 bytes at most
+    met = texts.join(F.broadcast(rows), texts["doc_id"] == rows["__id"])  # fit_rows rows of 16 bytes at most
+    one = met.groupBy("doc_id", "grade").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("t")).select("doc_id", "grade", "t.text")
 
     def start():
         def run(b: dict) -> dict:
@@ -119,7 +122,15 @@ def fit(docs: DataFrame, ratings: DataFrame, id_col: str = "doc_id", text_col: s
 
         return run
 
-    found = sorted(mapped(sample, start, ["text"], ["doc_id", "grade"], "index binary, value binary").collect(), key=lambda r: r["doc_id"])
+    vectors = written(mapped(one, start, ["text"], ["doc_id", "grade"], "index binary, value binary"), "vectors")
+    sizes = vectors.select("doc_id", F.sum(F.octet_length("index") / 4).over(Window.orderBy(F.xxhash64("doc_id"), "doc_id")).alias("entries"))  # fit_rows rows
+    return vectors.join(F.broadcast(sizes.where(F.col("entries") <= fit_entries).select("doc_id")), "doc_id")
+
+
+def fit(docs: DataFrame, ratings: DataFrame, id_col: str = "doc_id", text_col: str = "text", fit_rows: int = FIT_ROWS, fit_entries: int = FIT_ENTRIES) -> Model:
+    """The model of the sampled rows (doc_id, grade); ids whose crc32 mod 3 is 1 are held out. Vectors are made on the executors; those of the sample, fit_rows with
+    fit_entries entries of 8 bytes at most, are solved on the driver. Without ratings all weights are zero."""
+    found = sorted(sample(docs, ratings, id_col, text_col, fit_rows, fit_entries).collect(), key=lambda r: r["doc_id"])
     return solved([(np.frombuffer(r["index"], np.int32), np.frombuffer(r["value"], np.float32)) for r in found], np.array([r["grade"] for r in found], np.int64))
 
 

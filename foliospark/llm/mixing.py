@@ -45,18 +45,20 @@ def replicate(docs: DataFrame, weights: dict[str | None, float] | None = None, t
     The mean number of copies of source s is total * w_s / n_s; total is the number of rows of docs where not given. Given
     weights need not add up to 1; sources that they lack get none, as do those of weight zero or less. Null sources are a source of their own. Null ids and repeated
     rows draw by their id like any other: rows of one id get the same count. Texts are not looked at. An empty table stays
-    empty. Columns of docs that are named like the three new ones give way to them.
+    empty. Columns of docs that are named like the three new ones give way to them; all others come back as they are, whatever their names.
 
     The table of rates, one row for each source, is broadcast if it has at most FEW rows, so that texts move once; beyond it the join on source is an
     ordinary one, whose hot keys adaptive execution splits.
     """
     made = rates(docs, source_col, weights, total, power)
-    docs = docs.drop(*[c for c in docs.columns if c.lower() in ("copy", "n_copies", "shuffle_key")])
-    own = docs.withColumns({"__src": F.col(f"`{source_col}`").cast("string"), "__id": F.coalesce(F.col(f"`{id_col}`").cast("string"), F.lit(""))})
-    joined = own.join(made.select(F.col("src").alias("__of"), F.col("draws").alias("__draws"), F.col("cdf").alias("__cdf")), F.col("__src").eqNullSafe(F.col("__of")))
-    drawn = joined.withColumn("__us", F.expr(f"transform(sequence(1, __draws), k -> cast(cast(conv(substring(md5(concat_ws(':', '{int(seed)}', __id, cast(k as string))), 1, 13), 16, 10) as bigint) as double) / {float(1 << 52)!r}D)"))
-    counted = drawn.withColumn("n_copies", F.expr("aggregate(__us, 0L, (acc, u) -> acc + size(filter(__cdf, c -> c <= u)))"))
+    kept = [c for c in docs.columns if c.lower() not in ("copy", "n_copies", "shuffle_key")]
+    column = lambda c: F.col(f"`{c}`")
+    # the caller's columns go by their place, so that no name of theirs can meet ours
+    own = docs.select(*[column(c).alias(f"given{k}") for k, c in enumerate(kept)], column(source_col).cast("string").alias("src"), F.coalesce(column(id_col).cast("string"), F.lit("")).alias("id"), column(id_col).alias("order"))
+    joined = own.join(made.select(F.col("src").alias("of"), "draws", "cdf"), F.col("src").eqNullSafe(F.col("of")))
+    drawn = joined.withColumn("us", F.expr(f"transform(sequence(1, draws), k -> cast(cast(conv(substring(md5(concat_ws(':', '{int(seed)}', id, cast(k as string))), 1, 13), 16, 10) as bigint) as double) / {float(1 << 52)!r}D)"))
+    counted = drawn.withColumn("n_copies", F.expr("aggregate(us, 0L, (acc, u) -> acc + size(filter(cdf, c -> c <= u)))"))
     copies = counted.where("n_copies > 0").withColumn("copy", F.explode(F.expr("sequence(1L, n_copies)")))
-    key = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(f"{int(seed)}/order"), "__id", F.col("copy").cast("string"))), 1, 15), 16, 10).cast("long")
-    out = copies.withColumn("shuffle_key", key).select(*[F.col(f"`{c}`") for c in docs.columns], "copy", "n_copies", "shuffle_key")
-    return out.repartitionByRange(F.col("shuffle_key")).sortWithinPartitions("shuffle_key", F.col(f"`{id_col}`"), "copy")
+    key = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(f"{int(seed)}/order"), "id", F.col("copy").cast("string"))), 1, 15), 16, 10).cast("long")
+    out = copies.withColumn("shuffle_key", key).repartitionByRange("shuffle_key").sortWithinPartitions("shuffle_key", "order", "copy")
+    return out.select(*[F.col(f"given{k}").alias(c) for k, c in enumerate(kept)], "copy", "n_copies", "shuffle_key")

@@ -652,3 +652,27 @@ def test_mixing_of_odd_rows(odd, empty):
     out = mixing.replicate(odd, {None: 1, "s0": 2, "s9": 1}, total=300)
     assert {r["source"] for r in out.collect()} <= {None, "s0"} and set(out.columns) == set(odd.columns) | {"copy", "n_copies", "shuffle_key"}
     assert mixing.replicate(empty).count() == 0 and mixing.replicate(odd, {"none": 1}).count() == 0
+
+
+def test_mixing_leaves_all_other_columns_alone(spark):
+    names = ["__src", "__id", "__us", "__draws", "__of", "__cdf", "src", "id", "us", "draws", "of", "cdf", "order", "given0", "given3", "n", "w", "rate", "a.b", "Copy"]
+    df = spark.createDataFrame([(i, "t", f"s{i % 3}") for i in range(60)], "doc_id long, text string, source string")
+    more = df.select("*", *[F.lit(f"own {c}").alias(c) for c in names])
+    plain, clash = mixing.replicate(df, seed=3), mixing.replicate(more, seed=3)
+    assert clash.columns == [*df.columns, *[c for c in names if c != "Copy"], "copy", "n_copies", "shuffle_key"]
+    assert clash.select(*plain.columns).collect() == plain.collect()
+    assert all(r[c] == f"own {c}" for r in clash.collect() for c in names if c != "Copy")
+
+
+def test_grades_sample_is_bounded(spark):
+    held = lambda i: zlib.crc32(str(i).encode()) % 3 == 1
+    ids = [i for i in range(40) if not held(i)][:6]
+    rows = [(ids[0], f"text number {k}") for k in range(4000)] + [(i, "word " * 50 + str(i)) for i in ids[1:5]] + [(ids[5], " ".join(map(str, range(60_000))))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    ratings = spark.createDataFrame([(i, k % 3) for k, i in enumerate(ids)], "doc_id long, grade int")
+    for n in (2, 6):
+        assert grades.sample(docs, ratings, fit_rows=n).count() == n
+    short = grades.sample(docs, ratings, fit_entries=1000).collect()
+    assert 1 <= len(short) <= 5 and sum(len(r["index"]) // 4 for r in short) <= 1000
+    assert sorted(map(tuple, short)) == sorted(map(tuple, grades.sample(docs.repartition(7), ratings, fit_entries=1000).collect()))
+    assert grades.fit(docs, ratings, fit_rows=2).weights.shape == (grades.DIM,)
