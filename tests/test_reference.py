@@ -2,9 +2,11 @@
 
 import io
 import json
+import random
 import zipfile
 
 import duckdb
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -124,6 +126,57 @@ def test_redactions_skip_blank_and_bright(spark):
     assert len(got) == 1 and got[0]["text"] == "a b"
 
 
+def slow_redactions(items, areas, t=2.0):
+    out = {}
+    for doc, page, ord_, text, x, y, w, h in sorted(items, key=lambda r: r[2]):
+        for d, p, n, x0, y0, x1, y1, color, opacity, kind in sorted(areas, key=lambda r: r[2]):
+            if (d, p) == (doc, page) and text.strip() and color in ("#000000", "#ff0000") and opacity != 0 and not (x0 - (x + w) > t or y0 - (y + h) > t or x1 - x < t or y1 - y < t):
+                out.setdefault((doc, page, x0, y0, x1, y1), []).append((ord_, n, text))
+    return {k: " ".join(x[2] for x in sorted(v)) for k, v in out.items()}
+
+
+ITEM, AREA = "doc_id long, page int, ord long, str string, x double, y double, width double, height double", "doc_id long, page int, annot_id long, x0 double, y0 double, x1 double, y1 double, color string, opacity double, annotation_type string"
+
+
+@pytest.mark.parametrize("span", [40.0, 700.0, 1e7])
+def test_redactions_of_all_sizes(spark, span):
+    """Boxes of all sizes, turned ones, ones on the edges of cells, repeated ones, and coordinates that are no numbers."""
+    rng = random.Random(int(span))
+    at = lambda: rng.choice([rng.uniform(-span, span), 32.0 * rng.randint(-9, 9), 0.0])
+    size = lambda: rng.choice([0.0, 1.0, 10.0, 32.0, 64.0, rng.uniform(0, span), -5.0])
+    items = [(rng.randint(1, 2), rng.randint(1, 2), k, rng.choice(["a", "b", " "]), at(), at(), size(), size()) for k in range(150)]
+    corner = [(at(), at()) for _ in range(110)]
+    areas = [(rng.randint(1, 2), rng.randint(1, 2), k, x, y, x + size(), y + size(), rng.choice(["#000000", "#ff0000", "#00ff00"]), rng.choice([1.0, 0.0, None]), "SQUARE") for k, (x, y) in enumerate(corner)]
+    items, areas = items + items[:9], areas + [(d, p, k + 1000, *r) for d, p, k, *r in areas[:9]]
+    bad = float("nan")
+    got = redaction.sloppy_redactions(
+        spark.createDataFrame(items + [(1, 1, 900, "x", bad, 1.0, 1.0, 1.0), (1, 1, 901, "x", None, 1.0, 1.0, 1.0), (None, 1, 902, "x", 0.0, 0.0, 9.0, 9.0), (1, 1, 903, "x", float("inf"), 1.0, 1.0, 1.0)], ITEM),
+        spark.createDataFrame(areas + [(1, 1, 900, bad, 0.0, 9.0, 9.0, "#000000", 1.0, "x"), (1, None, 901, 0.0, 0.0, 9.0, 9.0, "#000000", 1.0, "x")], AREA),
+    ).collect()
+    want = slow_redactions(items, areas)
+    assert len(want) > 10 and {(r["doc_id"], r["page"], *r["rect"]): r["text"] for r in got} == want and len(got) == len(want)
+    assert redaction.sloppy_redactions(spark.createDataFrame([], ITEM), spark.createDataFrame(areas, AREA)).count() == 0
+
+
+def test_one_page_with_many_items_and_areas(spark):
+    """100,000 of each on one page: 10 billion pairs, of which only those of one cell meet."""
+    n = 100_000
+    place = lambda a, b: (F.pmod(F.xxhash64(F.lit(a), "id"), F.lit(b)) / 10.0)
+    ids = spark.range(0, n, 1, 8)
+    items = ids.select(F.lit(1).cast("long").alias("doc_id"), F.lit(1).alias("page"), F.col("id").alias("ord"), F.col("id").cast("string").alias("str"), place("x", 300_000).alias("x"), place("y", 300_000).alias("y"), F.lit(40.0).alias("width"), F.lit(10.0).alias("height"))
+    areas = ids.select(F.lit(1).cast("long").alias("doc_id"), F.lit(1).alias("page"), F.col("id").alias("annot_id"), place("ax", 300_000).alias("x0"), place("ay", 300_000).alias("y0"), F.lit("#000000").alias("color"), F.lit(1.0).alias("opacity"), F.lit("SQUARE").alias("annotation_type")).withColumns({"x1": F.col("x0") + 60.0, "y1": F.col("y0") + 30.0})
+    own, covering = redaction.item_boxes(items), redaction.area_boxes(areas)
+    key = ["level", "cx", "cy"]
+    pairs = redaction.in_cells(own, covering).groupBy(key).count().join(redaction.in_cells(covering, own).groupBy(key).agg(F.count("*").alias("m")), key).select((F.col("count") * F.col("m")).alias("n"))
+    most = pairs.agg(F.max("n"), F.sum("n")).first()
+    assert most[0] < 1000 and most[1] < 10 * n
+    x, y, ax, ay = (np.array([r[0] for r in df.select(c).collect()]) for df, c in ((items, "x"), (items, "y"), (areas, "x0"), (areas, "y0")))
+    count = sum(int(((ax - (a + 40) <= 2) & (ay - (b + 10) <= 2) & (ax + 60 - a >= 2) & (ay + 30 - b >= 2)).sum()) for a, b in zip(x[:2000], y[:2000]))
+    met = redaction.sloppy_redactions(items.where("ord < 2000"), areas)
+    assert met.agg(F.sum("n_items")).first()[0] == count > 10
+    assert redaction.sloppy_redactions(items, areas).agg(F.sum("n_items")).first()[0] > 20 * count
+
+
 def test_tree_has_folders_without_entries(spark):
     rows = archive.tree(spark.createDataFrame([(1, "a/b/c.TXT", False), (1, "a/", True)], "doc_id int, path string, is_directory boolean")).collect()
     got = {r["path"]: (r["name"], r["is_directory"], r["extension"]) for r in rows}
