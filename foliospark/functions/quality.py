@@ -6,10 +6,12 @@ made of counts of pattern matches, so that a score is plain arithmetic inside ge
 
 from __future__ import annotations
 
+from dataclasses import dataclass, field
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from foliospark.functions.text import ASTRAL, WS, utf16_length
+from foliospark.functions.text import ASTRAL, WS
 
 #: Letters that the criteria count as Lithuanian (fixed values; they leave out one letter with its capital).
 LITHUANIAN = "ąčęėįšūžĄČĘĖĮŠŪŽ"
@@ -17,42 +19,22 @@ CAPITALS = "A-ZĄČĘĖĮŠŲŪŽ"
 #: The range around both: a class that is cut with it rules most letters out at once, where a list of single letters is gone through for each.
 EXTENDED = r"\x{100}-\x{17F}"
 JUNK = r"[@#$%^&*_=+\[\]{}|~<>]"
-#: Weights of the criteria (fixed values).
-WEIGHTS = {
-    "word_length": 1.0,
-    "diacritics": 2.0,
-    "junk_symbols": 5.0,
-    "capitalised": 2.0,
-    "sentence_marks": 2.0,
-    "long_words": 1.0,
-    "short_words": 2.0,
-    "plain_letters": 1.0,
-    "single_letters": 3.0,
-    "inner_capitals": 1.5,
-    "inner_digits": 5.0,
-    "not_empty": 1.0,
-}
-
 
-def n(text: Column, pattern: str) -> Column:
-    return F.regexp_count(text, F.lit(pattern)).cast("double")
 
+def literal(pattern: str) -> str:
+    """A pattern as a SQL literal inside a template: nothing in it is an escape of SQL's or a place of the template's."""
+    return "r'" + pattern.replace("{", "{{").replace("}", "}}") + "'"
 
-def flat(text: Column) -> Column:
-    """Text in which letters and digits beyond the Basic Multilingual Plane are two characters of it, as their UTF-16 units are two."""
-    two = F.regexp_replace(F.regexp_replace(text, r"[\x{10000}-\x{10FFFF}&&\p{L}]", "øø"), r"[\x{10000}-\x{10FFFF}&&\p{N}]", "٠٠")
-    return F.when(text.rlike(ASTRAL), two).otherwise(text)
 
+def n(where: str, pattern: str) -> str:
+    return f"CAST(regexp_count({{{where}}}, {literal(pattern)}) AS DOUBLE)"
 
-def words_of(flat_text: Column, kept: str = "") -> Column:
-    """The words, joined by single spaces."""
-    return F.trim(F.regexp_replace(flat_text, rf"[^\p{{L}}\p{{N}}{kept}]+", " "))
-
-
-def falling(r: Column, good: float, bad: float, span: float | None = None) -> Column:
-    """1 up to good, 0 from bad, and between them what is left to bad, in parts of span."""
-    return F.when(r <= good, 1.0).when(r >= bad, 0.0).otherwise((F.lit(bad) - r) / F.lit(bad - good if span is None else span))
 
+#: Text in which letters and digits beyond the Basic Multilingual Plane are two characters of it, as their UTF-16 units are two.
+FLAT = f"CASE WHEN {{text}} RLIKE {literal(ASTRAL)} THEN regexp_replace(regexp_replace({{text}}, {literal(r'[\x{10000}-\x{10FFFF}&&\p{L}]')}, 'øø'), {literal(r'[\x{10000}-\x{10FFFF}&&\p{N}]')}, '٠٠') ELSE {{text}} END"
+#: Words joined by spaces, with one in front as well, so that a search for words begins at a space; and those that dashes do not part.
+WORDS = f"concat(' ', trim(regexp_replace({{flat}}, {literal(r'[^\p{L}\p{N}]+')}, ' ')))"
+DASHED = f"CASE WHEN {{flat}} RLIKE {literal('[–—-]')} THEN concat(' ', trim(regexp_replace({{flat}}, {literal(r'[^\p{L}\p{N}–—-]+')}, ' '))) ELSE {{words}} END"
 
 #: A word with a digit, found without looking further; a letter or digit other than 0 to 9; and a word with one or two digits, one of them
 #: neither first nor last, and no dash.
@@ -60,100 +42,106 @@ WITH_DIGIT = "( [^ 0-9]*+[0-9][^ ]*+)"
 OTHER = "[^ 0-9–—-]"
 INNER_DIGIT = f" (?:{OTHER}++[0-9](?:{OTHER}++|{OTHER}*+[0-9]{OTHER}*+)|[0-9]{OTHER}*+[0-9]{OTHER}++)(?![^ ])"
 
+#: What measures are made of, each found once, as SQL over text, words, dashed and the counts before it. Searches begin at the character that is rarest. Letters
+#: beyond ASCII are told by their bytes in UTF-8: two, or three from 800 hex on (words have no longer ones).
+COUNTS = {
+    "size": f"CAST(length({{text}}) AS DOUBLE) + {n('text', ASTRAL)}",
+    "chars": "CAST(length(replace({words}, ' ', '')) AS DOUBLE)",
+    "count": "greatest(1.0D, length({words}) - length(replace({words}, ' ', '')))",
+    "numbers": n("words", r"\p{N}"),
+    "foreign": f"CAST(octet_length({{words}}) - length({{words}}) AS DOUBLE) - {n('words', r'[\x{800}-\x{FFFF}]')}",
+    "lithuanian": n("text", f"[{EXTENDED}&&[{LITHUANIAN}]]"),
+    "junk": n("text", JUNK),
+    "marks": n("text", "[.!?]"),
+    "upper": n("words", r"\p{Lu}(?<= .)"),
+    "over1": n("words", " [^ ]{2}"),
+    "over2": n("words", " [^ ]{3}"),
+    "over3": n("words", " [^ ]{4}"),
+    "over20": n("words", " [^ ]{21}"),
+    "inner": n("words", f"[A-Z{EXTENDED}&&[{CAPITALS}]](?<=[^ ].)(?=[^ ])[^ ]*"),
+    "dashed2": n("dashed", " [^ ]{3}"),
+    "digits": f"CAST(regexp_count(array_join(regexp_extract_all({{dashed}}, {literal(WITH_DIGIT)}, 1), ''), {literal(INNER_DIGIT)}) AS DOUBLE)",
+    "filled": f"CASE WHEN {{text}} RLIKE {literal(f'[^{WS}]')} THEN 1.0D ELSE 0.0D END",
+}
+
+
+@dataclass(frozen=True)
+class Criterion:
+    """A criterion of text quality in three SQL templates: `measure` over {counts}, the ratio, mean or percentage that it judges; `score` over {m}, its measure; and
+    `counts` of its own, if those of COUNTS are not enough, over {text}, {words} and {dashed}. Its share of the total is score * weight."""
+
+    measure: str
+    score: str
+    weight: float = 1.0
+    counts: dict[str, str] = field(default_factory=dict)
+
 
-def counts(text: Column, words: Column, dashed: Column) -> dict[str, Column]:
-    """What the measures are made of, each found once. Words are joined by spaces, with one in front as well, so that a search for
-    words begins at a space; other searches begin at the character that is rarest. Letters beyond ASCII are told by their bytes in UTF-8: two,
-    or three from 800 hex on (words have no longer ones)."""
-    letters_digits = F.length(F.replace(words, F.lit(" "), F.lit(""))).cast("double")
-    return {
-        "size": utf16_length(text).cast("double"),
-        "count": F.greatest(F.lit(1.0), F.length(words) - letters_digits),
-        "chars": letters_digits,
-        "numbers": n(words, r"\p{N}"),
-        "foreign": (F.octet_length(words) - F.length(words)).cast("double") - n(words, r"[\x{800}-\x{FFFF}]"),
-        "lithuanian": n(text, f"[{EXTENDED}&&[{LITHUANIAN}]]"),
-        "junk": n(text, JUNK),
-        "marks": n(text, "[.!?]"),
-        "upper": n(words, r"\p{Lu}(?<= .)"),
-        "over1": n(words, " [^ ]{2}"),
-        "over2": n(words, " [^ ]{3}"),
-        "over3": n(words, " [^ ]{4}"),
-        "over20": n(words, " [^ ]{21}"),
-        "inner": n(words, f"[A-Z{EXTENDED}&&[{CAPITALS}]](?<=[^ ].)(?=[^ ])[^ ]*"),
-        "dashed2": n(dashed, " [^ ]{3}"),
-        "digits": n(F.array_join(F.regexp_extract_all(dashed, F.lit(WITH_DIGIT)), ""), INNER_DIGIT),
-        "filled": F.when(text.rlike(f"[^{WS}]"), 1.0).otherwise(0.0),
-    }
-
-
-def measures(c: dict[str, Column]) -> dict[str, Column]:
-    """The ratio, mean or percentage that each criterion judges, from the counts."""
-    ratio = lambda x, y: F.when(y > 0, x / F.nullif(y, F.lit(0.0)))
-    return {
-        "word_length": c["chars"] / c["count"],
-        "diacritics": ratio(c["lithuanian"], c["chars"] - c["numbers"]),
-        "junk_symbols": ratio(c["junk"], c["size"]),
-        "capitalised": c["upper"] / c["count"],
-        "sentence_marks": c["marks"] / c["count"],
-        "long_words": c["over20"] / c["count"],
-        "short_words": (c["count"] - c["over3"]) / c["count"],
-        "plain_letters": ratio(c["chars"] - c["foreign"] + c["lithuanian"], c["size"]),
-        "single_letters": (F.when(c["chars"] == 0, 0.0).otherwise(c["count"]) - c["over1"]) / c["count"],
-        "inner_capitals": ratio(c["inner"], c["over2"]) * 100.0,
-        "inner_digits": ratio(c["digits"], c["dashed2"]) * 100.0,
-        "not_empty": c["filled"],
-    }
-
-
-def with_measures(df: DataFrame, text_col: str, prefix: str) -> DataFrame:
+def ratio(x: str, y: str) -> str:
+    return f"CASE WHEN {y} > 0 THEN ({x}) / ({y}) END"
+
+
+def falling(good: float, bad: float, span: float | None = None) -> str:
+    """1 up to good, 0 from bad, and between them what is left to bad, in parts of span."""
+    return f"CASE WHEN {{m}} <= {good!r}D THEN 1.0D WHEN {{m}} >= {bad!r}D THEN 0.0D ELSE ({bad!r}D - {{m}}) / {bad - good if span is None else span!r}D END"
+
+
+#: The twelve criteria (fixed values: thresholds and weights).
+CRITERIA: dict[str, Criterion] = {
+    "word_length": Criterion("{chars} / {count}", "greatest(0.0D, CASE WHEN {m} < 5 THEN 1.0D - (5.0D - {m}) / 2.0D WHEN {m} > 11 THEN 1.0D - ({m} - 11.0D) / 2.0D ELSE 1.0D END)", 1.0),
+    "diacritics": Criterion(ratio("{lithuanian}", "{chars} - {numbers}"), f"CASE WHEN {{m}} IS NULL OR {{m}} < 0.01D OR {{m}} > 0.3D THEN 0.0D WHEN {{m}} < 0.05D THEN ({{m}} - 0.01D) / {0.05 - 0.01!r}D WHEN {{m}} <= 0.2D THEN 1.0D ELSE (0.3D - {{m}}) / {0.3 - 0.2!r}D END", 2.0),
+    "junk_symbols": Criterion(ratio("{junk}", "{size}"), f"coalesce({falling(0.02, 0.1)}, 0.0D)", 5.0),
+    "capitalised": Criterion("{upper} / {count}", f"CASE WHEN {{m}} = 0 THEN 0.5D WHEN {{m}} < 0.01D THEN 0.5D + {{m}} / 0.01D * 0.5D WHEN {{m}} <= 0.1D THEN 1.0D WHEN {{m}} <= 0.2D THEN (0.2D - {{m}}) / {0.2 - 0.1!r}D ELSE 0.0D END", 2.0),
+    "sentence_marks": Criterion("{marks} / {count}", f"CASE WHEN {{m}} < {0.08 - 0.05!r}D THEN {{m}} / {0.08 - 0.05!r}D WHEN {{m}} > {0.08 + 0.05!r}D THEN (1.0D - {{m}}) / {1.0 - (0.08 + 0.05)!r}D ELSE 1.0D END", 2.0),
+    "long_words": Criterion("{over20} / {count}", falling(0.02, 0.1), 1.0),
+    "short_words": Criterion("({count} - {over3}) / {count}", falling(0.1, 0.3, 0.3 - 0.05), 2.0),
+    "plain_letters": Criterion(ratio("{chars} - {foreign} + {lithuanian}", "{size}"), "coalesce({m}, 0.0D)", 1.0),
+    "single_letters": Criterion("(CASE WHEN {chars} = 0 THEN 0.0D ELSE {count} END - {over1}) / {count}", falling(0.03, 0.05), 3.0),
+    "inner_capitals": Criterion(f"({ratio('{inner}', '{over2}')}) * 100.0D", f"coalesce({falling(1.0, 3.0)}, 1.0D)", 1.5),
+    "inner_digits": Criterion(f"({ratio('{digits}', '{dashed2}')}) * 100.0D", f"coalesce({falling(1.0, 15.0)}, 1.0D)", 5.0),
+    "not_empty": Criterion("{filled}", "CASE WHEN {m} = 0 THEN -100.0D ELSE 1.0D END", 1.0),
+}
+WEIGHTS = {k: c.weight for k, c in CRITERIA.items()}
+
+
+def all_counts(criteria: dict[str, Criterion]) -> dict[str, str]:
+    own = dict(COUNTS)
+    for name, c in criteria.items():
+        for k, v in c.counts.items():
+            if own.setdefault(k, v) != v:
+                raise ValueError(f"criterion {name}: there is another count {k}")
+    return own
+
+
+def with_measures(df: DataFrame, text_col: str, prefix: str, criteria: dict[str, Criterion] = CRITERIA) -> DataFrame:
     """df with a column prefix_<criterion> for each measure of a text column.
 
     The words, then the counts, then the measures are columns of their own: what is used more than once further up is kept apart by Catalyst, so
     that each pattern is evaluated once, and what nobody asks for is pruned.
     """
-    own = df.columns
-    at = lambda k: F.col(f"{prefix}__{k}")
-    text = F.col(text_col)
-    padded = lambda c: F.concat(F.lit(" "), c)
-    df = df.withColumn(f"{prefix}__flat", flat(text))
-    df = df.withColumn(f"{prefix}__words", padded(words_of(at("flat"))))
-    df = df.withColumn(f"{prefix}__dashed", F.when(at("flat").rlike("[–—-]"), padded(words_of(at("flat"), "–—-"))).otherwise(at("words")))
-    found = counts(text, at("words"), at("dashed"))
-    df = df.withColumns({f"{prefix}__{k}": v for k, v in found.items()})
-    made = measures({k: at(k) for k in found})
-    return df.select(*[F.col(f"`{c}`") for c in own], *[v.alias(f"{prefix}_{k}") for k, v in made.items()])
-
-
-def scores(prefix: str, text: Column) -> dict[str, Column]:
+    own, found = df.columns, all_counts(criteria)
+    at = {k: f"`{prefix}__{k}`" for k in ("flat", "words", "dashed", *found)} | {"text": f"`{text_col}`"}
+    for name, template in (("flat", FLAT), ("words", WORDS), ("dashed", DASHED)):
+        df = df.withColumn(f"{prefix}__{name}", F.expr(template.format_map(at)))
+    df = df.withColumns({f"{prefix}__{k}": F.expr(v.format_map(at)) for k, v in found.items()})
+    return df.select(*[F.col(f"`{c}`") for c in own], *[F.expr(c.measure.format_map(at)).alias(f"{prefix}_{k}") for k, c in criteria.items()])
+
+
+def scores(prefix: str, text: Column, criteria: dict[str, Criterion] = CRITERIA) -> dict[str, Column]:
     """The score of each criterion, before its weight, from columns prefix_<criterion>. A null text has null scores."""
-    m = {k: F.col(f"{prefix}_{k}") for k in WEIGHTS}
-    mean, r = m["word_length"], m["diacritics"]
-    caps, marks = m["capitalised"], m["sentence_marks"]
-    out = {
-        "word_length": F.greatest(F.lit(0.0), F.when(mean < 5, 1.0 - (5.0 - mean) / 2.0).when(mean > 11, 1.0 - (mean - 11.0) / 2.0).otherwise(1.0)),
-        "diacritics": F.when(r.isNull() | (r < 0.01) | (r > 0.3), 0.0).when(r < 0.05, (r - 0.01) / (0.05 - 0.01)).when(r <= 0.2, 1.0).otherwise((0.3 - r) / (0.3 - 0.2)),
-        "junk_symbols": F.coalesce(falling(m["junk_symbols"], 0.02, 0.1), F.lit(0.0)),
-        "capitalised": F.when(caps == 0, 0.5).when(caps < 0.01, 0.5 + caps / 0.01 * 0.5).when(caps <= 0.1, 1.0).when(caps <= 0.2, (0.2 - caps) / (0.2 - 0.1)).otherwise(0.0),
-        "sentence_marks": F.when(marks < 0.08 - 0.05, marks / (0.08 - 0.05)).when(marks > 0.08 + 0.05, (1.0 - marks) / (1.0 - (0.08 + 0.05))).otherwise(1.0),
-        "long_words": falling(m["long_words"], 0.02, 0.1),
-        "short_words": falling(m["short_words"], 0.1, 0.3, 0.3 - 0.05),
-        "plain_letters": F.coalesce(m["plain_letters"], F.lit(0.0)),
-        "single_letters": falling(m["single_letters"], 0.03, 0.05),
-        "inner_capitals": F.coalesce(falling(m["inner_capitals"], 1.0, 3.0), F.lit(1.0)),
-        "inner_digits": F.coalesce(falling(m["inner_digits"], 1.0, 15.0), F.lit(1.0)),
-        "not_empty": F.when(m["not_empty"] == 0, -100.0).otherwise(1.0),
-    }
-    return {k: F.when(text.isNotNull(), v) for k, v in out.items()}
-
-
-def with_total(df: DataFrame, text_col: str, out: str) -> DataFrame:
-    """df with the weighted sum of all scores of a text column."""
-    by = scores(f"{out}__m", F.col(text_col))
-    whole = F.lit(0.0)
-    for k, w in WEIGHTS.items():
-        whole = whole + by[k] * F.lit(w)
-    return with_measures(df, text_col, f"{out}__m").withColumn(out, whole).drop(*[f"{out}__m_{k}" for k in WEIGHTS])
+    return {k: F.when(text.isNotNull(), F.expr(c.score.format(m=f"`{prefix}_{k}`"))) for k, c in criteria.items()}
+
+
+def with_total(df: DataFrame, text_col: str, out: str, criteria: dict[str, Criterion] = CRITERIA, weights: DataFrame | None = None) -> DataFrame:
+    """df with the weighted sum of all scores of a text column. Weights are those of the criteria, or those of a table (criterion string, weight double) read as
+    a subquery of one row: criteria that it lacks weigh nothing, and of several rows for one the sum counts."""
+    by = scores(f"{out}__m", F.col(text_col), criteria)
+    measured, whole = with_measures(df, text_col, f"{out}__m", criteria), F.lit(0.0)
+    if weights is not None:
+        own = weights.where(F.col("criterion").isin(list(criteria))).groupBy("criterion").agg(F.sum("weight").alias("weight"))
+        measured = measured.withColumn(f"{out}__w", own.agg(F.map_from_entries(F.collect_list(F.struct("criterion", "weight")))).scalar())
+    for k, c in criteria.items():
+        whole = whole + by[k] * (F.lit(c.weight) if weights is None else F.coalesce(F.col(f"{out}__w")[k], F.lit(0.0)))
+    return measured.withColumn(out, whole).drop(f"{out}__w", *[f"{out}__m_{k}" for k in criteria])
 
 
 def first_is_better(a: Column, a_total: Column, b: Column, b_total: Column) -> Column:

@@ -38,7 +38,7 @@ def lists(pages: DataFrame, kind: str) -> DataFrame:
 
 
 @F.pandas_udf(T.StringType())
-def _host_rules(hosts: pd.Series) -> pd.Series:
+def host_rules(hosts: pd.Series) -> pd.Series:
     return hosts.map(patterns.whatwg_host)
 
 
@@ -48,7 +48,7 @@ def with_domain(found: DataFrame) -> DataFrame:
     host = F.when(F.col("kind") == "link", patterns.ascii_host(F.col("key")))
     mail = F.when((F.col("kind") == "email") & (F.size(F.split("key", "@")) == 2), F.nullif(F.regexp_replace(F.substring_index("key", "@", -1), "^www\\.", ""), F.lit("")))
     odd = F.when(~F.col("__host").rlike("^[a-z0-9._-]*[a-z_-][.]?$"), F.col("__host"))
-    ruled = found.withColumn("__host", host).withColumn("__odd", odd).withColumn("__ruled", _host_rules("__odd"))
+    ruled = found.withColumn("__host", host).withColumn("__odd", odd).withColumn("__ruled", host_rules("__odd"))
     return ruled.withColumn("domain", F.coalesce(F.when(F.col("__odd").isNull(), F.col("__host")).otherwise(F.col("__ruled")), mail)).drop("__host", "__odd", "__ruled")
 
 

@@ -507,6 +507,33 @@ def entity_string() -> Column:
     return F.coalesce(F.array_join(F.array_sort(each), "; "), F.lit("")).alias("entities")
 
 
+@query("sql_entities", ORACLE_SQL["entities_all"])
+def sql_entities(spark, sf_dir):
+    """The entities of entities_all, in plain SQL over the registered functions."""
+    from foliospark.operators import sql
+
+    sql.register(spark)
+    both = pages.split_pages(table(spark, sf_dir, "documents")).unionByName(url_pages(spark, sf_dir).withColumn("doc_id", -F.col("doc_id") - 1))
+    return spark.sql(
+        """WITH hits AS (SELECT p.doc_id, p.page, e.kind, e.key, entity_domain(e.kind, e.key) AS domain FROM {pages} p, LATERAL extract_entities(p.text) e),
+        each AS (SELECT inline(array(named_struct('doc_id', doc_id, 'kind', kind, 'key', key, 'page', page),
+         CASE WHEN kind = 'link' AND lower(key) LIKE 'mailto:%' THEN named_struct('doc_id', doc_id, 'kind', 'email', 'key', substring(key, 8), 'page', page) END,
+         CASE WHEN domain IS NOT NULL THEN named_struct('doc_id', doc_id, 'kind', 'domain', 'key', domain, 'page', CAST(NULL AS INT)) END)) FROM hits)
+        SELECT doc_id, kind, key, array_join(transform(array_sort(collect_set(page)), p -> CAST(p AS STRING)), ',') AS pages FROM each WHERE kind IS NOT NULL GROUP BY doc_id, kind, key""",
+        pages=both,
+    )
+
+
+@query("sql_quality", ORACLE_SQL["quality_scores"])
+def sql_quality(spark, sf_dir):
+    """Every criterion and the total, in plain SQL over the registered functions."""
+    from foliospark.operators import sql
+
+    sql.register(spark)
+    scored = spark.sql("SELECT doc_id, which, q.*, total FROM (SELECT doc_id, which, quality_scores(text) AS q, quality_total(text) AS total FROM {texts})", texts=both_texts(spark, sf_dir))
+    return scored.select("doc_id", "which", *[F.round(c, 6).alias(c) for c in (*quality.CRITERIA, "total")])
+
+
 @query(
     "full_extract",
     f"""WITH {CHOSEN_SQL}, {RESULT_SQL}

@@ -1,5 +1,6 @@
 """Semantics that the SQL comparisons do not reach, and the comparisons themselves on the smallest tables."""
 
+import contextlib
 import io
 import json
 import random
@@ -11,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from foliospark.functions import patterns, pdf, quality, text
-from foliospark.operators import archive, entities, pages, redaction, signatures
+from foliospark.operators import archive, entities, pages, redaction, signatures, sql
 from foliospark.plans import catalogue
 from foliospark.plans.extract import extract
 from foliospark.sources import files
@@ -96,6 +97,46 @@ def test_quality_edges(spark, value, criterion, score):
     assert df.select(quality.scores("m", F.col("t"))[criterion]).first()[0] == score
 
 
+def test_a_thirteenth_criterion_and_weights_as_a_table(spark):
+    own = quality.Criterion(measure="{vowels} / {count}", score="CASE WHEN {m} > 1 THEN 1.0D ELSE 0.5D END", weight=3.0, counts={"vowels": "CAST(regexp_count({text}, '[aeiou]') AS DOUBLE)"})
+    criteria = quality.CRITERIA | {"vowels": own}
+    df = spark.createDataFrame([(1, "aa ee io"), (2, "a b c"), (3, None)], "k int, t string")
+    measured = quality.with_measures(df, "t", "m", criteria)
+    assert {r["k"]: r["s"] for r in measured.select("k", quality.scores("m", F.col("t"), criteria)["vowels"].alias("s")).collect()} == {1: 1.0, 2: 0.5, 3: None}
+    plain, more = ({r["k"]: r["x"] for r in quality.with_total(df, "t", "x", c).collect()} for c in (quality.CRITERIA, criteria))
+    assert more[1] == pytest.approx(plain[1] + 3) and more[2] == pytest.approx(plain[2] + 1.5) and more[3] is None
+    weights = spark.createDataFrame([("vowels", 2.0), ("vowels", 1.0), ("not_empty", 4.0), ("unknown", 9.0)], "criterion string, weight double")
+    assert {r["k"]: r["x"] for r in quality.with_total(df, "t", "x", criteria, weights).collect()} == {1: 7.0, 2: 5.5, 3: None}
+    assert quality.with_total(df, "t", "x", criteria, weights.limit(0)).where("x <> 0").count() == 0
+    # what is not asked for is not counted: of all patterns only that of the new criterion is in the plan
+    said = plan(measured.select("k", "m_vowels"))
+    assert "aeiou" in said and quality.JUNK not in said and "[.!?]" not in said
+    with pytest.raises(ValueError, match="another count"):
+        quality.with_measures(df, "t", "m", {"x": quality.Criterion("{size}", "{m}", counts={"size": "1"})})
+
+
+def plan(df):
+    out = io.StringIO()
+    with contextlib.redirect_stdout(out):
+        df.explain("extended")
+    return out.getvalue().split("== Optimized Logical Plan ==")[1]
+
+
+def test_sql_functions(spark):
+    sql.register(spark, quality.CRITERIA | {"length": quality.Criterion("{size}", "{m}", 0.0)})
+    text = "a@b.lt http://www.Straße.lt/ and https://A.LT:8080/x 123456789, +370 (612) 34567 or 8 612 34567 mailto:q@w.lt LT121234567890123456 tel:1"
+    df = spark.createDataFrame([(1, text), (2, None), (3, ""), (4, "plain")], "k int, text string")
+    own = {(r["kind"], r["pos"]): r["key"] for r in entities.hits(df.select(F.col("k").alias("doc_id"), F.lit(1).alias("page"), "text")).collect()}
+    found = spark.sql("SELECT k, e.*, entity_domain(e.kind, e.key) AS domain FROM {df} d, LATERAL extract_entities(d.text) e", df=df)
+    assert {(r["kind"], r["pos"]): r["key"] for r in found.collect()} == own and len(own) == 9
+    assert sorted(r["domain"] for r in found.collect() if r["domain"]) == ["a.lt", "b.lt", patterns.whatwg_host("straße.lt"), "w.lt"]
+    assert "Join" not in plan(found.drop("domain")) and "Generate" in plan(found)
+    by_columns = {r["k"]: r["t"] for r in quality.with_total(df, "text", "t").collect()}
+    got = {r["k"]: r for r in spark.sql("SELECT k, quality_total(text) AS t, quality_scores(text) AS s FROM {df}", df=df).collect()}
+    assert {k: r["t"] for k, r in got.items()} == by_columns and got[1]["s"]["length"] == len(text) and got[2]["s"]["length"] is None
+    sql.register(spark)
+
+
 def test_better_prefers_first_of_equals(spark):
     df = spark.createDataFrame([("same text here", "same text here"), (None, "b"), ("a", ""), ("Gera diena visiems.", "%%% ### $$$")], "a string, b string")
     assert [r[0] for r in quality.with_better(df, "a", "b", "o").select("o").collect()] == ["same text here", "b", "a", "Gera diena visiems."]
