@@ -364,8 +364,32 @@ r AS (SELECT doc_id, array_to_string(parts[1:depth], '/') AS path, array_to_stri
 SELECT doc_id, path, parent_path, name, depth, bool_or(dir) AS is_directory, count(*) AS n_files, CASE WHEN NOT bool_or(dir) THEN lower(regexp_extract(name, '[^/]\\.([^./]*)$', 1)) END AS extension FROM r GROUP BY doc_id, path, parent_path, name, depth""",
 )
 def path_tree(spark, sf_dir):
-    entries = table(spark, sf_dir, "pages").select((F.col("page_id") % 10).alias("doc_id"), F.regexp_replace("url", "^https?://|[?#].*$", "").alias("path"), F.lit(False).alias("is_directory"))
-    return archive.tree(entries)
+    return archive.tree(url_entries(spark, sf_dir))
+
+
+def url_entries(spark, sf_dir) -> DataFrame:
+    return table(spark, sf_dir, "pages").select((F.col("page_id") % 10).alias("doc_id"), F.regexp_replace("url", "^https?://|[?#].*$", "").alias("path"), F.lit(False).alias("is_directory"))
+
+
+@query("path_walk", f"SELECT doc_id, path, depth, row_number() OVER (PARTITION BY doc_id ORDER BY string_split(path, '/')) AS rank FROM ({ORACLE_SQL['path_tree']})")
+def path_walk(spark, sf_dir):
+    """The tree's rows in the order of a walk."""
+    return archive.flattened(archive.tree(url_entries(spark, sf_dir))).select("doc_id", "path", "depth", F.col("rank").cast("long").alias("rank"))
+
+
+#: Levels that the SQL folds; the paths of the tables are less deep.
+DEEP = 12
+NODE_SQL = """'{"name":' || to_json(name) || ',"path":' || to_json(path) || ',"is_directory":' || is_directory || CASE WHEN extension IS NULL THEN '' ELSE ',"extension":' || to_json(extension) END || ',"n_files":' || n_files"""
+FOLD_SQL = f"WITH t AS ({ORACLE_SQL['path_tree']}), n{DEEP + 1} AS (SELECT doc_id, path AS parent_path, name, '' AS node FROM t WHERE false), " + ", ".join(
+    f"""n{d} AS (SELECT doc_id, parent_path, name, {NODE_SQL} || CASE WHEN is_directory THEN ',"children":[' || coalesce((SELECT string_agg(c.node, ',' ORDER BY c.name) FROM n{d + 1} c WHERE c.doc_id = t.doc_id AND c.parent_path = t.path), '') || ']}}' ELSE '}}' END AS node FROM t WHERE depth = {d})"""
+    for d in range(DEEP, 0, -1)
+)
+
+
+@query("path_tree_nested", FOLD_SQL + " SELECT doc_id, '[' || string_agg(node, ',' ORDER BY name) || ']' AS tree FROM n1 GROUP BY doc_id")
+def path_tree_nested(spark, sf_dir):
+    """The tree of each group of pages as nested JSON."""
+    return archive.nested(archive.tree(url_entries(spark, sf_dir)))
 
 
 @query("content_md5", "SELECT doc_id, md5(text) AS md5 FROM documents")

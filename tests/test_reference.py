@@ -224,6 +224,65 @@ def test_tree_has_folders_without_entries(spark):
     assert got == {"a": ("a", True, None), "a/b": ("b", True, None), "a/b/c.TXT": ("c.TXT", False, "txt")}
 
 
+def slow_tree(entries):
+    """Nested lists of one archive, by plain recursion."""
+    top = {}
+    for path, is_dir, info in entries:
+        parts, at = [p for p in path.split("/") if p], top
+        for k, name in enumerate(parts):
+            node = at.setdefault(name, {"dir": False, "files": 0, "info": None, "path": "/".join(parts[: k + 1]), "children": {}})
+            last = k == len(parts) - 1
+            node["dir"] |= is_dir or not last
+            node["files"] += not is_dir
+            node["info"] = max(x for x in (node["info"], info if last else None) if x is not None) if last or node["info"] is not None else None
+            at = node["children"]
+
+    def listed(at):
+        out = []
+        for name in sorted(at):
+            n = at[name]
+            one = {"name": name, "path": n["path"], "is_directory": n["dir"], "n_files": n["files"]}
+            if not n["dir"]:
+                one["extension"] = name.rsplit(".", 1)[1].lower() if "." in name[1:] else ""
+            if n["info"] is not None:
+                one["size"] = n["info"]
+            out.append(one | ({"children": listed(n["children"])} if n["dir"] else {}))
+        return out
+
+    return listed(top)
+
+
+def test_nested_tree(spark):
+    rng = random.Random(8)
+    names = ["a", "b.TXT", "č \"q\"", ".hidden", "x\\y", "ę.tar.gz"]
+    entries = [(k % 3, "/".join(rng.choice(names) for _ in range(rng.choice([1, 2, 3, 4, 17]))) + rng.choice(["", "", "/"]), rng.random() < 0.2, (rng.randint(0, 9),)) for k in range(150)]
+    entries += [(0, "", False, (1,)), (0, "//", False, (1,)), (4, "only/", True, (7,)), (5, "deep/" * 30 + "end", False, (3,)), *[(6, f"many/{k}", False, (k,)) for k in range(3000)]]
+    df = spark.createDataFrame(entries, "doc_id int, path string, is_directory boolean, info struct<size:int>").repartition(5)
+    got = {r["doc_id"]: json.loads(r["tree"]) for r in archive.nested(archive.tree(df)).collect()}
+    want = {}
+    for d, path, is_dir, info in entries:
+        want.setdefault(d, []).append((path, is_dir, info[0]))
+    assert set(got) == set(want) and all(got[d] == slow_tree(v) for d, v in want.items())
+    walk = [r["path"] for r in archive.flattened(archive.tree(df)).where("doc_id = 1").orderBy("rank").collect()]
+
+    def walked(nodes):
+        return [p for n in nodes for p in [n["path"], *walked(n.get("children", []))]]
+
+    assert walk == walked(got[1])
+    assert archive.nested(archive.tree(df.limit(0))).collect() == []
+
+
+def test_archives_have_their_tree_in_the_result(spark):
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as z:
+        z.writestr("a/b/c.txt", b"hello")
+        z.writestr("a/", b"")
+    got = extract(spark.createDataFrame([(None, "zip", out.getvalue()), (None, "txt", b"x")], "doc_id int, extension string, content binary")).collect()
+    trees = [json.loads(r["files_tree"]) if r["files_tree"] else None for r in got]
+    top = next(t for t in trees if t)[0]
+    assert None in trees and top["name"] == "a" and top["children"][0]["children"][0]["size"] == 5 and top["n_files"] == 1
+
+
 def test_names():
     assert [decode_name("žąsis.txt".encode(e)) for e in ("utf-8", "cp1257")] == ["žąsis.txt"] * 2
 
