@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from foliospark.functions.text import clean_json
+
 #: The date pattern of the PDF format (fixed value).
 DATE = r"^D:(\d{4})(\d{2})?(\d{2})?(\d{2})?(\d{2})?(\d{2})?([Z+-])?(\d{2})?'?(\d{2})?'?"
 #: Names of the annotation flags, lowest bit first (fixed values).
@@ -29,6 +31,15 @@ def dated(info: Column) -> Column:
     return F.transform_values(info, lambda k, v: F.when(k.rlike("(?i)date"), F.coalesce(iso_date(v), v)).otherwise(v))
 
 
+def metadata(json: Column) -> Column:
+    """Metadata JSON as VARIANT, its strings clean at any depth. Where there is an info dictionary it stands for the whole, with its dates in ISO form.
+    Null for what is no JSON, or larger than a VARIANT can be."""
+    whole = F.try_parse_json(clean_json(json))
+    is_date = lambda k, v: k.rlike("(?i)date") & (F.schema_of_variant(v) == "STRING")
+    iso = lambda k, v: F.when(is_date(k, v), F.coalesce(iso_date(v.cast("string")).cast("variant"), v)).otherwise(v)
+    return F.coalesce(F.to_variant_object(F.transform_values(F.try_variant_get(whole, "$.info", "map<string,variant>"), iso)), whole)
+
+
 def flags(value: Column) -> Column:
     """A struct of ten booleans; null and zero have none."""
     bits = F.struct(*[(value.cast("long").bitwiseAND(F.lit(1 << k)) != 0).alias(name) for k, name in enumerate(FLAGS)])

@@ -35,6 +35,33 @@ def clean(c: Column) -> Column:
     return trim(F.replace(c, F.lit("\x00"), F.lit("")))
 
 
+def clean_json(c: Column) -> Column:
+    """JSON in which every string value, at any depth, is clean; keys, numbers and the rest stay as they are.
+
+    Escaped quotes and backslashes are set aside (for characters that JSON cannot hold unescaped), so that every second part between quotes is a string; one with a
+    colon behind it is a key. Only strings with an escape, or with white space at an end, are looked into.
+    """
+    slash, quote = F.lit("\x01"), F.lit("\x02")
+    parts = F.split(F.replace(F.replace(c, F.lit("\\\\"), slash), F.lit('\\"'), quote), '"')
+    back = lambda t: F.replace(F.replace(t, quote, F.lit('\\"')), slash, F.lit("\\\\"))
+
+    def cleaned(t: Column) -> Column:
+        out = F.to_json(F.array(clean(F.get_json_object(F.concat(F.lit('["'), back(t), F.lit('"]')), "$[0]"))))
+        return F.substr(out, F.lit(3), F.length(out) - 4)
+
+    def part(all_: Column, t: Column, i: Column) -> Column:
+        key = F.ltrim(F.coalesce(F.get(all_, i + 1), F.lit(""))).startswith(":")
+        odd = t.rlike(f"^[{WS}]|[{WS}]$") | t.contains("\\") | t.contains("\x01") | t.contains("\x02")
+        return F.when(i % 2 == 0, t).otherwise(F.concat(F.lit('"'), F.when(odd & ~key, cleaned(t)).otherwise(back(t)), F.lit('"')))
+
+    return F.transform(F.array(parts), lambda all_: F.array_join(F.transform(all_, lambda t, i: part(all_, t, i)), ""))[0]
+
+
+def clean_variant(c: Column) -> Column:
+    """A VARIANT whose string values, at any depth, are clean."""
+    return F.parse_json(clean_json(F.to_json(c)))
+
+
 def word_count(c: Column) -> Column:
     """Runs of characters that are no white space."""
     return F.regexp_count(c, F.lit(f"[^{WS}]+")).cast("long")

@@ -500,6 +500,21 @@ def info_dates(spark, sf_dir):
     return table(spark, sf_dir, "orders").select("o_orderkey", F.explode(pdf.dated(info)))
 
 
+@query(
+    "metadata_variant",
+    """SELECT o_orderkey, '{"CreationDate":"' || strftime(o_orderdate, '%Y-%m-%dT%H:%M:%SZ') || '","Date":[1,"D:2024"],"Title":"' || o_orderpriority || '","nested":{"list":["' || o_orderstatus || '",{" deep ":"x\\\\\\"y"},null],"n":' || o_custkey || '},"update":"on \\\\ ' || o_orderkey || '"}' AS metadata FROM orders""",
+)
+def metadata_variant(spark, sf_dir):
+    """Info dictionaries with NUL characters and white space at all depths, as VARIANT."""
+    nul, text = F.lit("\x00"), lambda *c: F.concat(*[F.lit(x) if isinstance(x, str) else x for x in c])
+    deep = F.struct(text("x", nul, '\\"y \t').alias(" deep "))
+    nested = F.to_json(F.struct(F.array(F.to_json(F.array(text("\n ", F.col("o_orderstatus"), nul))), F.to_json(deep)).alias("l")))
+    listed = text("[", F.substr(F.get_json_object(nested, "$.l[0]"), F.lit(2), F.length(F.get_json_object(nested, "$.l[0]")) - 2), ",", F.get_json_object(nested, "$.l[1]"), ",null]")
+    own = F.to_json(F.struct(F.date_format("o_orderdate", "'D:'yyyyMMddHHmmss").alias("CreationDate"), text(nul, " ", F.col("o_orderpriority"), " \ufeff").alias("Title"), text("on \\ ", F.col("o_orderkey").cast("string"), "\u00a0").alias("update")))
+    whole = text('{"info":', F.expr("left(own, length(own) - 1)"), ',"Date":[1," D:2024 "],"nested":{"n":', F.col("o_custkey").cast("string"), ',"list":', listed, '}},"other":" "}')
+    return table(spark, sf_dir, "orders").withColumn("own", own).select("o_orderkey", F.to_json(pdf.metadata(whole)).alias("metadata"))
+
+
 @query(
     "annotation_links",
     f"""WITH h AS (SELECT doc_id, page, uri FROM ({matches_sql(URL_PAGES, LINK_SQL, 'uri')}) UNION ALL SELECT page_id, 3, url FROM pages UNION ALL SELECT page_id, 1, 'mailto:a' || page_id % 7 || '@x.org' FROM pages)

@@ -4,10 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from foliospark.functions import pdf
-from foliospark.functions.text import clean
 from foliospark.operators import archive, compare, entities, pages, redaction, signatures
 from foliospark.session import written
 from foliospark.sources import files
@@ -64,7 +62,7 @@ def identified(requests: DataFrame) -> DataFrame:
 
 def extract(requests: DataFrame, alternatives_for: tuple[str, ...] | None = ("pdf",)) -> DataFrame:
     """One row for each request (doc_id, extension, content), in the caller's ids:
-    (doc_id, success, error, version, pages, entities map<kind, array<struct<key, pages>>>, page_count, character_count, word_count, metadata JSON, files, files_tree, request_key).
+    (doc_id, success, error, version, pages, entities map<kind, array<struct<key, pages>>>, page_count, character_count, word_count, metadata VARIANT, files, files_tree, request_key).
 
     Requests without id, or with equal ids, are requests of their own: files are decoded and written with a number for each row, and all joins are by that
     number. Equal requests have equal rows. request_key tells requests apart where ids do not. files_tree is the list of an archive's files as nested JSON, null for others.
@@ -108,10 +106,8 @@ def extract(requests: DataFrame, alternatives_for: tuple[str, ...] | None = ("pd
         more.append("signatures")
     listed = good.select("doc_id", F.explode("files").alias("f")).select("doc_id", "f.path", "f.is_directory", F.struct("f.size", "f.compressed_size", "f.last_modified", "f.md5", "f.error").alias("info"))
     out = out.join(archive.nested(archive.tree(listed)).withColumnRenamed("tree", "files_tree"), "doc_id", "left")
-    info = F.from_json(F.get_json_object("metadata", "$.info"), T.MapType(T.StringType(), T.StringType()))
-    dated = F.to_json(F.transform_values(pdf.dated(info), lambda k, v: clean(v)))
     zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
-    return out.select(F.col("given_id").alias("doc_id"), F.col("error").isNull().alias("success"), "error", F.lit(VERSION).alias("version"), F.coalesce("final_pages", "pages").alias("pages"), "entities", zero("page_count"), zero("character_count"), zero("word_count"), F.coalesce(dated, "metadata").alias("metadata"), "files", "files_tree", *more, "request_key")
+    return out.select(F.col("given_id").alias("doc_id"), F.col("error").isNull().alias("success"), "error", F.lit(VERSION).alias("version"), F.coalesce("final_pages", "pages").alias("pages"), "entities", zero("page_count"), zero("character_count"), zero("word_count"), pdf.metadata(F.col("metadata")).alias("metadata"), "files", "files_tree", *more, "request_key")
 
 
 def write_results(results: DataFrame, out: str) -> None:

@@ -224,6 +224,41 @@ def test_tree_has_folders_without_entries(spark):
     assert got == {"a": ("a", True, None), "a/b": ("b", True, None), "a/b/c.TXT": ("c.TXT", False, "txt")}
 
 
+JS_SPACE = "\t\n\x0b\x0c\r \u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000\ufeff"
+
+
+def slow_clean(x):
+    if isinstance(x, str):
+        return x.replace("\x00", "").strip(JS_SPACE)
+    return [slow_clean(y) for y in x] if isinstance(x, list) else {k: slow_clean(v) for k, v in x.items()} if isinstance(x, dict) else x
+
+
+@pytest.mark.parametrize("form", [{"ensure_ascii": False}, {"ensure_ascii": True}, {"indent": 1}])
+def test_metadata_is_clean_at_any_depth(spark, form):
+    rng = random.Random(2)
+    some = [*"ab:,{}[]", '"', "\\", "\x00", "é", "🙂", " ", "\t", "\n", "\u00a0", "\ufeff", '\\"', "\\u0000", "null"]
+    string = lambda: "".join(rng.choice(some) for _ in range(rng.randint(0, 9)))
+
+    def value(depth):
+        kind = rng.randint(0, 6 if depth < 4 else 3)
+        if kind < 4:
+            return string() if kind else rng.choice([1, 2.5, True, False, None, -7])
+        return [value(depth + 1) for _ in range(rng.randint(0, 4))] if kind == 4 else {string(): value(depth + 1) for _ in range(rng.randint(0, 4))}
+
+    rows = [(k, value(0)) for k in range(600)] + [(600, {"long": '"\\\n ' * 20_000}), (601, "")]
+    df = spark.createDataFrame([(k, json.dumps(v, **form)) for k, v in rows] + [(700, None)], "k int, j string")
+    got = {r["k"]: r["c"] for r in df.select("k", text.clean_json(F.col("j")).alias("c")).collect()}
+    assert got.pop(700) is None and all(json.loads(got[k]) == slow_clean(v) for k, v in rows)
+    whole = df.select("k", text.clean_variant(F.parse_json("j")).alias("v")).where("k < 600").collect()
+    assert all(r["v"].toPython() == pytest.approx(slow_clean(rows[r["k"]][1])) if isinstance(rows[r["k"]][1], (int, float)) else json.loads(r["v"].toJson()) == slow_clean(rows[r["k"]][1]) for r in whole)
+
+
+def test_metadata_keeps_kinds_and_dates(spark):
+    rows = [('{"info":{"ModDate":"D:2024 ","dates":{"x":"D:2024"},"Pages":3,"Title":"\\u0000 t "},"annotation_links":[]}', {"ModDate": "2024-01-01T00:00:00Z", "dates": {"x": "D:2024"}, "Pages": 3, "Title": "t"}), ('{"info":" no map ","a":[" b "]}', {"info": "no map", "a": ["b"]}), ("{}", {}), ("not json", None), (None, None)]
+    got = spark.createDataFrame([(k, j) for k, (j, _) in enumerate(rows)], "k int, j string").select("k", pdf.metadata(F.col("j")).alias("v")).orderBy("k").collect()
+    assert [None if r["v"] is None else r["v"].toPython() for r in got] == [w for _, w in rows]
+
+
 def slow_tree(entries):
     """Nested lists of one archive, by plain recursion."""
     top = {}
