@@ -3,6 +3,7 @@
 import contextlib
 import io
 import json
+import os
 import random
 import zipfile
 
@@ -17,6 +18,7 @@ from foliospark.plans import catalogue
 from foliospark.plans.extract import extract
 from foliospark.sources import files
 from foliospark.sources.formats import decode_name, read
+from foliospark.streaming import incremental
 
 SF = "/root/testdata/sf0.001"
 
@@ -464,13 +466,68 @@ def test_measures_of_odd_texts(spark):
 
 
 def test_stream_extracts_new_files_once(spark, tmp_path):
-    from foliospark.streaming.incremental import arriving, extract_stream
-
+    out = str(tmp_path / "out")
     (tmp_path / "in").mkdir()
     for k in range(2):
         (tmp_path / "in" / f"{k}.txt").write_text(f"a{k}@x.lt")
-        extract_stream(arriving(spark, str(tmp_path / "in")), str(tmp_path / "out"), str(tmp_path / "ck")).awaitTermination(120)
-    assert spark.read.parquet(str(tmp_path / "out")).where("success").count() == 2
+        incremental.extract_stream(incremental.arriving(spark, str(tmp_path / "in")), out, str(tmp_path / "ck")).awaitTermination(120)
+    assert incremental.results(spark, out).count() == 2 and incremental.rejects(spark, out).count() == 0 and [r["number"] for r in incremental.commits(spark, out).orderBy("number").collect()] == [1, 2]
+
+
+@pytest.mark.parametrize("where", ["results/", "rejects/", "seen/"])
+def test_stream_that_stops_between_its_writes(spark, tmp_path, monkeypatch, where):
+    """Nothing of a batch is seen before all of it is; the next start runs it again."""
+    out, ck = str(tmp_path / "out"), str(tmp_path / "ck")
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "first.txt").write_text("a@x.lt")
+    run = lambda: incremental.extract_stream(incremental.arriving(spark, str(tmp_path / "in")), out, ck).awaitTermination(120)
+    run()
+    (tmp_path / "in" / "good.txt").write_text("b@x.lt")
+    (tmp_path / "in" / "bad.nope").write_text("c")
+    put = incremental.put
+
+    def stopping(df, path):
+        if f"/{where}" in path:
+            raise RuntimeError("stopped here")
+        put(df, path)
+
+    monkeypatch.setattr(incremental, "put", stopping)
+    with pytest.raises(Exception, match="stopped here"):
+        run()
+    counts = lambda: (incremental.results(spark, out).count(), incremental.rejects(spark, out).count())
+    assert counts() == (1, 0)
+    monkeypatch.setattr(incremental, "put", put)
+    run()
+    assert counts() == (2, 1) and incremental.rejects(spark, out).first()["error"] == "unsupported extension: nope"
+    incremental.commit(incremental.as_requests(spark.read.format("binaryFile").load(str(tmp_path / "in"))), out, "stream-000000001")  # committed, but the checkpoint was lost
+    assert counts() == (2, 1)
+
+
+def test_files_that_change(spark, tmp_path):
+    """A file that is written over counts with its new content, one that is only touched is not extracted again, one that turns bad leaves the results."""
+    out, one, two = str(tmp_path / "out"), tmp_path / "in" / "one.txt", tmp_path / "in" / "two.txt"
+    one.parent.mkdir()
+    one.write_text("a@x.lt")
+    two.write_text("b@x.lt")
+    scan = lambda: incremental.extract_changes(spark, str(one.parent), out)
+    keys = lambda: sorted(e["key"] for r in incremental.results(spark, out).collect() for e in r["entities"]["email"])
+    assert incremental.results(spark, out) is None and scan() == 1 and keys() == ["a@x.lt", "b@x.lt"] and scan() == 0
+    one.write_text("changed@x.lt")
+    os.utime(two, (1, 1))
+    assert scan() == 2 and keys() == ["b@x.lt", "changed@x.lt"] and incremental.committed(spark, out, "results").count() == 3
+    incremental.extract_stream(incremental.arriving(spark, str(one.parent)), out, str(tmp_path / "ck")).awaitTermination(120)
+    assert incremental.commits(spark, out).count() == 2 and keys() == ["b@x.lt", "changed@x.lt"]
+    one.rename(one.with_suffix(".zip"))
+    assert scan() == 3 and incremental.rejects(spark, out).count() == 1
+    one.with_suffix(".zip").write_bytes(zipped())
+    assert scan() == 4 and incremental.rejects(spark, out).count() == 0 and incremental.results(spark, out).count() == 3
+
+
+def zipped():
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as z:
+        z.writestr("a.txt", b"x")
+    return out.getvalue()
 
 
 def test_read_files(spark, tmp_path):
