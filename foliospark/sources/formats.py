@@ -77,6 +77,12 @@ def office(raw: bytes) -> Result:
     meta: dict = {}
     with zipfile.ZipFile(io.BytesIO(raw)) as z:
         names = set(z.namelist())
+        if "xl/workbook.bin" in names:
+            raise Unsupported("binary workbook")
+        for n in sorted(x for x in names if re.fullmatch(r"xl/worksheets/[^/]+\.xml", x)):
+            for c in ElementTree.fromstring(z.read(n)).iter():
+                if local(c.tag) == "c" and c.get("t") != "s" and any(local(x.tag) in ("v", "is", "f") for x in c):
+                    raise Unsupported("workbook with cells that are no shared strings")
         for part in ("docProps/core.xml", "docProps/app.xml"):
             if part in names:
                 for x in ElementTree.fromstring(z.read(part)):
@@ -177,24 +183,49 @@ def _stream(body: bytes) -> bytes:
     return zlib.decompress(data) if b"/FlateDecode" in body[: head.start()] else data
 
 
+def _told_pages(objects: dict[bytes, bytes], raw: bytes) -> list[bytes]:
+    """The page objects in the order of the page tree, as far as there is one."""
+    root = re.search(rb"/Root\s+(\d+)\s+\d+\s+R", raw)
+    top = re.search(rb"/Pages\s+(\d+)\s+\d+\s+R", objects.get(root[1], b"")) if root else None
+    todo, seen, out = [top[1]] if top else [], set(), []
+    while todo:
+        node = todo.pop()
+        if node in seen:
+            continue
+        seen.add(node)
+        body = objects.get(node, b"")
+        kids = re.search(rb"/Kids\s*\[([^\]]*)\]", body)
+        if re.search(rb"/Type\s*/Page\b", body):
+            out.append(node)
+        elif kids:
+            todo += reversed(re.findall(rb"(\d+)\s+\d+\s+R", kids[1]))
+    return out
+
+
 def pdf(raw: bytes) -> Result:
-    """Text that is shown by plain fonts in uncompressed or deflated streams, in the order of page objects; the info dictionary; link targets.
-    Files with encryption or object streams only are not supported."""
+    """Text that is shown by plain fonts in uncompressed or deflated streams; the info dictionary; link targets. Files that are encrypted, have object streams
+    only, whose pages stand in the file in another order than in the document, or with text in composite fonts, are not supported."""
     if not raw.startswith(b"%PDF"):
         raise ValueError("no PDF header")
     objects = {m[1]: m[2] for m in re.finditer(rb"(\d+)\s+\d+\s+obj\b(.*?)\bendobj", raw, re.S)}
     if re.search(rb"/Encrypt\b", raw):
         raise Unsupported("encrypted PDF")
     pages, links = [], []
-    for body in objects.values():
-        if not re.search(rb"/Type\s*/Page\b", body):
-            continue
+    there = [n for n, body in objects.items() if re.search(rb"/Type\s*/Page\b", body)]
+    told = _told_pages(objects, raw)
+    if told and told != there:
+        raise Unsupported("PDF pages that stand in another order in the file")
+    composite = any(re.search(rb"/Subtype\s*/Type0\b", body) for body in objects.values())
+    for body in (objects[n] for n in there):
         text = []
         names = re.search(rb"/Contents\s*(\[[^\]]*\]|\d+\s+\d+\s+R)", body)
         for ref in re.findall(rb"(\d+)\s+\d+\s+R", names[1]) if names else ():
             data = _stream(objects.get(ref, b""))
             for op in re.finditer(rb"(" + STRING + rb")\s*(?:Tj|'|\")|\[((?:" + STRING + rb"|[^\]()<>])*)\]\s*TJ", data, re.S):
-                text.append(_pdf_string(op[1]) if op[1] else "".join(_pdf_string(s) for s in re.findall(STRING, op[2], re.S)))
+                shown = [op[1]] if op[1] else re.findall(STRING, op[2], re.S)
+                if composite and not all(re.match(rb"<\s*[Ff][Ee]\s*[Ff]{2}|\(\xfe\xff", x) for x in shown):
+                    raise Unsupported("PDF text in composite fonts")
+                text.append("".join(map(_pdf_string, shown)))
         pages.append(" ".join(re.sub(r"\s+", " ", " ".join(text)).split()))
         links += [{"page": len(pages), "uri": _pdf_string(u)} for ref in re.findall(rb"(\d+)\s+\d+\s+R", (re.search(rb"/Annots\s*\[([^\]]*)\]", body) or [b"", b""])[1]) for u in re.findall(rb"/URI\s*(" + STRING + rb")", objects.get(ref, b""), re.S)]
     if not pages:

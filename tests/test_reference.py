@@ -544,6 +544,34 @@ def test_read_files_has_large_ones(spark, tmp_path):
     assert sizes(files.read_files(spark, str(tmp_path), most_bytes=1000)) == [1]
 
 
+def workbook(**parts):
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as z:
+        for name, content in parts.items():
+            z.writestr("xl/" + name.replace("__", "/").replace("_x", ".x").replace("_bin", ".bin"), content)
+    return out.getvalue()
+
+
+def test_what_would_be_read_wrong_is_an_error():
+    """Workbooks with other cells than shared strings, binary ones, PDF pages out of order and text in composite fonts."""
+    shared = "<sst xmlns='x'><si><t>one</t></si></sst>"
+    sheet = lambda c: f"<worksheet xmlns='x'><sheetData><row>{c}</row></sheetData></worksheet>"
+    assert read("office", workbook(sharedStrings_xml=shared, worksheets__sheet1_xml=sheet("<c t='s'><v>0</v></c><c r='B1'/>")))[0] == ["one"]
+    for c in ("<c><v>7</v></c>", "<c t='inlineStr'><is><t>x</t></is></c>", "<c t='str'><f>A1</f><v>x</v></c>"):
+        assert read("office", workbook(sharedStrings_xml=shared, worksheets__sheet1_xml=sheet(c)))[3] == "unsupported: workbook with cells that are no shared strings"
+    assert read("office", workbook(workbook_bin=b"x"))[3] == "unsupported: binary workbook"
+
+    def made(kids, font=b"", shown=(b"(first)", b"(second)")):
+        page = lambda n, k: b"%d 0 obj << /Type /Page /Parent 2 0 R /Contents %d 0 R >> endobj\n" % (n, n + 2) + b"%d 0 obj << /Length %d >>\nstream\nBT %s Tj ET\nendstream endobj\n" % (n + 2, len(shown[k]) + 9, shown[k])
+        return b"%PDF-1.7\n1 0 obj << /Type /Catalog /Pages 2 0 R >> endobj\n2 0 obj << /Type /Pages " + kids + b" >> endobj\n" + page(3, 0) + page(4, 1) + font + b"trailer << /Root 1 0 R >>"
+
+    type0 = b"9 0 obj << /Type /Font /Subtype /Type0 /Encoding /Identity-H >> endobj\n"
+    assert read("pdf", made(b"/Kids [3 0 R 4 0 R]"))[0] == ["first", "second"] == read("pdf", made(b""))[0]
+    assert read("pdf", made(b"/Kids [4 0 R 3 0 R]"))[3] == "unsupported: PDF pages that stand in another order in the file"
+    assert read("pdf", made(b"", type0))[3] == "unsupported: PDF text in composite fonts"
+    assert read("pdf", made(b"", type0, (b"<FEFF0061>", b"<feff0062>")))[0] == ["a", "b"]
+
+
 def test_office_defaults():
     out = io.BytesIO()
     with zipfile.ZipFile(out, "w") as z:
