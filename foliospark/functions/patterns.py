@@ -59,6 +59,9 @@ def phones(text: Column) -> Column:
     return F.filter(F.transform(found(text, PHONE, text.rlike(f"(?:[0-9]{GAP}){{8}}")), phone), lambda x: x.isNotNull())
 
 
+#: Hosts in lower case to which no rule applies but those of ascii_host: no other script, no escapes, no Punycode, no number at the end.
+PLAIN_HOST = "^(?!.*xn--)[a-z0-9._-]*[a-z_-][.]?$"
+
 KINDS = {"company_code": company_codes, "iban": ibans, "phone": phones, "link": links, "email": emails}
 
 
@@ -67,31 +70,3 @@ def ascii_host(uri: Column) -> Column:
     authority = F.regexp_extract(uri, "^https?:/*([^/?#\\\\]*)", 1)
     host = F.lower(F.regexp_replace(F.regexp_replace(authority, "^.*@", ""), ":[0-9]*$", ""))
     return F.nullif(F.regexp_replace(host, "^www\\.", ""), F.lit(""))
-
-
-def whatwg_host(host: str | None) -> str | None:
-    """The rest of the host rules: IDNA for other scripts, numbers in the forms of IPv4, no forbidden characters."""
-    import re
-    from urllib.parse import unquote
-
-    if not host:
-        return None
-    host = unquote(host)
-    if not host.isascii():
-        try:
-            host = ".".join(p.encode("idna").decode() if p else "" for p in host.lower().split("."))
-        except UnicodeError:
-            return None
-    if re.search(r"[\x00-\x20#/:<>?@\[\\\]^|%\x7f]", host):
-        return None
-    parts = host.rstrip(".").split(".")
-    if not re.fullmatch(r"[0-9]+|0x[0-9a-f]*", parts[-1]):
-        return host
-    try:
-        numbers = [int(p[2:] or "0", 16) if p.startswith("0x") else int(p, 8 if p[0] == "0" and len(p) > 1 else 10) for p in parts]
-    except (ValueError, IndexError):
-        return None
-    if len(numbers) > 4 or any(n > 255 for n in numbers[:-1]) or numbers[-1] >= 256 ** (5 - len(numbers)):
-        return None
-    whole = numbers[-1] + sum(n * 256 ** (3 - i) for i, n in enumerate(numbers[:-1]))
-    return ".".join(str(whole >> s & 255) for s in (24, 16, 8, 0))

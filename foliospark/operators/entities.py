@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from foliospark.functions import hosts as hosts_of
 from foliospark.functions import patterns
 from foliospark.session import written
 
@@ -38,8 +39,8 @@ def lists(pages: DataFrame, kind: str) -> DataFrame:
 
 
 @F.pandas_udf(T.StringType())
-def host_rules(hosts: pd.Series) -> pd.Series:
-    return hosts.map(patterns.whatwg_host)
+def host_rules(hosts_: pd.Series) -> pd.Series:
+    return hosts_.map(hosts_of.host_by_rules)
 
 
 def with_domain(found: DataFrame) -> DataFrame:
@@ -47,7 +48,7 @@ def with_domain(found: DataFrame) -> DataFrame:
     functions; the few that need IDNA or number rules go through Arrow, the others as nulls."""
     host = F.when(F.col("kind") == "link", patterns.ascii_host(F.col("key")))
     mail = F.when((F.col("kind") == "email") & (F.size(F.split("key", "@")) == 2), F.nullif(F.regexp_replace(F.substring_index("key", "@", -1), "^www\\.", ""), F.lit("")))
-    odd = F.when(~F.col("__host").rlike("^[a-z0-9._-]*[a-z_-][.]?$"), F.col("__host"))
+    odd = F.when(~F.col("__host").rlike(patterns.PLAIN_HOST), F.col("__host"))
     ruled = found.withColumn("__host", host).withColumn("__odd", odd).withColumn("__ruled", host_rules("__odd"))
     return ruled.withColumn("domain", F.coalesce(F.when(F.col("__odd").isNull(), F.col("__host")).otherwise(F.col("__ruled")), mail)).drop("__host", "__odd", "__ruled")
 

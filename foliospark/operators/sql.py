@@ -63,8 +63,7 @@ def scores(text: str, criteria: dict[str, quality.Criterion] = quality.CRITERIA)
 
 
 HOST = rf"nullif(regexp_replace(lower(regexp_replace(regexp_replace(regexp_extract(uri, r'^https?:/*([^/?#\\]*)', 1), r'^.*@', ''), r':[0-9]*$', '')), r'^www\.', ''), '')"
-#: Hosts that need no further rule.
-PLAIN = "r'^[a-z0-9._-]*[a-z_-][.]?$'"
+PLAIN = raw(patterns.PLAIN_HOST)
 MAIL_DOMAIN = r"CASE WHEN size(split(key, '@')) = 2 THEN nullif(regexp_replace(substring_index(key, '@', -1), r'^www\.', ''), '') END"
 
 
