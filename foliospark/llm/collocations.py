@@ -19,13 +19,13 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from foliospark.llm.common import BASE, mixed, span_hashes, written
+from foliospark.llm.common import BASE, mixed, sliced, span_hashes, written
 
 LONGEST, LEAST, TOP = 5, 100, 2000
 #: Bits of the bitmap of frequent words and pairs, a power of two of 32,768 at least: 8 MB.
 BITS = 1 << 26
 #: Bytes of text that are turned into arrays at once; longer texts are divided where pieces end.
-PORTION = 1 << 21
+PORTION = 1 << 20
 NO_LANG = "und"
 
 ENDS = re.compile("[.,;:!?\n-\r]")
@@ -84,7 +84,7 @@ class Words:
 def portions(batches):
     """(texts, languages) of about PORTION bytes each."""
     texts, langs, size = [], [], 0
-    for b in batches:
+    for b in sliced(batches, 100):
         for t, lang in zip(*[b.column(c).to_pylist() for c in ("text", "lang")]):
             while t:
                 cut = len(t)
