@@ -341,6 +341,37 @@ def annotation_types(spark, sf_dir):
     return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", pdf.type_name(F.col("l_quantity").cast("int")).alias("type_name"), border["borderWidth"].alias("border_width"), border["borderStyle"].alias("border_style"))
 
 
+@query(
+    "annotation_normalised",
+    "SELECT l_orderkey, l_linenumber, l_returnflag AS type_name, CASE WHEN l_linenumber = 1 THEN 0 ELSE 90 * l_linenumber END AS rotation, CASE l_linenumber % 3 WHEN 0 THEN NULL WHEN 1 THEN "
+    + "'#' || " + " || ".join([byte_sql("l_discount * 10")] * 3) + " ELSE '#' || " + " || ".join(byte_sql(x) for x in ("l_discount * 10", "l_tax * 10", "0.5")) + " END AS color, "
+    "coalesce(CASE WHEN l_linenumber <> 2 THEN l_linestatus END, '') AS contents, strftime(l_shipdate, '%Y-%m-%dT00:00:00Z') AS created, CASE WHEN l_partkey % 1024 <> 0 THEN (l_partkey % 1024) & 4 <> 0 END AS printed, "
+    "coalesce([" + ", ".join(f"'{t}'" for t in pdf.TYPES) + "][CAST(l_quantity AS INTEGER)], 'Unknown') AS annotation_type, l_linenumber || 'px ' || coalesce(['solid', 'dashed', 'solid', 'inset', 'none'][l_linenumber + 1], 'solid') AS border FROM lineitem",
+)
+def annotation_normalised(spark, sf_dir):
+    """Raw fields of annotations, a row of lineitem each, in their normal form."""
+    n, flag, tenth = F.col("l_linenumber"), F.col("l_partkey") % 1024, lambda c: F.col(c).cast("double") * 10
+    raw = {
+        "subtype": F.col("l_returnflag"), "rotation": F.when(n != 1, n * 90), "contentsText": F.when(n != 2, F.col("l_linestatus")), "creationDate": F.date_format("l_shipdate", "'D:'yyyyMMdd"), "annotationFlags": flag,
+        "color": F.when(n % 3 == 1, F.array(tenth("l_discount"))).when(n % 3 == 2, F.array(tenth("l_discount"), tenth("l_tax"), F.lit(0.5))), "annotationType": F.col("l_quantity").cast("int"), "borderWidth": n, "borderStyle": n,
+    }
+    own = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.struct(*[v.alias(k) for k, v in pdf.annotation(raw).items()]).alias("a"))
+    border = F.concat_ws(" ", "a.borderStyle.borderWidth", "a.borderStyle.borderStyle")
+    return own.select("l_orderkey", "l_linenumber", F.col("a.typeName").alias("type_name"), "a.rotation", "a.color", "a.contents", "a.created", F.col("a.flags.Print").alias("printed"), F.col("a.annotationType").alias("annotation_type"), border.alias("border"))
+
+
+@query(
+    "page_values",
+    """WITH p AS (SELECT o_orderkey AS doc_id, unnest(range(1, CAST(o_orderkey % 4 AS INTEGER) + 2)) AS page FROM orders), v AS (SELECT l_orderkey AS doc_id, l_linenumber % 3 + 1 AS page, string_agg(CAST(l_partkey AS VARCHAR), ',' ORDER BY l_partkey) AS v FROM lineitem GROUP BY ALL)
+SELECT doc_id, string_agg(coalesce(v, '-'), '|' ORDER BY page) AS page_values FROM p LEFT JOIN v USING (doc_id, page) GROUP BY doc_id""",
+)
+def page_values(spark, sf_dir):
+    """What rows have for pages of documents as an array with a place for each page, null where there is nothing."""
+    own = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("doc_id"), F.explode(F.sequence(F.lit(1), (F.col("o_orderkey") % 4).cast("int") + 1)).alias("page"))
+    rows = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("doc_id"), (F.col("l_linenumber") % 3 + 1).alias("page")).agg(F.array_join(F.transform(F.array_sort(F.collect_list("l_partkey")), lambda x: x.cast("string")), ",").alias("value"))
+    return pages.aligned(own, rows, "v").select("doc_id", F.array_join(F.transform("v", lambda x: F.coalesce(x, F.lit("-"))), "|").alias("page_values"))
+
+
 # --- dispatch, paths, digests ---
 
 ASKED = [*sorted(EXTENSIONS), "", "constructor"]
