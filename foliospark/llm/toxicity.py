@@ -5,7 +5,7 @@ of labelled training rows, which counts the texts of either label that hold a wo
 probability each.
 
 Scoring looks for disguised words: tokens with digits or symbols among letters, letters of two scripts in one word, letters dealt out with
-spaces or dots, and repeated letters. Each is a lattice: an observed character may stand for itself, for a letter that it resembles, or for
+separators of any kind and number, words parted in pieces, letters with marks, and repeated letters; characters that are not seen are taken out first. Each is a lattice: an observed character may stand for itself, for a letter that it resembles, or for
 nothing (separators, repeats), at a cost. A Viterbi search under the character trigram model gives the likeliest original. The restored text,
 that is the words found as they stand and the restored ones in place of disguises, is scored by the noisy-or of its words' probabilities.
 """
@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import math
 import re
+import unicodedata
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
@@ -46,13 +47,17 @@ LOOKS_LIKE = {
 OTHER_SCRIPT = re.compile("[" + "".join(c for c in LOOKS_LIKE if c.isalpha()) + "]")
 TWO_SCRIPTS = re.compile(rf"(?=[^\W\d_]*[a-z])(?=[^\W\d_]*{OTHER_SCRIPT.pattern})[^\W\d_]+")
 SEPARATORS = " .-_*~'·"
+#: Characters that are not seen (fixed values): soft hyphen, joiners, zero-width space, word joiner, byte-order mark, variation selectors. They vanish; the wide
+#: forms of ASCII become ASCII.
+UNSEEN = dict.fromkeys([0xAD, 0x200B, 0x200C, 0x200D, 0x2060, 0xFEFF, *range(0xFE00, 0xFE10)]) | {c: c - 0xFEE0 for c in range(0xFF01, 0xFF5F)}
 #: Log probabilities of the channel.
 SAME, SUBSTITUTED, DROPPED, REPEATED = math.log(0.9), math.log(0.3), math.log(0.5), math.log(0.4)
 #: Letters whose trigrams are counted. Other letters stand for themselves, each as likely as the floor of the model.
 LETTERS = "abcdefghijklmnopqrstuvwxyzßàáâãäåæçèéêëìíîïðñòóôõöøùúûüýþÿœ"
 WORD = re.compile(r"[^\W\d_]+")
-#: Letters dealt out one by one, or a token of letters with other characters inside or repeats.
-SPACED = re.compile(r"(?<![^\W_])(?:[^\W_]|[@$!|€£¢])(?:[ .\-_*~·]{1,2}(?:[^\W_]|[@$!|€£¢])){2,}(?![^\W_])")
+#: Letters dealt out one by one, with any number of separators of any kind, line ends among them; or a token of letters with other characters inside or repeats.
+SPACED = re.compile(r"(?<![^\W_])(?:[^\W_]|[@$!|€£¢])(?:(?:[^\w@$!|€£¢]|_)+(?:[^\W_]|[@$!|€£¢])){2,}(?![^\W_])")
+BETWEEN = re.compile(r"((?:[^\w@$!|€£¢]|_)+)")
 TOKEN = re.compile(r"[\w@$!|+(€£¢*.~·'-]+")
 MIXED = re.compile(r"[^\W\d_][^\w\s]*[\d@$!|+(€£¢*.~·_'-]|[\d@$!|+(€£¢*][^\w\s]*[^\W\d_]")
 RUN = re.compile(r"([^\W\d_])\1")
@@ -60,11 +65,16 @@ RUN = re.compile(r"([^\W\d_])\1")
 EDGE, BARE = "._~·'-", "|+(*.~·_'-!"
 MANY = re.compile(r"(.)\1{3,}", re.S)
 CHAINS = [re.compile(x) for x in (r"\.+", r"-+", r"_+", r"[.\-_~·]+")]
-GAP = re.compile(r"[ .\-_*~·]{2,}")
 #: Restored tokens that a worker remembers.
 KEPT = 50_000
 
 
+@lru_cache(100_000)
+def bare(word: str) -> str:
+    """Without marks on its letters."""
+    return word if word.isascii() else "".join(c for c in unicodedata.normalize("NFD", word) if not unicodedata.combining(c))
+
+
 class CharModel:
     """Trigrams of letters within words, with "^" before and after; interpolated with bigrams and a uniform floor."""
 
@@ -93,6 +103,8 @@ class CharModel:
         """What a character may stand for (a letter or nothing) after the character before, with log probabilities."""
         out = [(ch, SAME)] if ch.isalpha() else []
         out += [(c, SUBSTITUTED - math.log(len(LOOKS_LIKE[ch]))) for c in LOOKS_LIKE.get(ch, "")]
+        if (base := bare(ch)) != ch:
+            out.append((base, SUBSTITUTED))
         if ch == before:
             out.append(("", REPEATED))
         elif ch in SEPARATORS or not out:
@@ -130,16 +142,22 @@ class Scorer:
             for c in w:
                 node = node.setdefault(c, {})
             node[""] = {}
+        self.prefixes = {w[:k] for w in lexicon for k in range(1, len(w))}
         #: How a token of letters alone begins if a word of the lexicon may be behind it.
         self.begins = {w[:2] for w in lexicon} | {w[0] * 2 for w in lexicon}
 
     def disguised(self, low: str) -> Iterator[str]:
-        """Tokens that may hide a word; of letters dealt out, also the parts between wide gaps, and all without a first or last letter that
-        may be a word of its own."""
+        """Tokens that may hide a word; of letters dealt out, also the parts between gaps wider than the least, and all without a first or last letter
+        that may be a word of its own."""
         for m in SPACED.finditer(low):
-            run = m.group()
-            for part in {run, *GAP.split(run)}:
-                units = [c for c in part if c not in SEPARATORS or c == "*"]
+            parts = BETWEEN.split(m.group())  # letters, and what stands between them
+            least = min(map(len, parts[1::2]))
+            runs, own = [parts[0::2]], [[parts[0]]]
+            for gap, c in zip(parts[1::2], parts[2::2]):
+                if len(gap) > least:
+                    own.append([])
+                own[-1].append(c)
+            for units in runs + (own if len(own) > 1 else []):
                 for i in range(2):
                     for j in range(2):
                         if len(units) - i - j > 2:
@@ -153,6 +171,23 @@ class Scorer:
         if OTHER_SCRIPT.search(low):
             yield from set(TWO_SCRIPTS.findall(low))
 
+    def marked(self, words: set[str]) -> Iterator[str]:
+        """Words that are in the lexicon but for marks on their letters."""
+        return (w for w in words if not w.isascii() and w not in self.lexicon and bare(w) in self.lexicon)
+
+    def parted(self, words: list[str]) -> set[str]:
+        """Neighbouring words, with a space between, that are pieces of one of the lexicon."""
+        out, prefixes, lexicon = set(), self.prefixes, self.lexicon
+        for i in [i for i, w in enumerate(words) if w in prefixes]:
+            own = words[i]
+            for j in range(i + 1, len(words)):
+                own += words[j]
+                if own in lexicon:
+                    out.add(" ".join(words[i : j + 1]))
+                if own not in prefixes:
+                    break
+        return out
+
     @staticmethod
     def forms(token: str) -> set[str]:
         """A token and the links of a chain, with look-alikes at either edge kept and cut off."""
@@ -173,7 +208,7 @@ class Scorer:
             return []
         found = [self.restore(t)]
         if spaced:
-            found += self.model.restore(t, True).split(" ")
+            found += self.restore(t, True).split(" ")
         return [w for w in found if w in self.lexicon]
 
     def reachable(self, t: str, cut: bool) -> bool:
@@ -191,23 +226,25 @@ class Scorer:
             nodes, before = list(now.values()), ch
         return any("" in n for n in nodes)
 
-    def restore(self, t: str) -> str:
-        if (x := self.restored.get(t)) is None:
+    def restore(self, t: str, cut: bool = False) -> str:
+        if (x := self.restored.get((t, cut))) is None:
             if len(self.restored) > KEPT:
                 self.restored.clear()
-            x = self.restored[t] = self.model.restore(t)
+            x = self.restored[t, cut] = self.model.restore(t, cut)
         return x
 
     def found(self, text: str | None) -> dict[str, float]:
         """Words of the lexicon, plain or restored, with their probabilities."""
         low = (text or "").lower()
-        lexicon = self.lexicon
-        hits = {w: lexicon[w] for w in lexicon.keys() & set(WORD.findall(low))}
-        for t in self.disguised(low):
-            for w in self.words_of(t):
-                if w not in hits:
-                    hits[w] = RESTORED * lexicon[w]
-        return hits
+        if not low.isascii():
+            low = low.translate(UNSEEN).lower()
+        lexicon, words = self.lexicon, WORD.findall(low)
+        each = set(words)
+        hits = {w: lexicon[w] for w in lexicon.keys() & each}
+        found = [w for t in self.disguised(low) for w in self.words_of(t)]
+        found += [w for t in self.marked(each) for w in self.words_of(t)]
+        found += [w for t in self.parted(words) for w in self.restore(t, True).split(" ") if w in lexicon]
+        return {w: RESTORED * lexicon[w] for w in found} | hits
 
     def score(self, text: str | None) -> float:
         return combined(self.found(text))

@@ -246,6 +246,53 @@ def test_every_disguise_is_tried():
         assert not s.found(t), t
 
 
+def test_separators_pieces_marks_and_unseen_characters():
+    n = {"idiot": 50, "moron": 50, "the": 200, "water": 200, "green": 200, "all": 200, "is": 300, "land": 90, "idle": 40, "rota": 30, "you": 200}
+    grams = Counter()
+    for w, k in n.items():
+        for i in range(len(w) + 1):
+            grams[f"^^{w}^"[i : i + 3]] += k
+    s = toxicity.Scorer(grams, {"idiot": 0.9, "moron": 0.9})
+    seen = ["i   d   i   o   t", "i\nd\ni\no\nt", "i,d,i,o,t", "i/d/i/o/t", "i\td\ti\to\tt", "i \u2013 d \u2013 i \u2013 o \u2013 t", "i  d  i  o  t    m  o  r  o  n", "you i | d | i | o | t"]
+    seen += ["id iot", "idi ot", "i diot", "an id i ot", "mor\non", "i.diot", "\u00efdiot", "\u00edd\u00ed\u00f3t", "\u00ed d \u00ed \u00f3 t", "\uff49\uff44\uff49\uff4f\uff54", "\uff29\uff24\uff29\uff2f\uff34", "id\u00adiot", "i\u200bd\u200bi\u200bo\u200bt", "idi\ufeffot", "1d\u200d10t"]
+    for t in seen:
+        assert s.found(t), t
+    assert set(s.found("i  d  i  o  t    m  o  r  o  n")) == {"idiot", "moron"}
+    for t in ("the is land", "i d\ni", "a, b, c, d, e", "w\u00e4ter gr\u00eben", "id water iot", "idi, water ot", "i " * 5000, "mo the ron", "\u200b" * 50, "1. a\n2. b\n3. c"):
+        assert not s.found(t), t
+
+
+def test_lexicon_and_trigrams_equal_plain_counts(spark):
+    rng = random.Random(6)
+    vocabulary = ["".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 6))) for _ in range(60)]
+    rows, labels = [], []
+    for i in range(400):
+        toxic = i % 4 == 0
+        t = " ".join(rng.choice(vocabulary[: 40 + 20 * toxic]) for _ in range(8)) + ("!" if i % 3 else " \u00e9t\u00e9 \u0434\u0430")
+        rows.append((i, rows[i // 2][1] if i % 11 == 10 else t))
+        labels += [(i, int(toxic))] * (1 + (i % 50 == 0)) if i % 5 else []
+    labels += [(3, 1), (None, 1), (7, None)]
+    model = toxicity.fit(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), spark.createDataFrame(labels, "doc_id long, toxic int"))
+    grams, by, texts = Counter(), {}, dict(rows)
+    for _, t in rows:
+        for w in re.findall(r"[^\W\d_]+", t.lower()):
+            if all(c in toxicity.LETTERS for c in w):
+                grams.update(f"^^{w}^"[k : k + 3] for k in range(len(w) + 1))
+    for i, x in labels:
+        if i is not None and x is not None and zlib.crc32(str(i).encode()) % 3 != 1:
+            by[texts[i]] = max(by.get(texts[i], 0), x)
+    words = {t: set(re.findall(r"[^\W\d_]+", t.lower())) for t in by}
+    pos, neg = (Counter(w for t, x in by.items() if x == y for w in words[t]) for y in (1, 0))
+    p = {w: (n + toxicity.PRIOR * toxicity.STRENGTH) / (n + neg[w] + toxicity.STRENGTH) for w, n in pos.items()}
+    kept = {w: n for w, n in pos.items() if p[w] >= toxicity.LEAST}
+    due = Counter()
+    for t, x in by.items():
+        own = words[t] & kept.keys() if x else set()
+        for w in own:
+            due[w] += kept[w] ** 3 / sum(kept[v] ** 3 for v in own)
+    assert model.model.three == dict(grams) and model.lexicon == {w: pytest.approx(p[w]) for w, n in kept.items() if due[w] >= toxicity.SHARE * n} and len(model.lexicon) > 3
+
+
 def test_other_scripts():
     s = toxicity.Scorer(Counter(f"^^idiot^"[k : k + 3] for k in range(6)), {"idiot": 0.9, "дурак": 0.9})
     for t in ("idіot", "іdiоt", "д у р а к", "д.у.р.а.к", "дураааак", "дурак"):
