@@ -151,8 +151,9 @@ def pieces(benchmark: DataFrame, item_id: str, item_text: str, window: int) -> D
 
 
 def blocks_of(benchmark: DataFrame, item_id: str, item_text: str, window: int, block_bytes: int) -> list:
-    """For each block of the benchmark a function that tasks call to get its Search. Sizes are counted before anything is sent: a block has at
-    most block_bytes, or is one piece."""
+    """For each block of the benchmark a function that collects and broadcasts it, when its turn comes: it gives the function that tasks call to get their Search,
+    and the broadcast, to be destroyed after. Sizes are counted before anything is sent: a block has at most block_bytes, or is one piece, and the
+    driver holds one block at a time."""
     spark = benchmark.sparkSession
     own = written(pieces(benchmark, item_id, item_text, window), "benchmark").withColumn("bytes", F.length("words") + 40)
     whole = own.agg(F.coalesce(F.sum("bytes"), F.lit(0)).alias("all"), F.coalesce(F.max("bytes"), F.lit(0)).alias("most")).first()
@@ -163,9 +164,10 @@ def blocks_of(benchmark: DataFrame, item_id: str, item_text: str, window: int, b
 
     def sent(k: int):
         rows = sorted(((r["item"], bytes(r["words"])) for r in own.where(place() == k).select("item", "words").collect()), key=lambda r: (r[0] is None, r[0] or "", r[1]))
-        return partial(search_of, hashlib.sha256(repr((window, rows)).encode()).hexdigest(), spark.sparkContext.broadcast(rows), window)
+        held = spark.sparkContext.broadcast(rows)
+        return partial(search_of, hashlib.sha256(repr((window, rows)).encode()).hexdigest(), held, window), held
 
-    return [sent(k) for k in range(n)]
+    return [partial(sent, k) for k in range(n)]
 
 
 def _spans(docs: DataFrame, searches: list, id_col: str, text_col: str) -> DataFrame:
@@ -185,10 +187,12 @@ def _spans(docs: DataFrame, searches: list, id_col: str, text_col: str) -> DataF
         return mapped(texts, start, ["text"], ["doc_id", "row_hash"], "n_words bigint, n_hit bigint, spans array<struct<a:bigint,b:bigint>>, items array<string>")
 
     if len(searches) == 1:
-        return scan(searches[0])
+        return scan(searches[0]()[0])
     found = None
-    for search in searches:
+    for sent in searches:
+        search, held = sent()
         one = written(scan(search), "spans")
+        held.destroy()
         found = one if found is None else found.unionByName(one)
     last = "element_at(acc, -1)"
     merged = f"aggregate(all_spans, cast(array() as array<struct<a:bigint,b:bigint>>), (acc, x) -> if(size(acc) > 0 and x.a <= {last}.b, concat(slice(acc, 1, size(acc) - 1), array(named_struct('a', {last}.a, 'b', greatest({last}.b, x.b)))), concat(acc, array(x))))"
@@ -212,9 +216,10 @@ def remove_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "do
     with its id, or none, stay. With one block of benchmark text rows are dropped as they are read; with more, by (id, hash of text)."""
     searches = blocks_of(benchmark, item_id, item_text, window, block_bytes)
     if len(searches) == 1:
+        search, _ = searches[0]()
 
         def start():
-            own = searches[0]()
+            own = search()
 
             def clean(text: str | None) -> bool:
                 n, spans, _ = own(words_of(text))
