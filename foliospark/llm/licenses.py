@@ -1,27 +1,25 @@
 """Licence families of paragraphs, with DataFrame and SQL functions and the DataFrame-based machine learning library only.
 
-A paragraph, for this purpose, is a stretch of words, across line ends, that holds 5-grams of one family's templates, at most GAP words apart, and
-CONTEXT words on either side. A multinomial logistic regression on its hashed words and pairs of words says which family it states, or that
-it is "unknown": it mentions a licence, denies it, or is about something else. A temperature, fitted on rows kept back, calibrates the
-probabilities. A prediction counts if it names the family whose templates gave the stretch, with a probability of AT_LEAST, and the stretch
-holds CONFIRM of the 5-grams of one of these templates (of a shorter template, all of it). So the comparison alone cannot tell apart
-versions and kin of one licence, whose long notices share more than CONFIRM of their 5-grams, nor a denial from a statement; the classifier does.
-
-The regression is trained on variants of the templates (a word left out, cut short, corpus text beside them), on sentences that speak of licences
-without stating one, and on a bounded sample of the corpus as unknown. Text that holds no 5-gram of any template could not be confirmed
-whatever the prediction, and is passed over after a search for words that every confirmed stretch must have.
+A multinomial logistic regression on hashed words and pairs of words reads every paragraph (text between blank lines) in windows of WINDOW words, half
+overlapping, and gives each family and "unknown" a probability; a temperature, fitted on rows kept back, calibrates them. Families of at least GATE go on to the
+comparison with their templates: a stretch is what lies around 5-grams of the family's templates, at most GAP words apart, in the window and the words beside
+it, and it must hold CONFIRM of the 5-grams of one template (of a shorter template, all of it). Last the classifier reads the stretch itself with CONTEXT words
+on either side, and it is confirmed if this names the family with a probability of AT_LEAST. So neither says so alone: the comparison cannot tell
+versions and kin of one licence apart, whose long notices share more than CONFIRM of their 5-grams, nor a denial from a statement; the classifier does.
+
+The regression is trained on variants of the templates (a word left out, cut short, corpus text beside them, windows of them), on sentences that speak of licences
+without stating one in the same variants, and on a bounded sample of the corpus as unknown.
 """
 
 from __future__ import annotations
 
 import re
 from functools import reduce
-from operator import or_
 
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import HashingTF, NGram, Normalizer
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from foliospark.llm.common import written
@@ -37,6 +35,8 @@ TEMPLATES = {
     "mit": [
         "Released under the MIT License.",
         "This project is licensed under the MIT License.",
+        "Available under the MIT licence.",
+        "The software is provided \"as is\", without warranty of any kind, express or implied, including but not limited to the warranties of merchantability, fitness for a particular purpose and noninfringement.",
         "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files",
         "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.",
         "In no event shall the authors or copyright holders be liable for any claim, damages or other liability, whether in an action of contract, tort or otherwise, arising from, out of or in connection with the software",
@@ -73,6 +73,10 @@ TEMPLATES = {
         "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
         "If a copy of the MPL was not distributed with this file, You can obtain one at",
     ],
+    "boost": [
+        "Distributed under the Boost Software License, Version 1.0.",
+        "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license",
+    ],
     "epl-2.0": [
         "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0",
     ],
@@ -89,6 +93,27 @@ TEMPLATES = {
     ],
     "proprietary": ["All rights reserved.", "Unauthorized copying of this file, via any medium, is strictly prohibited."],
 }
+#: Short names of the families' licences in the SPDX list (fixed values); each is stated by a line of its own.
+SPDX = {
+    "apache-2.0": ["Apache-2.0"],
+    "mit": ["MIT"],
+    "isc": ["ISC"],
+    "gpl-3.0": ["GPL-3.0"],
+    "gpl-2.0": ["GPL-2.0"],
+    "lgpl": ["LGPL-2.1", "LGPL-3.0"],
+    "agpl-3.0": ["AGPL-3.0"],
+    "bsd": ["BSD-3-Clause", "BSD-2-Clause"],
+    "mpl-2.0": ["MPL-2.0"],
+    "epl-2.0": ["EPL-2.0"],
+    "unlicense": ["Unlicense"],
+    "cc-by": ["CC-BY-4.0"],
+    "cc-by-sa": ["CC-BY-SA-4.0"],
+    "cc-by-nc": ["CC-BY-NC-4.0"],
+    "cc0": ["CC0-1.0"],
+    "boost": ["BSL-1.0"],
+}
+for _family, _names in SPDX.items():
+    TEMPLATES[_family] += [f"SPDX-License-Identifier: {x}" for x in _names]
 #: Sentences that speak of licences without stating one (fixed values): unknown.
 OTHERS = [
     "The driver must carry a valid license at all times.",
@@ -114,8 +139,13 @@ OTHERS = [
 ]
 #: What may stand before a statement without changing it (fixed values).
 LEADS = ["note that", "it is", "this was", "the work is", "the text is", "the library is", "the code was", "they say that it is", "what is said on it", "a library", "the author", "and to the"]
+#: What takes a statement back, before and behind it (fixed values): with these it is unknown.
+DENIED = ["it is not true that it is", "it is not", "this was never", "you cannot assume it is", "it is neither", "neither it nor its parts are", "it is no longer", "until last year it was", "until 1999 it was", "before the change it was", "nobody said that it is", "they wrongly claim it is", "do not say that it is", "we doubt that it is", "it would be false to say", "we would never say", "if only it were", "it used to be", "unlike the other it is not"]
+TAKEN_BACK = ["only in jest", "is a joke", "is wrong", "is not true", "but no more", "until last year", "is what they wrongly say", "they falsely claim", "in your dreams", "is no longer true"]
 FAMILIES = ["unknown", *TEMPLATES]
 DIM, SHINGLE, CONFIRM, AT_LEAST = 1 << 12, 5, 0.8, 0.5
+#: Words of a window and of the step to the next; words beside it that a template is looked for in; the least probability of a family that goes on to that.
+WINDOW, STEP, BESIDE, GATE = 24, 12, 72, 0.005
 #: Words between two 5-grams of one stretch, at most, and words beside a stretch that the classifier sees.
 GAP, CONTEXT = 12, 4
 #: Documents whose stretches are the sample of unknown ones, about, and stretches of it at most; words of one; stretches that lend the
@@ -143,20 +173,6 @@ SHINGLES = {f: [list(dict.fromkeys(grams(template_words(t)))) for t in ts] for f
 SIZES = sorted({len(g.split()) for ts in SHINGLES.values() for t in ts for g in t}, reverse=True)
 
 
-def needed() -> list[str]:
-    """Words of which every text that holds CONFIRM of a template has one: for each template the longest ones, until the 5-grams that have one are
-    more than it may lack."""
-    out: set[str] = set()
-    for t in (t for ts in SHINGLES.values() for t in ts):
-        mine, lost = sorted({w for g in t for w in g.split()}, key=lambda w: (w not in out, -len(w), w)), set()
-        for w in mine:
-            if len(t) - len(lost) < CONFIRM * len(t):
-                break
-            lost |= {g for g in t if w in g.split()}
-            out.add(w)
-    return sorted(out)
-
-
 def literals(values: list[str]) -> Column:
     return F.array(*[F.lit(v) for v in values])
 
@@ -172,22 +188,37 @@ def shingled(column: str, size: int) -> str:
     return f"if(size({column}) = 0, cast(array() as array<string>), transform(sequence(0, size({column}) - 1), i -> concat_ws(' ', {parts})))"
 
 
-def stretches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, label, core, words): for each family the stretches that hold 5-grams of its templates, without and with the words beside them."""
+def paragraphs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, row, paragraph, k, words, around): the windows of each paragraph, without and with the words beside them. row tells rows of one id apart."""
     text = F.col(f"`{text_col}`")
-    low = docs.where(text != "").select(F.col(f"`{id_col}`").alias("doc_id"), once(F.lower(text)).alias("low"))
-    some = low.where(reduce(or_, [F.contains("low", F.lit(w)) for w in needed()])).select("doc_id", once(F.expr(words("low"))).alias("own"))
-    every = literals(sorted({g for ts in SHINGLES.values() for t in ts for g in t}))
-    cut = some.select("doc_id", "own", *[F.expr(shingled("own", n)).alias(f"g{n}") for n in SIZES])
-    found = cut.select("*", once(F.array_intersect(F.concat(*[F.col(f"g{n}") for n in SIZES]), every)).alias("found")).where(F.size("found") > 0)
-    families = F.array(*[F.struct(F.lit(FAMILIES.index(f)).alias("label"), literals(sorted({g for t in ts for g in t})).alias("grams")) for f, ts in SHINGLES.items()])
-    mine = found.select("*", F.explode(families).alias("f")).select("doc_id", "own", *[f"g{n}" for n in SIZES], "f.label", once(F.array_intersect("found", "f.grams")).alias("hits")).where(F.size("hits") > 0)
-    is_hit = " or ".join(f"array_contains(hits, get(g{n}, i))" for n in SIZES)
-    at = mine.select("doc_id", "own", "label", once(F.expr(f"filter(sequence(0, size(own) - 1), i -> {is_hit})")).alias("at"))
+    parts = docs.where(text != "").select(F.col(f"`{id_col}`").alias("doc_id"), F.xxhash64(text).alias("row"), F.posexplode(F.split(text, "\\n[ \\t\\r]*\\n")).alias("paragraph", "part"))
+    own = parts.select("doc_id", "row", "paragraph", once(F.expr(words("part"))).alias("own")).where("size(own) > 0")
+    each = own.select("doc_id", "row", "paragraph", "own", F.explode(F.expr(f"sequence(0, greatest(0, (size(own) - {WINDOW} + {STEP - 1}) div {STEP}))")).alias("k"))
+    return each.select("doc_id", "row", "paragraph", "k", F.expr(f"slice(own, {STEP} * k + 1, {WINDOW})").alias("words"), F.expr(f"slice(own, greatest(0, {STEP} * k - {BESIDE}) + 1, {WINDOW + BESIDE} + least({STEP} * k, {BESIDE}))").alias("around"))
+
+
+def likely(windows: DataFrame, model, temperature: float) -> DataFrame:
+    """windows with each family (`label`) to which the classifier gives GATE or more."""
+    rows = model.transform(vectors(windows)).select(*windows.columns, vector_to_array("rawPrediction").alias("raw"))
+    scaled = rows.select(*windows.columns, once(F.expr(f"transform(raw, x -> exp((x - array_max(raw)) / {temperature}D))")).alias("e"))
+    least = f"{GATE}D * aggregate(e, 0D, (acc, x) -> acc + x)"
+    named = scaled.select(*windows.columns, F.expr(f"filter(sequence(1, size(e) - 1), f -> element_at(e, f + 1) >= {least})").alias("labels")).where("size(labels) > 0")
+    return named.select("doc_id", "row", "paragraph", "k", "around", F.explode("labels").alias("label"))
+
+
+def stretches(windows: DataFrame) -> DataFrame:
+    """(doc_id, row, paragraph, at, label, core, words): the stretches in each window that hold 5-grams of its family's templates, without and with the words
+    beside them; at is their place in the paragraph."""
+    listed = F.array(*[F.array(*[F.lit(g) for g in sorted({g for t in ts for g in t})]) for ts in SHINGLES.values()])
+    own = windows.select("*", F.element_at(listed, F.col("label")).alias("grams"))
+    cut = own.select("*", *[F.expr(shingled("around", n)).alias(f"g{n}") for n in SIZES])
+    is_hit = " or ".join(f"array_contains(grams, get(g{n}, i))" for n in SIZES)
+    at = cut.select("doc_id", "row", "paragraph", "k", "label", "around", once(F.expr(f"filter(sequence(0, size(around) - 1), i -> {is_hit})")).alias("at")).where("size(at) > 0")
     edges = f"zip_with(filter(at, (p, k) -> k = 0 or p - get(at, k - 1) > {GAP}), filter(at, (p, k) -> k = size(at) - 1 or get(at, k + 1) - p > {GAP}), (a, b) -> named_struct('a', a, 'b', b))"
-    each = at.select("doc_id", "own", "label", F.explode(F.expr(edges)).alias("s"))
+    each = at.select("doc_id", "row", "paragraph", "k", "label", "around", F.explode(F.expr(edges)).alias("s"))
     wide = f"greatest(0, s.a - {CONTEXT})"
-    return each.select("doc_id", "label", F.expr(f"slice(own, s.a + 1, s.b - s.a + {SHINGLE})").alias("core"), F.expr(f"slice(own, {wide} + 1, s.b + {SHINGLE + CONTEXT} - {wide})").alias("words"))
+    place = f"greatest(0, {STEP} * k - {BESIDE}) + s.a"
+    return each.select("doc_id", "row", "paragraph", F.expr(place).alias("at"), "label", F.expr(f"slice(around, s.a + 1, s.b - s.a + {SHINGLE})").alias("core"), F.expr(f"slice(around, {wide} + 1, s.b + {SHINGLE + CONTEXT} - {wide})").alias("words"))
 
 
 def holds(label: Column, core: str) -> Column:
@@ -234,8 +265,14 @@ def training_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     short = own.where("size(own) > 12").select("label", F.explode(F.expr("array(slice(own, 1, size(own) * 9 div 10), slice(own, size(own) div 10 + 1, size(own)))")).alias("words"))
     form = f"element_at(array(concat(slice(o, 1, {CONTEXT}), own), concat(own, slice(o, 1, {CONTEXT})), concat(slice(o, 1, {CONTEXT}), own, slice(o, {CONTEXT + 1}, {CONTEXT}))), k % 3 + 1)"
     framed = own.select("label", "own", F.posexplode(beside).alias("k", "o")).select("label", F.expr(form).alias("words"))
+    room = f"greatest(0, {WINDOW} - size(own))"
+    window = f"if(size(own) >= {WINDOW}, slice(own, 1 + (7 * k) % (size(own) - {WINDOW - 1}), {WINDOW}), concat(slice(o, 1, {room} * (k % 5) div 4), own, slice(o, {room} * (k % 5) div 4 + 1, {room} - {room} * (k % 5) div 4)))"
+    dealt = own.select("label", "own", F.posexplode(F.array(*[literals(w[:WINDOW]) for w in few])).alias("k", "o")).select("label", F.expr(window).alias("words"))
     led = own.where("label > 0").select("label", "own", F.explode(F.array(*[literals(x.split()) for x in LEADS])).alias("o")).select("label", F.concat("o", "own").alias("words"))
-    rows = reduce(DataFrame.unionByName, [whole, lacking, short, framed, led])
+    brief = own.where("label > 0 and size(own) <= 16").select("own", F.explode(F.expr("sequence(1, 2)")).alias("k")).select("own")
+    before = brief.select("own", F.explode(F.array(*[literals(x.split()) for x in DENIED])).alias("o")).select(F.lit(0).alias("label"), F.concat("o", "own").alias("words"))
+    denied = before.unionByName(brief.select("own", F.explode(F.array(*[literals(x.split()) for x in TAKEN_BACK])).alias("o")).select(F.lit(0).alias("label"), F.concat("own", "o").alias("words")))
+    rows = reduce(DataFrame.unionByName, [whole, lacking, short, framed, dealt, led, denied])
     return rows.unionByName(unknown.select(F.lit(0).alias("label"), "words"))
 
 
@@ -245,18 +282,24 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"):
     counts = {r["label"]: r["count"] for r in rows.groupBy("label").count().collect()}  # one row for each family
     weight = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, (sum(counts.values()) / n) ** 0.5)])[F.col("label")]
     weighted = rows.withColumn("weight", weight).coalesce(2)  # a few thousand short rows, read once for each iteration
-    model = LogisticRegression(family="multinomial", weightCol="weight", regParam=2e-4, maxIter=25, standardization=False).fit(weighted.where("not back"))
+    model = LogisticRegression(family="multinomial", weightCol="weight", regParam=2e-4, maxIter=30, standardization=False).fit(weighted.where("not back"))
     tried = model.transform(weighted.where("back")).select("label", "weight", vector_to_array("rawPrediction").alias("raw"), F.explode(F.array(*[F.lit(x) for x in (0.4, 0.6, 0.8, 1.0, 1.25, 1.6, 2.0, 2.5, 3.2)])).alias("t"))
     loss = tried.groupBy("t").agg(F.sum(F.expr("weight * (ln(aggregate(raw, 0D, (acc, x) -> acc + exp((x - array_max(raw)) / t))) - (element_at(raw, label + 1) - array_max(raw)) / t)")).alias("loss")).orderBy("loss", "t").first()
     return model, float(loss["t"]) if loss else 1.0
 
 
 def classified(docs: DataFrame, model, temperature: float, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, family, predicted, probability, held, confirmed) for each stretch: the family whose templates gave it, the one that the classifier
-    names and its probability, whether a template is held, and whether both agree."""
-    rows = model.transform(vectors(stretches(docs, id_col, text_col))).select("doc_id", "label", "core", F.col("prediction").cast("int").alias("predicted"), vector_to_array("rawPrediction").alias("raw"))
+    """(doc_id, family, predicted, probability, held, confirmed) for each stretch of a likely family: the family, the one that the classifier names for the
+    stretch and its probability, whether a template is held, and whether all agree."""
+    found = stretches(likely(paragraphs(docs, id_col, text_col), model, temperature))
+    held = found.select("*", once(holds(F.col("label"), "core")).alias("held"))
+    # windows overlap: of a stretch that several of them show, in whole or in part, the longest view stands
+    seen = Window.partitionBy("doc_id", "row", "paragraph", "label").orderBy("at", "end")
+    ended = F.max("end").over(seen.rowsBetween(Window.unboundedPreceding, -1))
+    held = held.withColumn("end", F.col("at") + F.size("core")).withColumn("new", F.when(F.col("at") <= ended, 0).otherwise(1)).withColumn("part", F.sum("new").over(seen.rowsBetween(Window.unboundedPreceding, 0)))
+    one = held.groupBy("doc_id", "row", "paragraph", "part", "label").agg(F.max(F.struct("held", F.size("core").alias("n"), "words")).alias("x")).select("doc_id", "label", "x.held", "x.words")
+    rows = model.transform(vectors(one)).select("doc_id", "label", "held", F.col("prediction").cast("int").alias("predicted"), vector_to_array("rawPrediction").alias("raw"))
     rows = rows.withColumn("probability", F.expr(f"1D / aggregate(raw, 0D, (acc, x) -> acc + exp((x - array_max(raw)) / {temperature}D))"))
-    rows = rows.select("*", once(holds(F.col("label"), "core")).alias("held"))
     name = lambda c: F.element_at(literals(FAMILIES), F.col(c) + 1)
     confirmed = F.col("held") & (F.col("predicted") == F.col("label")) & (F.col("probability") >= AT_LEAST)
     return rows.select("doc_id", name("label").alias("family"), name("predicted").alias("predicted"), "probability", "held", confirmed.alias("confirmed"))
@@ -264,15 +307,15 @@ def classified(docs: DataFrame, model, temperature: float, id_col: str = "doc_id
 
 def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, family, families, n_paragraphs, n_confirmed, probability) for each distinct id: the confirmed family of the highest probability,
-    "unknown" where there is none; all confirmed families; the number of lines, and of confirmed stretches.
+    "unknown" where there is none; all confirmed families; the number of paragraphs, and of confirmed stretches.
 
-    Null and empty texts are unknown, with no confirmed stretch; null has no line. Rows that share an id count as one document. An empty table
+    Null and empty texts are unknown, with no confirmed stretch; null has no paragraph. Rows that share an id count as one document; of equal rows a stretch counts once. An empty table
     gives an empty result.
     """
     model, temperature = fit(docs, id_col, text_col)
     text = F.col(f"`{text_col}`")
-    lines = F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit(""))) + 1
-    every = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.coalesce(lines, F.lit(0)).cast("long").alias("lines"), F.lit(None).cast("struct<probability:double,family:string>").alias("hit"))
+    lines = F.size(F.split(text, "\\n[ \\t\\r]*\\n"))
+    every = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.when(text.isNull(), 0).otherwise(lines).cast("long").alias("lines"), F.lit(None).cast("struct<probability:double,family:string>").alias("hit"))
     hits = classified(docs, model, temperature, id_col, text_col).where("confirmed").select("doc_id", F.lit(0).cast("long").alias("lines"), F.struct("probability", "family").alias("hit"))
     out = every.unionByName(hits).groupBy("doc_id").agg(F.max("hit").alias("best"), F.array_sort(F.collect_set("hit.family")).alias("found"), F.sum("lines").alias("n_paragraphs"), F.count("hit").alias("n_confirmed"))
     return out.select("doc_id", F.coalesce("best.family", F.lit("unknown")).alias("family"), F.array_join("found", ",").alias("families"), "n_paragraphs", "n_confirmed", F.coalesce("best.probability", F.lit(0.0)).alias("probability"))

@@ -635,7 +635,7 @@ def test_wrapped_licences(spark):
     got = {r["doc_id"]: r for r in licenses.license_scan(spark.createDataFrame(rows, "doc_id string, text string")).collect()}
     for f in WRAPPED:
         assert [(got[k]["family"], got[k]["families"], got[k]["n_confirmed"]) for k in (f, "alone " + f)] == [(f, f, 1)] * 2
-    assert all(got[k]["family"] == "unknown" for k in ("half", *(f"p{k}" for k in range(60)))) and got["one line"]["n_confirmed"] == 1 and got["one line"]["n_paragraphs"] == 13
+    assert all(got[k]["family"] == "unknown" for k in ("half", *(f"p{k}" for k in range(60)))) and got["one line"]["n_confirmed"] == 1 and got["one line"]["n_paragraphs"] == 1
 
 
 #: Statements and look-alikes that are in no training list (held out).
@@ -648,30 +648,64 @@ HELD_OUT = [
     ("apache-2.0", "Copyright 2020 X. Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License. Thanks"),
     ("cc-by-sa", "Photos by N. N., this work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License, 2021"),
     ("bsd", "Redistribution and use in source or binary forms, with or without modification, are permitted provided that the following conditions are met: first"),
-    ("", "We say it plainly: this tool was never released under the MIT License"),
-    ("", "In fact the file is not licensed under the Apache License, Version 2.0 at all"),
-    ("", "Nor is it true that the book is no longer released under the BSD License"),
+    ("mit", "// SPDX-License-Identifier: MIT"),
+    ("gpl-3.0", "# SPDX-License-Identifier: GPL-3.0-or-later"),
+    ("mit", "The whole package is available under the MIT licence."),
+    ("mit", "THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT."),
+    ("boost", "// Distributed under the Boost Software License, Version 1.0. (See the file)"),
+    ("", "The shop was closed and the sign said released under the MIT License only in jest"),
+    ("", "You cannot assume this work is licensed under the GNU General Public License, version 3"),
+    ("", "The drawings are neither licensed under CC BY 4.0 nor sold"),
+    ("", "Until 2010 it was licensed under the Apache License, Version 2.0"),
     ("", "The tribes have all rights reserved to them by treaty"),
+    ("", "In fact the file is not licensed under the Apache License, Version 2.0 at all"),
+    ("", "Nobody here believes it is released under the BSD License any more"),
 ]
 
 
-def test_classifier_decides_where_templates_cannot(spark):
-    """On held-out paragraphs the classifier with the comparison is right more often than the comparison alone."""
+@pytest.fixture(scope="module")
+def license_model(spark):
     rng = random.Random(14)
     plain = lambda: " ".join(rng.choice("ther and shing onea the of to ernd that wher inble".split()) for _ in range(30))
-    docs = spark.createDataFrame([(f"p{k}", plain()) for k in range(60)] + [(f"h{k}", f"{plain()}\n{t}\n{plain()}") for k, (_, t) in enumerate(HELD_OUT)], "doc_id string, text string")
-    rows = licenses.classified(docs, *licenses.fit(docs)).collect()
-    said = lambda column: [",".join(sorted({r["family"] for r in rows if r["doc_id"] == f"h{k}" and r[column]})) for k in range(len(HELD_OUT))]
-    right = lambda column: sum(a == b for a, (b, _) in zip(said(column), HELD_OUT))
-    assert right("confirmed") >= 10 and right("held") <= 6, (said("confirmed"), said("held"))
-    assert not [r for r in rows if r["doc_id"][0] == "p"]
+    own = [(f"p{k}", plain()) for k in range(60)]
+    docs = spark.createDataFrame(own + [(f"h{k}", f"{plain()}\n{t}\n{plain()}") for k, (_, t) in enumerate(HELD_OUT)], "doc_id string, text string")
+    return docs, *licenses.fit(spark.createDataFrame(own, "doc_id string, text string"))
 
 
-def test_every_confirmed_stretch_has_a_needed_word():
-    every = set(licenses.needed())
-    for ts in licenses.SHINGLES.values():
-        for t in ts:
-            assert sum(not every & set(g.split()) for g in t) < licenses.CONFIRM * len(t)
+def test_classifier_decides_where_templates_cannot(license_model):
+    """On held-out paragraphs, amid other text, the classifier with the comparison is right more often than the comparison alone."""
+    docs, model, temperature = license_model
+    rows = licenses.classified(docs, model, temperature).collect()
+    said = lambda column: [",".join(sorted({r["family"] for r in rows if r["doc_id"] == f"h{k}" and r[column]})) for k in range(len(HELD_OUT))]
+    wrong = lambda column: [(b, a) for a, b in zip(said(column), HELD_OUT) if a != b[0]]
+    assert len(wrong("confirmed")) <= 3 and len(wrong("held")) >= 8, (wrong("confirmed"), wrong("held"))
+    assert not [r for r in rows if r["doc_id"][0] == "p" and r["confirmed"]]
+
+
+def test_comparison_equals_brute_force(spark, license_model):
+    """Which stretches of likely windows hold a template, by plain Python on the same windows."""
+    docs, model, temperature = license_model
+    windows = licenses.paragraphs(docs)
+    seen = windows.collect()
+    texts = {r["doc_id"]: licenses.template_words(r["text"]) for r in docs.collect()}
+    for d, own in texts.items():
+        mine = sorted((r["k"], r["words"], r["around"]) for r in seen if r["doc_id"] == d)
+        assert [w for _, w, _ in mine] == [own[12 * k : 12 * k + 24] for k in range(max(0, -(-(len(own) - 24) // 12)) + 1)]
+        assert all(around == own[max(0, 12 * k - 72) : 12 * k + 24 + 72] for k, _, around in mine)
+    chosen = licenses.likely(windows, model, temperature)
+    got = {(r["doc_id"], r["label"], r["at"], " ".join(r["core"])): r["held"] for r in licenses.stretches(chosen).select("*", licenses.holds(F.col("label"), "core").alias("held")).collect()}
+    want = {}
+    for r in chosen.collect():
+        around, base = r["around"], max(0, 12 * r["k"] - 72)
+        every = {g for t in licenses.SHINGLES[licenses.FAMILIES[r["label"]]] for g in t}
+        hits = [i for i in range(len(around)) if any(" ".join(around[i : i + n]) in every for n in licenses.SIZES)]
+        starts = [i for k, i in enumerate(hits) if k == 0 or i - hits[k - 1] > licenses.GAP]
+        for i in starts:
+            last = max(h for h in hits if h < min([x for x in starts if x > i], default=10**9))
+            core = around[i : last + licenses.SHINGLE]
+            grams = {" ".join(core[j : j + n]) for n in licenses.SIZES for j in range(len(core))}
+            want[r["doc_id"], r["label"], base + i, " ".join(core)] = any(len(grams & set(t)) >= licenses.CONFIRM * len(t) for t in licenses.SHINGLES[licenses.FAMILIES[r["label"]]])
+    assert got == want and sum(want.values()) > 15
 
 
 # --- op10 ---
