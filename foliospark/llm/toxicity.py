@@ -50,6 +50,7 @@ SEPARATORS = " .-_*~'·"
 #: Characters that are not seen (fixed values): soft hyphen, joiners, zero-width space, word joiner, byte-order mark, variation selectors. They vanish; the wide
 #: forms of ASCII become ASCII.
 UNSEEN = dict.fromkeys([0xAD, 0x200B, 0x200C, 0x200D, 0x2060, 0xFEFF, *range(0xFE00, 0xFE10)]) | {c: c - 0xFEE0 for c in range(0xFF01, 0xFF5F)}
+ANY_UNSEEN = re.compile("[" + "".join(map(chr, UNSEEN)) + "]")
 #: Log probabilities of the channel.
 SAME, SUBSTITUTED, DROPPED, REPEATED = math.log(0.9), math.log(0.3), math.log(0.5), math.log(0.4)
 #: Letters whose trigrams are counted. Other letters stand for themselves, each as likely as the floor of the model.
@@ -236,7 +237,7 @@ class Scorer:
     def found(self, text: str | None) -> dict[str, float]:
         """Words of the lexicon, plain or restored, with their probabilities."""
         low = (text or "").lower()
-        if not low.isascii():
+        if not low.isascii() and ANY_UNSEEN.search(low):
             low = low.translate(UNSEEN).lower()
         lexicon, words = self.lexicon, WORD.findall(low)
         each = set(words)
