@@ -625,15 +625,15 @@ def full_extract(spark, sf_dir):
 sa AS (SELECT doc_id, text, round(CAST({TOTAL_SQL} AS DOUBLE), 9) AS t FROM ({measure_sql("SELECT doc_id, 1 AS which, reverse(text) AS text FROM documents WHERE text <> ''")})),
 src AS (SELECT sp.doc_id, 1 AS page, CASE WHEN sa.text IS NULL OR (sp.text <> '' AND sp.t >= sa.t) THEN sp.text ELSE trim(regexp_replace(sa.text, '[\\s]+', ' ', 'g'), ' ') END AS text FROM sp LEFT JOIN sa ON sp.doc_id = sa.doc_id WHERE sp.doc_id % 11 <> 0 AND sp.doc_id % 13 <> 0),
 {RESULT_SQL}
-SELECT CASE WHEN doc_id % 5 <> 0 THEN doc_id % 50 END AS doc_id, CASE WHEN doc_id % 11 = 0 THEN 'missing uri' WHEN doc_id % 13 = 0 THEN 'unsupported extension: nope' END AS error, coalesce(page_count, 0) AS page_count, coalesce(character_count, 0) AS character_count,
+SELECT CASE WHEN doc_id % 5 <> 0 THEN doc_id % 50 ELSE -1 END AS doc_id, CASE WHEN doc_id % 11 = 0 THEN 'missing uri' WHEN doc_id % 13 = 0 THEN 'unsupported extension: nope' END AS error, coalesce(page_count, 0) AS page_count, coalesce(character_count, 0) AS character_count,
  coalesce(word_count, 0) AS word_count, coalesce(pages_sha256, sha256('')) AS pages_sha256, coalesce(entities, '') AS entities FROM documents LEFT JOIN c USING (doc_id) LEFT JOIN l USING (doc_id)""",
 )
 def extract_requests(spark, sf_dir):
-    """Every document as a text file, a fifth of the requests without id and the others with few ids, alternatives for texts, some without uri or with an unknown extension."""
+    """Every document as a text file, a fifth of the requests without id and the others with few ids, alternatives for texts, some without uri or with an unknown extension. Missing ids are shown as -1."""
     from foliospark.plans.extract import extract
 
     n = F.col("doc_id")
     uri = F.when(n % 11 == 0, " ").otherwise(F.concat(F.lit("d"), n.cast("string")))
     asked = table(spark, sf_dir, "documents").select(F.when(n % 5 != 0, n % 50).alias("doc_id"), uri.alias("uri"), F.when(n % 13 == 0, "NOPE").otherwise("TXT").alias("extension"), F.encode("text", "UTF-8").alias("content"), F.array(F.reverse("text")).alias("alt_pages"))
     out = extract(asked, alternatives_for=None)
-    return out.select("doc_id", "error", "page_count", "character_count", "word_count", F.sha2(F.array_join("pages", "\n"), 256).alias("pages_sha256"), entity_string())
+    return out.select(F.coalesce("doc_id", F.lit(-1)).alias("doc_id"), "error", "page_count", "character_count", "word_count", F.sha2(F.array_join("pages", "\n"), 256).alias("pages_sha256"), entity_string())
