@@ -19,10 +19,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from foliospark.llm.common import keyed_texts, sliced, written
-from foliospark.llm.tokens import Store, encoder
+from foliospark.llm.tokens import KEPT, Store, encoder
 
 MOST = 2048
 END_ID = 1
+#: Chunks that the library is given as one text.
+JOINED = 64
 
 
 # --- the plan, on the driver ---
@@ -85,12 +87,20 @@ class Places:
 
 class Encoder(Store):
     """Cuts texts before spaces and line ends, for byte-level files: they join a space only to what is behind it. A chunk stands for itself with a space in front;
-    one that begins with a line end, for itself. Texts with other white space, or two such characters in a row, are encoded whole."""
+    one that begins with a line end, for itself. Texts with other white space, or two such characters in a row, are encoded whole.
+
+    Arrow divides texts and numbers their chunks, so that Python meets each chunk once in a batch, however often it occurs. As a space or line end stands only
+    at the front of a chunk, the tokens that begin with one show where the chunks of a joined text begin, and the library need not keep offsets."""
 
     def __init__(self, path: str, chunked: bool = True):
         super().__init__(path, chunked)
         self.space, self.line = self.whole([" ", "\n"])
         self.lead = len(self.line)
+        vocabulary = self.tokenizer.get_vocab()
+        self.opens = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
+        self.opens[[i for t, i in vocabulary.items() if t.startswith(("Ġ", "Ċ"))]] = True  # a space and a line end in byte-level files
+        if not all(self.opens[np.frombuffer(x, self.kind)].tolist() == [True] for x in (self.space, self.line)):
+            self.chunked = False  # a file without a token for one of them
 
     @staticmethod
     def divisible(tokenizer: dict) -> bool:
@@ -107,11 +117,11 @@ class Encoder(Store):
         )
 
     @staticmethod
-    def cut(text: str) -> list[str] | None:
-        """The chunks of a line end and the text."""
+    def cut(text: str) -> str | None:
+        """The chunks of a line end and the text, with spaces between them."""
         if not text or text[0] in " \n" or "  " in text or "\n\n" in text or " \n" in text or "\n " in text or not text.replace("\n", "").isprintable():
             return None
-        return ("\n" + text).replace("\n", " \n").split(" ")[1:]
+        return "\n" + text.replace("\n", " \n")
 
     @staticmethod
     def beside(chunk: str) -> str:
@@ -120,6 +130,43 @@ class Encoder(Store):
     def fixed(self) -> dict[str, bytes]:
         return {"": self.space, "\n": self.line}  # the last of a text
 
+    def _joined(self, chunks: list[str]) -> list[bytes]:
+        groups = ["".join(map(self.beside, chunks[k : k + JOINED])) for k in range(0, len(chunks), JOINED)]
+        out, width = [], self.kind.itemsize
+        for found in self.tokenizer.encode_batch_fast(groups, add_special_tokens=False):
+            ids = np.array(found.ids, self.kind)
+            raw, at = ids.tobytes(), (width * np.flatnonzero(self.opens[ids])).tolist()
+            out += [raw[a:b] for a, b in zip(at, [*at[1:], len(raw)])]
+        return out
+
+    def parts(self, texts: list[str]) -> list[bytes]:
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        if not self.chunked:
+            return self.whole(texts)
+        if len(self.kept) > KEPT:
+            self.kept.clear()
+        self.kept |= self.fixed()
+        cut = [self.cut(t) for t in texts]
+        whole = self.whole([t for t, c in zip(texts, cut) if c is None])
+        if len(whole) == len(texts):
+            return whole
+        chunks = pc.split_pattern(pa.array([c for c in cut if c is not None], pa.large_string()), " ")
+        numbered = chunks.flatten().dictionary_encode()
+        words = numbered.dictionary.to_numpy(zero_copy_only=False).tolist()
+        ids = list(map(self.kept.get, words))
+        lack = [k for k, x in enumerate(ids) if x is None]
+        new = [words[k] for k in lack]
+        for k, c, x in zip(lack, new, self._joined(new), strict=True):
+            ids[k] = self.kept[c] = x
+        found = pa.array(ids, pa.large_binary()).take(numbered.indices)  # the ids of all texts, one behind the other
+        _, ends, data = found.buffers()
+        at = np.frombuffer(ends, np.int64)[chunks.offsets.to_numpy()].tolist()
+        data, rest = memoryview(data), iter(whole)
+        joined = iter([bytes(data[a + self.lead : b]) for a, b in zip(at, at[1:])])
+        return [next(rest if c is None else joined) for c in cut]
+
 
 # --- Spark jobs ---
 

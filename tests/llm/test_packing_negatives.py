@@ -1,5 +1,6 @@
 """Packing and hard negatives against plain Python, on odd rows."""
 
+import json
 import math
 import random
 import zlib
@@ -62,6 +63,51 @@ def test_chunks_have_the_ids_of_whole_texts():
     assert not packing.Encoder(P.path("word_bpe_49k.json")).chunked
 
 
+class Counted(dict):
+    """Counts what is looked up."""
+
+    asked = 0
+
+    def __getitem__(self, key):
+        self.asked += 1
+        return super().__getitem__(key)
+
+    def get(self, key, default=None):
+        self.asked += 1
+        return super().get(key, default)
+
+
+def test_a_chunk_is_looked_up_once_however_often_it_occurs():
+    texts = ["the end of it, " * 500 + "then\nthe end", "no  chunks", ""] * 3
+    own, whole = packing.Encoder(BYTES), packing.Encoder(BYTES, chunked=False)
+    own.kept = Counted()
+    for _ in range(2):  # with an empty store and a full one
+        own.kept.asked = 0
+        assert own.parts(texts) == whole.parts(texts)
+        assert own.kept.asked <= 20  # 6,000 chunks occur
+
+
+def test_stores_that_overflow_and_batches_without_chunks(monkeypatch):
+    rng = random.Random(2)
+    own, whole = packing.Encoder(BYTES), packing.Encoder(BYTES, chunked=False)
+    monkeypatch.setattr(packing, "KEPT", 300)
+    for _ in range(20):
+        texts = [rng.choice([" ", "\n", " <|endoftext|> ", ", ", ""]).join(str(rng.randint(0, 10**6)) + rng.choice(["", " ", "\n", "é", "'s", "…"]) for _ in range(9)) for _ in range(40)]
+        assert own.parts(texts) == whole.parts(texts)
+    assert len(own.kept) < 2000
+    assert own.parts([]) == [] and own.parts(["", "  "]) == whole.parts(["", "  "]) and own.parts(["a ", "a\n", "a"]) == whole.parts(["a ", "a\n", "a"])
+
+
+def test_files_without_a_token_for_white_space_get_whole_texts(tmp_path):
+    for lost in "ĠĊ":
+        d = json.load(open(BYTES))
+        d["model"]["merges"] = [m for m in d["model"]["merges"] if lost not in "".join(m)]
+        d["model"]["vocab"] = {t: i for t, i in d["model"]["vocab"].items() if lost not in t}
+        (tmp_path / "lost.json").write_text(json.dumps(d))
+        own, whole = packing.Encoder(str(tmp_path / "lost.json")), packing.Encoder(str(tmp_path / "lost.json"), chunked=False)
+        assert not own.chunked and own.parts(["a b\nc", "d"]) == whole.parts(["a b\nc", "d"])
+
+
 ODD = [(1, None), (2, ""), (3, "word " * 9000), (None, "no id"), (None, None), (4, "same"), (4, "same"), (4, "other"), (5, "\x00 ￿ 🙂\n\n"), (6, "a")] + [(i, "the end of it, " * (i % 37)) for i in range(7, 120)]
 
 
