@@ -59,6 +59,30 @@ def window_hashes(words: np.ndarray, size: int) -> np.ndarray:
             length *= 2
 
 
+#: What this worker process keeps between tasks, and what its task asked for.
+_kept: dict = {}
+_asked: set = set()
+
+
+def worker_keeps(key, make):
+    """What make() gives; the worker keeps it for the next tasks of the same kind. Before another thing is made, and once a task has begun that did not
+    ask for it (`begun`), it goes, so that the stages of a pipeline do not add up in the workers that they share."""
+    _asked.add(key)
+    if key not in _kept:
+        _kept.clear()
+        _kept[key] = make()
+    return _kept[key]
+
+
+def begun(start):
+    """start(), at the beginning of a task."""
+    _asked.clear()
+    work = start()
+    for key in _kept.keys() - _asked:
+        del _kept[key]
+    return work
+
+
 def mapped(df: DataFrame, start, read: list[str], keep: list[str], added: str) -> DataFrame:
     """The columns `keep`, passed through as they are, with the columns of the DDL string `added`.
 
@@ -74,7 +98,7 @@ def mapped(df: DataFrame, start, read: list[str], keep: list[str], added: str) -
     kinds = to_arrow_schema(new)
 
     def run(batches):
-        work = start()
+        work = begun(start)
         for b in sliced(batches):
             got = work({c: b.column(c).to_pylist() for c in read})
             yield pa.RecordBatch.from_arrays([b.column(c) for c in keep] + [pa.array(got[f.name], f.type) for f in kinds], names=[*keep, *kinds.names])
@@ -89,7 +113,7 @@ def kept_where(df: DataFrame, start, column: str) -> DataFrame:
     import pyarrow as pa
 
     def run(batches):
-        good = start()
+        good = begun(start)
         for b in sliced(batches):
             yield b.filter(pa.array([good(x) for x in b.column(column).to_pylist()], pa.bool_()))
 

@@ -22,7 +22,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foliospark.llm.common import kept_where, keyed_texts, mapped, sliced, written
+from foliospark.llm.common import kept_where, keyed_texts, mapped, sliced, worker_keeps, written
 
 WINDOW = 13
 #: Bytes of benchmark words that one broadcast holds; a larger benchmark is searched block by block.
@@ -118,15 +118,9 @@ class Search:
         return len(words), merged, sorted((self.names[i] for i in found), key=lambda x: (x is None, x or ""))
 
 
-_searches: dict[str, Search] = {}
-
-
 def search_of(key: str, rows, window: int) -> Search:
     """The Search of a broadcast block; a worker keeps that of the last block."""
-    if key not in _searches:
-        _searches.clear()
-        _searches[key] = Search(rows.value, window)
-    return _searches[key]
+    return worker_keeps((Search, key), lambda: Search(rows.value, window))
 
 
 def pieces(benchmark: DataFrame, item_id: str, item_text: str, window: int) -> DataFrame:

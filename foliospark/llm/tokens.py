@@ -3,14 +3,19 @@
 from __future__ import annotations
 
 import json
+import os
 from array import array
 
 import numpy as np
 
+from foliospark.llm.common import worker_keeps
+
 #: Chunks whose ids a worker keeps, about: they are dropped before a batch that finds more. About 200 bytes each.
 KEPT = 600_000
 #: Chunks that the library is given as one text: what a call costs beyond its text is then shared by many.
 JOINED = 256
+#: Texts that the library is given at once: what it says of each token takes many times the ids, and goes before the next are encoded.
+AT_ONCE = 16
 #: Characters that may follow a word in a chunk: none begins another part of a split or a special token, so a run of them is a part of its own.
 STOPS = ".,!?;:*%$#&"
 #: The first character beyond Latin-1.
@@ -56,16 +61,18 @@ class Store:
         return array(self.code, ids).tobytes()
 
     def whole(self, texts: list[str]) -> list[bytes]:
-        return [self.packed(e.ids) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        return [self.packed(e.ids) for k in range(0, len(texts), AT_ONCE) for e in self.tokenizer.encode_batch_fast(texts[k : k + AT_ONCE], add_special_tokens=False)]
 
     def _joined(self, chunks: list[str]) -> list[bytes]:
         texts = list(map(self.beside, chunks))
         groups = [texts[k : k + JOINED] for k in range(0, len(texts), JOINED)]
         out, width = [], self.kind.itemsize
-        for group, found in zip(groups, self.tokenizer.encode_batch(["".join(g) for g in groups], add_special_tokens=False)):
-            cut = [0, *np.searchsorted([a for a, _ in found.offsets], np.cumsum([len(c) for c in group])).tolist()]
-            ids = self.packed(found.ids)
-            out += [ids[width * a : width * b] for a, b in zip(cut, cut[1:])]
+        for k in range(0, len(groups), AT_ONCE):
+            some = groups[k : k + AT_ONCE]
+            for group, found in zip(some, self.tokenizer.encode_batch(["".join(g) for g in some], add_special_tokens=False)):
+                cut = [0, *np.searchsorted([a for a, _ in found.offsets], np.cumsum([len(c) for c in group])).tolist()]
+                ids = self.packed(found.ids)
+                out += [ids[width * a : width * b] for a, b in zip(cut, cut[1:])]
         return out
 
     def _learn(self, new: set[str]) -> None:
@@ -105,12 +112,8 @@ class Store:
         return [next(whole) if c is None else b"".join(map(get, c))[lead:] for c in cut]
 
 
-_encoders: dict[tuple[type, str, bool], Store] = {}
-
-
 def encoder(kind: type[Store], path: str, chunked: bool) -> Store:
-    """One for each worker process: its store serves all tasks that run there."""
-    key = (kind, path, chunked)
-    if key not in _encoders:
-        _encoders[key] = kind(path, chunked)
-    return _encoders[key]
+    """One for each worker process: its store serves the tasks that follow each other there. A task has a core of its own, so the library starts no threads
+    there, whose memory would stay with the worker, unless TOKENIZERS_PARALLELISM says so."""
+    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+    return worker_keeps((kind, path, chunked), lambda: kind(path, chunked))

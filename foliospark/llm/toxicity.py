@@ -22,7 +22,7 @@ from functools import lru_cache
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foliospark.llm.common import kept_where, keyed_texts, mapped, sliced, written
+from foliospark.llm.common import begun, kept_where, keyed_texts, mapped, sliced, written
 
 #: Labelled rows that the lexicon is fitted on, at most: those with the least hash of doc_id. Bounds the broadcast of labels.
 FIT_ROWS = 20_000
@@ -279,7 +279,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     texts = keyed_texts(docs, id_col, text_col)
 
     def count(batches):
-        n: Counter = Counter()
+        n: Counter = begun(Counter)
         for b in sliced(batches):
             for text in b.column("text").to_pylist():
                 n.update(WORD.findall((text or "").lower()))
