@@ -6,14 +6,15 @@
 
 extract_entities(text) is a table (kind, key, pos) of every hit, in the order of its kind; Spark turns its call into a generator over the rows, without a join.
 entity_domain(kind, key) and url_domain(uri) give hosts; quality_scores(text) a struct with every criterion, quality_total(text) their weighted sum. All are
-expressions of built-in functions, made from the same patterns as the columns, but for the few hosts that url_domain passes through Arrow.
+expressions of built-in functions, made from the same patterns as the columns, but for the few hosts that url_domain passes through Arrow, and the counts of
+a text (text_counts), which are found there in one pass.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import SparkSession
 
-from foliospark.functions import patterns, quality
+from foliospark.functions import counting, patterns, quality
 from foliospark.functions.text import WS
 from foliospark.operators.entities import host_rules
 
@@ -52,14 +53,18 @@ def hits(text: str) -> str:
 
 
 def scores(text: str, criteria: dict[str, quality.Criterion] = quality.CRITERIA) -> str:
-    """A struct of all scores of a text: words, counts and measures are made once each."""
-    at = {"text": text, "flat": "f", "words": "w", "dashed": "d"}
+    """A struct of all scores of a text: counts and measures are made once each, words only where criteria of the caller's look at them."""
+    at = {"text": text, "counted": "k", "flat": "f", "words": "w", "dashed": "d"}
     fields = lambda of: "named_struct(" + ", ".join(f"'{k}', {v}" for k, v in of.items()) + ")"
     counts = quality.all_counts(criteria)
     own = at | {k: f"c.{k}" for k in counts}
     made = let("m", fields({k: c.measure.format_map(own) for k, c in criteria.items()}), fields({k: f"CASE WHEN {text} IS NOT NULL THEN {c.score.format(m=f'm.{k}')} END" for k, c in criteria.items()}))
-    counted = let("c", fields({k: v.format_map(at) for k, v in counts.items()}), made)
-    return let("f", quality.FLAT.format_map(at), let("w", quality.WORDS.format_map(at), let("d", quality.DASHED.format_map(at), counted)))
+    out = let("c", fields({k: v.format_map(at) for k, v in counts.items()}), made)
+    asked = " ".join(v for k, v in counts.items() if k not in quality.COUNTS)
+    for name, template in (("dashed", quality.DASHED), ("words", quality.WORDS), ("flat", quality.FLAT)):
+        if f"{{{name}}}" in asked:
+            out, asked = let(at[name], template.format_map(at), out), asked + template
+    return let("k", f"text_counts({text})", out)
 
 
 HOST = rf"nullif(regexp_replace(lower(regexp_replace(regexp_replace(regexp_extract(uri, r'^https?:/*([^/?#\\]*)', 1), r'^.*@', ''), r':[0-9]*$', '')), r'^www\.', ''), '')"
@@ -84,5 +89,6 @@ def statements(criteria: dict[str, quality.Criterion] = quality.CRITERIA) -> lis
 def register(spark: SparkSession, criteria: dict[str, quality.Criterion] = quality.CRITERIA) -> None:
     """Make the functions known to a session, with criteria of the caller's if there are. Names of one's own stay as they are."""
     spark.udf.register("host_by_rules", host_rules)
+    spark.udf.register("text_counts", counting.text_counts)
     for s in statements(criteria):
         spark.sql(s)

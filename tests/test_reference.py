@@ -488,6 +488,39 @@ def test_measures_of_odd_texts(spark):
             assert got[k][f"m_{c}"] == (None if v is None else pytest.approx(v)), (t, c)
 
 
+def test_quality_looks_at_each_text_once(spark):
+    """The criteria share one pass over a text and no pattern is tried on it, in SQL too, where scores and their total stand side by side."""
+    sql.register(spark)
+    df = spark.createDataFrame([(1, "Gera diena visiems"), (2, None)], "k int, text string")
+    by_sql = spark.sql("SELECT k, quality_scores(text) AS s, quality_total(text) AS t FROM {df}", df=df)
+    for out in (by_sql, quality.with_total(df, "text", "t")):
+        said = plan(out).split("== Physical Plan ==")[1]
+        assert said.count("ArrowEvalPython") == 1 and said.count("text_counts(") == 1 and "regexp" not in said and "RLIKE" not in said
+    own = quality.Criterion(measure="{lower}", score="{m}", weight=0.0, counts={"lower": "CAST(regexp_count({dashed}, '[a-z]') AS DOUBLE)"})
+    sql.register(spark, quality.CRITERIA | {"lower": own})
+    assert [r[0] for r in spark.sql("SELECT quality_scores(text).lower FROM {df} ORDER BY k", df=df).collect()] == [15.0, None]
+    sql.register(spark)
+
+
+def test_counts_of_long_texts_and_batches(spark, monkeypatch):
+    """Texts that are parted at spaces, share a piece, are empty or null, or are no UTF-8, as whole texts one by one."""
+    import pyarrow as pa
+    from foliospark.functions import counting
+
+    texts = ["aB1c Žą-x! " * 50, "", None, "x" * 400, " a1b", "-c d1e𝐀 \n@", "ė" * 90 + " 1a1b" * 40, None, "end"]
+    one = lambda t: counting.text_counts.func(pa.array([t], pa.string())).to_pylist()[0]
+    alone = [one(t) for t in texts]
+    assert (alone[0]["count"], alone[0]["inner"], alone[0]["digits"], alone[0]["dashed2"], alone[0]["marks"], alone[1]["count"], alone[1]["filled"]) == (150, 50, 50, 100, 50, 1, 0)
+    for piece in (1, 16, 64, 1 << 18):
+        monkeypatch.setattr(counting, "PIECE", piece)
+        for kind in (pa.string(), pa.large_string()):
+            assert counting.text_counts.func(pa.array(texts, kind)).to_pylist() == alone
+            assert counting.text_counts.func(pa.array(["before", *texts, "after"], kind)[1:-1]).to_pylist() == alone
+    monkeypatch.undo()
+    odd = spark.sql("SELECT CAST(unhex(h) AS STRING) AS t FROM VALUES ('61FF6220C42E'), ('6162') v(h)")
+    assert sorted((r["c"]["count"], r["c"]["marks"], r["c"]["size"]) for r in odd.select(counting.text_counts("t").alias("c")).collect()) == [(1, 0, 2), (2, 1, 6)]
+
+
 def test_stream_extracts_new_files_once(spark, tmp_path):
     out = str(tmp_path / "out")
     (tmp_path / "in").mkdir()
