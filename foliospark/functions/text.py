@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 #: The 25 white-space characters of the Basic Multilingual Plane that ECMAScript's \s has, for use inside a class.
 WS = r"\t\n\x0B\f\r \u00A0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000\uFEFF"
+#: One of them. The ranges around them rule most other characters out at once, where the class alone is gone through member by member.
+SPACE = f"[\\x{{9}}-\\x{{20}}\\x{{A0}}-\\x{{FEFF}}&&[{WS}]]"
 #: A word boundary between ASCII word characters and others; Java's \b knows other letters too.
 EDGE = "(?:(?<=[A-Za-z0-9_])(?![A-Za-z0-9_])|(?<![A-Za-z0-9_])(?=[A-Za-z0-9_]))"
 ASTRAL = r"[\x{10000}-\x{10FFFF}]"
@@ -18,12 +20,12 @@ def utf16_length(c: Column) -> Column:
 
 
 def trim(c: Column) -> Column:
-    return F.regexp_replace(c, f"^[{WS}]+|[{WS}]+$", "")
+    return F.regexp_replace(c, f"^{SPACE}+|{SPACE}+$", "")
 
 
 def collapse(c: Column) -> Column:
     """Runs of white space become one space; ends are trimmed."""
-    return trim(F.regexp_replace(c, f"[{WS}]+", " "))
+    return trim(F.regexp_replace(c, f"{SPACE}+", " "))
 
 
 def unix_lines(c: Column) -> Column:
@@ -63,8 +65,8 @@ def clean_variant(c: Column) -> Column:
 
 
 def word_count(c: Column) -> Column:
-    """Runs of characters that are no white space."""
-    return F.regexp_count(c, F.lit(f"[^{WS}]+")).cast("long")
+    """Runs of characters that are no white space, told by the white space in front of them."""
+    return F.regexp_count(F.concat(F.lit(" "), c), F.lit(f"{SPACE}(?!{SPACE}|\\z)")).cast("long")
 
 
 def extension(name: Column) -> Column:

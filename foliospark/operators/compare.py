@@ -23,6 +23,16 @@ def with_alternatives(pages: DataFrame, alternatives: DataFrame, collapsed: bool
     return joined.select("doc_id", "page", F.when(first, F.col("text")).otherwise(collapse(F.col("other")) if collapsed else F.col("other")).alias("text"))
 
 
+def with_own_alternatives(rows: DataFrame, collapsed: bool = False) -> DataFrame:
+    """rows (text, other, ...) without `other`: texts are replaced by it where it is the better text, as by with_alternatives. Only pairs of texts that are both there are scored."""
+    both = F.when((F.col("text") != "") & (F.col("other") != ""), F.struct("text", "other"))
+    pair = rows.withColumn("__both", both).withColumns({"__a": F.col("__both.text"), "__b": F.col("__both.other")})
+    scored = quality.with_total(quality.with_total(pair, "__a", "__a_total"), "__b", "__b_total")
+    first = quality.first_is_better(F.col("text"), F.col("__a_total"), F.col("other"), F.col("__b_total"))
+    other = collapse(F.col("other")) if collapsed else F.col("other")
+    return scored.withColumn("text", F.when(first, F.col("text")).otherwise(other)).drop("other", "__both", "__a", "__b", "__a_total", "__b_total")
+
+
 def merged(a: DataFrame, b: DataFrame) -> DataFrame:
     """The better text of each page number of either side. Where both are empty the page is left out, and later ones move up."""
     one = lambda df, x, y: df.select("doc_id", "page", F.col("text").alias(x), F.lit(None).cast("string").alias(y))

@@ -613,9 +613,8 @@ def full_extract(spark, sf_dir):
     """Every document as a PDF file, extracted with an alternative text for its first page, end to end."""
     from foliospark.plans.extract import extract
 
-    own = table(spark, sf_dir, "documents")
-    made = fixtures.built(own, "pdf")
-    out = extract(made.join(own.select("doc_id", F.array(F.reverse("text")).alias("alt_pages")), "doc_id"))
+    own = table(spark, sf_dir, "documents").withColumn("alt_pages", F.array(F.reverse("text")))
+    out = extract(fixtures.built(own, "pdf", ("alt_pages",)))
     return out.select("doc_id", "success", "version", "page_count", "character_count", "word_count", F.sha2(F.array_join("pages", "\n"), 256).alias("pages_sha256"), entity_string())
 
 

@@ -60,12 +60,26 @@ def identified(requests: DataFrame) -> DataFrame:
     return requests.select(F.monotonically_increasing_id().alias("doc_id"), F.col("doc_id").alias("given_id"), key.alias("request_key"), "extension", "content", *there)
 
 
+def page_and_request_rows(decoded: DataFrame, alternatives_for: tuple[str, ...] | None) -> DataFrame:
+    """(doc_id, page, text, request): a row for each page, in which the better of its text and its alternative in `alt_pages` is chosen; `request`, the other columns
+    of decoded rows, stands at page 1. A request without pages has one row, without a page."""
+    kept = F.struct(*[c for c in decoded.columns if c not in ("doc_id", "pages", "alt_pages")])
+    given = "alt_pages" in decoded.columns
+    wanted = F.lit(given) if alternatives_for is None or not given else F.col("reader").isin(*alternatives_for)
+    other = lambda i: F.when(wanted, F.get("alt_pages", i)) if given else F.lit(None).cast("string")
+    row = lambda page, text, alt, request: F.struct(page.cast("int").alias("page"), text.cast("string").alias("text"), alt.cast("string").alias("other"), request.alias("request"))
+    each = F.transform("pages", lambda p, i: row(i + 1, p, other(i), F.when(i == 0, F.col("request"))))
+    none = F.lit(None)
+    rows = decoded.withColumn("request", kept).select("doc_id", F.inline(F.when(F.size("pages") > 0, each).otherwise(F.array(row(none, none, none, F.col("request"))))))
+    return compare.with_own_alternatives(rows, collapsed=True) if given else rows.drop("other")
+
+
 def extract(requests: DataFrame, alternatives_for: tuple[str, ...] | None = ("pdf",)) -> DataFrame:
     """One row for each request (doc_id, extension, content), in the caller's ids:
     (doc_id, success, error, version, pages, entities map<kind, array<struct<key, pages>>>, page_count, character_count, word_count, metadata VARIANT, files, files_tree, request_key).
 
-    Requests without id, or with equal ids, are requests of their own: files are decoded and written with a number for each row, and all joins are by that
-    number. Equal requests have equal rows. request_key tells requests apart where ids do not. files_tree is the list of an archive's files as nested JSON, null for others.
+    Requests without id, or with equal ids, are requests of their own: files are decoded and their pages written with a number for each request, and all joins are
+    by that number. Equal requests have equal rows. request_key tells requests apart where ids do not. files_tree is the list of an archive's files as nested JSON, null for others.
 
     Alternatives in a column alt_pages array<string> replace pages where they are the better text, in files of the readers `alternatives_for` (None: all);
     their white space is collapsed. Link annotations of PDF files join the links of their text; their info dictionary is the metadata, with dates in ISO
@@ -79,12 +93,11 @@ def extract(requests: DataFrame, alternatives_for: tuple[str, ...] | None = ("pd
     """
     asked = identified(requests)
     there = [c for c in MORE if c in requests.columns]
-    own = written(files.decoded(files.dispatched(asked), ("given_id", "request_key", *there)), "decoded")  # each file is decoded once; row numbers are settled
+    decoded = files.decoded(files.dispatched(asked), ("given_id", "request_key", *there))
+    paged = written(page_and_request_rows(decoded, alternatives_for), "pages")  # each file is decoded once, each pair of texts scored once; row numbers are settled
+    own = paged.where("coalesce(page, 1) = 1").select("doc_id", "request.*")
     good = own.where("error is null")
-    found = pages.page_rows(good, F.col("pages"))
-    if "alt_pages" in there:
-        other = good if alternatives_for is None else good.where(F.col("reader").isin(*alternatives_for))
-        found = written(compare.with_alternatives(found, pages.page_rows(other, F.col("alt_pages")), collapsed=True), "pages")
+    found = paged.where("page is not null").select("doc_id", "page", "text")
     links = good.select("doc_id", F.inline(F.from_json(F.get_json_object("metadata", "$.annotation_links"), "array<struct<page:int,uri:string>>")))
     each = entities.everything(found, links, mail_fields(own)).groupBy("doc_id", "kind").agg(F.array_sort(F.collect_list(F.struct("first", "key", "pages"))).alias("l"))
     in_order = F.when(F.col("kind") == "domain", F.array_sort(F.transform("l", lambda x: F.struct(x["key"].alias("key"), x["pages"].alias("pages"))))).otherwise(F.transform("l", lambda x: F.struct(x["key"].alias("key"), x["pages"].alias("pages"))))
@@ -107,7 +120,7 @@ def extract(requests: DataFrame, alternatives_for: tuple[str, ...] | None = ("pd
     listed = good.select("doc_id", F.explode("files").alias("f")).select("doc_id", "f.path", "f.is_directory", F.struct("f.size", "f.compressed_size", "f.last_modified", "f.md5", "f.error").alias("info"))
     out = out.join(archive.nested(archive.tree(listed)).withColumnRenamed("tree", "files_tree"), "doc_id", "left")
     zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
-    return out.select(F.col("given_id").alias("doc_id"), F.col("error").isNull().alias("success"), "error", F.lit(VERSION).alias("version"), F.coalesce("final_pages", "pages").alias("pages"), "entities", zero("page_count"), zero("character_count"), zero("word_count"), pdf.metadata(F.col("metadata")).alias("metadata"), "files", "files_tree", *more, "request_key")
+    return out.select(F.col("given_id").alias("doc_id"), F.col("error").isNull().alias("success"), "error", F.lit(VERSION).alias("version"), F.coalesce("final_pages", F.array().cast("array<string>")).alias("pages"), "entities", zero("page_count"), zero("character_count"), zero("word_count"), pdf.metadata(F.col("metadata")).alias("metadata"), "files", "files_tree", *more, "request_key")
 
 
 def write_results(results: DataFrame, out: str) -> None:

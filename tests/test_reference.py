@@ -6,6 +6,7 @@ import json
 import os
 import random
 import zipfile
+import zlib
 
 import duckdb
 import numpy as np
@@ -16,7 +17,7 @@ from foliospark.functions import hosts, patterns, pdf, quality, text
 from foliospark.operators import archive, entities, pages, redaction, signatures, sql
 from foliospark.plans import catalogue
 from foliospark.plans.extract import extract
-from foliospark.sources import files
+from foliospark.sources import files, formats
 from foliospark.sources.formats import decode_name, read
 from foliospark.streaming import incremental
 
@@ -521,6 +522,64 @@ def test_counts_of_long_texts_and_batches(spark, monkeypatch):
     assert sorted((r["c"]["count"], r["c"]["marks"], r["c"]["size"]) for r in odd.select(counting.text_counts("t").alias("c")).collect()) == [(1, 0, 2), (2, 1, 6)]
 
 
+def test_words_between_all_kinds_of_white_space(spark):
+    texts = ["", " ", "a", " a", "a ", "a\u0085", "a \u0085", "\ufeffa\u2003b\u3000", "a\n\nb \u180e c", "ą\u00a0č\u1680ę", "a\x0bb\x0cc\x1cd", "😀 😀"]
+    white = "\t\n\x0b\f\r \u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000\ufeff"
+    df = spark.createDataFrame([(t,) for t in [*texts, None]], "t string")
+    got = {r["t"]: (r["n"], r["c"]) for r in df.select("t", text.word_count(F.col("t")).alias("n"), text.collapse(F.col("t")).alias("c")).collect()}
+    words = {t: "".join(" " if c in white else c for c in t).split(" ") for t in texts}
+    assert {t: n for t, (n, _) in got.items()} == {t: sum(w != "" for w in ws) for t, ws in words.items()} | {None: None}
+    assert all(got[t][1] == " ".join(w for w in ws if w) for t, ws in words.items() if "\u0085" not in t) and got[None][1] is None
+
+
+def pdf_of(*shown):
+    stream = zlib.compress(b"BT\n" + b"\n".join(shown) + b"\nET")
+    return b"%PDF-1.7\n1 0 obj\n<< /Type /Page /Contents 2 0 R >>\nendobj\n2 0 obj\n<< /Filter /FlateDecode /Length " + str(len(stream)).encode() + b" >>\nstream\n" + stream + b"\nendstream\nendobj\n"
+
+
+@pytest.mark.parametrize(
+    "shown, page",
+    [
+        ([b"<feff00410042> Tj", b"<FEFF0043>'"], "AB C"), ([b"<feffd83d> Tj", b"<feffde00> Tj"], "\ufffd \ufffd"), ([b"<feffd83dde00> Tj"], "😀"), ([b"<feff> Tj"], ""), ([], ""),
+        ([b"<feff0041> Tj", b"(b\\)c) Tj"], "A b)c"), ([b"<feff 0041> Tj", b"<feff004> Tj"], "A @"), ([b"<feff0041> Tj", b"[<feff0042> -3 (c)] TJ"], "A Bc"), ([b"<41> Tj", b"<feff0041> Tj"], "A A"), ([b"<feff0041> Td", b"<feff0042> Tj"], "B"),
+    ],
+)
+def test_strings_of_pdf_pages(shown, page, monkeypatch):
+    """Streams of marked strings only are decoded at once, others string by string: the text is the same."""
+    assert formats.read("pdf", pdf_of(*shown))[0] == [page]
+    monkeypatch.setattr(formats, "_marked_text", lambda data: None)
+    assert formats.read("pdf", pdf_of(*shown))[0] == [page]
+
+
+def test_marked_strings_are_not_taken_one_by_one(monkeypatch):
+    monkeypatch.setattr(formats, "_pdf_string", None)
+    assert formats.read("pdf", pdf_of(*[b"<feff0041> Tj"] * 1000))[0] == [" ".join("A" * 1000)]
+
+
+def test_pages_are_chosen_without_a_join(spark):
+    """Alternatives meet their pages in the row of their request: neither a join nor a shuffle, and pages without one are not scored."""
+    from foliospark.operators import compare
+    from foliospark.plans import extract as plans
+
+    rows = [
+        (1, "pdf", ["%%% ###", "second  page", ""], "{}", [], None, ["Gera  diena visiems zmonems", None, "Gera  diena", "beyond"]),
+        (2, "plain", ["%%% ###"], "{}", [], None, ["Gera diena visiems zmonems"]),
+        (3, "pdf", [], "{}", [], None, ["Gera diena visiems zmonems"]),
+        (4, "pdf", ["same", "x"], "{}", [], None, None),
+        (5, "nope", [], "{}", [], "unsupported", ["a"]),
+    ]
+    df = spark.createDataFrame(rows, "doc_id long, reader string, pages array<string>, metadata string, files array<string>, error string, alt_pages array<string>")
+    out = plans.page_and_request_rows(df, ("pdf",))
+    said = plan(out)
+    assert "Join" not in said and "Exchange" not in said
+    got = sorted((r["doc_id"], r["page"], r["text"], r["request"] and r["request"]["reader"]) for r in out.collect())
+    assert got == [(1, 1, "Gera diena visiems zmonems", "pdf"), (1, 2, "second  page", None), (1, 3, "Gera diena", None), (2, 1, "%%% ###", "plain"), (3, None, None, "pdf"), (4, 1, "same", "pdf"), (4, 2, "x", None), (5, None, None, "nope")]
+    good = df.where("error is null")
+    by_join = compare.with_alternatives(pages.page_rows(good, F.col("pages")), pages.page_rows(good.where("reader = 'pdf'"), F.col("alt_pages")), collapsed=True)
+    assert sorted(map(tuple, by_join.collect())) == [r[:3] for r in got if r[1]]
+    assert sorted(r["page"] for r in plans.page_and_request_rows(df.drop("alt_pages"), None).where("page is not null").collect()) == [1, 1, 1, 2, 2, 3]
+
+
 def test_stream_extracts_new_files_once(spark, tmp_path):
     out = str(tmp_path / "out")
     (tmp_path / "in").mkdir()
